@@ -1,6 +1,7 @@
 """Text columns: cleaning, titles, slugs, documents and the free-text request parser.
 
-Every pattern with \\w or \\s carries (?U), so that letters and blanks of any script count.
+Letters, digits and blanks of any script count, so patterns name Unicode classes instead of
+using \\w and \\s, which mean ASCII to the regex engine.
 """
 
 from __future__ import annotations
@@ -12,6 +13,9 @@ from tonearm.functions.dictionaries import (
     GENRE_WORDS, MOOD_WORDS, RECENCY_WORDS, STOPWORDS,
 )
 
+WORD = r"\p{L}\p{N}_"
+BLANK = r"\t-\r\x1c- \x85\p{Z}"
+
 # fixed values: character sequences taken out of search text, in this order
 UNSAFE = [";", "--", "/*", "*/", "xp_", "sp_"]
 # fixed values: characters a file name cannot hold
@@ -24,11 +28,11 @@ DOCUMENT_FEATURES = ["danceability", "energy", "valence", "tempo", "instrumental
 
 def strip(c: Column) -> Column:
     """Remove blanks of any kind at both ends; ``trim`` would take spaces only."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(c, f"^[{BLANK}]+|[{BLANK}]+$", "")
 
 
 def squeeze(c: Column) -> Column:
-    return strip(F.regexp_replace(c, r"(?U)\s+", " "))
+    return strip(F.regexp_replace(c, f"[{BLANK}]+", " "))
 
 
 def clean_query(c: Column) -> Column:
@@ -41,13 +45,13 @@ def clean_query(c: Column) -> Column:
 
 def normalise_title(c: Column) -> Column:
     """Title without bracketed parts and punctuation, lower case."""
-    out = F.regexp_replace(c, r"\(.*?\)|\[.*?\]", "")
-    return strip(F.lower(F.regexp_replace(out, r"(?U)[^\w\s]", "")))
+    out = F.regexp_replace(c, r"\([^\n]*?\)|\[[^\n]*?\]", "")
+    return strip(F.lower(F.regexp_replace(out, f"[^{WORD}{BLANK}]", "")))
 
 
 def slug(c: Column, max_len: int = SLUG_LENGTH) -> Column:
     out = strip(F.regexp_replace(c, SLUG_DROP, ""))
-    out = F.regexp_replace(F.regexp_replace(out, r"(?U)\s+", "-"), "-+", "-")
+    out = F.regexp_replace(F.regexp_replace(out, f"[{BLANK}]+", "-"), "-+", "-")
     out = F.regexp_replace(out, "^-+|-+$", "")
     return F.when(F.coalesce(out, F.lit("")) == "", SLUG_DEFAULT).otherwise(
         F.substring(out, 1, max_len))
@@ -78,7 +82,7 @@ def parse_request(
     recency_words: list = RECENCY_WORDS, stopwords: list = STOPWORDS,
 ) -> Column:
     """Struct (keyword, genre_queries, mood_terms, prefer_recent) of one line of free text."""
-    plain = squeeze(F.regexp_replace(text, r"(?U)[^\w\s가-힣]", " "))
+    plain = squeeze(F.regexp_replace(text, f"[^{WORD}{BLANK}가-힣]", " "))
     tokens = F.filter(F.split(plain, " "), lambda t: t != "")
     genres, moods = _lookup(genre_words), _lookup(mood_words)
     recency = F.array(*[F.lit(w) for w in recency_words])

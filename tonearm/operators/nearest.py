@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 
 from tonearm.session import BROADCAST_CELLS, compute_partitions, rows_up_to, written
 
-# Distances grow from 0, cosine falls from 1: ranking is always ascending on "cost".
-METRICS = ("feature", "l2", "cosine")
+# feature and l2 are squared distances, cosine and ip (inner product) similarities; ranking is
+# always ascending on "cost", the distance or the negated similarity
+METRICS = ("feature", "l2", "cosine", "ip")
 _CHUNK_CELLS = 4_000_000
 
 
@@ -45,7 +46,7 @@ def _prepare(m: np.ndarray, metric: str) -> np.ndarray:
 
 def _pair_cost(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     """Cost of aligned rows; the same two vectors always give the same bits."""
-    if metric == "cosine":
+    if metric in ("cosine", "ip"):
         return -np.einsum("ij,ij->i", q, x)
     cost = np.zeros(len(q))
     for j in range(q.shape[1]):
@@ -57,7 +58,7 @@ def _pair_cost(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
 
 
 def _block_cost(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
-    if metric == "cosine":
+    if metric in ("cosine", "ip"):
         return -(q @ x.T)
     if metric == "l2":
         return (q * q).sum(1)[:, None] - 2.0 * (q @ x.T) + (x * x).sum(1)[None, :]
@@ -124,7 +125,7 @@ def nearest(
 ) -> DataFrame:
     """(query_id, item_id, score, rank) of the k nearest items of every query.
 
-    ``score`` is a distance for ``feature`` and ``l2`` and a similarity for ``cosine``.
+    ``score`` is a squared distance for ``feature`` and ``l2``, else a similarity.
     ``prune_on`` is the position of the feature used to skip far blocks.
     """
     if metric not in METRICS:
@@ -150,10 +151,9 @@ def nearest(
     else:
         found = _blocks(q, x, k, metric, schema, width, prune_on, block_rows)
 
-    score = -F.col("cost") if metric == "cosine" else F.col("cost")
+    score = -F.col("cost") if metric in ("cosine", "ip") else F.col("cost")
     if not few_items:
-        w = Window.partitionBy("qid").orderBy("cost", "iid")
-        found = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+        found = _merge(found, k)
     return found.select(F.col("qid").alias(query_id), F.col("iid").alias(item_id),
                         score.alias("score"), F.col("rank").cast("int").alias("rank"))
 
@@ -202,86 +202,85 @@ def _queries_to_all(spark, q, x, k, metric, schema, width):
 
 
 def _blocks(q, x, k, metric, schema, width, prune_on, block_rows):
-    prune = metric == "feature" and prune_on is not None
-    x, spans = _cut_items(x, prune_on if prune else None, block_rows)
-    if not prune:
-        q = q.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(len(spans) - 1))))
-        return _visit(q, x, k, metric, schema, width, block_rows)
+    if metric != "feature" or prune_on is None:
+        # nothing can be skipped: every query meets every block
+        n_blocks = max(1, -(-x.count() // block_rows))
+        x = x.withColumn("block", F.pmod(F.xxhash64("iid"), F.lit(n_blocks)).cast("int"))
+        q = q.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+        return best_in_shared_blocks(q, x, k, metric, schema, width, block_rows)
 
-    # pass 1: each query's home block bounds its k-th distance
+    x, spans = _ranges(x, prune_on, block_rows)
     at = F.get("qvec", prune_on)
     at = F.when(F.isnan(at), F.lit(None)).otherwise(at)
     by_block = F.array(*[F.struct(F.lit(b).alias("block"), F.lit(lo).alias("lo"),
-                                  F.lit(hi).alias("hi")) for b, (lo, hi) in enumerate(spans)])
+                                  F.lit(hi).alias("hi")) for b, lo, hi in spans])
 
     def gap(s):
+        # least squared difference any item of the range can have; 0 when unknown
         d = F.greatest(s["lo"] - at, at - s["hi"], F.lit(0.0))
         return F.coalesce(d * d, F.lit(0.0))
 
-    homes = F.array_sort(F.transform(by_block, lambda s: F.struct(
-        gap(s).alias("gap"),
-        F.pmod(F.xxhash64("qid", s["block"]), F.lit(1 << 30)).alias("mix"),
+    # pass 1: the nearest range of each query bounds its k-th distance
+    nearest_first = F.array_sort(F.transform(by_block, lambda s: F.struct(
+        gap(s).alias("gap"), F.xxhash64("qid", s["block"]).alias("mix"),
         s["block"].alias("block"))))
-    q = q.withColumn("home", F.get(homes, 0)["block"])
-    first = written(
-        _visit(q.withColumn("block", F.col("home")), x, k, metric, schema, width, block_rows),
-        "nearest")
-    limit = first.groupBy("qid").agg(
+    q = q.withColumn("home", F.get(nearest_first, 0)["block"])
+    first = written(best_in_shared_blocks(
+        q.withColumn("block", F.col("home")), x, k, metric, schema, width, block_rows), "nearest")
+    limit = _merge(first, k).groupBy("qid").agg(
         F.when(F.count(F.lit(1)) >= k, F.max("cost")).alias("kth"))
-    # pass 2: every other block that is not provably farther (with room for rounding)
+    # pass 2: every other range that is not provably farther (with room for rounding)
     reach = q.join(limit, "qid", "left").withColumn("near", F.filter(by_block, lambda s: (
         s["block"] != F.col("home")) & (F.col("kth").isNull()
                                         | (gap(s) <= F.col("kth") * (1 + 1e-9)))))
     rest = reach.select("qid", "qvec", F.explode("near.block").alias("block"))
-    second = _visit(rest, x, k, metric, schema, width, block_rows)
+    second = best_in_shared_blocks(rest, x, k, metric, schema, width, block_rows)
     return first.unionByName(second)
 
 
-def _cut_items(x, prune_on, block_rows):
-    """Number the item blocks: ranges of one feature when pruning, hash blocks otherwise.
+def _merge(found, k):
+    w = Window.partitionBy("qid").orderBy("cost", "iid")
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
-    Only block edges and counts, one per block, come to the driver.
-    """
-    n = x.count()
-    n_blocks = max(1, -(-n // block_rows))
-    if prune_on is None:
-        x = x.withColumn("block", F.pmod(F.xxhash64("iid"), F.lit(n_blocks)).cast("int"))
-        return x, [(float("-inf"), float("inf"))] * n_blocks
+
+def _ranges(x, prune_on, block_rows):
+    """Number each item's range of one feature; only range edges come to the driver."""
+    n_blocks = max(1, -(-x.count() // block_rows))
     at = F.get("ivec", prune_on)
-    at = F.when(F.isnan(at), F.lit(None)).otherwise(at)
-    x = x.withColumn("at", at)
+    x = x.withColumn("at", F.when(F.isnan(at), F.lit(None)).otherwise(at))
     shares = [i / n_blocks for i in range(1, n_blocks)]
     edges = sorted(set(x.agg(F.percentile_approx("at", shares).alias("e")).first()["e"] or [])) \
         if shares else []
-    # items without the feature form a range of their own; one value held by many items is one
-    # range, cut further by hash so that no block outgrows block_rows
-    splits = [float("-inf"), *edges, float("inf")]
-    ranges = Bucketizer(splits=splits, inputCol="at", outputCol="range", handleInvalid="keep")
-    x = ranges.transform(x).withColumn("range", F.col("range").cast("int"))
-    stats = x.groupBy("range").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("lo"),
-                                   F.max("at").alias("hi")).orderBy("range").collect()
-    spans, starts = [], {}
-    for s in stats:
-        cuts = -(-s.n // block_rows)
-        starts[s.range] = (len(spans), cuts)
-        lo = float("-inf") if s.lo is None else s.lo
-        hi = float("inf") if s.hi is None else s.hi
-        spans.extend([(lo, hi)] * cuts)
-    start = F.create_map(*[F.lit(v) for r, (b, _) in starts.items() for v in (r, b)])
-    cuts = F.create_map(*[F.lit(v) for r, (_, c) in starts.items() for v in (r, c)])
-    block = start[F.col("range")] + F.pmod(F.xxhash64("iid"), cuts[F.col("range")])
-    return x.select("iid", "ivec", block.cast("int").alias("block")), spans
-
-
-def _visit(q, x, k, metric, schema, width, block_rows):
-    """Best k per query inside the block each (query, block) row names."""
-    # a block asked for by very many queries is copied once per chunk of queries
-    chunks = q.groupBy("block").agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("chunks"))
-    q = q.join(chunks, "block").withColumn(
-        "chunk", F.pmod(F.xxhash64("qid"), F.col("chunks")).cast("int"))
-    x = x.join(chunks, "block").withColumn(
-        "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    # items without the feature form a range of their own
+    ranges = Bucketizer(splits=[float("-inf"), *edges, float("inf")], inputCol="at",
+                        outputCol="block", handleInvalid="keep")
+    x = ranges.transform(x).withColumn("block", F.col("block").cast("int"))
+    stats = x.groupBy("block").agg(F.min("at").alias("lo"), F.max("at").alias("hi")) \
+        .orderBy("block").collect()
+    inf = float("inf")
+    spans = [(s.block, -inf if s.lo is None else s.lo, inf if s.hi is None else s.hi)
+             for s in stats]
+    return x.select("iid", "ivec", "block"), spans
+
+
+def best_in_shared_blocks(q, x, k, metric, schema, width, block_rows):
+    """Best k per query among the items that share a block with it, per part of the block.
+
+    ``q`` has a row per query and block it visits. Neither side of a block is bounded, so a block
+    with many items is cut into parts by hash and one with many queries into chunks; every
+    part meets every chunk and no task holds more than about ``block_rows`` of either.
+    """
+    def pieces(df, name):
+        return df.groupBy("block").agg(
+            F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias(name))
+
+    cuts = pieces(x, "parts").join(pieces(q, "chunks"), "block")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    q = q.join(cuts, "block").withColumn("part", every("parts")) \
+        .withColumn("chunk", own("qid", "chunks"))
+    x = x.join(cuts, "block").withColumn("part", own("iid", "parts")) \
+        .withColumn("chunk", every("chunks"))
 
     def score(qs: pd.DataFrame, xs: pd.DataFrame) -> pd.DataFrame:
         xs = _sorted_items(xs)
@@ -290,6 +289,6 @@ def _visit(q, x, k, metric, schema, width, block_rows):
             _prepare(_matrix(xs["ivec"], width), metric), k, metric)
         return _frame(qs["qid"].to_numpy()[rows], xs["iid"].to_numpy()[cols], cost)
 
-    return q.select("block", "chunk", "qid", "qvec").groupBy("block", "chunk").cogroup(
-        x.select("block", "chunk", "iid", "ivec").groupBy("block", "chunk")
-    ).applyInPandas(score, schema)
+    keys = ["block", "part", "chunk"]
+    return q.select(*keys, "qid", "qvec").groupBy(*keys).cogroup(
+        x.select(*keys, "iid", "ivec").groupBy(*keys)).applyInPandas(score, schema)

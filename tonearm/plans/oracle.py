@@ -178,3 +178,484 @@ FROM (SELECT a.user_id, a.id, list_filter([{_REASONS},
         lambda x: x IS NOT NULL) AS reasons
       FROM asked a JOIN profiles p ON p.user_id = a.user_id JOIN tracks t ON t.id = a.id
       LEFT JOIN same s ON s.user_id = a.user_id AND s.id = a.id) z"""
+
+# --- validation and sanitizing -----------------------------------------------------------------
+
+_BLANK = r"\t-\r\x1c- \x{85}\p{Z}"
+_WORD = r"\p{L}\p{N}_"
+
+
+def _strip(c: str) -> str:
+    return f"regexp_replace({c}, '^[{_BLANK}]+|[{_BLANK}]+$', '', 'g')"
+
+
+def _squeeze(c: str) -> str:
+    return _strip(f"regexp_replace({c}, '[{_BLANK}]+', ' ', 'g')")
+
+
+RAW_TRACKS = """raw AS (
+SELECT p_partkey AS part,
+       CASE WHEN p_partkey % 23 = 0 THEN 'trk' || CAST(p_partkey AS VARCHAR)
+            ELSE 'track_' || lpad(CAST(p_partkey AS VARCHAR), 8, '0') END AS id,
+       CASE WHEN p_partkey % 19 = 0 THEN '' WHEN p_partkey % 29 = 0 THEN '   '
+            ELSE '  ' || p_name || chr(9) END AS name,
+       CASE WHEN p_partkey % 31 = 0 THEN CAST([] AS VARCHAR[])
+            WHEN p_partkey % 5 = 0 THEN ['  ' || p_brand || chr(9), '']
+            ELSE [p_brand] END AS artists,
+       CASE WHEN p_partkey % 37 <> 0 THEN ' ' || p_type END AS album,
+       CASE WHEN p_partkey % 4 = 0 THEN CAST(p_size * 2 AS VARCHAR) || '.5'
+            WHEN p_partkey % 4 = 1 THEN 'n/a' WHEN p_partkey % 4 = 2 THEN NULL
+            ELSE CAST(p_size AS VARCHAR) END AS popularity,
+       CAST(p_partkey * 1000 AS VARCHAR) || '.0' AS duration_ms
+FROM part)"""
+
+
+def _share(factor: int, modulus: int = 101) -> str:
+    v = f"(p_partkey * {factor} % {modulus})"
+    return f"CAST({v} // 100 AS VARCHAR) || '.' || lpad(CAST({v} % 100 AS VARCHAR), 2, '0')"
+
+
+RAW_FEATURES = f"""raw_features AS (
+SELECT 'track_' || lpad(CAST(p_partkey AS VARCHAR), 8, '0') AS id,
+       CASE WHEN p_partkey % 11 = 0 THEN 'invalid' ELSE {_share(37)} END AS danceability,
+       {_share(53, 104)} AS energy,
+       CASE WHEN p_partkey % 13 <> 0 THEN {_share(71)} END AS valence,
+       CASE WHEN p_partkey % 17 = 0 THEN 'fast'
+            ELSE CAST(60 + p_partkey % 245 AS VARCHAR) END AS tempo,
+       {_share(13)} AS instrumentalness, {_share(19)} AS acousticness, {_share(23)} AS liveness,
+       {_share(41)} AS speechiness, CAST(p_partkey % 12 AS VARCHAR) AS key,
+       CAST(p_partkey % 2 AS VARCHAR) AS mode,
+       CASE WHEN p_partkey % 7 = 0 THEN '?'
+            ELSE CAST(3 + p_partkey % 5 AS VARCHAR) END AS time_signature
+FROM part)"""
+
+CLEAN_FEATURES = "features AS (SELECT id, " + ", ".join(
+    f"coalesce(try_cast({f} AS DOUBLE), {FEATURE_DEFAULTS.get(f, 0.0)}) AS {f}"
+    for f in RANGES) + " FROM raw_features)"
+
+
+def _errors(*rules: tuple[str, str]) -> str:
+    cases = ", ".join(f"CASE WHEN {bad} THEN '{message}' END" for bad, message in rules)
+    return f"array_to_string(list_filter([{cases}], lambda x: x IS NOT NULL), '; ') AS errors"
+
+
+ORACLE["validate_tracks"] = _with(RAW_TRACKS) + "SELECT part, " + _errors(
+    ("coalesce(id, '') = ''", "id missing"), ("coalesce(name, '') = ''", "name missing"),
+    ("coalesce(len(artists), 0) = 0", "artists missing"),
+    ("coalesce(album, '') = ''", "album missing"),
+    ("coalesce(id, '') <> '' AND length(id) < 10", "id malformed")) + " FROM raw"
+
+ORACLE["validate_features"] = _with(RAW_FEATURES, CLEAN_FEATURES) + "SELECT id, " + _errors(
+    *[(f"NOT ({f} BETWEEN {lo} AND {hi})", f"{f} out of range")
+      for f, (lo, hi) in RANGES.items()]) + " FROM features"
+
+ORACLE["validate_ratings"] = "SELECT event_id, " + _errors(
+    ("n IS NULL", "rating not a number"),
+    ("n IS NOT NULL AND NOT n BETWEEN 1 AND 5", "rating out of range")) + """
+FROM (SELECT event_id, CASE WHEN event_type = 'error' THEN NULL ELSE value END AS n
+      FROM events) e"""
+
+ORACLE["validate_user_ids"] = "SELECT row, " + _errors(
+    (f"coalesce({_strip('u')}, '') = ''", "user_id missing"),
+    (f"{_strip('u')} <> '' AND length(u) NOT BETWEEN 3 AND 50", "user_id length")) + """
+FROM (SELECT 'doc ' || CAST(doc_id AS VARCHAR) AS row, text AS u FROM documents
+      UNION ALL SELECT 'event ' || CAST(event_id AS VARCHAR), CAST(user_id AS VARCHAR)
+      FROM events) x"""
+
+ORACLE["validate_queries"] = _with(RAW_TRACKS) + "SELECT row, " + _errors(
+    (f"coalesce({_strip('q')}, '') = ''", "query missing"),
+    (f"{_strip('q')} <> '' AND length(q) > 100", "query too long")) + """
+FROM (SELECT 'doc ' || CAST(doc_id AS VARCHAR) AS row, text AS q FROM documents
+      UNION ALL SELECT 'part ' || CAST(part AS VARCHAR), name FROM raw) x"""
+
+ORACLE["validate_source_ids"] = "SELECT c_custkey, playlist_id, " + _errors(
+    (r"NOT regexp_full_match(playlist_id, '[\p{L}\p{N}]{22}')", "playlist_id malformed")) + """
+FROM (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0
+               THEN substr(d, 1, 2) || '_' || substr(d, 4, CAST(17 + c_custkey % 5 AS INT))
+             ELSE substr(d, 1, CAST(20 + c_custkey % 5 AS INT)) END AS playlist_id
+      FROM (SELECT c_custkey, md5(c_name) AS d FROM customer) c) x"""
+
+ORACLE["sanitize_tracks"] = _with(RAW_TRACKS) + f"""
+SELECT part, id, {_strip('name')} AS name,
+       array_to_string(list_transform(list_filter(artists, lambda a: a <> ''),
+                                      lambda a: {_strip('a')}), '|') AS artists,
+       {_strip('album')} AS album,
+       coalesce(CAST(trunc(try_cast(popularity AS DOUBLE)) AS BIGINT), 0) AS popularity,
+       coalesce(CAST(trunc(try_cast(duration_ms AS DOUBLE)) AS BIGINT), 0) AS duration_ms
+FROM raw"""
+
+ORACLE["sanitize_features"] = _with(RAW_FEATURES, CLEAN_FEATURES) + "SELECT * FROM features"
+
+_unsafe = _strip("text")
+for _token in [";", "--", "/*", "*/", "xp_", "sp_"]:
+    _unsafe = f"replace({_unsafe}, '{_token}', '')"
+ORACLE["clean_query"] = f"SELECT doc_id, coalesce({_squeeze(_unsafe)}, '') AS query FROM documents"
+
+# --- text --------------------------------------------------------------------------------------
+
+
+def _title(c: str) -> str:
+    out = rf"regexp_replace({c}, '\([^\n]*?\)|\[[^\n]*?\]', '', 'g')"
+    return _strip(f"lower(regexp_replace({out}, '[^{_WORD}{_BLANK}]', '', 'g'))")
+
+
+ORACLE["normalize_title"] = f"SELECT doc_id, {_title('text')} AS title FROM documents"
+
+_slug = _strip(r"""regexp_replace(text, '[\\/:*?"<>|]', '', 'g')""")
+_slug = f"regexp_replace(regexp_replace({_slug}, '[{_BLANK}]+', '-', 'g'), '-+', '-', 'g')"
+_slug = f"regexp_replace({_slug}, '^-+|-+$', '', 'g')"
+ORACLE["slug"] = f"""SELECT doc_id, CASE WHEN coalesce(s, '') = '' THEN 'report'
+ELSE substr(s, 1, 40) END AS slug FROM (SELECT doc_id, {_slug} AS s FROM documents) x"""
+
+_DOCUMENT = ("concat_ws(' ', name, array_to_string(artists, ' '), album, "
+             "CASE WHEN len(genres) > 0 THEN array_to_string(genres, ' ') END, "
+             + ", ".join(f"CASE WHEN {f} IS NOT NULL THEN printf('{f}:%.2f', {f}) END"
+                         for f in DOCUMENT_FEATURES) + ")")
+ORACLE["text_document"] = _with(TRACKS) + f"SELECT id, {_DOCUMENT} AS document FROM tracks"
+
+# --- collection, dedup, store ------------------------------------------------------------------
+
+_FLAT = """SELECT 'track_' || lpad(CAST(p_partkey AS VARCHAR), 8, '0') AS id, {name} AS name,
+       p_brand AS artists, p_type AS album, '2023-01-01' AS release_date,
+       CAST({popularity} AS BIGINT) AS popularity, p_partkey * 1000 AS duration_ms,
+       'https://tracks.example.org/' || CAST(p_partkey AS VARCHAR) AS external_urls
+FROM part WHERE {where}"""
+ORACLE["flatten_search"] = _FLAT.format(name="p_name", popularity="p_size", where="true")
+ORACLE["flatten_playlist"] = _FLAT.format(
+    name="p_name", popularity="p_size + 1", where="p_size <= 25")
+ORACLE["flatten_artist_top"] = _FLAT.format(
+    name="'Best of ' || p_name", popularity="p_size", where="p_size > 40")
+ORACLE["normalise_raw"] = """
+SELECT 'track_' || lpad(CAST(p_partkey AS VARCHAR), 8, '0') AS id, 'Best of ' || p_name AS name,
+       'id-' || p_brand AS artist_ids, p_type AS album, CAST(p_size AS BIGINT) AS popularity,
+       p_partkey * 1000 AS duration_ms, false AS explicit,
+       'https://tracks.example.org/' || CAST(p_partkey AS VARCHAR) AS external_urls,
+       0 AS n_genres
+FROM part WHERE p_size > 40"""
+_OK = " AND ".join(f"{f} BETWEEN {lo} AND {hi}" for f, (lo, hi) in RANGES.items())
+ORACLE["read_features"] = _with(RAW_FEATURES, CLEAN_FEATURES) + f"""
+SELECT id, danceability, energy, valence, tempo, time_signature, {_OK} AS ok FROM features"""
+ORACLE["collect_tracks"] = _with(RAW_FEATURES, CLEAN_FEATURES) + f"""
+SELECT p.id, p.name, p.popularity, 0 AS first_source, f.danceability, f.tempo
+FROM (SELECT 'track_' || lpad(CAST(p_partkey AS VARCHAR), 8, '0') AS id,
+             CASE WHEN p_size > 40 THEN 'Best of ' || p_name ELSE p_name END AS name,
+             CAST(CASE WHEN p_size <= 25 THEN p_size + 1 ELSE p_size END AS BIGINT) AS popularity
+      FROM part) p LEFT JOIN (SELECT * FROM features WHERE {_OK}) f ON f.id = p.id"""
+ORACLE["dedup_last"] = """
+SELECT user_id, event_type, first AS seq, ts, value, props FROM (
+  SELECT *, min(event_id) OVER (PARTITION BY user_id, event_type) AS first,
+         row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS rn
+  FROM events) e WHERE rn = 1"""
+ORACLE["dedup_first"] = """
+SELECT user_id, event_type, event_id AS seq, ts, value, props FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS rn
+  FROM events) e WHERE rn = 1"""
+ORACLE["dedup_title"] = _with(TRACKS) + f"""
+SELECT id, title, artist, popularity FROM (
+  SELECT id, title, artist, popularity, row_number() OVER (
+    PARTITION BY title, artist ORDER BY popularity DESC, id) AS rn
+  FROM (SELECT id, {_title('name')} AS title, lower(artists[1]) AS artist, popularity
+        FROM tracks) t) x
+WHERE rn = 1"""
+ORACLE["left_join_features"] = _with(RAW_TRACKS, RAW_FEATURES, CLEAN_FEATURES) + f"""
+SELECT r.id, {_strip('r.name')} AS name,
+       coalesce(CAST(trunc(try_cast(r.duration_ms AS DOUBLE)) AS BIGINT), 0) AS duration_ms,
+       f.danceability, f.tempo, CASE WHEN f.id IS NOT NULL THEN 'audio_features' END AS type
+FROM raw r LEFT JOIN features f ON f.id = r.id"""
+ORACLE["artist_cap"] = _with(TRACKS) + """
+SELECT id, album, artist, popularity FROM (
+  SELECT id, album, artists[1] AS artist, popularity, row_number() OVER (
+    PARTITION BY album, lower(artists[1]) ORDER BY popularity DESC, id) AS rn FROM tracks) t
+WHERE rn <= 2"""
+ORACLE["diverse_seeds"] = _with(TRACKS) + """
+SELECT id, album, artist, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (
+    PARTITION BY album ORDER BY CASE WHEN nth > 1 THEN 1 ELSE 0 END, popularity DESC, id) AS rank
+  FROM (SELECT id, album, lower(artists[1]) AS artist, popularity, row_number() OVER (
+          PARTITION BY album, lower(artists[1]) ORDER BY popularity DESC, id) AS nth
+        FROM tracks) t) x
+WHERE rank <= 3"""
+ORACLE["ingest_new"] = _with(TRACKS) + """
+SELECT id, name, popularity FROM tracks t
+WHERE NOT EXISTS (SELECT 1 FROM tracks s WHERE s.id = t.id AND s.popularity <= 50)"""
+ORACLE["add_items"] = _with(TRACKS) + f"""
+SELECT CAST(id AS VARCHAR) AS id, {_DOCUMENT} AS document, 384 AS width, popularity, duration_ms,
+       array_to_string(artists, '|') AS artists, acousticness, '' AS preview_url FROM tracks"""
+ORACLE["point_lookup"] = _with(TRACKS) + """
+SELECT id, name, album, popularity FROM tracks
+WHERE id IN (SELECT o_custkey FROM orders)"""
+ORACLE["preferences_roundtrip"] = _with(RATINGS) + """
+SELECT CAST(user_id AS VARCHAR) AS user_id, CAST(track_id AS VARCHAR) AS track_id, rating
+FROM ratings"""
+ORACLE["csv_export"] = _with(TRACKS) + """
+SELECT id, name, array_to_string(artists, '|') AS artists, popularity, tempo FROM tracks"""
+ORACLE["metadata_filter"] = _with(TRACKS) + """
+SELECT id, name, album, tempo FROM tracks
+WHERE (tempo >= 100 AND tempo < 160 AND album IN ('PROMO', 'SMALL'))
+   OR (acousticness > 0.9 AND NOT explicit) OR (name = 'red ring' AND album <> 'PROMO')"""
+
+# --- requests: parsing, seeds, candidates, rankers, report -------------------------------------
+
+_G = _list(GENRE_PROXY)
+ARTISTS = f"""artists AS (
+SELECT 'id-' || name AS artist_id, name,
+       [{_G}[num % {len(GENRE_PROXY)} + 1],
+        'korean ' || {_G}[(num * 3 + 1) % {len(GENRE_PROXY)} + 1]] AS genres
+FROM (SELECT name, CAST(split_part(name, '#', 2) AS INT) AS num
+      FROM (SELECT DISTINCT unnest(artists) AS name FROM tracks) d) n)"""
+
+
+def _words(c: str) -> str:
+    # order does not matter where this is used
+    return f"list_distinct(list_filter(string_split(lower({_squeeze(c)}), ' '), lambda w: w <> ''))"
+
+
+CATALOGUE = f"""catalogue AS (
+SELECT t.* EXCLUDE (genres),
+       CASE WHEN len(t.genres) > 0 THEN t.genres
+            ELSE coalesce(a.genres, CAST([] AS VARCHAR[])) END AS genres,
+       {_words("concat_ws(' ', t.name, array_to_string(t.artists, ' '), t.album)")} AS have
+FROM tracks t LEFT JOIN artists a ON a.artist_id = 'id-' || t.artists[1])"""
+
+REQUESTS = f"""requests AS (
+SELECT request_id,
+       CASE kind WHEN 0 THEN name || ' 같은 ' || genre || ' 추천'
+                 WHEN 1 THEN '잔잔하고 감성적인 ' || genre || ' 추천해줘'
+                 WHEN 2 THEN '이번 ' || name || ' 신곡 너무 좋더라!'
+                 WHEN 3 THEN '신나는 ' || genre || ', ' || name
+                 ELSE '슬픈 노래 없어?' END AS text
+FROM (SELECT c_custkey AS request_id, c_custkey % 5 AS kind, coalesce(p_name, '') AS name,
+             {_list(GENRE_WORDS)}[c_custkey % {len(GENRE_WORDS)} + 1] AS genre
+      FROM customer LEFT JOIN part ON p_partkey = c_custkey) x)"""
+
+_GENRE_MAP = "MAP {" + ", ".join(f"{_text(k)}: {_list(v)}" for k, v in GENRE_WORDS.items()) + "}"
+_MOOD_MAP = "MAP {" + ", ".join(f"{_text(k)}: {_text(v)}" for k, v in MOOD_WORDS.items()) + "}"
+_DROPPED = _list(dict.fromkeys([*STOPWORDS, *GENRE_WORDS, *MOOD_WORDS, *RECENCY_WORDS]))
+_PLAIN = _squeeze(f"regexp_replace(text, '[^{_WORD}{_BLANK}가-힣]', ' ', 'g')")
+
+
+def _parsed(source: str, key: str) -> str:
+    return f"""
+SELECT {key}, text,
+       array_to_string(list_filter(tokens, lambda t: length(t) >= 2
+         AND NOT (regexp_matches(t, '[가-힣]') AND list_contains({_DROPPED}, t))), ' ') AS keyword,
+       list_filter(gs, lambda x, i: list_position(gs, x) = i) AS genre_queries,
+       array_to_string(list_filter(ms, lambda x, i: list_position(ms, x) = i), ' ') AS mood_terms,
+       list_has_any(tokens, {_list(RECENCY_WORDS)}) AS prefer_recent
+FROM (SELECT {key}, text, tokens,
+        flatten(list_transform(list_filter(tokens, lambda t: {_GENRE_MAP}[t] IS NOT NULL),
+                               lambda t: {_GENRE_MAP}[t])) AS gs,
+        list_filter(list_transform(tokens, lambda t: {_MOOD_MAP}[t]),
+                    lambda x: x IS NOT NULL) AS ms
+      FROM (SELECT {key}, text,
+              list_filter(string_split({_PLAIN}, ' '), lambda t: t <> '') AS tokens
+            FROM {source}) a) b"""
+
+
+PARSED = f"parsed AS ({_parsed('requests', 'request_id')})"
+# requests that were understood alike are answered once here too, to keep the SQL quick
+NEEDS = """needs AS (
+SELECT min(request_id) AS need, keyword, genre_queries, mood_terms, prefer_recent
+FROM parsed GROUP BY keyword, genre_queries, mood_terms, prefer_recent),
+asks AS (
+SELECT p.request_id, p.text, n.* FROM parsed p JOIN needs n
+  ON n.keyword = p.keyword AND n.genre_queries = p.genre_queries
+ AND n.mood_terms = p.mood_terms AND n.prefer_recent = p.prefer_recent)"""
+
+SEED_SEARCHES = """seed_lists AS (
+SELECT need, list_filter([
+  CASE WHEN keyword <> '' THEN {'kind': 'text', 'text': keyword} END,
+  CASE WHEN len(genre_queries) > 0 THEN {'kind': 'genre', 'text': genre_queries[1]} END,
+  CASE WHEN len(genre_queries) > 0 AND mood_terms <> ''
+       THEN {'kind': 'text', 'text': mood_terms || ' ' || genre_queries[1]} END,
+  CASE WHEN len(genre_queries) = 0 AND keyword = '' AND mood_terms <> ''
+       THEN {'kind': 'text', 'text': mood_terms} END], lambda x: x IS NOT NULL) AS searches
+FROM needs),
+seed_asked AS (
+SELECT need, i - 1 AS priority, searches[i].kind AS kind, searches[i].text AS text
+FROM (SELECT need, searches, unnest(range(1, len(searches) + 1)) AS i FROM seed_lists) x)"""
+
+
+def _search(name: str, asked: str, limit: int) -> str:
+    return f"""{name} AS (
+SELECT kind, text, id, rank FROM (
+  SELECT s.kind, s.text, c.id,
+         row_number() OVER (PARTITION BY s.kind, s.text ORDER BY c.popularity DESC, c.id) AS rank
+  FROM (SELECT kind, text, {_words('text')} AS need FROM (
+          SELECT DISTINCT kind, text FROM {asked}) d) s
+  JOIN catalogue c ON (s.kind = 'genre' AND list_contains(c.genres, s.text))
+    OR (s.kind = 'text' AND len(s.need) > 0 AND list_has_all(c.have, s.need))) r
+WHERE rank <= {limit})"""
+
+
+SEEDS = _search("seed_found", "seed_asked", 20) + f""",
+titled AS (
+SELECT f.kind, f.text, f.rank AS place, c.id, {_title('c.name')} AS title,
+       lower(c.artists[1]) AS artist
+FROM seed_found f JOIN catalogue c ON c.id = f.id),
+chosen AS (
+SELECT kind, text, id, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY kind, text
+    ORDER BY CASE WHEN nth > 1 THEN 1 ELSE 0 END, place) AS rank
+  FROM (SELECT *, row_number() OVER (PARTITION BY kind, text, artist ORDER BY place) AS nth
+        FROM (SELECT *, row_number() OVER (PARTITION BY kind, text, title, artist
+                                           ORDER BY place) AS copy FROM titled) u
+        WHERE copy = 1) v) w
+WHERE rank <= 3),
+seeds AS (
+SELECT need, rank, id FROM (
+  SELECT a.need, c.rank, c.id, a.priority, min(a.priority) OVER (PARTITION BY a.need) AS best
+  FROM seed_asked a JOIN chosen c ON c.kind = a.kind AND c.text = a.text) x
+WHERE priority = best),
+context AS (
+SELECT n.*, s.seed_ids, s.seed_genres, s.seed_artists FROM needs n JOIN (
+  SELECT s.need, list(s.id) AS seed_ids,
+         list_sort(list_distinct(flatten(list(c.genres)))) AS seed_genres,
+         list(lower(c.artists[1])) AS seed_artists
+  FROM seeds s JOIN catalogue c ON c.id = s.id GROUP BY s.need) s ON s.need = n.need)"""
+
+CANDIDATES = """named AS (
+SELECT *, list_concat(
+    list_transform(genre_queries[1:3], lambda g: {'kind': 'genre', 'text': g}),
+    CASE WHEN mood_terms <> '' AND len(genre_queries) > 0
+         THEN [{'kind': 'text', 'text': mood_terms || ' ' || genre_queries[1]}] ELSE [] END)
+    AS explicit
+FROM context),
+listed AS (
+SELECT *, list_concat(explicit, list_transform(
+    list_filter(seed_genres, lambda g: NOT list_contains(genre_queries, g))[1:6 - len(explicit)],
+    lambda g: {'kind': 'genre', 'text': g})) AS searches
+FROM named),
+all_lists AS (
+SELECT need, list_concat(searches,
+    CASE WHEN keyword <> '' THEN [{'kind': 'text', 'text':
+           CASE WHEN mood_terms <> '' THEN keyword || ' ' || mood_terms ELSE keyword END}]
+         WHEN len(searches) = 0 AND mood_terms <> ''
+           THEN [{'kind': 'text', 'text': mood_terms}] ELSE [] END) AS searches
+FROM listed),
+asked AS (
+SELECT need, i - 1 AS priority, searches[i].kind AS kind, searches[i].text AS text
+FROM (SELECT need, searches, unnest(range(1, len(searches) + 1)) AS i FROM all_lists) x),
+""" + _search("found", "asked", 30) + """,
+candidates AS (
+SELECT h.need, h.priority, h.rank AS place, c.*, x.seed_genres, x.seed_artists, x.prefer_recent
+FROM (SELECT *, row_number() OVER (PARTITION BY need, id ORDER BY priority, rank) AS rn
+      FROM (SELECT a.need, a.priority, f.rank, f.id FROM asked a
+            JOIN found f ON f.kind = a.kind AND f.text = a.text) j) h
+JOIN context x ON x.need = h.need JOIN catalogue c ON c.id = h.id
+WHERE h.rn = 1 AND NOT list_contains(x.seed_ids, h.id))"""
+
+_JACCARD = """CASE WHEN len(list_distinct(list_concat({a}, {b}))) = 0 THEN 0.0
+  ELSE CAST(len(list_intersect({a}, {b})) AS DOUBLE) / len(list_distinct(list_concat({a}, {b})))
+  END"""
+_JG = _JACCARD.format(a="seed_genres", b="genres")
+
+MULTI = f"""scored AS (
+SELECT *, greatest(0.0, round(CAST(0.5 AS DOUBLE) * {_JG} + CAST(0.3 AS DOUBLE)
+    * (popularity / CAST(100 AS DOUBLE))
+    + CASE WHEN prefer_recent AND substr(release_date, 1, 4) >= '2024'
+           THEN CAST(0.1 AS DOUBLE) ELSE 0 END
+    - CASE WHEN list_has_any(list_transform(artists, lambda a: lower(a)), seed_artists)
+           THEN CAST(0.4 AS DOUBLE) ELSE 0 END, 4)) AS similarity_score
+FROM candidates),
+picks AS (
+SELECT * FROM (
+  SELECT *, row_number() OVER (PARTITION BY need
+            ORDER BY similarity_score DESC, priority, place) AS rank
+  FROM (SELECT *, row_number() OVER (PARTITION BY need, lower(artists[1])
+                  ORDER BY similarity_score DESC, priority, place) AS nth FROM scored) s
+  WHERE nth <= 2) r
+WHERE rank <= 20)"""
+
+LEGACY = f"""scored AS (
+SELECT *, greatest(0.0, round(CAST(0.6 AS DOUBLE) * {_JG}
+    + CAST(0.4 AS DOUBLE) * (popularity / CAST(100 AS DOUBLE)), 4)) AS similarity_score
+FROM candidates),
+picks AS (
+SELECT * FROM (
+  SELECT *, row_number() OVER (PARTITION BY need
+            ORDER BY similarity_score DESC, priority, place) AS rank FROM scored) r
+WHERE rank <= 20)"""
+
+_TO_SEEDS = (TRACKS, ARTISTS, CATALOGUE, REQUESTS, PARSED, NEEDS, SEED_SEARCHES, SEEDS)
+_TO_CANDIDATES = (*_TO_SEEDS, CANDIDATES)
+
+ORACLE["parse_query"] = _with(REQUESTS, PARSED) + """
+SELECT request_id, keyword, array_to_string(genre_queries, '|') AS genre_queries, mood_terms,
+       prefer_recent FROM parsed"""
+ORACLE["parse_documents"] = f"""
+SELECT doc_id, keyword, prefer_recent FROM ({_parsed('documents', 'doc_id')}) p"""
+ORACLE["enrich_genres"] = _with(TRACKS, ARTISTS, CATALOGUE) + """
+SELECT id, array_to_string(genres, '|') AS genres FROM catalogue"""
+ORACLE["catalogue_search"] = _with(TRACKS, ARTISTS, CATALOGUE, """asked AS (
+SELECT 'text' AS kind, p_name AS text FROM part
+UNION ALL SELECT 'genre', unnest(genres) FROM artists
+UNION ALL SELECT 'text', name FROM artists)""", _search("found", "asked", 30)) + """
+SELECT kind, text, CAST(rank AS INTEGER) AS rank, id FROM found"""
+ORACLE["genre_jaccard"] = _with(TRACKS, ARTISTS, CATALOGUE, """seeds AS (
+SELECT brand, list_distinct(flatten(list(genres))) AS seed_genres FROM (
+  SELECT artists[1] AS brand, genres, row_number() OVER (
+    PARTITION BY artists[1] ORDER BY popularity DESC, id) AS rn FROM catalogue) x
+WHERE rn <= 3 GROUP BY brand)""") + f"""
+SELECT id, brand, round({_JG}, 6) AS jaccard
+FROM catalogue JOIN seeds ON brand = artists[1]"""
+ORACLE["seed_searches"] = _with(REQUESTS, PARSED, NEEDS, SEED_SEARCHES) + """
+SELECT request_id, CAST(priority AS INTEGER) AS priority, kind, s.text
+FROM asks a JOIN seed_asked s ON s.need = a.need"""
+ORACLE["seed_tracks"] = _with(*_TO_SEEDS) + """
+SELECT request_id, CAST(rank AS INTEGER) AS rank, c.id, c.name,
+       array_to_string(c.genres, '|') AS genres
+FROM asks a JOIN seeds s ON s.need = a.need JOIN catalogue c ON c.id = s.id"""
+ORACLE["failed_requests"] = _with(*_TO_SEEDS) + """
+SELECT request_id, CASE WHEN len(l.searches) = 0 THEN 'no search terms'
+                        ELSE 'no search results' END AS error
+FROM asks a JOIN seed_lists l ON l.need = a.need
+WHERE a.need NOT IN (SELECT need FROM seeds)"""
+ORACLE["candidate_queries"] = _with(*_TO_CANDIDATES) + """
+SELECT request_id, CAST(priority AS INTEGER) AS priority, kind, s.text
+FROM asks a JOIN asked s ON s.need = a.need"""
+_PICKS = """
+SELECT request_id, CAST(rank AS INTEGER) AS rank, id, name, similarity_score
+FROM asks a JOIN picks p ON p.need = a.need"""
+ORACLE["multi_signal"] = _with(*_TO_CANDIDATES, MULTI) + _PICKS
+ORACLE["genre_jaccard_rank"] = _with(*_TO_CANDIDATES, LEGACY) + _PICKS
+ORACLE["report_totals"] = _with(*_TO_CANDIDATES, MULTI) + """
+SELECT request_id, CAST(len(x.seed_ids) AS INTEGER) AS n_seeds,
+       CAST(len(x.seed_genres) AS INTEGER) AS n_genres,
+       coalesce(g.n, 0) AS n_recommendations, coalesce(g.p, 0) AS mean_popularity
+FROM asks a JOIN context x ON x.need = a.need LEFT JOIN (
+  SELECT need, count(*) AS n, CAST(round_even(avg(popularity), 0) AS BIGINT) AS p
+  FROM picks GROUP BY need) g ON g.need = a.need"""
+_CARD = """c.id, c.name, array_to_string(c.artists, ', ') AS artists, c.album,
+       CAST(c.duration_ms // 60000 AS VARCHAR) || ':'
+         || lpad(CAST(c.duration_ms % 60000 // 1000 AS VARCHAR), 2, '0') AS duration,
+       c.popularity, substr(c.release_date, 1, 4) >= '2024' AS is_new, c.explicit,
+       c.external_urls, CAST(NULL AS VARCHAR) AS preview_url,
+       CASE WHEN len(c.genres) > 0 THEN array_to_string(c.genres[1:5], ', ') ELSE '-' END
+         AS genres"""
+ORACLE["report_cards"] = _with(*_TO_CANDIDATES, MULTI) + f"""
+SELECT request_id, CAST(rank AS INTEGER) AS rank, '#' || CAST(rank AS VARCHAR) AS label, {_CARD},
+       CAST(round_even(round(similarity_score * 100, 1), 0) AS INTEGER) AS percent,
+       CASE WHEN round(similarity_score * 100, 1) >= 50 THEN 'green'
+            WHEN round(similarity_score * 100, 1) >= 30 THEN 'orange' ELSE 'muted' END AS colour
+FROM asks a JOIN picks c ON c.need = a.need"""
+ORACLE["report_seed_cards"] = _with(*_TO_SEEDS) + f"""
+SELECT request_id, CAST(rank AS INTEGER) AS rank, 'SEED' AS label, {_CARD}
+FROM asks a JOIN seeds s ON s.need = a.need JOIN catalogue c ON c.id = s.id"""
+ORACLE["report_genres"] = _with(*_TO_CANDIDATES, MULTI) + """
+SELECT request_id, CAST(place AS INTEGER) AS place, genre, n FROM asks a JOIN (
+  SELECT need, genre, n, row_number() OVER (PARTITION BY need ORDER BY n DESC, first) AS place
+  FROM (SELECT need, genre, count(*) AS n, min(rank * 10 + pos) AS first
+        FROM (SELECT need, rank, genres[i] AS genre, i AS pos
+              FROM (SELECT need, rank, genres, unnest(range(1, least(len(genres), 2) + 1)) AS i
+                    FROM picks) u) v
+        GROUP BY need, genre) w) x ON x.need = a.need
+WHERE place <= 8"""
+_name = "CASE WHEN a.keyword <> '' THEN a.keyword ELSE a.text END"
+ORACLE["report_signals"] = _with(*_TO_SEEDS) + f"""
+SELECT request_id, array_to_string(x.genre_queries[1:3], ' · ') AS genres, x.mood_terms AS mood,
+       x.prefer_recent, x.keyword,
+       CASE WHEN len(x.seed_genres) > 0 THEN array_to_string(x.seed_genres[1:5], ', ')
+            ELSE '-' END AS seed_genres,
+       'MultiSignal_' || substr({_slug.replace("text", _name, 1)}, 1, 40) AS report_name
+FROM asks a JOIN context x ON x.need = a.need"""

@@ -9,13 +9,21 @@ from pyspark.sql import functions as F
 
 from tonearm.functions import quality as Q
 from tonearm.functions import text as TX
-from tonearm.plans import recommend as R
+from tonearm.functions.predicates import where
+from tonearm.functions.scoring import array_jaccard
+from tonearm.operators import encoder as E
+from tonearm.operators import ranking as K
+from tonearm.operators.catalogue import search_catalogue, with_genres
 from tonearm.operators.neighbours import top_neighbours
+from tonearm.plans import recommend as R
+from tonearm.plans import report as RP
+from tonearm.plans import requests as P
 from tonearm.plans.profiles import user_profiles
-from tonearm.schemas import FEATURES
-from tonearm.session import written
-from tonearm.sources import store
+from tonearm.schemas import FEATURES, RAW_ARTIST_TOP
+from tonearm.session import shared_folder, written
+from tonearm.sources import landing, store
 from tonearm.sources import testbed as tb
+from tonearm.sources.preferences import load_preferences, save_preferences
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -88,3 +96,390 @@ def explain(spark, sf):
     ratings, tracks = tb.ratings(spark, sf), tb.tracks(spark, sf)
     picks = written(R.collaborative(ratings, tracks, 10).select("user_id", "id"), "picks")
     return R.explain(picks, ratings, tracks)
+
+
+# --- validation and sanitizing -----------------------------------------------------------------
+
+def _listed(errors):
+    return F.array_join(errors, "; ").alias("errors")
+
+
+@query
+def validate_tracks(spark, sf):
+    return tb.raw_tracks(spark, sf).select("part", _listed(Q.track_errors()))
+
+
+@query
+def validate_features(spark, sf):
+    clean = Q.sanitize_features(tb.raw_features(spark, sf))
+    return clean.select("id", _listed(Q.feature_errors(clean.columns)))
+
+
+@query
+def validate_ratings(spark, sf):
+    rating = F.when(F.col("event_type") == "error", "invalid").otherwise(
+        F.col("value").cast("string"))
+    return tb.table(spark, sf, "events").select("event_id", rating.alias("rating")) \
+        .select("event_id", _listed(Q.rating_errors()))
+
+
+@query
+def validate_user_ids(spark, sf):
+    ids = tb.table(spark, sf, "documents").select(
+        F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("row"),
+        F.col("text").alias("user_id"))
+    ids = ids.unionByName(tb.table(spark, sf, "events").select(
+        F.concat(F.lit("event "), F.col("event_id").cast("string")).alias("row"),
+        F.col("user_id").cast("string").alias("user_id")))
+    return ids.select("row", _listed(Q.user_id_errors()))
+
+
+@query
+def validate_queries(spark, sf):
+    texts = tb.table(spark, sf, "documents").select(
+        F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("row"),
+        F.col("text").alias("query"))
+    texts = texts.unionByName(tb.raw_tracks(spark, sf).select(
+        F.concat(F.lit("part "), F.col("part").cast("string")).alias("row"),
+        F.col("name").alias("query")))
+    return texts.select("row", _listed(Q.query_errors()))
+
+
+@query
+def validate_source_ids(spark, sf):
+    digest = F.md5(F.col("c_name").cast("binary"))
+    # 20 to 24 characters, every seventh with an underscore
+    made = F.expr("substring(d, 1, 20 + CAST(c_custkey % 5 AS INT))")
+    ids = tb.table(spark, sf, "customer").withColumn("d", digest).select(
+        "c_custkey", F.when(F.col("c_custkey") % 7 == 0, F.overlay(made, F.lit("_"), F.lit(3)))
+        .otherwise(made).alias("playlist_id"))
+    return ids.select("c_custkey", "playlist_id", _listed(Q.source_id_errors("playlist_id")))
+
+
+@query
+def sanitize_tracks(spark, sf):
+    clean = Q.sanitize_tracks(tb.raw_tracks(spark, sf))
+    return clean.select("part", "id", "name", F.array_join("artists", "|").alias("artists"),
+                        "album", "popularity", "duration_ms")
+
+
+@query
+def sanitize_features(spark, sf):
+    return Q.sanitize_features(tb.raw_features(spark, sf)).drop("type")
+
+
+@query
+def clean_query(spark, sf):
+    return tb.table(spark, sf, "documents").select(
+        "doc_id", TX.clean_query(F.col("text")).alias("query"))
+
+
+# --- text --------------------------------------------------------------------------------------
+
+@query
+def normalize_title(spark, sf):
+    return tb.table(spark, sf, "documents").select(
+        "doc_id", TX.normalise_title(F.col("text")).alias("title"))
+
+
+@query
+def slug(spark, sf):
+    return tb.table(spark, sf, "documents").select(
+        "doc_id", TX.slug(F.col("text")).alias("slug"))
+
+
+@query
+def text_document(spark, sf):
+    tracks = tb.tracks(spark, sf)
+    return tracks.select("id", TX.text_document(tracks.columns).alias("document"))
+
+
+# --- collection, dedup, store ------------------------------------------------------------------
+
+def _landing(spark, sf):
+    return tb.write_landing(spark, sf, shared_folder(spark, "landing"))
+
+
+def _flat(pair):
+    return pair[0].select("id", "name", F.array_join("artists", "|").alias("artists"), "album",
+                          "release_date", "popularity", "duration_ms", "external_urls")
+
+
+@query
+def flatten_search(spark, sf):
+    return _flat(landing.search_results(spark, _landing(spark, sf)["search"]))
+
+
+@query
+def flatten_playlist(spark, sf):
+    return _flat(landing.playlist_tracks(spark, _landing(spark, sf)["playlist"]))
+
+
+@query
+def flatten_artist_top(spark, sf):
+    return _flat(landing.artist_top_tracks(spark, _landing(spark, sf)["artist"]))
+
+
+@query
+def normalise_raw(spark, sf):
+    raw = landing.read_landing(spark, _landing(spark, sf)["artist"], RAW_ARTIST_TOP)
+    out = raw.select(F.explode("tracks").alias("t")).select(*landing.report_track())
+    return out.select("id", "name", F.array_join("artist_ids", "|").alias("artist_ids"), "album",
+                      "popularity", "duration_ms", "explicit", "external_urls",
+                      F.size("genres").alias("n_genres"))
+
+
+@query
+def read_features(spark, sf):
+    valid, bad = landing.track_features(spark, _landing(spark, sf)["features"])
+    cols = ["id", "danceability", "energy", "valence", "tempo", "time_signature"]
+    return valid.select(*cols, F.lit(True).alias("ok")) \
+        .unionByName(bad.select(*cols, F.lit(False).alias("ok")))
+
+
+@query
+def collect_tracks(spark, sf):
+    at = _landing(spark, sf)
+    sources = [landing.search_results(spark, at["search"])[0],
+               landing.playlist_tracks(spark, at["playlist"])[0],
+               landing.artist_top_tracks(spark, at["artist"])[0]]
+    features, _ = landing.track_features(spark, at["features"])
+    return landing.collect_tracks(sources, features).select(
+        "id", "name", "popularity", F.col("seq.source").alias("first_source"), "danceability",
+        "tempo")
+
+
+@query
+def dedup_last(spark, sf):
+    events = tb.table(spark, sf, "events").withColumnRenamed("event_id", "seq")
+    return K.dedup_last(events, ["user_id", "event_type"])
+
+
+@query
+def dedup_first(spark, sf):
+    events = tb.table(spark, sf, "events").withColumnRenamed("event_id", "seq")
+    return K.dedup_first(events, ["user_id", "event_type"])
+
+
+@query
+def dedup_title(spark, sf):
+    tracks = tb.tracks(spark, sf).select(
+        "id", TX.normalise_title(F.col("name")).alias("title"),
+        F.lower(F.get("artists", F.lit(0))).alias("artist"), "popularity")
+    return K.dedup_popular(tracks, ["title", "artist"], seq="id")
+
+
+@query
+def left_join_features(spark, sf):
+    tracks = Q.sanitize_tracks(tb.raw_tracks(spark, sf)).select("id", "name", "duration_ms")
+    # feature rows bring a duration of their own; the track's is kept
+    features = Q.sanitize_features(tb.raw_features(spark, sf)) \
+        .withColumn("duration_ms", F.lit(-1))
+    return landing.attach_features(tracks, features).select(
+        "id", "name", "duration_ms", "danceability", "tempo", "type")
+
+
+@query
+def artist_cap(spark, sf):
+    return _shown(K.artist_cap(tb.tracks(spark, sf).select("id", "album", "artists", "popularity"),
+                               ["album"], [F.col("popularity").desc(), F.col("id")]))
+
+
+@query
+def diverse_seeds(spark, sf):
+    tracks = tb.tracks(spark, sf).select(
+        "id", "album", F.lower(F.get("artists", F.lit(0))).alias("artist"),
+        F.struct((-F.col("popularity")).alias("p"), "id").alias("pos"))
+    return K.diverse_first(tracks, ["album"], "artist", "pos", 3).drop("pos") \
+        .withColumn("rank", F.col("rank").cast("int"))
+
+
+@query
+def ingest_new(spark, sf):
+    tracks = tb.tracks(spark, sf)
+    stored = tracks.filter(F.col("popularity") <= 50)
+    return store.new_items(tracks, stored).select("id", "name", "popularity")
+
+
+@query
+def add_items(spark, sf):
+    """Half the catalogue first, then all of it: the second call stores only what is missing."""
+    path = shared_folder(spark, "items")
+    tracks = tb.tracks(spark, sf)
+    encode = E.hashing_encoder()
+    store.add_items(tracks.filter(F.col("popularity") <= 50), path, encode)
+    store.add_items(tracks, path, encode)
+    return store.open_store(spark, path).select(
+        "id", "document", F.size("embedding").alias("width"), "popularity", "duration_ms",
+        F.array_join("artists", "|").alias("artists"), "acousticness", "preview_url")
+
+
+@query
+def point_lookup(spark, sf):
+    ids = tb.table(spark, sf, "orders").select(F.col("o_custkey").alias("id")).distinct()
+    return store.lookup(ids, tb.tracks(spark, sf)).select("id", "name", "album", "popularity")
+
+
+@query
+def preferences_roundtrip(spark, sf):
+    path = shared_folder(spark, "preferences")
+    save_preferences(tb.ratings(spark, sf), path)
+    return load_preferences(spark, path)
+
+
+@query
+def csv_export(spark, sf):
+    path = landing.save_csv(
+        tb.tracks(spark, sf).select("id", "name", "artists", "popularity", "tempo"),
+        shared_folder(spark, "tracks"))
+    return spark.read.schema("id bigint, name string, artists string, popularity bigint, "
+                             "tempo double").option("header", True).csv(path) \
+        .withColumn("artists", F.array_join(F.from_json("artists", "array<string>"), "|"))
+
+
+@query
+def metadata_filter(spark, sf):
+    keep = where({"$or": [
+        {"$and": [{"tempo": {"$gte": 100, "$lt": 160}}, {"album": {"$in": ["PROMO", "SMALL"]}}]},
+        {"acousticness": {"$gt": 0.9}, "explicit": False},
+        {"name": "red ring", "album": {"$nin": ["PROMO"]}}]})
+    return tb.tracks(spark, sf).filter(keep).select("id", "name", "album", "tempo")
+
+
+# --- requests: parsing, seeds, candidates, rankers, report -------------------------------------
+
+def _catalogue(spark, sf):
+    return with_genres(tb.tracks(spark, sf), tb.artists(spark, sf))
+
+
+def _found(spark, sf, **options):
+    # the catalogue is read by every search; a stored one is what a real run has
+    catalogue = written(_catalogue(spark, sf), "catalogue")
+    return P.find_recommendations(tb.requests(spark, sf), catalogue, tb.artists(spark, sf),
+                                  **options)
+
+
+@query
+def parse_query(spark, sf):
+    return P.parse(tb.requests(spark, sf)).select(
+        "request_id", "parsed.keyword",
+        F.array_join("parsed.genre_queries", "|").alias("genre_queries"),
+        "parsed.mood_terms", "parsed.prefer_recent")
+
+
+@query
+def parse_documents(spark, sf):
+    docs = tb.table(spark, sf, "documents")
+    return docs.select("doc_id", TX.parse_request(F.col("text")).alias("p")).select(
+        "doc_id", "p.keyword", "p.prefer_recent")
+
+
+@query
+def enrich_genres(spark, sf):
+    return _catalogue(spark, sf).select("id", F.array_join("genres", "|").alias("genres"))
+
+
+@query
+def catalogue_search(spark, sf):
+    parts = tb.table(spark, sf, "part").select(F.lit("text").alias("kind"),
+                                               F.col("p_name").alias("text"))
+    makers = tb.artists(spark, sf)
+    searches = parts.unionByName(makers.select(
+        F.lit("genre").alias("kind"), F.explode("genres").alias("text"))) \
+        .unionByName(makers.select(F.lit("text").alias("kind"), F.col("name").alias("text")))
+    return search_catalogue(searches, _catalogue(spark, sf), 30)
+
+
+@query
+def genre_jaccard(spark, sf):
+    """Overlap of every track's genres with those of each brand's three most popular tracks."""
+    tracks = _catalogue(spark, sf).select(
+        "id", F.get("artists", F.lit(0)).alias("brand"), "popularity", "genres")
+    seeds = K.top_per(tracks, "brand", [F.col("popularity").desc(), F.col("id")], 3) \
+        .groupBy("brand").agg(F.array_distinct(F.flatten(F.collect_list("genres")))
+                              .alias("seed_genres"))
+    return tracks.join(seeds, "brand").select(
+        "id", "brand", F.round(array_jaccard(F.col("seed_genres"), F.col("genres")), 6)
+        .alias("jaccard"))
+
+
+@query
+def seed_searches(spark, sf):
+    listed = P.parse(tb.requests(spark, sf)).withColumn("searches", TX.seed_searches())
+    return listed.select("request_id", F.posexplode("searches").alias("priority", "q")) \
+        .select("request_id", "priority", "q.kind", "q.text")
+
+
+@query
+def seed_tracks(spark, sf):
+    return P.per_request(_found(spark, sf), "seeds").select(
+        "request_id", F.col("rank").cast("int").alias("rank"), "id", "name",
+        F.array_join("genres", "|").alias("genres"))
+
+
+@query
+def failed_requests(spark, sf):
+    return P.per_request(_found(spark, sf), "failed").select("request_id", "error")
+
+
+@query
+def candidate_queries(spark, sf):
+    found = _found(spark, sf)
+    listed = found["context"].select(
+        "need", F.posexplode(TX.candidate_searches()).alias("priority", "q"))
+    return found["requests"].select("request_id", "need").join(listed, "need").select(
+        "request_id", "priority", "q.kind", "q.text")
+
+
+def _picks(spark, sf, model_key, **options):
+    found = _found(spark, sf, model_key=model_key, **options)
+    return P.per_request(found, "picks").select(
+        "request_id", F.col("rank").cast("int").alias("rank"), "id", "name",
+        "similarity_score")
+
+
+@query
+def multi_signal(spark, sf):
+    return _picks(spark, sf, "multi-signal")
+
+
+@query
+def genre_jaccard_rank(spark, sf):
+    return _picks(spark, sf, "genre-jaccard")
+
+
+@query
+def report_totals(spark, sf):
+    found = _found(spark, sf)
+    totals = RP.report_totals(found["context"], found["picks"])
+    return found["requests"].select("request_id", "need").join(totals, "need").drop("need")
+
+
+@query
+def report_cards(spark, sf):
+    found = _found(spark, sf)
+    cards = RP.report_cards(found["picks"])
+    return found["requests"].select("request_id", "need").join(cards, "need").drop("need")
+
+
+@query
+def report_seed_cards(spark, sf):
+    found = _found(spark, sf)
+    cards = RP.report_cards(found["seeds"], seeds=True).drop("percent", "colour")
+    return found["requests"].select("request_id", "need").join(cards, "need").drop("need")
+
+
+@query
+def report_genres(spark, sf):
+    found = _found(spark, sf)
+    chart = RP.report_genres(found["picks"])
+    return found["requests"].select("request_id", "need").join(chart, "need").drop("need")
+
+
+@query
+def report_signals(spark, sf):
+    found = _found(spark, sf)
+    signals = RP.report_signals(found["context"])
+    named = found["requests"].select("request_id", "need", RP.report_name(
+        F.col("text"), F.col("parsed.keyword"), P.DEFAULT_MODEL).alias("report_name"))
+    return named.join(signals, "need").drop("need")

@@ -100,3 +100,107 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return c.join(p, c.c_custkey == p.p_partkey, "left").select(
         F.col("c_custkey").alias("request_id"), text.alias("text"))
+
+
+def raw_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as freshly delivered tracks: blanks, gaps and numbers as text."""
+    key = F.col("p_partkey")
+    text = key.cast("string")
+    artists = (
+        F.when(key % 31 == 0, F.array().cast("array<string>"))
+        .when(key % 5 == 0, F.array(F.concat(F.lit("  "), "p_brand", F.lit("\t")), F.lit("")))
+        .otherwise(F.array("p_brand")))
+    return table(spark, sf_dir, "part").select(
+        key.alias("part"),
+        F.when(key % 23 == 0, F.concat(F.lit("trk"), text)).otherwise(
+            F.concat(F.lit("track_"), F.lpad(text, 8, "0"))).alias("id"),
+        F.when(key % 19 == 0, "").when(key % 29 == 0, "   ").otherwise(
+            F.concat(F.lit("  "), "p_name", F.lit("\t"))).alias("name"),
+        artists.alias("artists"),
+        F.when(key % 37 != 0, F.concat(F.lit(" "), "p_type")).alias("album"),
+        F.concat((F.lit(2019) + key % 8).cast("string"), F.lit("-01-01")).alias("release_date"),
+        F.when(key % 4 == 0, F.concat((F.col("p_size") * 2).cast("string"), F.lit(".5")))
+        .when(key % 4 == 1, "n/a").when(key % 4 == 2, F.lit(None))
+        .otherwise(F.col("p_size").cast("string")).alias("popularity"),
+        F.concat((key * 1000).cast("string"), F.lit(".0")).alias("duration_ms"),
+        (key % 11 == 0).alias("explicit"),
+    )
+
+
+def raw_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row of feature texts per part; some unreadable, some out of range."""
+    key = F.col("p_partkey")
+
+    def share(factor: int, modulus: int = 101):
+        hundredths = key * factor % modulus
+        return F.concat(F.floor(hundredths / 100).cast("string"), F.lit("."),
+                        F.lpad((hundredths % 100).cast("string"), 2, "0"))
+
+    return table(spark, sf_dir, "part").select(
+        F.concat(F.lit("track_"), F.lpad(key.cast("string"), 8, "0")).alias("id"),
+        F.when(key % 11 == 0, "invalid").otherwise(share(37)).alias("danceability"),
+        share(53, 104).alias("energy"),
+        F.when(key % 13 != 0, share(71)).alias("valence"),
+        F.when(key % 17 == 0, "fast").otherwise((F.lit(60) + key % 245).cast("string"))
+        .alias("tempo"),
+        share(13).alias("instrumentalness"),
+        share(19).alias("acousticness"),
+        share(23).alias("liveness"),
+        share(41).alias("speechiness"),
+        (key % 12).cast("string").alias("key"),
+        (key % 2).cast("string").alias("mode"),
+        F.when(key % 7 == 0, "?").otherwise((F.lit(3) + key % 5).cast("string"))
+        .alias("time_signature"),
+        F.lit("audio_features").alias("type"),
+    )
+
+
+def _nested(popularity: Column, title: Column) -> Column:
+    key = F.col("p_partkey").cast("string")
+    return F.struct(
+        F.concat(F.lit("track_"), F.lpad(key, 8, "0")).alias("id"),
+        title.alias("name"),
+        F.array(F.struct(F.concat(F.lit("id-"), "p_brand").alias("id"),
+                         F.col("p_brand").alias("name"))).alias("artists"),
+        F.struct(F.col("p_type").alias("name"), F.lit("2023-01-01").alias("release_date"))
+        .alias("album"),
+        popularity.alias("popularity"),
+        (F.col("p_partkey") * 1000).alias("duration_ms"),
+        F.lit(False).alias("explicit"),
+        F.struct(F.concat(F.lit("https://tracks.example.org/"), key).alias("page"))
+        .alias("external_urls"),
+    )
+
+
+def write_landing(spark: SparkSession, sf_dir: str, root: str) -> dict[str, str]:
+    """Parts as delivered JSON answers, 50 tracks each: searches, playlists and artist pages.
+
+    Playlists hold the older half of the parts with one more point of popularity and a null
+    entry in each answer; artist pages hold those of size over 40 under another title.
+    """
+    part = table(spark, sf_dir, "part")
+    page = F.floor(F.col("p_partkey") / 50).alias("page")
+
+    def answers(df, track):
+        # an answer holds at most 50 tracks, so the lists are bounded
+        return df.groupBy(page).agg(F.transform(
+            F.array_sort(F.collect_list(F.struct("p_partkey", track.alias("t")))),
+            lambda s: s["t"]).alias("ts"))
+
+    size, name = F.col("p_size"), F.col("p_name")
+    out = {k: f"{root}/{k}" for k in ("search", "playlist", "artist", "features")}
+    answers(part, _nested(size, name)).select(
+        F.to_json(F.struct(F.struct(F.col("ts").alias("items")).alias("tracks"))).alias("value")
+    ).write.text(out["search"])
+    half = part.filter(size <= 25)
+    lists = answers(half, _nested(size + 1, name)).select(
+        F.concat(F.lit('{"items":[{"track":null},'),
+                 F.array_join(F.transform("ts", lambda t: F.concat(
+                     F.lit('{"track":'), F.to_json(t), F.lit("}"))), ","),
+                 F.lit("]}")).alias("value"))
+    lists.write.text(out["playlist"])
+    answers(part.filter(size > 40), _nested(size, F.concat(F.lit("Best of "), name))).select(
+        F.to_json(F.struct(F.col("ts").alias("tracks"))).alias("value")).write.text(out["artist"])
+    raw_features(spark, sf_dir).select(F.to_json(F.struct("*")).alias("value")) \
+        .write.text(out["features"])
+    return out
