@@ -335,6 +335,9 @@ FROM part WHERE p_size > 40"""
 _OK = " AND ".join(f"{f} BETWEEN {lo} AND {hi}" for f, (lo, hi) in RANGES.items())
 ORACLE["read_features"] = _with(RAW_FEATURES, CLEAN_FEATURES) + f"""
 SELECT id, danceability, energy, valence, tempo, time_signature, {_OK} AS ok FROM features"""
+ORACLE["track_analysis"] = """
+SELECT CAST(event_id AS VARCHAR) AS id, CASE WHEN event_type <> 'error'
+       THEN CAST(json_extract(props, '$.k') AS INT) END AS k FROM events"""
 ORACLE["collect_tracks"] = _with(RAW_FEATURES, CLEAN_FEATURES) + f"""
 SELECT p.id, p.name, p.popularity, 0 AS first_source, f.danceability, f.tempo
 FROM (SELECT 'track_' || lpad(CAST(p_partkey AS VARCHAR), 8, '0') AS id,
@@ -659,3 +662,82 @@ SELECT request_id, array_to_string(x.genre_queries[1:3], ' · ') AS genres, x.mo
             ELSE '-' END AS seed_genres,
        'MultiSignal_' || substr({_slug.replace("text", _name, 1)}, 1, 40) AS report_name
 FROM asks a JOIN context x ON x.need = a.need"""
+
+# --- vectors -----------------------------------------------------------------------------------
+
+_TOPK = """
+SELECT query_id, id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT query_id, id, score, row_number() OVER (
+    PARTITION BY query_id ORDER BY score {order}, id) AS rank
+  FROM (SELECT q.vec_id AS query_id, x.vec_id AS id, {score} AS score
+        FROM v q CROSS JOIN v x WHERE {where}) p) r
+WHERE rank <= 10"""
+_V = """v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e,
+       sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda a: a * a))) + 1e-10 AS n
+FROM embeddings)"""
+_COSINE = _with(_V) + _TOPK.format(
+    order="DESC", score="list_dot_product(q.e, x.e) / (q.n * x.n)", where="true")
+ORACLE["vector_topk_cosine"] = _COSINE
+ORACLE["index_search"] = _COSINE
+ORACLE["ivf_search_all_cells"] = _COSINE
+ORACLE["vector_topk_l2_filtered"] = _with(_V) + _TOPK.format(
+    order="", where="x.label IN (1, 3, 5, 7)",
+    score="list_sum(list_transform(range(1, len(q.e) + 1), "
+          "lambda i: (q.e[i] - x.e[i]) * (q.e[i] - x.e[i])))")
+
+_ENTRIES = "[" + ", ".join(
+    f"{{'name': {_text(k)}, 'vec': [{', '.join(f'CAST({x} AS DOUBLE)' for x in v)}]}}"
+    for k, v in GENRE_PROXY.items()) + "]"
+_LIFT = "(0.85 + 0.30 * (c.popularity / CAST(100 AS DOUBLE)))"
+_BASE = [f"coalesce(m.p{i}, {d})" for i, d in enumerate(DEFAULT_PROXY)]
+_BASE[0] = f"least(1.0, {_BASE[0]} * {_LIFT})"
+_BASE[1] = f"least(1.0, {_BASE[1]} * {_LIFT})"
+ORACLE["proxy_features"] = _with(TRACKS, ARTISTS, CATALOGUE, f"""resolved AS (
+SELECT g, coalesce(list_filter(entries, lambda e: e.name = g)[1],
+                   list_filter(entries, lambda e: contains(g, e.name) OR contains(e.name, g))[1])
+            .vec AS vec
+FROM (SELECT DISTINCT lower(unnest(genres)) AS g, {_ENTRIES} AS entries FROM catalogue) d)""",
+    "means AS (SELECT id, " + ", ".join(f"avg(vec[{i + 1}]) AS p{i}" for i in range(8)) + """
+FROM (SELECT id, lower(unnest(genres)) AS g FROM catalogue) c JOIN resolved r ON r.g = c.g
+WHERE vec IS NOT NULL GROUP BY id)""") + "SELECT c.id, " + ", ".join(
+    f"round({b}, 9) AS {f}" for b, f in zip(_BASE, FEATURES)) + """
+FROM catalogue c LEFT JOIN means m ON m.id = c.id"""
+ORACLE["mean_vector"] = """
+SELECT label, CAST(i - 1 AS INTEGER) AS at, round(avg(CAST(embedding[i] AS DOUBLE)), 6) AS x
+FROM (SELECT label, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) e
+GROUP BY label, i"""
+
+# --- trained rankers: the training table -------------------------------------------------------
+
+ORACLE["training_pairs"] = _with(RATINGS, TRACKS, PROFILES) + f"""
+SELECT r.user_id, r.track_id, CASE WHEN rating >= 3 THEN CAST(1 AS DOUBLE) ELSE 0 END AS label,
+       least(rating / 5, CAST(1 AS DOUBLE)) AS target,
+       round({' + '.join(f'coalesce(p.{f}, 0)' for f in FEATURES)}, 6) AS user_vec,
+       round({' + '.join(f'coalesce(t.{f}, 0)' for f in FEATURES)}, 6) AS item_vec
+FROM ratings r JOIN tracks t ON t.id = r.track_id JOIN profiles p ON p.user_id = r.user_id"""
+
+# --- metrics and streams -----------------------------------------------------------------------
+
+ORACLE["usage_metrics"] = """
+SELECT event_type, count(*) AS calls, round(avg(value), 6) AS mean_duration,
+       round(avg(CASE WHEN value < 50 THEN 1.0 ELSE 0 END), 6) AS success_rate,
+       round(avg(CASE WHEN CAST(json_extract(props, '$.k') AS INT) % 2 = 0 THEN 1.0 ELSE 0 END), 6)
+         AS cache_hit_rate
+FROM events GROUP BY event_type"""
+ORACLE["click_through"] = """
+SELECT user_id, views, clicks, round(CAST(clicks AS DOUBLE) / nullif(views, 0), 6) AS ctr
+FROM (SELECT user_id, count(*) FILTER (WHERE event_type = 'view') AS views,
+             count(*) FILTER (WHERE event_type = 'click') AS clicks
+      FROM events GROUP BY user_id) e"""
+ORACLE["popular_searches"] = """
+SELECT p_name, count(*) AS n FROM part GROUP BY p_name ORDER BY n DESC, p_name LIMIT 10"""
+ORACLE["rating_stream"] = ORACLE["rating_upsert"]
+ORACLE["ingest_stream"] = _with(TRACKS) + """
+SELECT CAST(id AS VARCHAR) AS id, name, popularity FROM tracks
+WHERE id IN (SELECT l_partkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey)"""
+ORACLE["usage_stream"] = """
+SELECT window_start, event_type, count(*) AS calls, round(avg(value), 6) AS mean_value
+FROM (SELECT date_trunc('hour', ts) AS window_start, event_type, value,
+             (SELECT max(ts) FROM events) AS last FROM events) e
+WHERE window_start + INTERVAL 1 HOUR <= date_trunc('milliseconds', last) - INTERVAL 1 HOUR
+GROUP BY window_start, event_type"""

@@ -12,18 +12,27 @@ from tonearm.functions import text as TX
 from tonearm.functions.predicates import where
 from tonearm.functions.scoring import array_jaccard
 from tonearm.operators import encoder as E
+from tonearm.operators import proxy as PX
 from tonearm.operators import ranking as K
+from tonearm.operators import training
 from tonearm.operators.catalogue import search_catalogue, with_genres
+from tonearm.operators.index import build_index, encode_vectors, open_index, search_index
+from tonearm.operators.nearest import nearest
 from tonearm.operators.neighbours import top_neighbours
+from tonearm.plans import metrics as M
 from tonearm.plans import recommend as R
 from tonearm.plans import report as RP
 from tonearm.plans import requests as P
+from tonearm.plans import two_stage as TS
 from tonearm.plans.profiles import user_profiles
+from tonearm.plans.search import search_text
 from tonearm.schemas import FEATURES, RAW_ARTIST_TOP
 from tonearm.session import shared_folder, written
 from tonearm.sources import landing, store
 from tonearm.sources import testbed as tb
+from tonearm.sources.models import save_weights
 from tonearm.sources.preferences import load_preferences, save_preferences
+from tonearm.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -237,6 +246,17 @@ def read_features(spark, sf):
         .unionByName(bad.select(*cols, F.lit(False).alias("ok")))
 
 
+@query
+def track_analysis(spark, sf):
+    """The opaque JSON of each event, kept as VARIANT; errors have none."""
+    path = shared_folder(spark, "analysis")
+    events = tb.table(spark, sf, "events").withColumn("id", F.col("event_id").cast("string"))
+    events.filter(F.col("event_type") != "error").select(F.to_json(F.struct(
+        "id", F.from_json("props", "k int").alias("analysis"))).alias("value")).write.text(path)
+    found = landing.track_analysis(spark, events, path)
+    return found.select("id", F.try_variant_get("analysis", "$.k", "int").alias("k"))
+
+
 @query
 def collect_tracks(spark, sf):
     at = _landing(spark, sf)
@@ -483,3 +503,198 @@ def report_signals(spark, sf):
     named = found["requests"].select("request_id", "need", RP.report_name(
         F.col("text"), F.col("parsed.keyword"), P.DEFAULT_MODEL).alias("report_name"))
     return named.join(signals, "need").drop("need")
+
+
+# --- vectors -----------------------------------------------------------------------------------
+
+def _vectors(spark, sf):
+    return tb.table(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
+
+
+def _ranked(df):
+    return df.withColumn("score", F.round("score", 6))
+
+
+@query
+def vector_topk_cosine(spark, sf):
+    v = _vectors(spark, sf)
+    return _ranked(nearest(v.withColumnRenamed("id", "query_id"), v, 10, "cosine"))
+
+
+@query
+def vector_topk_l2_filtered(spark, sf):
+    v = _vectors(spark, sf)
+    kept = v.filter(where({"label": {"$in": [1, 3, 5, 7]}}))
+    return _ranked(nearest(v.withColumnRenamed("id", "query_id"), kept, 10, "l2"))
+
+
+def _index(spark, sf, **options):
+    path = shared_folder(spark, "index")
+    build_index(_vectors(spark, sf), path, vec="vec", **options)
+    return path
+
+
+@query
+def index_search(spark, sf):
+    q = _vectors(spark, sf).withColumnRenamed("id", "query_id")
+    return _ranked(search_index(q, spark, _index(spark, sf), 10))
+
+
+@query
+def ivf_search_all_cells(spark, sf):
+    """With every cell probed the cell index must agree with the exact search."""
+    q = _vectors(spark, sf).withColumnRenamed("id", "query_id")
+    return _ranked(search_index(q, spark, _index(spark, sf, ivf=True, cells=16), 10, nprobe=16))
+
+
+@query
+def ivf_search(spark, sf):
+    q = _vectors(spark, sf).withColumnRenamed("id", "query_id")
+    return _ranked(search_index(q, spark, _index(spark, sf, ivf=True, cells=16), 10, nprobe=4))
+
+
+@query
+def text_search(spark, sf):
+    docs = tb.tracks(spark, sf)
+    docs = docs.withColumn("document", TX.text_document(docs.columns))
+    encode = E.hashing_encoder(idf=E.fit_idf(docs))
+    queries = tb.table(spark, sf, "part").select("p_name").distinct().select(
+        F.col("p_name").alias("query_id"), F.col("p_name").alias("query"))
+    found, _ = search_text(queries, encode(docs), encode, 10, {"popularity": {"$gte": 20}})
+    return found.select("query_id", "rank", "id", "name",
+                        F.round("similarity_score", 6).alias("similarity_score"))
+
+
+@query
+def proxy_features(spark, sf):
+    found = PX.proxy_features(_catalogue(spark, sf))
+    return found.select("id", *[F.round(F.col("vec")[i], 9).alias(f) for i, f in
+                                enumerate(FEATURES)])
+
+
+@query
+def mean_vector(spark, sf):
+    means = PX.mean_vector(_vectors(spark, sf), "label")
+    return means.select("label", F.posexplode("vec").alias("at", "x")) \
+        .withColumn("x", F.round("x", 6))
+
+
+# --- trained rankers ---------------------------------------------------------------------------
+
+_STEPS = 5
+
+
+def _pairs(spark, sf):
+    return written(training.training_pairs(tb.ratings(spark, sf), tb.tracks(spark, sf)), "pairs")
+
+
+@query
+def training_pairs(spark, sf):
+    pairs = training.training_pairs(tb.ratings(spark, sf), tb.tracks(spark, sf))
+    return pairs.select("user_id", "track_id", "label", "target", *[
+        F.round(F.aggregate(v, F.lit(0.0), lambda a, x: a + x), 6).alias(v)
+        for v in ("user_vec", "item_vec")])
+
+
+@query
+def two_tower_training(spark, sf):
+    done = training.train_two_tower(_pairs(spark, sf), steps=_STEPS)
+    path = shared_folder(spark, "towers")
+    save_weights(spark, done.weights, path)
+    return spark.createDataFrame(list(enumerate(done.losses)), "step int, loss double")
+
+
+@query
+def two_tower_candidates(spark, sf):
+    ratings, tracks = tb.ratings(spark, sf), tb.tracks(spark, sf)
+    done = training.train_two_tower(_pairs(spark, sf), steps=_STEPS)
+    return TS.two_tower_candidates(ratings, tracks, done.weights, 100)
+
+
+@query
+def wide_deep_rank(spark, sf):
+    ratings, tracks = tb.ratings(spark, sf), tb.tracks(spark, sf)
+    done = training.train_wide_deep(_pairs(spark, sf), steps=_STEPS)
+    return TS.score_wide_deep(ratings.select("user_id", F.col("track_id").alias("id")),
+                              ratings, tracks, done.weights)
+
+
+@query
+def two_stage(spark, sf):
+    ratings, tracks = tb.ratings(spark, sf), tb.tracks(spark, sf)
+    pairs = _pairs(spark, sf)
+    towers = training.train_two_tower(pairs, steps=_STEPS).weights
+    ranker = training.train_wide_deep(pairs, steps=_STEPS).weights
+    users = tb.table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"))
+    return _shown(R.recommend(users, ratings, tracks, 10, "two_stage", towers=towers,
+                              ranker=ranker), "score")
+
+
+@query
+def two_tower_rank(spark, sf):
+    tracks = tb.tracks(spark, sf)
+    towers = training.train_two_tower(_pairs(spark, sf), steps=_STEPS).weights
+    path = shared_folder(spark, "tower-index")
+    build_index(encode_vectors(TS.item_vectors(tracks), towers, "item", "id"), path)
+    index = open_index(spark, path).withColumnRenamed("item_id", "id")
+    return _picks(spark, sf, "two-tower", two_tower=(towers, index))
+
+
+# --- metrics and streams -----------------------------------------------------------------------
+
+@query
+def usage_metrics(spark, sf):
+    events = tb.table(spark, sf, "events")
+    key = F.get_json_object("props", "$.k").cast("int")
+    return _shown(M.usage_metrics(events, "event_type",
+                                  "value", F.col("value") < 50, key % 2 == 0),
+                  "mean_duration", "success_rate", "cache_hit_rate")
+
+
+@query
+def click_through(spark, sf):
+    return _shown(M.click_through(tb.table(spark, sf, "events"), ["user_id"]), "ctr")
+
+
+@query
+def popular_searches(spark, sf):
+    return M.popular_searches(tb.table(spark, sf, "part"), "p_name", 10)
+
+
+@query
+def rating_stream(spark, sf):
+    """The rating log in two batches' worth of files, merged on reading."""
+    at = shared_folder(spark, "rating-stream")
+    events = tb.rating_events(spark, sf)
+    events.repartition(4).write.parquet(f"{at}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2) \
+        .parquet(f"{at}/in")
+    jobs.rating_stream(stream, f"{at}/log", f"{at}/checkpoint").awaitTermination()
+    return jobs.current_ratings(spark, f"{at}/log").select("user_id", "track_id", "rating")
+
+
+@query
+def ingest_stream(spark, sf):
+    """Tracks arrive once per order line; each is stored once."""
+    at = shared_folder(spark, "ingest-stream")
+    seen = tb.rating_events(spark, sf).select(F.col("track_id").alias("id"), "ts")
+    arrivals = seen.join(tb.tracks(spark, sf), "id").withColumn("ts", F.col("ts").cast("timestamp"))
+    arrivals.repartition(4).write.parquet(f"{at}/in")
+    stream = spark.readStream.schema(arrivals.schema).option("maxFilesPerTrigger", 2) \
+        .parquet(f"{at}/in")
+    jobs.ingest_stream(stream, f"{at}/items", f"{at}/checkpoint", E.hashing_encoder(),
+                       delay="3650 days").awaitTermination()
+    return jobs.open_stream_store(spark, f"{at}/items").select("id", "name", "popularity")
+
+
+@query
+def usage_stream(spark, sf):
+    at = shared_folder(spark, "usage-stream")
+    events = tb.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    events.write.parquet(f"{at}/in")
+    stream = spark.readStream.schema(events.schema).parquet(f"{at}/in")
+    jobs.usage_stream(stream, f"{at}/out", f"{at}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{at}/out").select(
+        F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "calls",
+        F.round("mean_value", 6).alias("mean_value"))
