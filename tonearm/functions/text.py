@@ -6,7 +6,9 @@ using \\w and \\s, which mean ASCII to the regex engine.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonearm.functions.dictionaries import (
@@ -15,6 +17,9 @@ from tonearm.functions.dictionaries import (
 
 WORD = r"\p{L}\p{N}_"
 BLANK = r"\t-\r\x1c- \x85\p{Z}"
+# the same blanks one by one, for trimming without a pattern
+BLANKS = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" \
+    + "".join(map(chr, range(0x2000, 0x200b))) + "\u2028\u2029\u202f\u205f\u3000"
 
 # fixed values: character sequences taken out of search text, in this order
 UNSAFE = [";", "--", "/*", "*/", "xp_", "sp_"]
@@ -27,12 +32,13 @@ DOCUMENT_FEATURES = ["danceability", "energy", "valence", "tempo", "instrumental
 
 
 def strip(c: Column) -> Column:
-    """Remove blanks of any kind at both ends; ``trim`` would take spaces only."""
-    return F.regexp_replace(c, f"^[{BLANK}]+|[{BLANK}]+$", "")
+    """Remove blanks of any kind at both ends; ``trim`` alone would take spaces only."""
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def squeeze(c: Column) -> Column:
-    return strip(F.regexp_replace(c, f"[{BLANK}]+", " "))
+    # single spaces, most blanks by far, are not matched and so not replaced
+    return strip(F.regexp_replace(c, f"[{BLANK}]{{2,}}|[{BLANK}&&[^ ]]", " "))
 
 
 def clean_query(c: Column) -> Column:
@@ -77,29 +83,40 @@ def _lookup(words: dict[str, str | list[str]]) -> Column:
     return F.create_map(*pairs)
 
 
+def _words(words) -> Column:
+    return F.array(*[F.lit(w) for w in words])
+
+
 def parse_request(
-    text: Column, genre_words: dict = GENRE_WORDS, mood_words: dict = MOOD_WORDS,
-    recency_words: list = RECENCY_WORDS, stopwords: list = STOPWORDS,
-) -> Column:
-    """Struct (keyword, genre_queries, mood_terms, prefer_recent) of one line of free text."""
-    plain = squeeze(F.regexp_replace(text, f"[^{WORD}{BLANK}가-힣]", " "))
-    tokens = F.filter(F.split(plain, " "), lambda t: t != "")
+    df: DataFrame, text: str = "text", genre_words: dict = GENRE_WORDS,
+    mood_words: dict = MOOD_WORDS, recency_words: list = RECENCY_WORDS,
+    stopwords: list = STOPWORDS,
+) -> DataFrame:
+    """Adds ``parsed``: (keyword, genre_queries, mood_terms, prefer_recent) of free text.
+
+    Tokens are made once per row and met with the dictionaries as sets; only the few words
+    found are then looked up one by one.
+    """
+    plain = squeeze(F.regexp_replace(F.col(text), f"[^{WORD}{BLANK}가-힣]", " "))
+    hangul = re.compile("[가-힣]")
+    dropped = [w for w in dict.fromkeys([*stopwords, *genre_words, *mood_words, *recency_words])
+               if hangul.search(w)]
     genres, moods = _lookup(genre_words), _lookup(mood_words)
-    recency = F.array(*[F.lit(w) for w in recency_words])
-    dropped = F.array(*[F.lit(w) for w in
-                        dict.fromkeys([*stopwords, *genre_words, *mood_words, *recency_words])])
-    no_genres = F.array().cast("array<string>")
-    found_genres = F.array_distinct(F.flatten(
-        F.transform(tokens, lambda t: F.coalesce(genres[t], no_genres))))
-    found_moods = F.array_distinct(F.array_compact(F.transform(tokens, lambda t: moods[t])))
-    keyword = F.filter(tokens, lambda t: (F.length(t) >= 2)
-                       & ~(t.rlike("[가-힣]") & F.array_contains(dropped, t)))
-    return F.struct(
-        F.array_join(keyword, " ").alias("keyword"),
-        found_genres.alias("genre_queries"),
-        F.array_join(found_moods, " ").alias("mood_terms"),
-        F.exists(tokens, lambda t: F.array_contains(recency, t)).alias("prefer_recent"),
-    )
+    tokens = F.col("_tokens")
+    # array_intersect keeps first appearances in order, and results are distinct anyway
+    found = df.withColumn("_tokens", F.split(plain, " ")).withColumns({
+        "_genres": F.array_intersect(tokens, _words(genre_words)),
+        "_moods": F.array_intersect(tokens, _words(mood_words))})
+    parsed = F.struct(
+        # a long list of literals becomes one hash lookup per token
+        F.array_join(F.filter(tokens, lambda t: (F.length(t) >= 2) & ~t.isin(dropped)), " ")
+        .alias("keyword"),
+        F.array_distinct(F.flatten(F.transform("_genres", lambda t: genres[t])))
+        .alias("genre_queries"),
+        F.array_join(F.array_distinct(F.transform("_moods", lambda t: moods[t])), " ")
+        .alias("mood_terms"),
+        F.arrays_overlap(tokens, _words(recency_words)).alias("prefer_recent"))
+    return found.withColumn("parsed", parsed).drop("_tokens", "_genres", "_moods")
 
 
 def _query(kind: str, text: Column) -> Column:

@@ -57,19 +57,20 @@ def _pair_cost(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     return cost
 
 
-def _block_cost(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
+def _factors(m: np.ndarray, metric: str, side: str) -> np.ndarray:
+    """Rows whose product with the other side's rows is the cost, so that one matrix product
+    gives the costs of a whole block."""
     if metric in ("cosine", "ip"):
-        return -(q @ x.T)
+        return -m if side == "query" else m
+    here = ~np.isnan(m)
+    v = np.where(here, m, 0.0)
     if metric == "l2":
-        return (q * q).sum(1)[:, None] - 2.0 * (q @ x.T) + (x * x).sum(1)[None, :]
-    cost = np.zeros((len(q), len(x)))
-    for j in range(q.shape[1]):
-        d = q[:, j][:, None] - x[:, j][None, :]
-        d *= d
-        if np.isnan(q[:, j]).any() or np.isnan(x[:, j]).any():
-            np.nan_to_num(d, copy=False, nan=0.0)
-        cost += d
-    return cost
+        here = np.ones((len(m), 1))
+        square = (v * v).sum(1, keepdims=True)
+    else:
+        square = v * v
+    here = here.astype(np.float64)
+    return np.hstack([square, here, -2.0 * v] if side == "query" else [here, square, v])
 
 
 def best_in_block(q: np.ndarray, x: np.ndarray, k: int, metric: str):
@@ -80,18 +81,22 @@ def best_in_block(q: np.ndarray, x: np.ndarray, k: int, metric: str):
     n_q, n_x = len(q), len(x)
     if not n_q or not n_x or k <= 0:
         return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+    # similarities of long vectors need few digits to find the k-th place; distances cancel
+    digits, slack = (np.float32, 1e-5) if metric in ("cosine", "ip") else (np.float64, 1e-11)
+    fq = _factors(q, metric, "query").astype(digits)
+    fx = _factors(x, metric, "item").astype(digits)
+    reach = slack * (1.0 + np.sqrt((fq * fq).sum(1) * (fx * fx).sum(1).max()))
     step = max(1, _CHUNK_CELLS // n_x)
     out = []
     for at in range(0, n_q, step):
         part = q[at:at + step]
-        cost = _block_cost(part, x, metric)
         if n_x > k:
-            # keep everything that matrix rounding could have pushed past the k-th place
+            cost = fq[at:at + step] @ fx.T
             kth = np.partition(cost, k - 1, axis=1)[:, k - 1]
-            slack = 1e-9 * (1.0 + np.abs(kth))
-            rows, cols = np.nonzero(cost <= (kth + slack)[:, None])
+            # keep everything that rounding could have pushed past the k-th place
+            rows, cols = np.nonzero(cost <= (kth + reach[at:at + step])[:, None])
         else:
-            rows, cols = (a.ravel() for a in np.indices(cost.shape))
+            rows, cols = (a.ravel() for a in np.indices((len(part), n_x)))
         exact = _pair_cost(part[rows], x[cols], metric)
         order = np.lexsort((cols, exact, rows))
         rows, cols, exact = rows[order], cols[order], exact[order]

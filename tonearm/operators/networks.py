@@ -48,9 +48,9 @@ def mlp(w: Weights, name: str, x: np.ndarray, drop: float = 0.0, rng=None):
         if i == depth - 1:
             kept.append((x, None))
             return z, kept
-        gate = (z > 0).astype(float)
+        gate = (z > 0).astype(z.dtype)
         if rng is not None and drop:
-            gate *= (rng.random(z.shape) >= drop) / (1 - drop)
+            gate *= (rng.random(z.shape, dtype=np.float32) >= drop) * z.dtype.type(1 / (1 - drop))
         kept.append((x, gate))
         x = z * gate
 

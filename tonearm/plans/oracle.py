@@ -587,7 +587,8 @@ ORACLE["parse_query"] = _with(REQUESTS, PARSED) + """
 SELECT request_id, keyword, array_to_string(genre_queries, '|') AS genre_queries, mood_terms,
        prefer_recent FROM parsed"""
 ORACLE["parse_documents"] = f"""
-SELECT doc_id, keyword, prefer_recent FROM ({_parsed('documents', 'doc_id')}) p"""
+SELECT doc_id, keyword, array_to_string(genre_queries, '|') AS genre_queries, prefer_recent
+FROM ({_parsed('documents', 'doc_id')}) p"""
 ORACLE["enrich_genres"] = _with(TRACKS, ARTISTS, CATALOGUE) + """
 SELECT id, array_to_string(genres, '|') AS genres FROM catalogue"""
 ORACLE["catalogue_search"] = _with(TRACKS, ARTISTS, CATALOGUE, """asked AS (

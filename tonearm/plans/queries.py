@@ -43,6 +43,11 @@ def query(f: Query) -> Query:
     return f
 
 
+def _ratings(spark: SparkSession, sf: str) -> DataFrame:
+    """The ratings table, stored once for queries that read it several times."""
+    return written(tb.ratings(spark, sf), "ratings")
+
+
 def _shown(df: DataFrame, *scores: str, digits: int = 6) -> DataFrame:
     """First artist instead of the array, scores rounded: plain columns for comparison."""
     if "artists" in df.columns:
@@ -77,13 +82,13 @@ def audio_feature_search(spark, sf):
 
 @query
 def content_based(spark, sf):
-    return _shown(R.content_based(tb.ratings(spark, sf), tb.tracks(spark, sf), 10),
+    return _shown(R.content_based(_ratings(spark, sf), tb.tracks(spark, sf), 10),
                   "feature_score")
 
 
 @query
 def top_neighbours_query(spark, sf):
-    return _shown(top_neighbours(tb.ratings(spark, sf)), "similarity")
+    return _shown(top_neighbours(_ratings(spark, sf)), "similarity")
 
 
 QUERIES["top_neighbours"] = QUERIES.pop("top_neighbours_query")
@@ -91,18 +96,18 @@ QUERIES["top_neighbours"] = QUERIES.pop("top_neighbours_query")
 
 @query
 def collaborative(spark, sf):
-    return _shown(R.collaborative(tb.ratings(spark, sf), tb.tracks(spark, sf), 10),
+    return _shown(R.collaborative(_ratings(spark, sf), tb.tracks(spark, sf), 10),
                   "recommendation_score")
 
 
 @query
 def hybrid(spark, sf):
-    return _shown(R.hybrid(tb.ratings(spark, sf), tb.tracks(spark, sf), 10), "score")
+    return _shown(R.hybrid(_ratings(spark, sf), tb.tracks(spark, sf), 10), "score")
 
 
 @query
 def explain(spark, sf):
-    ratings, tracks = tb.ratings(spark, sf), tb.tracks(spark, sf)
+    ratings, tracks = _ratings(spark, sf), tb.tracks(spark, sf)
     picks = written(R.collaborative(ratings, tracks, 10).select("user_id", "id"), "picks")
     return R.explain(picks, ratings, tracks)
 
@@ -390,8 +395,9 @@ def parse_query(spark, sf):
 @query
 def parse_documents(spark, sf):
     docs = tb.table(spark, sf, "documents")
-    return docs.select("doc_id", TX.parse_request(F.col("text")).alias("p")).select(
-        "doc_id", "p.keyword", "p.prefer_recent")
+    return TX.parse_request(docs.select("doc_id", "text")).select(
+        "doc_id", "parsed.keyword", F.array_join("parsed.genre_queries", "|")
+        .alias("genre_queries"), "parsed.prefer_recent")
 
 
 @query
@@ -585,13 +591,14 @@ def mean_vector(spark, sf):
 _STEPS = 5
 
 
-def _pairs(spark, sf):
-    return written(training.training_pairs(tb.ratings(spark, sf), tb.tracks(spark, sf)), "pairs")
+def _pairs(spark, sf, ratings=None):
+    ratings = ratings or _ratings(spark, sf)
+    return written(training.training_pairs(ratings, tb.tracks(spark, sf)), "pairs")
 
 
 @query
 def training_pairs(spark, sf):
-    pairs = training.training_pairs(tb.ratings(spark, sf), tb.tracks(spark, sf))
+    pairs = training.training_pairs(_ratings(spark, sf), tb.tracks(spark, sf))
     return pairs.select("user_id", "track_id", "label", "target", *[
         F.round(F.aggregate(v, F.lit(0.0), lambda a, x: a + x), 6).alias(v)
         for v in ("user_vec", "item_vec")])
@@ -607,28 +614,27 @@ def two_tower_training(spark, sf):
 
 @query
 def two_tower_candidates(spark, sf):
-    ratings, tracks = tb.ratings(spark, sf), tb.tracks(spark, sf)
-    done = training.train_two_tower(_pairs(spark, sf), steps=_STEPS)
+    ratings, tracks = _ratings(spark, sf), tb.tracks(spark, sf)
+    done = training.train_two_tower(_pairs(spark, sf, ratings), steps=_STEPS)
     return TS.two_tower_candidates(ratings, tracks, done.weights, 100)
 
 
 @query
 def wide_deep_rank(spark, sf):
-    ratings, tracks = tb.ratings(spark, sf), tb.tracks(spark, sf)
-    done = training.train_wide_deep(_pairs(spark, sf), steps=_STEPS)
+    ratings, tracks = _ratings(spark, sf), tb.tracks(spark, sf)
+    done = training.train_wide_deep(_pairs(spark, sf, ratings), steps=_STEPS)
     return TS.score_wide_deep(ratings.select("user_id", F.col("track_id").alias("id")),
                               ratings, tracks, done.weights)
 
 
 @query
 def two_stage(spark, sf):
-    ratings, tracks = tb.ratings(spark, sf), tb.tracks(spark, sf)
-    pairs = _pairs(spark, sf)
+    ratings, tracks = _ratings(spark, sf), tb.tracks(spark, sf)
+    pairs = _pairs(spark, sf, ratings)
     towers = training.train_two_tower(pairs, steps=_STEPS).weights
     ranker = training.train_wide_deep(pairs, steps=_STEPS).weights
-    users = tb.table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"))
-    return _shown(R.recommend(users, ratings, tracks, 10, "two_stage", towers=towers,
-                              ranker=ranker), "score")
+    return _shown(R.recommend(ratings, tracks, 10, "two_stage", towers=towers, ranker=ranker),
+                  "score")
 
 
 @query

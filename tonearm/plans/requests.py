@@ -27,9 +27,12 @@ TRACK_COLUMNS = ["id", "name", "artists", "artist_ids", "album", "release_date",
                  "duration_ms", "explicit", "external_urls", "preview_url", "genres"]
 
 
+RANKED = ["need", "rank", "id", "similarity_score"]
+
+
 def parse(requests: DataFrame) -> DataFrame:
     """Adds ``parsed`` and ``need``, the text form of what was parsed."""
-    parsed = requests.withColumn("parsed", parse_request(F.col("text")))
+    parsed = parse_request(requests)
     return parsed.withColumn("need", F.to_json("parsed"))
 
 
@@ -82,22 +85,33 @@ def seed_context(needs: DataFrame, seeds: DataFrame, artists: DataFrame) -> Data
 
 
 def find_candidates(context: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """(need, seq, track columns, context): first-found order, without the seeds."""
+    """(need, id, seq, what scoring needs of the track and the context), without the seeds.
+
+    ``seq`` is the place at which a track was first found. Track columns are joined to the few
+    results of each distinct search, not to every need's copy of them; rows then move once, by
+    need, and everything up to the final ranking happens there.
+    """
     asked = context.select("need", F.posexplode(candidate_searches()).alias("priority", "q")) \
         .select("need", "priority", "q.kind", "q.text")
-    found = search_catalogue(asked, catalogue, CANDIDATE_LIMIT)
+    found = search_catalogue(asked, catalogue, CANDIDATE_LIMIT) \
+        .join(catalogue.select("id", *_SCORED), "id")
     hits = asked.join(found, ["kind", "text"]).select(
-        "need", "id", F.struct("priority", "rank").alias("seq"))
-    first = dedup_first(hits, ["need", "id"])
-    if dict(first.dtypes)["id"] == "string":
-        first = first.filter(F.col("id") != "")
-    return first.join(context, "need") \
-        .filter(~F.array_contains("seed_ids", F.col("id"))) \
-        .join(catalogue.select(*TRACK_COLUMNS), "id")
+        "need", "id", (F.col("priority") * 1000 + F.col("rank")).alias("seq"), *_SCORED)
+    if dict(hits.dtypes)["id"] == "string":
+        hits = hits.filter(F.col("id") != "")
+    first = top_per(hits.repartition("need"), ["need", "id"], "seq", 1, "_rn").drop("_rn")
+    known = context.select("need", "seed_ids", "seed_genres", "seed_artists",
+                           "parsed.prefer_recent")
+    return first.join(known, "need").filter(~F.array_contains("seed_ids", F.col("id")))
+
+
+_SCORED = ["artists", "genres", "popularity", "release_date"]
 
 
-def _by_seed_artist():
-    return F.arrays_overlap(F.transform("artists", F.lower), F.col("seed_artists"))
+def by_seed_artist():
+    """Whether any of a track's artists is a seed's first artist."""
+    return F.coalesce(
+        F.arrays_overlap(F.transform("artists", F.lower), F.col("seed_artists")), F.lit(False))
 
 
 def _score_order():
@@ -105,19 +119,21 @@ def _score_order():
 
 
 def rank_multi_signal(candidates: DataFrame, n: int = 20, max_per_artist: int = 2) -> DataFrame:
-    """Genre overlap, popularity and recency, minus a penalty for the seeds' own artists."""
+    """(need, rank, id, similarity_score) by genre overlap, popularity and recency, minus a
+    penalty for the seeds' own artists; at most ``max_per_artist`` per first artist."""
     scored = candidates.withColumn("similarity_score", multi_signal_score(
         F.col("seed_genres"), F.col("genres"), F.col("popularity"), F.col("release_date"),
-        F.col("parsed.prefer_recent"), F.coalesce(_by_seed_artist(), F.lit(False))))
-    capped = artist_cap(scored, ["need"], _score_order(), max_per_artist)
-    return top_per(capped, "need", _score_order(), n)
+        F.col("prefer_recent"), by_seed_artist()))
+    narrow = scored.select("need", "id", "seq", "similarity_score", "artists")
+    capped = artist_cap(narrow, ["need"], _score_order(), max_per_artist)
+    return top_per(capped, "need", _score_order(), n).select(*RANKED)
 
 
 def rank_genre_jaccard(candidates: DataFrame, n: int = 20) -> DataFrame:
-    """Genre overlap and popularity only, no cap and no penalty."""
+    """(need, rank, id, similarity_score) by genre overlap and popularity only, without a cap."""
     scored = candidates.withColumn("similarity_score", genre_jaccard_score(
         F.col("seed_genres"), F.col("genres"), F.col("popularity")))
-    return top_per(scored, "need", _score_order(), n)
+    return top_per(scored, "need", _score_order(), n).select(*RANKED)
 
 
 def find_recommendations(
@@ -146,6 +162,7 @@ def find_recommendations(
         picks = rank_two_tower(seeds, context, candidates, catalogue, *two_tower, n=n)
     else:
         picks = rank_multi_signal(candidates, n)
+    picks = picks.join(catalogue.select(*TRACK_COLUMNS), "id")
     return {"requests": parsed, "context": context, "seeds": seeds, "picks": picks,
             "failed": failed}
 
