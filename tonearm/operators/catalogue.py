@@ -34,28 +34,24 @@ def search_catalogue(searches: DataFrame, catalogue: DataFrame, limit: int) -> D
     in its name, artists or album. Most popular first, then by id. Each distinct search is
     answered once, however many requests ask it.
     """
-    asked = searches.select("kind", "text").distinct()
-    order = [F.col("popularity").desc(), F.col("id")]
-
-    genres = asked.filter(F.col("kind") == "genre")
-    by_genre = catalogue.select("id", "popularity", F.explode(F.array_distinct("genres"))
-                                .alias("text"))
-    # the best of a genre are the same for all who ask: cut first, in each task, then join
-    found_genre = top_per(by_genre.join(genres.select("text"), "text", "left_semi"),
-                          "text", order, limit).withColumn("kind", F.lit("genre"))
-
-    texts = asked.filter(F.col("kind") == "text").withColumn("need", words(F.col("text"))) \
-        .filter(F.size("need") > 0)
     everything = F.concat_ws(" ", "name", F.array_join("artists", " "), "album")
-    items = catalogue.select("id", "popularity", words(everything).alias("have"))
-    wanted = texts.select(F.explode("need").alias("word")).distinct()
-    postings = items.withColumn("word", F.explode("have")).join(wanted, "word", "left_semi")
-    rarity = postings.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    # a search is looked up by its rarest word only; the others are checked on the spot
-    rarest = texts.withColumn("word", F.explode("need")).join(rarity, "word") \
-        .groupBy("text", "need").agg(F.min_by("word", F.struct("n", "word")).alias("word"))
-    found_text = top_per(
-        postings.join(rarest, "word").filter(F.size(F.array_except("need", "have")) == 0),
-        "text", order, limit).withColumn("kind", F.lit("text"))
-    cols = ["kind", "text", F.col("rank").cast("int").alias("rank"), "id"]
-    return found_genre.select(*cols).unionByName(found_text.select(*cols))
+    asked = searches.select("kind", "text").distinct().withColumn(
+        "need", F.when(F.col("kind") == "genre", F.array("text")).otherwise(words(F.col("text"))))
+    # genres and words are terms of two kinds; one list of terms per item and kind
+    items = catalogue.select("id", "popularity", F.explode(F.array(
+        F.struct(F.lit("genre").alias("kind"), F.array_distinct("genres").alias("have")),
+        F.struct(F.lit("text").alias("kind"), words(everything).alias("have")))).alias("t")) \
+        .select("id", "popularity", "t.kind", "t.have")
+    terms = asked.select("kind", "text", "need", F.explode("need").alias("term"))
+    wanted = terms.select("kind", "term").distinct()
+    postings = items.withColumn("term", F.explode("have")) \
+        .join(wanted, ["kind", "term"], "left_semi")
+    rarity = postings.groupBy("kind", "term").agg(F.count(F.lit(1)).alias("n"))
+    # a search is looked up by its rarest term only; the others are checked on the spot
+    rarest = terms.join(rarity, ["kind", "term"]).groupBy("kind", "text", "need").agg(
+        F.min_by("term", F.struct("n", "term")).alias("term"))
+    found = top_per(
+        postings.join(rarest, ["kind", "term"])
+        .filter((F.size("need") == 1) | (F.size(F.array_except("need", "have")) == 0)),
+        ["kind", "text"], [F.col("popularity").desc(), F.col("id")], limit)
+    return found.select("kind", "text", F.col("rank").cast("int").alias("rank"), "id")

@@ -256,10 +256,12 @@ def _ranges(x, prune_on, block_rows):
     shares = [i / n_blocks for i in range(1, n_blocks)]
     edges = sorted(set(x.agg(F.percentile_approx("at", shares).alias("e")).first()["e"] or [])) \
         if shares else []
-    # items without the feature form a range of their own
+    # items without the feature (NaN) form a range of their own
     ranges = Bucketizer(splits=[float("-inf"), *edges, float("inf")], inputCol="at",
                         outputCol="block", handleInvalid="keep")
-    x = ranges.transform(x).withColumn("block", F.col("block").cast("int"))
+    x = ranges.transform(x.fillna(float("nan"), ["at"])) \
+        .withColumn("block", F.col("block").cast("int")) \
+        .withColumn("at", F.when(~F.isnan("at"), F.col("at")))
     stats = x.groupBy("block").agg(F.min("at").alias("lo"), F.max("at").alias("hi")) \
         .orderBy("block").collect()
     inf = float("inf")
