@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tonearm.functions.vectors import l2_normalise
 from tonearm.operators.nearest import best_in_shared_blocks, nearest
 from tonearm.operators.networks import Weights, encode
+from tonearm.session import written
 from tonearm.sources.preferences import path_exists
 
 # fixed value: number of cells
@@ -87,13 +88,14 @@ def search_index(queries: DataFrame, spark: SparkSession, path: str, k: int, *,
                        query_vec=vec, item_vec="embedding") \
             .withColumnRenamed("item_id", "id")
     centres = spark.read.schema("cell int, centre array<double>").parquet(f"{path}/centres")
-    probes = nearest(queries, centres, nprobe, "l2", query_id=query_id, item_id="cell",
-                     query_vec=vec, item_vec="centre")
+    probes = written(nearest(queries, centres, nprobe, "l2", query_id=query_id, item_id="cell",
+                             query_vec=vec, item_vec="centre"), "probes")
     q = probes.join(queries, query_id).select(
         F.col(query_id).alias("qid"), F.col(vec).cast("array<double>").alias("qvec"),
         F.col("cell").alias("block"))
-    # only the probed cells are read
-    x = index.join(probes.select("cell").distinct(), "cell", "left_semi").select(
+    # only the folders of probed cells are read; there are no more than CELLS of them
+    probed = [r.cell for r in probes.select("cell").distinct().collect()]
+    x = index.filter(F.col("cell").isin(probed)).select(
         F.col("item_id").alias("iid"), F.col("embedding").alias("ivec"),
         F.col("cell").alias("block"))
     width = centres.select(F.size("centre").alias("w")).first().w

@@ -615,8 +615,10 @@ def two_tower_training(spark, sf):
 @query
 def two_tower_candidates(spark, sf):
     ratings, tracks = _ratings(spark, sf), tb.tracks(spark, sf)
-    done = training.train_two_tower(_pairs(spark, sf, ratings), steps=_STEPS)
-    return TS.two_tower_candidates(ratings, tracks, done.weights, 100)
+    towers = training.train_two_tower(_pairs(spark, sf, ratings), steps=_STEPS).weights
+    path = shared_folder(spark, "tower-index")
+    build_index(encode_vectors(TS.item_vectors(tracks), towers, "item", "id"), path)
+    return TS.two_tower_candidates(ratings, tracks, towers, 100, path)
 
 
 @query

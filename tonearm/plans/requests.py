@@ -153,15 +153,14 @@ def find_recommendations(
     seeds, failed = find_seeds(needs, catalogue, n_seeds)
     seeds = written(seeds, "seeds")
     context = written(seed_context(needs, seeds, artists), "context")
-    candidates = find_candidates(context, catalogue)
     if model_key == "genre-jaccard":
-        picks = rank_genre_jaccard(candidates, n)
+        picks = rank_genre_jaccard(find_candidates(context, catalogue), n)
     elif model_key == "two-tower" and two_tower is not None:
         from tonearm.plans.two_tower_rank import rank_two_tower
 
-        picks = rank_two_tower(seeds, context, candidates, catalogue, *two_tower, n=n)
+        picks = rank_two_tower(seeds, context, catalogue, *two_tower, n=n)
     else:
-        picks = rank_multi_signal(candidates, n)
+        picks = rank_multi_signal(find_candidates(context, catalogue), n)
     picks = picks.join(catalogue.select(*TRACK_COLUMNS), "id")
     return {"requests": parsed, "context": context, "seeds": seeds, "picks": picks,
             "failed": failed}

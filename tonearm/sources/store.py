@@ -22,9 +22,16 @@ def open_store(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(STORED_ITEM).parquet(path)
 
 
-def new_items(incoming: DataFrame, stored: DataFrame) -> DataFrame:
-    """Incoming rows whose id is not stored yet."""
-    return incoming.join(stored.select("id"), "id", "left_anti")
+def new_items(incoming: DataFrame, stored: DataFrame, small: bool = False) -> DataFrame:
+    """Incoming rows whose id is not stored yet.
+
+    For a ``small`` batch the stored ids are first reduced to those it brings again: the batch,
+    if small enough, is sent to the store's ids and these are scanned but never shuffled.
+    """
+    ids = stored.select("id")
+    if small:
+        ids = ids.join(incoming.select("id"), "id", "left_semi")
+    return incoming.join(ids, "id", "left_anti")
 
 
 def stored_columns(df: DataFrame) -> DataFrame:

@@ -68,7 +68,7 @@ def ingest_stream(items: DataFrame, path: str, checkpoint: str, encoder: Encoder
             # an earlier attempt of this batch is about to be replaced, so it does not count
             stored = stored.filter(F.col("batch") != batch_id)
         one = dedup_first(batch, "id", ts)
-        rows = encoder(stored_columns(new_items(one, stored)))
+        rows = encoder(stored_columns(new_items(one, stored, small=True)))
         rows.select(*[f.name for f in STORED_ITEM.fields]).write.mode("overwrite").parquet(here)
 
     return _start(fresh, sink, checkpoint, once)
