@@ -125,7 +125,7 @@ ORACLE: dict[str, str] = {}
 ORACLE["rating_upsert"] = _with(RATINGS) + "SELECT user_id, track_id, rating FROM ratings"
 
 ORACLE["user_profile"] = _with(RATINGS, TRACKS, PROFILES) + "SELECT user_id, " + ", ".join(
-    f"round({f}, 9) AS {f}" for f in FEATURES) + " FROM profiles"
+    f"CAST(CAST({f} AS FLOAT) AS DOUBLE) AS {f}" for f in FEATURES) + " FROM profiles"
 
 ORACLE["store_stats"] = """SELECT count(*) AS total_tracks, 'part' AS location, 'tracks' AS name
 FROM part"""
@@ -133,7 +133,7 @@ FROM part"""
 ORACLE["audio_feature_search"] = _with(TRACKS, "targets AS (SELECT artists[1] AS target_id, "
     + ", ".join(f"avg({f}) AS {f}" for f in FEATURES) + " FROM tracks GROUP BY artists[1])") + """
 SELECT target_id, CAST(rank AS INTEGER) AS rank, id, name, album,
-       round(feature_score, 6) AS feature_score FROM (
+       CAST(CAST(feature_score AS FLOAT) AS DOUBLE) AS feature_score FROM (
   SELECT target_id, id, name, album, feature_score,
          row_number() OVER (PARTITION BY target_id ORDER BY feature_score, id) AS rank
   FROM (SELECT g.target_id, t.id, t.name, t.album, """ + _distance("g", "t") + """
@@ -142,21 +142,21 @@ WHERE rank <= 20"""
 
 ORACLE["content_based"] = _with(RATINGS, TRACKS, PROFILES, CONTENT.format(n=10)) + """
 SELECT user_id, CAST(rank AS INTEGER) AS rank, id, name, artists[1] AS artist, album,
-       round(feature_score, 6) AS feature_score FROM content"""
+       CAST(CAST(feature_score AS FLOAT) AS DOUBLE) AS feature_score FROM content"""
 
 ORACLE["top_neighbours"] = _with(RATINGS, NEIGHBOURS) + """
-SELECT u AS user_id, v AS neighbour_id, round(sim, 6) AS similarity,
+SELECT u AS user_id, v AS neighbour_id, CAST(CAST(sim AS FLOAT) AS DOUBLE) AS similarity,
        CAST(rank AS INTEGER) AS rank FROM neighbours"""
 
 ORACLE["collaborative"] = _with(RATINGS, TRACKS, NEIGHBOURS, COLLAB.format(n=10)) + """
 SELECT user_id, CAST(rank AS INTEGER) AS rank, id, name, artists[1] AS artist, album,
-       round(recommendation_score, 6) AS recommendation_score FROM collab"""
+       CAST(CAST(recommendation_score AS FLOAT) AS DOUBLE) AS recommendation_score FROM collab"""
 
 _HYBRID_PARTS = (RATINGS, TRACKS, PROFILES, CONTENT.format(n=5), NEIGHBOURS, COLLAB.format(n=5),
                  HYBRID.format(n=10))
 ORACLE["hybrid"] = _with(*_HYBRID_PARTS) + """
 SELECT user_id, CAST(rank AS INTEGER) AS rank, id, name, artists[1] AS artist, album,
-       round(score, 6) AS score,
+       CAST(CAST(score AS FLOAT) AS DOUBLE) AS score,
        CASE WHEN src = 0 THEN 'content_based' ELSE 'collaborative' END AS method FROM hybrid"""
 
 _REASONS = ", ".join(
@@ -601,7 +601,7 @@ SELECT brand, list_distinct(flatten(list(genres))) AS seed_genres FROM (
   SELECT artists[1] AS brand, genres, row_number() OVER (
     PARTITION BY artists[1] ORDER BY popularity DESC, id) AS rn FROM catalogue) x
 WHERE rn <= 3 GROUP BY brand)""") + f"""
-SELECT id, brand, round({_JG}, 6) AS jaccard
+SELECT id, brand, CAST(CAST({_JG} AS FLOAT) AS DOUBLE) AS jaccard
 FROM catalogue JOIN seeds ON brand = artists[1]"""
 ORACLE["seed_searches"] = _with(REQUESTS, PARSED, NEEDS, SEED_SEARCHES) + """
 SELECT request_id, CAST(priority AS INTEGER) AS priority, kind, s.text
@@ -667,7 +667,7 @@ FROM asks a JOIN context x ON x.need = a.need"""
 # --- vectors -----------------------------------------------------------------------------------
 
 _TOPK = """
-SELECT query_id, id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (
+SELECT query_id, id, CAST(CAST(score AS FLOAT) AS DOUBLE) AS score, CAST(rank AS INTEGER) AS rank FROM (
   SELECT query_id, id, score, row_number() OVER (
     PARTITION BY query_id ORDER BY score {order}, id) AS rank
   FROM (SELECT q.vec_id AS query_id, x.vec_id AS id, {score} AS score
@@ -701,10 +701,10 @@ FROM (SELECT DISTINCT lower(unnest(genres)) AS g, {_ENTRIES} AS entries FROM cat
     "means AS (SELECT id, " + ", ".join(f"avg(vec[{i + 1}]) AS p{i}" for i in range(8)) + """
 FROM (SELECT id, lower(unnest(genres)) AS g FROM catalogue) c JOIN resolved r ON r.g = c.g
 WHERE vec IS NOT NULL GROUP BY id)""") + "SELECT c.id, " + ", ".join(
-    f"round({b}, 9) AS {f}" for b, f in zip(_BASE, FEATURES)) + """
+    f"CAST(CAST({b} AS FLOAT) AS DOUBLE) AS {f}" for b, f in zip(_BASE, FEATURES)) + """
 FROM catalogue c LEFT JOIN means m ON m.id = c.id"""
 ORACLE["mean_vector"] = """
-SELECT label, CAST(i - 1 AS INTEGER) AS at, round(avg(CAST(embedding[i] AS DOUBLE)), 6) AS x
+SELECT label, CAST(i - 1 AS INTEGER) AS at, CAST(CAST(avg(CAST(embedding[i] AS DOUBLE)) AS FLOAT) AS DOUBLE) AS x
 FROM (SELECT label, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) e
 GROUP BY label, i"""
 
@@ -713,20 +713,20 @@ GROUP BY label, i"""
 ORACLE["training_pairs"] = _with(RATINGS, TRACKS, PROFILES) + f"""
 SELECT r.user_id, r.track_id, CASE WHEN rating >= 3 THEN CAST(1 AS DOUBLE) ELSE 0 END AS label,
        least(rating / 5, CAST(1 AS DOUBLE)) AS target,
-       round({' + '.join(f'coalesce(p.{f}, 0)' for f in FEATURES)}, 6) AS user_vec,
-       round({' + '.join(f'coalesce(t.{f}, 0)' for f in FEATURES)}, 6) AS item_vec
+       CAST(CAST({' + '.join(f'coalesce(p.{f}, 0)' for f in FEATURES)} AS FLOAT) AS DOUBLE) AS user_vec,
+       CAST(CAST({' + '.join(f'coalesce(t.{f}, 0)' for f in FEATURES)} AS FLOAT) AS DOUBLE) AS item_vec
 FROM ratings r JOIN tracks t ON t.id = r.track_id JOIN profiles p ON p.user_id = r.user_id"""
 
 # --- metrics and streams -----------------------------------------------------------------------
 
 ORACLE["usage_metrics"] = """
-SELECT event_type, count(*) AS calls, round(avg(value), 6) AS mean_duration,
-       round(avg(CASE WHEN value < 50 THEN 1.0 ELSE 0 END), 6) AS success_rate,
-       round(avg(CASE WHEN CAST(json_extract(props, '$.k') AS INT) % 2 = 0 THEN 1.0 ELSE 0 END), 6)
+SELECT event_type, count(*) AS calls, CAST(CAST(avg(value) AS FLOAT) AS DOUBLE) AS mean_duration,
+       CAST(CAST(avg(CASE WHEN value < 50 THEN 1.0 ELSE 0 END) AS FLOAT) AS DOUBLE) AS success_rate,
+       CAST(CAST(avg(CASE WHEN CAST(json_extract(props, '$.k') AS INT) % 2 = 0 THEN 1.0 ELSE 0 END) AS FLOAT) AS DOUBLE)
          AS cache_hit_rate
 FROM events GROUP BY event_type"""
 ORACLE["click_through"] = """
-SELECT user_id, views, clicks, round(CAST(clicks AS DOUBLE) / nullif(views, 0), 6) AS ctr
+SELECT user_id, views, clicks, CAST(CAST(CAST(clicks AS DOUBLE) / nullif(views, 0) AS FLOAT) AS DOUBLE) AS ctr
 FROM (SELECT user_id, count(*) FILTER (WHERE event_type = 'view') AS views,
              count(*) FILTER (WHERE event_type = 'click') AS clicks
       FROM events GROUP BY user_id) e"""
@@ -737,7 +737,7 @@ ORACLE["ingest_stream"] = _with(TRACKS) + """
 SELECT CAST(id AS VARCHAR) AS id, name, popularity FROM tracks
 WHERE id IN (SELECT l_partkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey)"""
 ORACLE["usage_stream"] = """
-SELECT window_start, event_type, count(*) AS calls, round(avg(value), 6) AS mean_value
+SELECT window_start, event_type, count(*) AS calls, CAST(CAST(avg(value) AS FLOAT) AS DOUBLE) AS mean_value
 FROM (SELECT date_trunc('hour', ts) AS window_start, event_type, value,
              (SELECT max(ts) FROM events) AS last FROM events) e
 WHERE window_start + INTERVAL 1 HOUR <= date_trunc('milliseconds', last) - INTERVAL 1 HOUR

@@ -48,11 +48,17 @@ def _ratings(spark: SparkSession, sf: str) -> DataFrame:
     return written(tb.ratings(spark, sf), "ratings")
 
 
-def _shown(df: DataFrame, *scores: str, digits: int = 6) -> DataFrame:
-    """First artist instead of the array, scores rounded: plain columns for comparison."""
+def _single(c):
+    """A score at single precision, where the order in which it was summed cannot show."""
+    c = F.col(c) if isinstance(c, str) else c
+    return c.cast("float").cast("double")
+
+
+def _shown(df: DataFrame, *scores: str) -> DataFrame:
+    """First artist instead of the array, scores at single precision: columns to compare."""
     if "artists" in df.columns:
         df = df.withColumn("artist", F.get("artists", F.lit(0))).drop("artists")
-    return df.withColumns({s: F.round(s, digits) for s in scores}) if scores else df
+    return df.withColumns({s: _single(s) for s in scores}) if scores else df
 
 
 # --- ratings, profiles, feature search, recommenders ------------------------------------------
@@ -64,7 +70,7 @@ def rating_upsert(spark, sf):
 
 @query
 def user_profile(spark, sf):
-    return _shown(user_profiles(tb.ratings(spark, sf), tb.tracks(spark, sf)), *FEATURES, digits=9)
+    return _shown(user_profiles(tb.ratings(spark, sf), tb.tracks(spark, sf)), *FEATURES)
 
 
 @query
@@ -425,7 +431,7 @@ def genre_jaccard(spark, sf):
         .groupBy("brand").agg(F.array_distinct(F.flatten(F.collect_list("genres")))
                               .alias("seed_genres"))
     return tracks.join(seeds, "brand").select(
-        "id", "brand", F.round(array_jaccard(F.col("seed_genres"), F.col("genres")), 6)
+        "id", "brand", _single(array_jaccard(F.col("seed_genres"), F.col("genres")))
         .alias("jaccard"))
 
 
@@ -519,7 +525,7 @@ def _vectors(spark, sf):
 
 
 def _ranked(df):
-    return df.withColumn("score", F.round("score", 6))
+    return df.withColumn("score", _single("score"))
 
 
 @query
@@ -569,13 +575,13 @@ def text_search(spark, sf):
         F.col("p_name").alias("query_id"), F.col("p_name").alias("query"))
     found, _ = search_text(queries, encode(docs), encode, 10, {"popularity": {"$gte": 20}})
     return found.select("query_id", "rank", "id", "name",
-                        F.round("similarity_score", 6).alias("similarity_score"))
+                        _single("similarity_score").alias("similarity_score"))
 
 
 @query
 def proxy_features(spark, sf):
     found = PX.proxy_features(_catalogue(spark, sf))
-    return found.select("id", *[F.round(F.col("vec")[i], 9).alias(f) for i, f in
+    return found.select("id", *[_single(F.col("vec")[i]).alias(f) for i, f in
                                 enumerate(FEATURES)])
 
 
@@ -583,7 +589,7 @@ def proxy_features(spark, sf):
 def mean_vector(spark, sf):
     means = PX.mean_vector(_vectors(spark, sf), "label")
     return means.select("label", F.posexplode("vec").alias("at", "x")) \
-        .withColumn("x", F.round("x", 6))
+        .withColumn("x", _single("x"))
 
 
 # --- trained rankers ---------------------------------------------------------------------------
@@ -600,7 +606,7 @@ def _pairs(spark, sf, ratings=None):
 def training_pairs(spark, sf):
     pairs = training.training_pairs(_ratings(spark, sf), tb.tracks(spark, sf))
     return pairs.select("user_id", "track_id", "label", "target", *[
-        F.round(F.aggregate(v, F.lit(0.0), lambda a, x: a + x), 6).alias(v)
+        _single(F.aggregate(v, F.lit(0.0), lambda a, x: a + x)).alias(v)
         for v in ("user_vec", "item_vec")])
 
 
@@ -705,4 +711,4 @@ def usage_stream(spark, sf):
     jobs.usage_stream(stream, f"{at}/out", f"{at}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{at}/out").select(
         F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "calls",
-        F.round("mean_value", 6).alias("mean_value"))
+        _single("mean_value").alias("mean_value"))
