@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.ml.feature import Normalizer
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonearm.schemas import FEATURES
@@ -18,12 +20,8 @@ def distance_vector(names: list[str] = FEATURES) -> Column:
     return F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(float("nan"))) for f in names])
 
 
-def l2_normalise(vec: str | Column) -> Column:
-    v = F.col(vec) if isinstance(vec, str) else vec
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x)) + F.lit(1e-10)
-    return F.transform(v, lambda x: x / norm)
-
-
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")),
-                       F.lit(0.0), lambda acc, x: acc + x)
+def l2_normalise(df: DataFrame, vec: str) -> DataFrame:
+    """Scale a vector column to length 1; a zero vector stays zero."""
+    as_vector = df.withColumn("_v", array_to_vector(F.col(vec).cast("array<double>")))
+    return Normalizer(p=2.0, inputCol="_v", outputCol="_unit").transform(as_vector) \
+        .withColumn(vec, vector_to_array("_unit")).drop("_v", "_unit")

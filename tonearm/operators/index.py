@@ -45,8 +45,8 @@ def build_index(vectors: DataFrame, path: str, *, ivf: bool = False, cells: int
     Cells are trained before any vector is assigned. Centroids, one row per cell, are stored
     beside the vectors.
     """
-    unit = vectors.select(F.col(item_id).alias("item_id"),
-                          l2_normalise(F.col(vec).cast("array<double>")).alias("embedding"))
+    unit = l2_normalise(vectors.select(F.col(item_id).alias("item_id"),
+                                       F.col(vec).alias("embedding")), "embedding")
     if not ivf:
         unit.withColumn("cell", F.lit(0)).write.mode("overwrite").partitionBy("cell") \
             .parquet(f"{path}/vectors")
