@@ -186,3 +186,15 @@ def test_ingest_stream(spark, tmp_path):
 
     assert arrive("a", "b", "a") == ["a", "b"]
     assert arrive("b", "c") == ["a", "b", "c"]
+
+
+def test_feature_search_refuses_bad_targets(spark):
+    from tonearm.plans.recommend import refused_targets, search_by_features
+
+    targets = spark.createDataFrame([(1, 0.5, 0.4), (2, 1.5, 0.4), (3, None, 0.1)],
+                                    "target_id int, danceability double, energy double")
+    got = search_by_features(targets, items(spark, "a", "b"), 1).orderBy("target_id").collect()
+    # energy is absent in the items, so target 3 shares no feature with them: distance 0
+    assert [(r.target_id, r.id, round(r.feature_score, 4)) for r in got] == [
+        (1, "a", 0.0), (3, "a", 0.0)]
+    assert [r.target_id for r in refused_targets(targets).collect()] == [2]
