@@ -7,7 +7,7 @@ from tonearm.functions.dictionaries import (
 )
 from tonearm.functions.quality import FEATURE_DEFAULTS, RANGES
 from tonearm.functions.scoring import (
-    NO_REASON, NO_TRACK, NO_USER, REASON_ARTIST, REASON_LABELS, REASON_PREFIX,
+    NO_REASON, REASON_ARTIST, REASON_LABELS, REASON_PREFIX,
 )
 from tonearm.functions.text import DOCUMENT_FEATURES
 from tonearm.schemas import FEATURES
