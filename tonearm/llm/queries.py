@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonearm.llm.common import table
+from tonearm.llm.imatch import fingerprint_documents
 from tonearm.llm.language import held_out, identify, learn
 from tonearm.llm.near_dedup import near_duplicates
 from tonearm.llm.pack import pack_documents
 from tonearm.llm.repeats import remove_repeats
+from tonearm.llm.warc import archive_folder, read_archives, write_archives
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,9 +38,23 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    folder = archive_folder(pages)
+    found = read_archives(write_archives(pages, folder), folder, payload=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to",
+                        "verified")
+
+
+def op8_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_language_id": op3_language_id,
+    "op4_warc": op4_warc,
+    "op8_imatch_fingerprints": op8_imatch_fingerprints,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_substring_dedup": op10_substring_dedup,
 }
