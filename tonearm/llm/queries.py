@@ -8,6 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tonearm.llm import licenses
+from tonearm.llm.chat import format_chats, read_back, with_probe
 from tonearm.llm.common import table
 from tonearm.llm.imatch import fingerprint_documents
 from tonearm.llm.language import held_out, identify, learn
@@ -17,6 +19,10 @@ from tonearm.llm.repeats import remove_repeats
 from tonearm.llm.warc import archive_folder, read_archives, write_archives
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("blocks")
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"),
                           public_tokenizers.path("byte_bpe_50k.json"))
@@ -46,17 +52,24 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "verified")
 
 
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = with_probe(table(spark, sf_dir, "conversations"))
+    return read_back(format_chats(chats, public_tokenizers.path("byte_bpe_50k.json")))
+
+
 def op8_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_language_id": op3_language_id,
     "op4_warc": op4_warc,
+    "op5_chat_formatting": op5_chat_formatting,
     "op8_imatch_fingerprints": op8_imatch_fingerprints,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op1_license_scan": licenses.oracle_sql()}
