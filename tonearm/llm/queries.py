@@ -8,13 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonearm.llm import licenses
+from tonearm.llm import hamming, licenses
 from tonearm.llm.chat import format_chats, read_back, with_probe
 from tonearm.llm.common import table
 from tonearm.llm.imatch import fingerprint_documents
 from tonearm.llm.language import held_out, identify, learn
 from tonearm.llm.near_dedup import near_duplicates
 from tonearm.llm.pack import pack_documents
+from tonearm.llm.pieces import decode_documents, encode_documents
 from tonearm.llm.repeats import remove_repeats
 from tonearm.llm.warc import archive_folder, read_archives, write_archives
 
@@ -57,6 +58,20 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_chats(chats, public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document and the digest of the text decoded from them."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    found = decode_documents(encode_documents(table(spark, sf_dir, "documents"), model), model)
+    return found.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"),
+                        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), "score",
+                        F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def op7_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return hamming.search(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
 def op8_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(table(spark, sf_dir, "documents"))
 
@@ -67,6 +82,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_warc": op4_warc,
     "op5_chat_formatting": op5_chat_formatting,
+    "op6_sentencepiece": op6_sentencepiece,
+    "op7_multi_index_hashing": op7_multi_index_hashing,
     "op8_imatch_fingerprints": op8_imatch_fingerprints,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_substring_dedup": op10_substring_dedup,
