@@ -95,12 +95,12 @@ _SCHEMA = ("conv_id bigint, part int, last boolean, formatted string, input_ids
            "loss_mask array<boolean>, loss_start array<bigint>, loss_end array<bigint>")
 
 
-def _parts(rows: Iterator[tuple]) -> Iterator[tuple[int | None, int, bool, list]]:
+def _parts(rows: Iterator[tuple], chars: int) -> Iterator[tuple[int | None, int, bool, list]]:
     """Turns of sorted rows by conversation and part; whether a part is its conversation's last."""
     key, part, turns, size, began = None, 0, [], 0, False
     for conv_id, role, text in rows:
         role, text = role or "", text or ""
-        if began and (conv_id != key or size >= PART_CHARS):
+        if began and (conv_id != key or size >= chars):
             yield key, part, conv_id != key, turns
             part, turns, size = (part + 1 if conv_id == key else 0), [], 0
         key, began = conv_id, True
@@ -112,7 +112,7 @@ def _parts(rows: Iterator[tuple]) -> Iterator[tuple[int | None, int, bool, list]
 
 def format_chats(conversations: DataFrame, tokenizer: str, learned: str = LEARNED,
                  conv_id: str = "conv_id", turn: str = "turn", role: str = "role",
-                 text: str = "text") -> DataFrame:
+                 text: str = "text", part_chars: int = PART_CHARS) -> DataFrame:
     """Formatted conversations with token ids and loss mask, by part: ``conv_id, part, last,
     formatted, input_ids, loss_mask, loss_start, loss_end`` (code points of ``formatted``).
 
@@ -130,7 +130,7 @@ def format_chats(conversations: DataFrame, tokenizer: str, learned: str = LEARNE
                 yield from zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text")))
 
         out, held = [], 0
-        for key, part, last, own in _parts(turns()):
+        for key, part, last, own in _parts(turns(), part_chars):
             formatted, spans = render(own, learned)
             encoded = encoder.encode(formatted, add_special_tokens=False)
             offsets = np.array(encoded.offsets, np.int64).reshape(-1, 2)

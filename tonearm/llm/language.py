@@ -268,15 +268,15 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
 
 
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
-    """All rows and columns of ``docs`` with ``lang_pred`` and ``score`` (0 to 1).
+    """All rows and columns of ``docs`` with ``lang_pred`` and ``score`` (0 to 1), which take the
+    place of columns of that name.
 
     Null texts and texts without a letter are ``und`` with score 0. Only the text is looked at:
     equal texts get equal answers. An empty table gives an empty table.
     """
     spark = docs.sparkSession
     known = spark.sparkContext.broadcast(model)  # bounded by languages learned and buckets
-    fields = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score")]
-    names = [f.name for f in fields]
+    names = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
 
     def run(batches):
         for part in slices(batches, text):

@@ -154,7 +154,7 @@ def _page(name: str | None) -> int | None:
 
 
 def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url",
-                   html: str = "html") -> DataFrame:
+                   html: str = "html", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write a record for every row; ``archive, records, bytes`` of each archive, stored.
 
     Null html is an empty payload. Among rows with equal payloads of at least ``LEAST_SHARED``
@@ -191,7 +191,7 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
                 own = member(record(kind, key, address, data, digest.hex(), len(data), refers))
                 out.write(own)
                 count, size = count + 1, size + len(own)
-                if size >= ARCHIVE_BYTES:
+                if size >= archive_bytes:
                     out.close()
                     out = done.append((name, count, size))
         if out is not None:
