@@ -108,3 +108,13 @@ def test_clean_query(spark):
     df = spark.createDataFrame([(i, q) for i, (q, _) in enumerate(pairs)], "i int, q string")
     got = [r.c for r in df.select("i", clean_query(F.col("q")).alias("c")).orderBy("i").collect()]
     assert got == [want for _, want in pairs]
+
+
+def test_line_breaks_and_type_letters_are_refused(spark):
+    good = "37i9dQZF1DXcBWIGoYBM5M"
+    ids = spark.createDataFrame([(good,), (good + "\n",), (good + "\r\n",), ("\n" + good,)], "p string")
+    assert [len(r[0]) for r in ids.select(Q.source_id_errors("p")).collect()] == [0, 1, 1, 1]
+    rows = spark.createDataFrame([("4",), ("4d",), ("4.F ",), ("4e0",), (" 2.5 ",)], "rating string")
+    assert [len(r[0]) for r in rows.select(Q.rating_errors()).collect()] == [0, 1, 1, 0, 0]
+    features = spark.createDataFrame([("0.8d",), ("0.8f",), ("0.8",)], "danceability string")
+    assert [r[0] for r in Q.sanitize_features(features).collect()] == [0.5, 0.5, 0.8]

@@ -198,3 +198,59 @@ def test_feature_search_refuses_bad_targets(spark):
     assert [(r.target_id, r.id, round(r.feature_score, 4)) for r in got] == [
         (1, "a", 0.0), (3, "a", 0.0)]
     assert [r.target_id for r in refused_targets(targets).collect()] == [2]
+
+
+def test_ingest_stream_takes_late_items(spark, tmp_path):
+    src, path, check = (str(tmp_path / d) for d in ("in", "items", "check"))
+
+    def arrive(ts, *ids):
+        df = items(spark, *ids).withColumn("ts", F.to_timestamp(F.lit(ts)))
+        df.coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(df.schema).parquet(src)
+        jobs.ingest_stream(stream, path, check, hashing_encoder()).awaitTermination()
+        return sorted(r.id for r in jobs.open_stream_store(spark, path).collect())
+
+    assert arrive("2024-01-05 12:00:00", "a", "b") == ["a", "b"]
+    # days late: a new id is stored, a repeat is not stored again
+    assert arrive("2024-01-01 09:00:00", "late", "a") == ["a", "b", "late"]
+    jobs.compact_items(spark, path, str(tmp_path / "small"))
+    assert jobs.open_stream_store(spark, str(tmp_path / "small")).count() == 3
+
+
+def test_usage_stream_has_open_windows_and_late_events(spark, tmp_path):
+    src, log, check = (str(tmp_path / d) for d in ("in", "log", "check"))
+    shape = "ts timestamp, event_type string, value double"
+
+    def arrive(*rows):
+        df = spark.createDataFrame(rows, "ts string, event_type string, value double")
+        df.withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.mode("append").parquet(src)
+        jobs.usage_stream(spark.readStream.schema(shape).parquet(src), log, check).awaitTermination()
+        return {(str(r.window_start)[11:16], r.name): (r.calls, r.mean_value)
+                for r in jobs.current_usage(spark, log).collect()}
+
+    assert jobs.current_usage(spark, log).count() == 0
+    assert arrive(("2024-01-01 12:30:00", "view", 2.0)) == {("12:00", "view"): (1, 2.0)}
+    arrive(("2024-01-01 16:30:00", "view", None), ("2024-01-01 16:59:59", "buy", 1.0))
+    want = {("12:00", "view"): (2, 3.0), ("16:00", "view"): (1, None), ("16:00", "buy"): (1, 1.0)}
+    assert arrive(("2024-01-01 12:31:00", "view", 4.0)) == want
+    jobs.compact_usage(spark, log, str(tmp_path / "small"))
+    assert jobs.current_usage(spark, str(tmp_path / "small")).count() == 3
+
+
+def test_rating_log_without_batches(spark, tmp_path):
+    assert jobs.current_ratings(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_add_items_evaluates_its_input_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    rows = items(spark, "a", "b")
+    assert store.add_items(rows.mapInPandas(count, rows.schema), str(tmp_path / "i"), hashing_encoder())
+    assert seen.value == 2
+    store.compact_store(spark, str(tmp_path / "i"), str(tmp_path / "j"), 1)
+    assert store.open_store(spark, str(tmp_path / "j")).count() == 2

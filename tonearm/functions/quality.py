@@ -60,8 +60,14 @@ def feature_errors(columns: list[str]) -> Column:
         for f in RANGES if f in columns])
 
 
+def _number(c: str) -> Column:
+    """A text as a number, or NULL; a type letter after the digits makes it no number."""
+    return F.when(~F.col(c).cast("string").rlike(r"[0-9.][dDfF]\s*\z"),
+                  F.expr(f"try_cast({c} AS DOUBLE)"))
+
+
 def rating_errors(rating: str = "rating") -> Column:
-    number = F.expr(f"try_cast({rating} AS DOUBLE)")
+    number = _number(rating)
     return _errors(
         _broken(number.isNotNull(), "rating not a number"),
         F.when(number.isNotNull() & ~number.between(1.0, 5.0), "rating out of range"))
@@ -84,7 +90,7 @@ def query_errors(query: str = "query") -> Column:
 def source_id_errors(source_id: str) -> Column:
     """Playlist and artist ids: exactly 22 letters or digits of any script."""
     c = F.col(source_id)
-    return _errors(_broken(c.rlike(r"^[\p{L}\p{N}]{22}$"), f"{source_id} malformed"))
+    return _errors(_broken(c.rlike(r"\A[\p{L}\p{N}]{22}\z"), f"{source_id} malformed"))
 
 
 def split_valid(df: DataFrame, errors: Column, strict: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -122,7 +128,7 @@ def check_audio_targets(targets: DataFrame, names: list[str]) -> None:
 
 
 def _to_long(c: str) -> Column:
-    return F.expr(f"coalesce(try_cast(try_cast({c} AS DOUBLE) AS BIGINT), 0L)")
+    return F.coalesce(_number(c).try_cast("bigint"), F.lit(0))
 
 
 def sanitize_tracks(df: DataFrame) -> DataFrame:
@@ -140,5 +146,5 @@ def sanitize_tracks(df: DataFrame) -> DataFrame:
 def sanitize_features(df: DataFrame) -> DataFrame:
     """Features as numbers, unreadable ones replaced by their default; text fields unchanged."""
     return df.withColumns({
-        f: F.coalesce(F.expr(f"try_cast({f} AS DOUBLE)"), F.lit(FEATURE_DEFAULTS.get(f, 0.0)))
+        f: F.coalesce(_number(f), F.lit(FEATURE_DEFAULTS.get(f, 0.0)))
         for f in ALL_FEATURES if f in df.columns})

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from tonearm.functions.dictionaries import (
     DEFAULT_PROXY, GENRE_PROXY, GENRE_WORDS, MOOD_WORDS, RECENCY_WORDS, STOPWORDS,
 )
@@ -120,6 +122,11 @@ def _with(*parts: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n"
 
 
+def _once(part: str) -> str:
+    """A named part whose tables are each computed once."""
+    return re.sub(r"^(\w+) AS \(", r"\1 AS MATERIALIZED (", part, flags=re.M)
+
+
 ORACLE: dict[str, str] = {}
 
 ORACLE["rating_upsert"] = _with(RATINGS) + "SELECT user_id, track_id, rating FROM ratings"
@@ -162,10 +169,12 @@ SELECT user_id, CAST(rank AS INTEGER) AS rank, id, name, artists[1] AS artist, a
 _REASONS = ", ".join(
     f"CASE WHEN round(abs(p.{f} - t.{f}), 9) < 0.2 THEN {_text(label)} END"
     for f, label in REASON_LABELS.items())
-ORACLE["explain"] = _with(RATINGS, TRACKS, PROFILES, NEIGHBOURS, COLLAB.format(n=10), """
-liked AS (SELECT DISTINCT user_id, unnest(artists) AS artist
+ORACLE["explain"] = _with(*[
+    # these are read more than once
+    _once(part) for part in (RATINGS, TRACKS, PROFILES, NEIGHBOURS, COLLAB.format(n=10))], """
+liked AS MATERIALIZED (SELECT DISTINCT user_id, unnest(artists) AS artist
           FROM ratings r JOIN tracks t ON t.id = r.track_id)""", """
-asked AS (SELECT user_id, id FROM collab)""", """
+asked AS MATERIALIZED (SELECT user_id, id FROM collab)""", """
 same AS (SELECT DISTINCT a.user_id, a.id
          FROM (SELECT user_id, q.id, unnest(t.artists) AS artist
                FROM asked q JOIN tracks t ON t.id = q.id) a
@@ -205,7 +214,8 @@ SELECT p_partkey AS part,
        CASE WHEN p_partkey % 37 <> 0 THEN ' ' || p_type END AS album,
        CASE WHEN p_partkey % 4 = 0 THEN CAST(p_size * 2 AS VARCHAR) || '.5'
             WHEN p_partkey % 4 = 1 THEN 'n/a' WHEN p_partkey % 4 = 2 THEN NULL
-            ELSE CAST(p_size AS VARCHAR) END AS popularity,
+            ELSE CAST(p_size AS VARCHAR) || ['', 'd', 'f', 'F ', 'D'][p_partkey % 5 + 1]
+            END AS popularity,
        CAST(p_partkey * 1000 AS VARCHAR) || '.0' AS duration_ms
 FROM part)"""
 
@@ -217,7 +227,8 @@ def _share(factor: int, modulus: int = 101) -> str:
 
 RAW_FEATURES = f"""raw_features AS (
 SELECT 'track_' || lpad(CAST(p_partkey AS VARCHAR), 8, '0') AS id,
-       CASE WHEN p_partkey % 11 = 0 THEN 'invalid' ELSE {_share(37)} END AS danceability,
+       CASE WHEN p_partkey % 11 = 0 THEN 'invalid' WHEN p_partkey % 11 = 1 THEN {_share(37)} || 'd'
+            WHEN p_partkey % 11 = 2 THEN {_share(37)} || 'F' ELSE {_share(37)} END AS danceability,
        {_share(53, 104)} AS energy,
        CASE WHEN p_partkey % 13 <> 0 THEN {_share(71)} END AS valence,
        CASE WHEN p_partkey % 17 = 0 THEN 'fast'
@@ -252,7 +263,7 @@ ORACLE["validate_features"] = _with(RAW_FEATURES, CLEAN_FEATURES) + "SELECT id,
 ORACLE["validate_ratings"] = "SELECT event_id, " + _errors(
     ("n IS NULL", "rating not a number"),
     ("n IS NOT NULL AND NOT n BETWEEN 1 AND 5", "rating out of range")) + """
-FROM (SELECT event_id, CASE WHEN event_type = 'error' THEN NULL ELSE value END AS n
+FROM (SELECT event_id, CASE WHEN event_type IN ('error', 'signup') THEN NULL ELSE value END AS n
       FROM events) e"""
 
 ORACLE["validate_user_ids"] = "SELECT row, " + _errors(
@@ -272,6 +283,8 @@ ORACLE["validate_source_ids"] = "SELECT c_custkey, playlist_id, " + _errors(
     (r"NOT regexp_full_match(playlist_id, '[\p{L}\p{N}]{22}')", "playlist_id malformed")) + """
 FROM (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0
                THEN substr(d, 1, 2) || '_' || substr(d, 4, CAST(17 + c_custkey % 5 AS INT))
+             WHEN c_custkey % 7 = 1 THEN substr(d, 1, 22) || chr(10)
+             WHEN c_custkey % 7 = 2 THEN substr(d, 1, 22) || chr(13) || chr(10)
              ELSE substr(d, 1, CAST(20 + c_custkey % 5 AS INT)) END AS playlist_id
       FROM (SELECT c_custkey, md5(c_name) AS d FROM customer) c) x"""
 
@@ -322,16 +335,16 @@ _FLAT = """SELECT 'track_' || lpad(CAST(p_partkey AS VARCHAR), 8, '0') AS id, {n
 FROM part WHERE {where}"""
 ORACLE["flatten_search"] = _FLAT.format(name="p_name", popularity="p_size", where="true")
 ORACLE["flatten_playlist"] = _FLAT.format(
-    name="p_name", popularity="p_size + 1", where="p_size <= 25")
+    name="p_name", popularity="p_size + 1", where="true")
 ORACLE["flatten_artist_top"] = _FLAT.format(
-    name="'Best of ' || p_name", popularity="p_size", where="p_size > 40")
+    name="'Best of ' || p_name", popularity="p_size", where="true")
 ORACLE["normalise_raw"] = """
 SELECT 'track_' || lpad(CAST(p_partkey AS VARCHAR), 8, '0') AS id, 'Best of ' || p_name AS name,
        'id-' || p_brand AS artist_ids, p_type AS album, CAST(p_size AS BIGINT) AS popularity,
        p_partkey * 1000 AS duration_ms, false AS explicit,
        'https://tracks.example.org/' || CAST(p_partkey AS VARCHAR) AS external_urls,
        0 AS n_genres
-FROM part WHERE p_size > 40"""
+FROM part"""
 _OK = " AND ".join(f"{f} BETWEEN {lo} AND {hi}" for f, (lo, hi) in RANGES.items())
 ORACLE["read_features"] = _with(RAW_FEATURES, CLEAN_FEATURES) + f"""
 SELECT id, danceability, energy, valence, tempo, time_signature, {_OK} AS ok FROM features"""
@@ -341,8 +354,7 @@ SELECT CAST(event_id AS VARCHAR) AS id, CASE WHEN event_type <> 'error'
 ORACLE["collect_tracks"] = _with(RAW_FEATURES, CLEAN_FEATURES) + f"""
 SELECT p.id, p.name, p.popularity, 0 AS first_source, f.danceability, f.tempo
 FROM (SELECT 'track_' || lpad(CAST(p_partkey AS VARCHAR), 8, '0') AS id,
-             CASE WHEN p_size > 40 THEN 'Best of ' || p_name ELSE p_name END AS name,
-             CAST(CASE WHEN p_size <= 25 THEN p_size + 1 ELSE p_size END AS BIGINT) AS popularity
+             'Best of ' || p_name AS name, CAST(p_size AS BIGINT) AS popularity
       FROM part) p LEFT JOIN (SELECT * FROM features WHERE {_OK}) f ON f.id = p.id"""
 ORACLE["dedup_last"] = """
 SELECT user_id, event_type, first AS seq, ts, value, props FROM (
@@ -738,7 +750,5 @@ SELECT CAST(id AS VARCHAR) AS id, name, popularity FROM tracks
 WHERE id IN (SELECT l_partkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey)"""
 ORACLE["usage_stream"] = """
 SELECT window_start, event_type, count(*) AS calls, CAST(CAST(avg(value) AS FLOAT) AS DOUBLE) AS mean_value
-FROM (SELECT date_trunc('hour', ts) AS window_start, event_type, value,
-             (SELECT max(ts) FROM events) AS last FROM events) e
-WHERE window_start + INTERVAL 1 HOUR <= date_trunc('milliseconds', last) - INTERVAL 1 HOUR
+FROM (SELECT date_trunc('hour', ts) AS window_start, event_type, value FROM events) e
 GROUP BY window_start, event_type"""

@@ -137,8 +137,9 @@ def validate_features(spark, sf):
 
 @query
 def validate_ratings(spark, sf):
-    rating = F.when(F.col("event_type") == "error", "invalid").otherwise(
-        F.col("value").cast("string"))
+    rating = F.when(F.col("event_type") == "error", "invalid") \
+        .when(F.col("event_type") == "signup", F.concat(F.col("value").cast("string"), F.lit("d"))) \
+        .otherwise(F.col("value").cast("string"))
     return tb.table(spark, sf, "events").select("event_id", rating.alias("rating")) \
         .select("event_id", _listed(Q.rating_errors()))
 
@@ -172,6 +173,8 @@ def validate_source_ids(spark, sf):
     made = F.expr("substring(d, 1, 20 + CAST(c_custkey % 5 AS INT))")
     ids = tb.table(spark, sf, "customer").withColumn("d", digest).select(
         "c_custkey", F.when(F.col("c_custkey") % 7 == 0, F.overlay(made, F.lit("_"), F.lit(3)))
+        .when(F.col("c_custkey") % 7 == 1, F.concat(F.substring("d", 1, 22), F.lit("\n")))
+        .when(F.col("c_custkey") % 7 == 2, F.concat(F.substring("d", 1, 22), F.lit("\r\n")))
         .otherwise(made).alias("playlist_id"))
     return ids.select("c_custkey", "playlist_id", _listed(Q.source_id_errors("playlist_id")))
 
@@ -685,7 +688,8 @@ def rating_stream(spark, sf):
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2) \
         .parquet(f"{at}/in")
     jobs.rating_stream(stream, f"{at}/log", f"{at}/checkpoint").awaitTermination()
-    return jobs.current_ratings(spark, f"{at}/log").select("user_id", "track_id", "rating")
+    return jobs.current_ratings(spark, f"{at}/log", events.schema) \
+        .select("user_id", "track_id", "rating")
 
 
 @query
@@ -697,8 +701,8 @@ def ingest_stream(spark, sf):
     arrivals.repartition(4).write.parquet(f"{at}/in")
     stream = spark.readStream.schema(arrivals.schema).option("maxFilesPerTrigger", 2) \
         .parquet(f"{at}/in")
-    jobs.ingest_stream(stream, f"{at}/items", f"{at}/checkpoint", E.hashing_encoder(),
-                       delay="3650 days").awaitTermination()
+    jobs.ingest_stream(stream, f"{at}/items", f"{at}/checkpoint", E.hashing_encoder()) \
+        .awaitTermination()
     return jobs.open_stream_store(spark, f"{at}/items").select("id", "name", "popularity")
 
 
@@ -706,9 +710,10 @@ def ingest_stream(spark, sf):
 def usage_stream(spark, sf):
     at = shared_folder(spark, "usage-stream")
     events = tb.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    events.write.parquet(f"{at}/in")
-    stream = spark.readStream.schema(events.schema).parquet(f"{at}/in")
+    events.repartition(4).write.parquet(f"{at}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2) \
+        .parquet(f"{at}/in")
     jobs.usage_stream(stream, f"{at}/out", f"{at}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{at}/out").select(
-        F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "calls",
-        _single("mean_value").alias("mean_value"))
+    return jobs.current_usage(spark, f"{at}/out").select(
+        F.col("window_start").cast("timestamp_ntz").alias("window_start"),
+        F.col("name").alias("event_type"), "calls", _single("mean_value").alias("mean_value"))

@@ -58,6 +58,7 @@ RATING = T.StructType([
     T.StructField("track_id", _S),
     T.StructField("rating", _D),
     T.StructField("ts", T.TimestampType()),
+    T.StructField("seq", _L),
 ])
 
 PREFERENCES_JSON = T.MapType(_S, T.MapType(_S, _D))

@@ -1,7 +1,7 @@
-"""The item store: versioned Parquet with text documents and embeddings.
+"""The item store: a folder of Parquet files with text documents and embeddings.
 
-A version is a folder that is never changed once written; ``CURRENT`` names the one to read.
-Appending adds a part folder, so readers of the old state are never disturbed.
+Adding items appends files; files once written are not changed. ``compact_store`` writes the items
+to a new folder in fewer files.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tonearm.functions.quality import REQUIRED, check_table
 from tonearm.functions.text import text_document
 from tonearm.schemas import ALL_FEATURES, STORED_ITEM
+from tonearm.session import written
 from tonearm.sources.preferences import path_exists
 
 
@@ -57,6 +58,7 @@ def add_items(incoming: DataFrame, path: str, encoder) -> bool:
 
     ``encoder`` adds an ``embedding`` column from ``document``.
     """
+    incoming = written(incoming, "incoming")  # computed once for the checks and the store
     if incoming.isEmpty():
         return False
     check_table(incoming, REQUIRED)
@@ -66,6 +68,11 @@ def add_items(incoming: DataFrame, path: str, encoder) -> bool:
     return True
 
 
+def compact_store(spark: SparkSession, path: str, target: str, files: int) -> None:
+    """Write the items of a store to ``files`` files of a new one."""
+    open_store(spark, path).repartition(files).write.mode("overwrite").parquet(target)
+
+
 def lookup(ids: DataFrame, items: DataFrame) -> DataFrame:
     """Items for a table of ids in one join; unknown ids give no row."""
     return ids.select("id").join(items, "id")

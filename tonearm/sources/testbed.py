@@ -103,8 +103,9 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as freshly delivered tracks: blanks, gaps and numbers as text."""
+    """Parts as freshly delivered tracks: blanks, gaps and numbers as text, some no numbers."""
     key = F.col("p_partkey")
+    suffixes = F.array(*[F.lit(s) for s in ("", "d", "f", "F ", "D")])
     text = key.cast("string")
     artists = (
         F.when(key % 31 == 0, F.array().cast("array<string>"))
@@ -120,7 +121,8 @@ def raw_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(key % 37 != 0, F.concat(F.lit(" "), "p_type")).alias("album"),
         F.concat((F.lit(2019) + key % 8).cast("string"), F.lit("-01-01")).alias("release_date"),
         F.when(key % 4 == 0, F.concat((F.col("p_size") * 2).cast("string"), F.lit(".5")))
-        .when(key % 4 == 1, "n/a").when(key % 4 == 2, F.lit(None))
+        .when(key % 4 == 3, F.concat(F.col("p_size").cast("string"),
+                                     F.get(suffixes, (key % 5).cast("int")))).when(key % 4 == 1, "n/a").when(key % 4 == 2, F.lit(None))
         .otherwise(F.col("p_size").cast("string")).alias("popularity"),
         F.concat((key * 1000).cast("string"), F.lit(".0")).alias("duration_ms"),
         (key % 11 == 0).alias("explicit"),
@@ -138,7 +140,9 @@ def raw_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return table(spark, sf_dir, "part").select(
         F.concat(F.lit("track_"), F.lpad(key.cast("string"), 8, "0")).alias("id"),
-        F.when(key % 11 == 0, "invalid").otherwise(share(37)).alias("danceability"),
+        F.when(key % 11 == 0, "invalid").when(key % 11 == 1, F.concat(share(37), F.lit("d")))
+        .when(key % 11 == 2, F.concat(share(37), F.lit("F"))).otherwise(share(37))
+        .alias("danceability"),
         share(53, 104).alias("energy"),
         F.when(key % 13 != 0, share(71)).alias("valence"),
         F.when(key % 17 == 0, "fast").otherwise((F.lit(60) + key % 245).cast("string"))
@@ -175,8 +179,8 @@ def _nested(popularity: Column, title: Column) -> Column:
 def write_landing(spark: SparkSession, sf_dir: str, root: str) -> dict[str, str]:
     """Parts as delivered JSON answers, 50 tracks each: searches, playlists and artist pages.
 
-    Playlists hold the older half of the parts with one more point of popularity and a null
-    entry in each answer; artist pages hold those of size over 40 under another title.
+    Every feed has every part. Playlists have one more point of popularity and a null entry in
+    each answer, artist pages another title.
     """
     part = table(spark, sf_dir, "part")
     page = F.floor(F.col("p_partkey") / 50).alias("page")
@@ -192,14 +196,13 @@ def write_landing(spark: SparkSession, sf_dir: str, root: str) -> dict[str, str]
     answers(part, _nested(size, name)).select(
         F.to_json(F.struct(F.struct(F.col("ts").alias("items")).alias("tracks"))).alias("value")
     ).write.text(out["search"])
-    half = part.filter(size <= 25)
-    lists = answers(half, _nested(size + 1, name)).select(
+    lists = answers(part, _nested(size + 1, name)).select(
         F.concat(F.lit('{"items":[{"track":null},'),
                  F.array_join(F.transform("ts", lambda t: F.concat(
                      F.lit('{"track":'), F.to_json(t), F.lit("}"))), ","),
                  F.lit("]}")).alias("value"))
     lists.write.text(out["playlist"])
-    answers(part.filter(size > 40), _nested(size, F.concat(F.lit("Best of "), name))).select(
+    answers(part, _nested(size, F.concat(F.lit("Best of "), name))).select(
         F.to_json(F.struct(F.col("ts").alias("tracks"))).alias("value")).write.text(out["artist"])
     raw_features(spark, sf_dir).select(F.to_json(F.struct("*")).alias("value")) \
         .write.text(out["features"])

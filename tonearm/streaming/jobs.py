@@ -13,11 +13,14 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tonearm.operators.encoder import Encoder
 from tonearm.operators.ranking import dedup_first
-from tonearm.schemas import STORED_ITEM
+from tonearm.schemas import RATING, STORED_ITEM
 from tonearm.sources.preferences import latest_ratings, path_exists
 from tonearm.sources.store import new_items, stored_columns
 
 
+_USAGE = "window_start timestamp, name string, calls bigint, values bigint, total double"
+
+
 def _start(stream: DataFrame, sink, checkpoint: str, once: bool, mode: str = "append"):
     writer = stream.writeStream.foreachBatch(sink).outputMode(mode) \
         .option("checkpointLocation", checkpoint)
@@ -39,27 +42,31 @@ def rating_stream(events: DataFrame, path: str, checkpoint: str, once: bool = Tr
     return _start(events, sink, checkpoint, once)
 
 
-def current_ratings(spark: SparkSession, path: str) -> DataFrame:
-    """The ratings as of the batches written so far."""
-    return latest_ratings(spark.read.parquet(path).drop("batch"))
+def current_ratings(spark: SparkSession, path: str, schema: T.StructType = RATING) -> DataFrame:
+    """The ratings as of the batches written so far; none if there is no batch yet.
 
+    ``schema`` is that of the events the log was made from.
+    """
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return latest_ratings(spark.read.schema(schema).parquet(path))
 
-def compact_ratings(spark: SparkSession, path: str, target: str) -> None:
+
+def compact_ratings(spark: SparkSession, path: str, target: str,
+                    schema: T.StructType = RATING) -> None:
     """Merge a log into a new one that holds one row per user and track."""
-    current_ratings(spark, path).write.mode("overwrite").parquet(f"{target}/batch=-1")
+    current_ratings(spark, path, schema).write.mode("overwrite").parquet(f"{target}/batch=-1")
 
 
 # --- items: store what is not stored yet -------------------------------------------------------
 
 def ingest_stream(items: DataFrame, path: str, checkpoint: str, encoder: Encoder, *,
-                  ts: str = "ts", delay: str = "1 hour", once: bool = True) -> StreamingQuery:
-    """Encode and store arriving items whose id is not in the store.
+                  ts: str = "ts", once: bool = True) -> StreamingQuery:
+    """Encode and store arriving items whose id is not in the store, however late they come.
 
-    Repeats within the watermark are dropped in the stream, later ones by the join with the
-    store.
+    The first of a batch's rows with one id is taken, and the join with the store drops ids that
+    earlier batches brought. No state is kept besides the store.
     """
-    fresh = items.withWatermark(ts, delay).dropDuplicatesWithinWatermark(["id"])
-
     def sink(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         here = f"{path}/batch={batch_id}"
@@ -67,11 +74,18 @@ def ingest_stream(items: DataFrame, path: str, checkpoint: str, encoder: Encoder
         if "batch" in stored.columns:
             # an earlier attempt of this batch is about to be replaced, so it does not count
             stored = stored.filter(F.col("batch") != batch_id)
-        one = dedup_first(batch, "id", ts)
+        one = dedup_first(batch, "id", ts).persist()  # read twice below
         rows = encoder(stored_columns(new_items(one, stored, small=True)))
         rows.select(*[f.name for f in STORED_ITEM.fields]).write.mode("overwrite").parquet(here)
+        one.unpersist()
+
+    return _start(items, sink, checkpoint, once)
 
-    return _start(fresh, sink, checkpoint, once)
+
+def compact_items(spark: SparkSession, path: str, target: str) -> None:
+    """Write the items of a store's many batches as one batch of a new store."""
+    open_stream_store(spark, path).drop("batch").write.mode("overwrite").parquet(
+        f"{target}/batch=-1")
 
 
 def open_stream_store(spark: SparkSession, path: str) -> DataFrame:
@@ -86,14 +100,34 @@ def open_stream_store(spark: SparkSession, path: str) -> DataFrame:
 
 def usage_stream(events: DataFrame, path: str, checkpoint: str, *, ts: str = "ts",
                  name: str = "event_type", value: str = "value", window: str = "1 hour",
-                 delay: str = "1 hour", once: bool = True) -> StreamingQuery:
-    """Calls and mean value per name and tumbling window; a window is written when it closes."""
-    counted = events.withWatermark(ts, delay) \
-        .groupBy(F.window(ts, window), name) \
-        .agg(F.count(F.lit(1)).alias("calls"), F.avg(value).alias("mean_value")) \
-        .select(F.col("window.start").alias("window_start"), name, "calls", "mean_value")
+                 once: bool = True) -> StreamingQuery:
+    """Calls and values per name and tumbling window, as events arrive.
 
+    A batch adds its own counts and sums to a log, which is added up on reading: open windows
+    show at once, late events count, and no state is kept.
+    """
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        batch.groupBy(F.window(ts, window).alias("w"), F.col(name).cast("string").alias("name")) \
+            .agg(F.count(F.lit(1)).alias("calls"), F.count(value).alias("values"),
+                 F.sum(F.col(value).cast("double")).alias("total")) \
+            .select(F.col("w.start").alias("window_start"), "name", "calls", "values", "total") \
+            .write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return _start(events, sink, checkpoint, once)
+
 
-    return _start(counted, sink, checkpoint, once)
+def current_usage(spark: SparkSession, path: str) -> DataFrame:
+    """(window_start, name, calls, mean_value) of all batches written so far."""
+    if not path_exists(spark, path):
+        return spark.createDataFrame(
+            [], "window_start timestamp, name string, calls bigint, mean_value double")
+    return spark.read.schema(_USAGE).parquet(path).groupBy("window_start", "name").agg(
+        F.sum("calls").alias("calls"),
+        F.try_divide(F.sum("total"), F.sum("values")).alias("mean_value"))
+
+
+def compact_usage(spark: SparkSession, path: str, target: str) -> None:
+    """Add a log up into a new one with one row per window and name."""
+    spark.read.schema(_USAGE).parquet(path).groupBy("window_start", "name").agg(
+        *[F.sum(c).alias(c) for c in ("calls", "values", "total")]) \
+        .write.mode("overwrite").parquet(f"{target}/batch=-1")
