@@ -44,14 +44,24 @@ def search_catalogue(searches: DataFrame, catalogue: DataFrame, limit: int) -> D
         .select("id", "popularity", "t.kind", "t.have")
     terms = asked.select("kind", "text", "need", F.explode("need").alias("term"))
     wanted = terms.select("kind", "term").distinct()
-    postings = items.withColumn("term", F.explode("have")) \
+    postings = items.select("id", "popularity", "kind", F.explode("have").alias("term")) \
         .join(wanted, ["kind", "term"], "left_semi")
+    order = [F.col("popularity").desc(), F.col("id")]
+
+    # searches of one term: each term's best items first, then its searches
+    single = terms.filter(F.size("need") == 1).select("kind", "text", "term")
+    best = top_per(postings.join(single.select("kind", "term"), ["kind", "term"], "left_semi"),
+                   ["kind", "term"], order, limit)
+    answered = single.join(best, ["kind", "term"]).select("kind", "text", "rank", "id")
+
+    # searches of several terms are looked up by the rarest; the others are checked by item
+    several = terms.filter(F.size("need") > 1)
     rarity = postings.groupBy("kind", "term").agg(F.count(F.lit(1)).alias("n"))
-    # a search is looked up by its rarest term only; the others are checked on the spot
-    rarest = terms.join(rarity, ["kind", "term"]).groupBy("kind", "text", "need").agg(
+    rarest = several.join(rarity, ["kind", "term"]).groupBy("kind", "text", "need").agg(
         F.min_by("term", F.struct("n", "term")).alias("term"))
-    found = top_per(
-        postings.join(rarest, ["kind", "term"])
-        .filter((F.size("need") == 1) | (F.size(F.array_except("need", "have")) == 0)),
-        ["kind", "text"], [F.col("popularity").desc(), F.col("id")], limit)
-    return found.select("kind", "text", F.col("rank").cast("int").alias("rank"), "id")
+    hits = postings.join(rarest, ["kind", "term"]).select("kind", "text", "need", "id")
+    whole = hits.join(items, ["kind", "id"]).filter(
+        F.size(F.array_except("need", "have")) == 0)
+    found = top_per(whole.select("kind", "text", "id", "popularity"), ["kind", "text"], order,
+                    limit).select("kind", "text", "rank", "id")
+    return answered.unionByName(found).withColumn("rank", F.col("rank").cast("int"))

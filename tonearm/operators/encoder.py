@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tonearm.functions.text import squeeze
+from tonearm.functions.vectors import l2_normalise
 
 WIDTH = 384
 Encoder = Callable[[DataFrame], DataFrame]
@@ -40,6 +41,19 @@ def hashing_encoder(width: int = WIDTH, idf: IDFModel | None = None, document: s
     return encode
 
 
+def counting_encoder(vocabulary: list[str], document: str = "document",
+                     embedding: str = "embedding") -> Encoder:
+    """How often each word of a given list occurs, scaled to length 1; zeros where none does."""
+    def encode(df: DataFrame) -> DataFrame:
+        words = _words(document)
+        counts = F.array(*[F.size(F.filter(words, F.lit(w).eqNullSafe)).cast("double")
+                           for w in vocabulary])
+        return l2_normalise(df.withColumn(embedding, counts), embedding).withColumn(
+            embedding, F.col(embedding).cast("array<float>"))
+
+    return encode
+
+
 def fit_idf(documents: DataFrame, width: int = WIDTH, document: str = "document") -> IDFModel:
     """Word weights of a corpus; one pass, ``width`` numbers come back."""
     tf = HashingTF(numFeatures=width, inputCol="_words", outputCol="_tf")

@@ -39,11 +39,12 @@ def encode_vectors(df: DataFrame, weights: Weights, tower: str, keys: str | list
 
 
 def build_index(vectors: DataFrame, path: str, *, ivf: bool = False, cells: int = CELLS,
-                item_id: str = "id", vec: str = "embedding", seed: int = 0) -> None:
+                item_id: str = "id", vec: str = "embedding", seed: int = 0,
+                centres: list[list[float]] | None = None) -> None:
     """Store (item_id, embedding) as unit vectors, by cell when ``ivf``.
 
-    Cells are trained before any vector is assigned. Centroids, one row per cell, are stored
-    beside the vectors.
+    Cells are trained before any vector is assigned, or given by their ``centres``. Centres and
+    sizes, one row per cell, are stored beside the vectors.
     """
     unit = l2_normalise(vectors.select(F.col(item_id).alias("item_id"),
                                        F.col(vec).alias("embedding")), "embedding")
@@ -51,19 +52,23 @@ def build_index(vectors: DataFrame, path: str, *, ivf: bool = False, cells: int
         unit.withColumn("cell", F.lit(0)).write.mode("overwrite").partitionBy("cell") \
             .parquet(f"{path}/vectors")
         return
-    points = unit.withColumn("features", array_to_vector("embedding"))
-    model = KMeans(k=cells, seed=seed, predictionCol="cell").fit(points)
-    placed = model.transform(points).select("item_id", "embedding", "cell")
+    if centres is None:
+        points = unit.withColumn("features", array_to_vector("embedding"))
+        centres = [c.tolist() for c in KMeans(k=cells, seed=seed).fit(points).clusterCenters()]
+    spark = vectors.sparkSession
+    near = spark.createDataFrame(list(enumerate(centres)), "cell int, centre array<double>")
+    found = nearest(unit, near, 1, "l2", query_id="item_id", item_id="cell",
+                    query_vec="embedding", item_vec="centre")
+    placed = written(unit.join(found.select("item_id", "cell"), "item_id"), "placed")
     # a file per cell and ROWS_PER_FILE rows: no task gets the whole of a crowded cell
-    files = placed.groupBy("cell").agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(ROWS_PER_FILE)).cast("int").alias("files"))
+    sizes = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("size"))
+    files = sizes.select("cell", F.ceil(F.col("size") / F.lit(ROWS_PER_FILE)).cast("int").alias("files"))
     part = F.pmod(F.xxhash64("item_id"), F.col("files")).alias("part")
     placed.join(files, "cell").select("item_id", "embedding", "cell", part) \
         .repartition("cell", "part").drop("part") \
         .write.mode("overwrite").partitionBy("cell").parquet(f"{path}/vectors")
-    spark = vectors.sparkSession
-    spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(model.clusterCenters())],
-                          "cell int, centre array<double>") \
+    near.join(sizes, "cell", "left").select(
+        "cell", "centre", F.coalesce("size", F.lit(0)).alias("size")) \
         .write.mode("overwrite").parquet(f"{path}/centres")
 
 
@@ -76,10 +81,37 @@ def open_index(spark: SparkSession, path: str) -> DataFrame | None:
         .parquet(f"{path}/vectors")
 
 
+def _probes(queries, query_id, vec, cells, k, nprobe):
+    """(query_id, cell): the cells each query visits, nearest centres first."""
+    shared = queries.sparkSession.sparkContext.broadcast(cells)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        centre = np.array([c.centre for c in shared.value])
+        size = np.array([c.size for c in shared.value])
+        number = np.array([c.cell for c in shared.value])
+        for b in batches:
+            for at in range(0, len(b), 1000):
+                part = b.iloc[at:at + 1000]
+                q = np.stack(part[vec].to_numpy())
+                away = ((q * q).sum(1)[:, None] - 2 * q @ centre.T + (centre * centre).sum(1)).round(12)
+                order = np.argsort(away, axis=1, kind="stable")
+                have = np.cumsum(size[order], axis=1)
+                # the first nprobe cells, and on to the one that brings the k-th vector
+                last = np.maximum(nprobe, (have < k).sum(1) + 1)
+                rows, places = np.nonzero(np.arange(len(centre)) < last[:, None])
+                yield pd.DataFrame({query_id: part[query_id].to_numpy()[rows],
+                                    "cell": number[order[rows, places]]})
+
+    kind = queries.schema[query_id].dataType.simpleString()
+    return queries.select(query_id, F.col(vec).cast("array<double>").alias(vec)).mapInPandas(
+        run, f"{query_id} {kind}, cell int")
+
+
 def search_index(queries: DataFrame, spark: SparkSession, path: str, k: int, *,
                  query_id: str = "query_id", vec: str = "vec", nprobe: int | None = None,
                  block_rows: int = 50_000) -> DataFrame:
-    """(query_id, id, score, rank) by cosine: all vectors, or the ``nprobe`` nearest cells."""
+    """(query_id, id, score, rank) by cosine: all vectors, or those of the ``nprobe`` nearest cells
+    and of as many more as it takes to have ``k`` vectors."""
     index = open_index(spark, path)
     if index is None:
         raise ValueError("the index is not built")
@@ -87,9 +119,9 @@ def search_index(queries: DataFrame, spark: SparkSession, path: str, k: int, *,
         return nearest(queries, index, k, "cosine", query_id=query_id, item_id="item_id",
                        query_vec=vec, item_vec="embedding") \
             .withColumnRenamed("item_id", "id")
-    centres = spark.read.schema("cell int, centre array<double>").parquet(f"{path}/centres")
-    probes = written(nearest(queries, centres, nprobe, "l2", query_id=query_id, item_id="cell",
-                             query_vec=vec, item_vec="centre"), "probes")
+    cells = spark.read.schema("cell int, centre array<double>, size bigint") \
+        .parquet(f"{path}/centres").orderBy("cell").collect()  # CELLS rows
+    probes = written(_probes(queries, query_id, vec, cells, k, nprobe), "probes")
     q = probes.join(queries, query_id).select(
         F.col(query_id).alias("qid"), F.col(vec).cast("array<double>").alias("qvec"),
         F.col("cell").alias("block"))
@@ -98,7 +130,7 @@ def search_index(queries: DataFrame, spark: SparkSession, path: str, k: int, *,
     x = index.filter(F.col("cell").isin(probed)).select(
         F.col("item_id").alias("iid"), F.col("embedding").alias("ivec"),
         F.col("cell").alias("block"))
-    width = centres.select(F.size("centre").alias("w")).first().w
+    width = len(cells[0].centre)
     shape = (f"qid {q.schema['qid'].dataType.simpleString()}, "
              f"iid {x.schema['iid'].dataType.simpleString()}, cost double")
     found = best_in_shared_blocks(q, x, k, "cosine", shape, width, block_rows)

@@ -69,7 +69,7 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def _log_loss(p: np.ndarray, y: np.ndarray) -> float:
+def log_loss(p: np.ndarray, y: np.ndarray) -> float:
     p = np.clip(p, 1e-12, 1 - 1e-12)
     return float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).sum())
 
@@ -84,6 +84,13 @@ def encode(w: Weights, tower: str, x: np.ndarray) -> np.ndarray:
     return _unit(mlp(w, tower, x)[0])[0]
 
 
+def two_tower_score(w: Weights, x: np.ndarray) -> np.ndarray:
+    """Chance that a user likes an item, from the cosine of their embeddings."""
+    cosine = (encode(w, "user", x[:, :N_FEATURES]) * encode(w, "item", x[:, N_FEATURES:])).sum(
+        1, keepdims=True)
+    return sigmoid(cosine @ w["out.w0"] + w["out.b0"])[:, 0]
+
+
 def two_tower_step(w: Weights, x: np.ndarray, y: np.ndarray, rng) -> tuple[Weights, float]:
     """Summed gradient and loss of sigmoid(a * cosine(user, item) + b) against 0/1 labels."""
     eu, ku = mlp(w, "user", x[:, :N_FEATURES], TOWER_DROPOUT, rng)
@@ -96,7 +103,7 @@ def two_tower_step(w: Weights, x: np.ndarray, y: np.ndarray, rng) -> tuple[Weigh
     dc = d @ w["out.w0"].T
     mlp_gradient(w, "user", ku, dc * (ni - cosine * nu) / lu, grad)
     mlp_gradient(w, "item", ki, dc * (nu - cosine * ni) / li, grad)
-    return grad, _log_loss(p[:, 0], y)
+    return grad, log_loss(p[:, 0], y)
 
 
 def wide_deep_score(w: Weights, x: np.ndarray) -> np.ndarray:
@@ -113,7 +120,7 @@ def wide_deep_step(w: Weights, x: np.ndarray, y: np.ndarray, rng) -> tuple[Weigh
     grad: Weights = {}
     mlp_gradient(w, "wide", kw, d, grad)
     mlp_gradient(w, "deep", kd, d * s * (1 - s), grad)
-    return grad, _log_loss(p[:, 0], y)
+    return grad, log_loss(p[:, 0], y)
 
 
 def flat(w: Weights, names: list[str]) -> np.ndarray:

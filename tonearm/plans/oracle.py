@@ -12,6 +12,7 @@ from tonearm.functions.scoring import (
     NO_REASON, REASON_ARTIST, REASON_LABELS, REASON_PREFIX,
 )
 from tonearm.functions.text import DOCUMENT_FEATURES
+from tonearm.plans.given import GIVEN_CENTRES, GIVEN_RANKER, GIVEN_TOWERS, GIVEN_WORDS
 from tonearm.schemas import FEATURES
 
 F8 = ", ".join(FEATURES)
@@ -705,16 +706,18 @@ _LIFT = "(0.85 + 0.30 * (c.popularity / CAST(100 AS DOUBLE)))"
 _BASE = [f"coalesce(m.p{i}, {d})" for i, d in enumerate(DEFAULT_PROXY)]
 _BASE[0] = f"least(1.0, {_BASE[0]} * {_LIFT})"
 _BASE[1] = f"least(1.0, {_BASE[1]} * {_LIFT})"
-ORACLE["proxy_features"] = _with(TRACKS, ARTISTS, CATALOGUE, f"""resolved AS (
+_PROXY_PARTS = [f"""resolved AS (
 SELECT g, coalesce(list_filter(entries, lambda e: e.name = g)[1],
                    list_filter(entries, lambda e: contains(g, e.name) OR contains(e.name, g))[1])
             .vec AS vec
 FROM (SELECT DISTINCT lower(unnest(genres)) AS g, {_ENTRIES} AS entries FROM catalogue) d)""",
     "means AS (SELECT id, " + ", ".join(f"avg(vec[{i + 1}]) AS p{i}" for i in range(8)) + """
 FROM (SELECT id, lower(unnest(genres)) AS g FROM catalogue) c JOIN resolved r ON r.g = c.g
-WHERE vec IS NOT NULL GROUP BY id)""") + "SELECT c.id, " + ", ".join(
-    f"CAST(CAST({b} AS FLOAT) AS DOUBLE) AS {f}" for b, f in zip(_BASE, FEATURES)) + """
+WHERE vec IS NOT NULL GROUP BY id)"""]
+_PROXIES = "SELECT c.id, " + ", ".join(f"{b} AS {f}" for b, f in zip(_BASE, FEATURES)) + """
 FROM catalogue c LEFT JOIN means m ON m.id = c.id"""
+ORACLE["proxy_features"] = _with(TRACKS, ARTISTS, CATALOGUE, *_PROXY_PARTS) + "SELECT id, " + ", ".join(
+    f"CAST(CAST({f} AS FLOAT) AS DOUBLE) AS {f}" for f in FEATURES) + f" FROM ({_PROXIES}) p"
 ORACLE["mean_vector"] = """
 SELECT label, CAST(i - 1 AS INTEGER) AS at, CAST(CAST(avg(CAST(embedding[i] AS DOUBLE)) AS FLOAT) AS DOUBLE) AS x
 FROM (SELECT label, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) e
@@ -725,10 +728,206 @@ GROUP BY label, i"""
 ORACLE["training_pairs"] = _with(RATINGS, TRACKS, PROFILES) + f"""
 SELECT r.user_id, r.track_id, CASE WHEN rating >= 3 THEN CAST(1 AS DOUBLE) ELSE 0 END AS label,
        least(rating / 5, CAST(1 AS DOUBLE)) AS target,
-       CAST(CAST({' + '.join(f'coalesce(p.{f}, 0)' for f in FEATURES)} AS FLOAT) AS DOUBLE) AS user_vec,
-       CAST(CAST({' + '.join(f'coalesce(t.{f}, 0)' for f in FEATURES)} AS FLOAT) AS DOUBLE) AS item_vec
+       {', '.join(f'CAST(CAST(coalesce(p.{f}, 0) AS FLOAT) AS DOUBLE) AS user_vec_{i}' for i, f in enumerate(FEATURES))},
+       {', '.join(f'CAST(CAST(coalesce(t.{f}, 0) AS FLOAT) AS DOUBLE) AS item_vec_{i}' for i, f in enumerate(FEATURES))}
 FROM ratings r JOIN tracks t ON t.id = r.track_id JOIN profiles p ON p.user_id = r.user_id"""
 
+# --- rankers with given weights ----------------------------------------------------------------
+
+
+def _double(x) -> str:
+    return f"CAST({float(x)!r} AS DOUBLE)"
+
+
+def _network(name: str, source: str, keys: str, inputs: list[str], weights, net: str) -> list[str]:
+    """Parts that run a stack of layers with ReLU between them; outputs are z0, z1, ..."""
+    depth, parts = sum(k.startswith(f"{net}.w") for k in weights), []
+    for i in range(depth):
+        w, b = weights[f"{net}.w{i}"], weights[f"{net}.b{i}"]
+        sums = [" + ".join([f"{x} * {_double(w[j, k])}" for j, x in enumerate(inputs)])
+                + f" + {_double(b[k])}" for k in range(w.shape[1])]
+        last = i == depth - 1
+        parts.append(f"{name}{'' if last else i} AS (SELECT {keys}, " + ", ".join(
+            f"{x if last else f'greatest({x}, 0)'} AS z{k}" for k, x in enumerate(sums))
+            + f" FROM {source})")
+        source, inputs = f"{name}{i}", [f"z{k}" for k in range(w.shape[1])]
+    return parts
+
+
+def _tower(name: str, source: str, keys: str, inputs: list[str], net: str) -> list[str]:
+    """Parts that end in unit embeddings e0, e1, ..."""
+    n = GIVEN_TOWERS[f"{net}.b2"].shape[0]
+    norm = "greatest(sqrt(" + " + ".join(f"z{k} * z{k}" for k in range(n)) + "), 1e-12)"
+    return [*_network(f"{name}_raw", source, keys, inputs, GIVEN_TOWERS, net),
+            f"{name} AS (SELECT {keys}, " + ", ".join(
+                f"z{k} / {norm} AS e{k}" for k in range(n)) + f" FROM {name}_raw)"]
+
+
+_WIDTH = GIVEN_TOWERS["user.b2"].shape[0]
+_PRESENT = [f"coalesce({f}, 0)" for f in FEATURES]
+_ITEM_TOWER = _tower("item_towers", "tracks", "id", _PRESENT, "item")
+
+
+def _scaled(side: str) -> str:
+    return "(sqrt(" + " + ".join(f"{side}.e{k} * {side}.e{k}" for k in range(_WIDTH)) + ") + 1e-10)"
+
+
+_NEAR_ITEMS = [*_tower("user_towers", "profiles", "user_id", _PRESENT, "user"), *_ITEM_TOWER,
+               f"""near AS (
+SELECT * FROM (
+  SELECT user_id, id, similarity, row_number() OVER (
+    PARTITION BY user_id ORDER BY similarity DESC, id) AS rank
+  FROM (SELECT u.user_id, t.id, {' + '.join(
+      f'(u.e{k} / {_scaled("u")}) * (t.e{k} / {_scaled("t")})' for k in range(_WIDTH))} AS similarity
+        FROM user_towers u CROSS JOIN item_towers t) d) r
+WHERE rank <= 100)"""]
+ORACLE["two_tower_given"] = _with(RATINGS, TRACKS, PROFILES, *_NEAR_ITEMS) + """
+SELECT user_id, id, CAST(CAST(similarity AS FLOAT) AS DOUBLE) AS similarity,
+       CAST(rank AS INTEGER) AS rank FROM near"""
+
+
+def _wide_deep(pairs: str) -> list[str]:
+    """Parts that end in ``scored`` (user_id, id, place, score) for a table of pairs."""
+    both = [f"coalesce(p.{f}, 0)" for f in FEATURES] + [f"coalesce(t.{f}, 0)" for f in FEATURES]
+    names = [f"x{i}" for i in range(len(both))]
+    return ["inputs AS (SELECT a.user_id, a.id, a.place, " + ", ".join(
+                f"{x} AS {n}" for x, n in zip(both, names)) + f""" FROM {pairs} a
+JOIN profiles p ON p.user_id = a.user_id JOIN tracks t ON t.id = a.id)""",
+            *_network("wide", "inputs", "user_id, id, place", names, GIVEN_RANKER, "wide"),
+            *_network("deep", "inputs", "user_id, id, place", names, GIVEN_RANKER, "deep"),
+            """scored AS (
+SELECT w.user_id, w.id, w.place, 1 / (1 + exp(-(w.z0 + 1 / (1 + exp(-d.z0))))) AS score
+FROM wide w JOIN deep d ON d.user_id = w.user_id AND d.id = w.id)"""]
+
+
+ORACLE["wide_deep_given"] = _with(
+    RATINGS, TRACKS, PROFILES, "pairs AS (SELECT user_id, track_id AS id, 0 AS place FROM ratings)",
+    *_wide_deep("pairs")) + """
+SELECT user_id, id, CAST(CAST(score AS FLOAT) AS DOUBLE) AS score FROM scored"""
+ORACLE["two_stage_given"] = _with(RATINGS, TRACKS, PROFILES, *_NEAR_ITEMS, """pairs AS (
+SELECT user_id, id, rank AS place FROM near n WHERE NOT EXISTS (
+  SELECT 1 FROM ratings r WHERE r.user_id = n.user_id AND r.track_id = n.id))""",
+    *_wide_deep("pairs")) + """
+SELECT s.user_id, CAST(rank AS INTEGER) AS rank, s.id, t.name, t.artists[1] AS artist, t.album,
+       CAST(CAST(score AS FLOAT) AS DOUBLE) AS score, 'two_stage' AS method
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, place) AS rank
+      FROM scored) s JOIN tracks t ON t.id = s.id
+WHERE rank <= 10"""
+
+_SEED_TOWER = [
+    f"proxies AS ({_PROXIES})",
+    *_tower("proxy_towers", "proxies", "id", FEATURES, "item"),
+    "seed_means AS (SELECT s.need, " + ", ".join(f"avg(e{k}) AS m{k}" for k in range(_WIDTH))
+    + " FROM seeds s JOIN proxy_towers p ON p.id = s.id GROUP BY s.need)",
+    f"""tower_near AS (
+SELECT need, id, score, row_number() OVER (PARTITION BY need ORDER BY place) AS kept, place FROM (
+  SELECT *, row_number() OVER (PARTITION BY need ORDER BY score DESC, id) AS place
+  FROM (SELECT q.need, t.id, {' + '.join(f'q.m{k} * t.e{k}' for k in range(_WIDTH))} AS score
+        FROM seed_means q CROSS JOIN item_towers t) d) r
+WHERE place <= 100 AND NOT list_contains((SELECT seed_ids FROM context x WHERE x.need = r.need), id))""",
+    """tower_scored AS (
+SELECT n.need, n.id, n.place, c.artists, round(n.score, 4) AS plain,
+       CASE WHEN list_has_any(list_transform(c.artists, lambda a: lower(a)), x.seed_artists)
+            THEN greatest(0.0, round(n.score, 4) - 0.4) ELSE round(n.score, 4) END AS similarity_score
+FROM tower_near n JOIN catalogue c ON c.id = n.id JOIN context x ON x.need = n.need
+WHERE n.kept <= 60)""",
+    """own AS (
+SELECT need, id, similarity_score, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY need
+            ORDER BY similarity_score DESC, plain DESC, place) AS rank
+  FROM (SELECT *, row_number() OVER (PARTITION BY need, lower(artists[1])
+                  ORDER BY similarity_score DESC, plain DESC, place) AS nth FROM tower_scored) s
+  WHERE nth <= 2) r
+WHERE rank <= 20)""",
+    """short AS (
+SELECT x.need, coalesce(o.n, 0) AS have FROM context x
+LEFT JOIN (SELECT need, count(*) AS n FROM own GROUP BY need) o ON o.need = x.need
+WHERE coalesce(o.n, 0) < 10)"""]
+# the default ranker over what is not listed yet, for needs left short
+_FILL = MULTI.replace("FROM candidates)", """FROM candidates c WHERE need IN (SELECT need FROM short)
+  AND NOT EXISTS (SELECT 1 FROM own o WHERE o.need = c.need AND o.id = c.id))""")
+ORACLE["two_tower_rank_given"] = _with(*_TO_CANDIDATES, *_PROXY_PARTS, *_ITEM_TOWER, *_SEED_TOWER,
+                                       _FILL, """answers AS (
+SELECT need, rank, id, similarity_score FROM own
+UNION ALL
+SELECT p.need, p.rank + s.have, p.id, p.similarity_score FROM picks p JOIN short s ON s.need = p.need
+WHERE p.rank <= 20 - s.have)""") + """
+SELECT request_id, CAST(rank AS INTEGER) AS rank, c.id, c.name, similarity_score
+FROM asks a JOIN answers p ON p.need = a.need JOIN catalogue c ON c.id = p.id"""
+
+# --- given cells, counted words, stores and checks ---------------------------------------------
+
+_CENTRES = "centres AS (SELECT * FROM (VALUES " + ", ".join(
+    f"({i}, [{', '.join(_double(x) for x in c)}])" for i, c in enumerate(GIVEN_CENTRES)) \
+    + ") c(cell, centre))"
+_UNIT = """unit AS (SELECT vec_id, CASE WHEN n > 0 THEN list_transform(e, lambda a: a / n) ELSE e END AS u, e, n
+FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e,
+             sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda a: a * a))) AS n
+      FROM embeddings) s)"""
+
+
+def _away(v: str) -> str:
+    return f"""list_sum(list_transform(range(1, 65), lambda i: ({v}[i] - centre[i]) * ({v}[i] - centre[i])))"""
+
+
+ORACLE["ivf_search_given_cells"] = _with(_CENTRES, _UNIT, f"""cells AS (
+SELECT vec_id, cell FROM (SELECT vec_id, cell, row_number() OVER (
+  PARTITION BY vec_id ORDER BY {_away('u')}, cell) AS rn FROM unit CROSS JOIN centres) x
+WHERE rn = 1)""", """sizes AS (
+SELECT c.cell, c.centre, coalesce(n, 0) AS size FROM centres c
+LEFT JOIN (SELECT cell, count(*) AS n FROM cells GROUP BY cell) s ON s.cell = c.cell)""", f"""visits AS (
+SELECT vec_id, cell FROM (
+  SELECT *, sum(size) OVER (PARTITION BY vec_id ORDER BY place) - size AS before FROM (
+    SELECT vec_id, e, cell, size, row_number() OVER (
+      PARTITION BY vec_id ORDER BY round({_away('e')}, 12), cell) AS place
+    FROM unit CROSS JOIN sizes) x) y
+WHERE place <= 2 OR before < 10)""") + """
+SELECT query_id, id, CAST(CAST(score AS FLOAT) AS DOUBLE) AS score, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank
+  FROM (SELECT v.vec_id AS query_id, c.vec_id AS id,
+               list_dot_product(list_transform(q.e, lambda a: a / (q.n + 1e-10)),
+                                list_transform(x.u, lambda a: a / (1 + 1e-10))) AS score
+        FROM visits v JOIN cells c ON c.cell = v.cell JOIN unit q ON q.vec_id = v.vec_id
+        JOIN unit x ON x.vec_id = c.vec_id) p) r
+WHERE rank <= 10"""
+
+
+def _counted(words: str) -> str:
+    """Counts of the given words in a list of words, scaled to length 1, as floats."""
+    counts = "[" + ", ".join(
+        f"CAST(len(list_filter({words}, lambda x: x = {_text(w)})) AS DOUBLE)" for w in GIVEN_WORDS) + "]"
+    return f"""(SELECT CAST(CASE WHEN n > 0 THEN list_transform(c, lambda a: a / n) ELSE c END AS FLOAT[])
+FROM (SELECT c, sqrt(list_sum(list_transform(c, lambda a: a * a))) AS n FROM (SELECT {counts} AS c) z) y)"""
+
+
+_DOCS = f"""docs AS (SELECT *, {_counted("string_split(lower(document), ' ')")} AS e
+FROM (SELECT *, {_DOCUMENT} AS document FROM tracks) t)"""
+ORACLE["add_items_counted"] = _with(TRACKS, _DOCS) + "SELECT CAST(id AS VARCHAR) AS id, " + ", ".join(
+    f"CAST(e[{i + 1}] AS DOUBLE) AS e{i}" for i in range(len(GIVEN_WORDS))) + " FROM docs"
+ORACLE["text_search_counted"] = _with(TRACKS, _DOCS, f"""asked AS (
+SELECT p_name, CAST({_counted("string_split(lower(p_name), ' ')")} AS DOUBLE[]) AS q
+FROM (SELECT DISTINCT p_name FROM part) p)""") + """
+SELECT query_id, CAST(rank AS INTEGER) AS rank, id, name,
+       CAST(CAST(score AS FLOAT) AS DOUBLE) AS similarity_score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, id) AS rank
+  FROM (SELECT a.p_name AS query_id, d.id, d.name, list_sum(list_transform(range(1, len(q) + 1),
+               lambda i: (q[i] - d.v[i]) * (q[i] - d.v[i]))) AS score
+        FROM asked a CROSS JOIN (SELECT id, name, CAST(e AS DOUBLE[]) AS v FROM docs
+                                 WHERE popularity >= 20) d) p) r
+WHERE rank <= 10"""
+ORACLE["clear_store"] = _with(TRACKS) + """
+SELECT CAST(id AS VARCHAR) AS id, name FROM tracks WHERE popularity > 50"""
+ORACLE["validate_table"] = _with(RATINGS, TRACKS) + """
+SELECT 'tracks' AS name, CASE WHEN count(*) > count(DISTINCT id) THEN 'the table has repeated ids' END AS error
+FROM tracks
+UNION ALL SELECT 'rated', CASE WHEN count(*) > count(DISTINCT id) THEN 'the table has repeated ids' END
+FROM tracks JOIN ratings ON track_id = id
+UNION ALL SELECT 'nameless', 'missing columns: [''name'']'
+UNION ALL SELECT 'none', CASE WHEN count(*) = 0 THEN 'the table is empty' END FROM tracks WHERE id < 0"""
+ORACLE["validate_n_results"] = """
+SELECT DISTINCT CAST(p_size * 40 - 40 AS BIGINT) AS n, p_size * 40 - 40 BETWEEN 1 AND 1000 AS accepted
+FROM part"""
+
 # --- metrics and streams -----------------------------------------------------------------------
 
 ORACLE["usage_metrics"] = """

@@ -20,17 +20,19 @@ from tonearm.operators.index import build_index, encode_vectors, open_index, sea
 from tonearm.operators.nearest import nearest
 from tonearm.operators.neighbours import top_neighbours
 from tonearm.plans import metrics as M
+from tonearm.plans import models as MD
 from tonearm.plans import recommend as R
 from tonearm.plans import report as RP
 from tonearm.plans import requests as P
 from tonearm.plans import two_stage as TS
+from tonearm.plans.given import GIVEN_CENTRES, GIVEN_RANKER, GIVEN_TOWERS, GIVEN_WORDS
 from tonearm.plans.profiles import user_profiles
 from tonearm.plans.search import search_text
 from tonearm.schemas import FEATURES, RAW_ARTIST_TOP
 from tonearm.session import shared_folder, written
 from tonearm.sources import landing, store
 from tonearm.sources import testbed as tb
-from tonearm.sources.models import save_weights
+from tonearm.sources.models import load_weights, save_weights
 from tonearm.sources.preferences import load_preferences, save_preferences
 from tonearm.streaming import jobs
 
@@ -348,6 +350,54 @@ def add_items(spark, sf):
         F.array_join("artists", "|").alias("artists"), "acousticness", "preview_url")
 
 
+@query
+def add_items_counted(spark, sf):
+    """Stored embeddings, component by component, of an encoder that counts given words."""
+    path = shared_folder(spark, "items")
+    store.add_items(tb.tracks(spark, sf), path, E.counting_encoder(GIVEN_WORDS))
+    return store.open_store(spark, path).select(
+        "id", *[_single(F.get("embedding", F.lit(i))).alias(f"e{i}")
+                for i in range(len(GIVEN_WORDS))])
+
+
+@query
+def clear_store(spark, sf):
+    """A store filled, cleared and filled with other items holds only those."""
+    path, tracks = shared_folder(spark, "items"), tb.tracks(spark, sf)
+    store.add_items(tracks, path, E.hashing_encoder())
+    store.clear_store(spark, path)
+    store.add_items(tracks.filter(F.col("popularity") > 50), path, E.hashing_encoder())
+    return store.open_store(spark, path).select("id", "name")
+
+
+@query
+def validate_table(spark, sf):
+    """Which of the delivered tables may be stored, by column and repeated ids."""
+    tracks = tb.tracks(spark, sf).select("id", "name", "artists", "album")
+    twice = tracks.join(tb.ratings(spark, sf).select(F.col("track_id").alias("id")), "id")
+    found = [(name, _refusal(lambda df=df: Q.check_table(df))) for name, df in (
+        ("tracks", tracks), ("rated", twice), ("nameless", tracks.drop("name")),
+        ("none", tracks.filter("id < 0")))]
+    return spark.createDataFrame(found, "name string, error string")
+
+
+@query
+def validate_n_results(spark, sf):
+    """Which numbers of results may be asked for, the parts' sizes taken as numbers."""
+    asked = tb.table(spark, sf, "part").select(F.col("p_size") * 40 - 40).distinct().collect()
+    return spark.createDataFrame(
+        [(int(n), _refusal(lambda n=int(n): Q.check_n_results(n)) is None) for n, in asked],
+        "n bigint, accepted boolean")
+
+
+def _refusal(check):
+    try:
+        check()
+    except ValueError as e:
+        return str(e)
+    return None
+
+
 @query
 def point_lookup(spark, sf):
     ids = tb.table(spark, sf, "orders").select(F.col("o_custkey").alias("id")).distinct()
@@ -563,12 +613,33 @@ def ivf_search_all_cells(spark, sf):
     return _ranked(search_index(q, spark, _index(spark, sf, ivf=True, cells=16), 10, nprobe=16))
 
 
+@query
+def ivf_search_given_cells(spark, sf):
+    """Cells around given centres, the two nearest probed and more only where they lack vectors."""
+    q = _vectors(spark, sf).withColumnRenamed("id", "query_id")
+    path = _index(spark, sf, ivf=True, centres=GIVEN_CENTRES)
+    return _ranked(search_index(q, spark, path, 10, nprobe=2))
+
+
 @query
 def ivf_search(spark, sf):
     q = _vectors(spark, sf).withColumnRenamed("id", "query_id")
     return _ranked(search_index(q, spark, _index(spark, sf, ivf=True, cells=16), 10, nprobe=4))
 
 
+@query
+def text_search_counted(spark, sf):
+    """Text search with an encoder that counts given words."""
+    encode = E.counting_encoder(GIVEN_WORDS)
+    docs = tb.tracks(spark, sf)
+    docs = encode(docs.withColumn("document", TX.text_document(docs.columns)))
+    queries = tb.table(spark, sf, "part").select("p_name").distinct().select(
+        F.col("p_name").alias("query_id"), F.col("p_name").alias("query"))
+    found, _ = search_text(queries, docs, encode, 10, {"popularity": {"$gte": 20}})
+    return found.select("query_id", "rank", "id", "name",
+                        _single("similarity_score").alias("similarity_score"))
+
+
 @query
 def text_search(spark, sf):
     docs = tb.tracks(spark, sf)
@@ -597,65 +668,95 @@ def mean_vector(spark, sf):
 
 # --- trained rankers ---------------------------------------------------------------------------
 
-_STEPS = 5
+_MODELS: dict[tuple[str, str], str] = {}
 
 
-def _pairs(spark, sf, ratings=None):
-    ratings = ratings or _ratings(spark, sf)
-    return written(training.training_pairs(ratings, tb.tracks(spark, sf)), "pairs")
+def _models_path(spark, sf):
+    """Where this application's trained models of a folder of tables are; trained at first use."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _MODELS:
+        _MODELS[key] = shared_folder(spark, "models")
+    path = _MODELS[key]
+    MD.load_or_fit(_ratings(spark, sf), tb.tracks(spark, sf), path)
+    return path
 
 
 @query
 def training_pairs(spark, sf):
     pairs = training.training_pairs(_ratings(spark, sf), tb.tracks(spark, sf))
     return pairs.select("user_id", "track_id", "label", "target", *[
-        _single(F.aggregate(v, F.lit(0.0), lambda a, x: a + x)).alias(v)
-        for v in ("user_vec", "item_vec")])
+        _single(F.get(v, F.lit(i))).alias(f"{v}_{i}")
+        for v in ("user_vec", "item_vec") for i in range(len(FEATURES))])
 
 
 @query
 def two_tower_training(spark, sf):
-    done = training.train_two_tower(_pairs(spark, sf), steps=_STEPS)
-    path = shared_folder(spark, "towers")
-    save_weights(spark, done.weights, path)
-    return spark.createDataFrame(list(enumerate(done.losses)), "step int, loss double")
+    """Losses and held-out accuracy of every epoch of both rankers, from the stored models."""
+    return MD.load(spark, _models_path(spark, sf)).history
 
 
 @query
 def two_tower_candidates(spark, sf):
-    ratings, tracks = _ratings(spark, sf), tb.tracks(spark, sf)
-    towers = training.train_two_tower(_pairs(spark, sf, ratings), steps=_STEPS).weights
-    path = shared_folder(spark, "tower-index")
-    build_index(encode_vectors(TS.item_vectors(tracks), towers, "item", "id"), path)
-    return TS.two_tower_candidates(ratings, tracks, towers, 100, path)
+    models = MD.load(spark, _models_path(spark, sf))
+    return TS.two_tower_candidates(_ratings(spark, sf), tb.tracks(spark, sf), models.towers, 100,
+                                   models.index_path, nprobe=8)
 
 
 @query
 def wide_deep_rank(spark, sf):
-    ratings, tracks = _ratings(spark, sf), tb.tracks(spark, sf)
-    done = training.train_wide_deep(_pairs(spark, sf, ratings), steps=_STEPS)
-    return TS.score_wide_deep(ratings.select("user_id", F.col("track_id").alias("id")),
-                              ratings, tracks, done.weights)
+    ratings = _ratings(spark, sf)
+    return TS.score_wide_deep(ratings.select("user_id", F.col("track_id").alias("id")), ratings,
+                              tb.tracks(spark, sf), MD.load(spark, _models_path(spark, sf)).ranker)
 
 
 @query
 def two_stage(spark, sf):
-    ratings, tracks = _ratings(spark, sf), tb.tracks(spark, sf)
-    pairs = _pairs(spark, sf, ratings)
-    towers = training.train_two_tower(pairs, steps=_STEPS).weights
-    ranker = training.train_wide_deep(pairs, steps=_STEPS).weights
-    return _shown(R.recommend(ratings, tracks, 10, "two_stage", towers=towers, ranker=ranker),
-                  "score")
+    path = _models_path(spark, sf)
+    return _shown(R.recommend(_ratings(spark, sf), tb.tracks(spark, sf), 10, "two_stage",
+                              models_path=path, nprobe=8), "score")
 
 
 @query
 def two_tower_rank(spark, sf):
-    tracks = tb.tracks(spark, sf)
-    towers = training.train_two_tower(_pairs(spark, sf), steps=_STEPS).weights
-    path = shared_folder(spark, "tower-index")
-    build_index(encode_vectors(TS.item_vectors(tracks), towers, "item", "id"), path)
-    index = open_index(spark, path).withColumnRenamed("item_id", "id")
-    return _picks(spark, sf, "two-tower", two_tower=(towers, index))
+    return _picks(spark, sf, "two-tower", models_path=_models_path(spark, sf))
+
+
+# --- the same rankers with given weights, whose numbers SQL can say ----------------------------
+
+def _given(spark, weights):
+    """Small networks with given weights, saved and loaded as trained ones are."""
+    path = shared_folder(spark, "given")
+    save_weights(spark, weights, path)
+    return load_weights(spark, path)
+
+
+@query
+def two_tower_given(spark, sf):
+    found = TS.two_tower_candidates(_ratings(spark, sf), tb.tracks(spark, sf),
+                                    _given(spark, GIVEN_TOWERS), 100)
+    return found.withColumn("similarity", _single("similarity"))
+
+
+@query
+def wide_deep_given(spark, sf):
+    ratings = _ratings(spark, sf)
+    pairs = ratings.select("user_id", F.col("track_id").alias("id"))
+    return _shown(TS.score_wide_deep(pairs, ratings, tb.tracks(spark, sf),
+                                     _given(spark, GIVEN_RANKER)), "score")
+
+
+@query
+def two_stage_given(spark, sf):
+    return _shown(R.recommend(
+        _ratings(spark, sf), tb.tracks(spark, sf), 10, "two_stage",
+        towers=_given(spark, GIVEN_TOWERS), ranker=_given(spark, GIVEN_RANKER)), "score")
+
+
+@query
+def two_tower_rank_given(spark, sf):
+    towers = _given(spark, GIVEN_TOWERS)
+    index = encode_vectors(TS.item_vectors(tb.tracks(spark, sf)), towers, "item", "id")
+    return _picks(spark, sf, "two-tower", two_tower=(towers, written(index, "item-embeddings")))
 
 
 # --- metrics and streams -----------------------------------------------------------------------

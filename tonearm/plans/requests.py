@@ -31,9 +31,9 @@ RANKED = ["need", "rank", "id", "similarity_score"]
 
 
 def parse(requests: DataFrame) -> DataFrame:
-    """Adds ``parsed`` and ``need``, the text form of what was parsed."""
+    """Adds ``parsed`` and ``need``, a digest of what was parsed: a key of fixed length."""
     parsed = parse_request(requests)
-    return parsed.withColumn("need", F.to_json("parsed"))
+    return parsed.withColumn("need", F.sha2(F.to_json("parsed"), 256))
 
 
 def distinct_needs(parsed: DataFrame) -> DataFrame:
@@ -139,15 +139,22 @@ def rank_genre_jaccard(candidates: DataFrame, n: int = 20) -> DataFrame:
 def find_recommendations(
     requests: DataFrame, catalogue: DataFrame, artists: DataFrame, *, n: int = 20,
     n_seeds: int = N_SEEDS, model_key: str = DEFAULT_MODEL, two_tower=None,
+    models_path: str | None = None,
 ) -> dict[str, DataFrame]:
     """Seeds and ranked tracks for every request.
 
     Returns ``requests`` (parsed), ``context`` (per need), ``seeds`` and ``picks`` (per need,
     with ``rank``), and ``failed`` (per need). An unknown model means the default one.
-    ``two_tower`` is the ``(item_tower, index)`` pair for that model; without it the default
-    ranker answers.
+    ``two_tower`` is the ``(towers, index)`` pair for that model, or ``models_path`` names stored
+    models; with neither, or nothing stored there, the default ranker answers.
     """
-    parsed = parse(requests)
+    if model_key == "two-tower" and two_tower is None and models_path is not None:
+        from tonearm.plans.models import item_index, load
+
+        models = load(requests.sparkSession, models_path)
+        if models is not None:
+            two_tower = (models.towers, item_index(requests.sparkSession, models))
+    parsed = written(parse(requests), "requests")
     # what follows reads these tables several times; writing them keeps each step one job
     needs = written(distinct_needs(parsed), "needs")
     seeds, failed = find_seeds(needs, catalogue, n_seeds)
@@ -167,5 +174,8 @@ def find_recommendations(
 
 
 def per_request(found: dict[str, DataFrame], what: str) -> DataFrame:
-    """Rows of ``seeds``, ``picks`` or ``failed`` joined back to the requests."""
-    return found["requests"].select("request_id", "need").join(found[what], "need")
+    """Rows of ``seeds``, ``picks`` or ``failed`` joined back to the requests.
+
+    Both sides are stored tables, so that Spark can split a need that very many requests share.
+    """
+    return found["requests"].select("request_id", "need").join(written(found[what], what), "need")
