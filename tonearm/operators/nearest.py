@@ -22,18 +22,20 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tonearm.session import BROADCAST_CELLS, compute_partitions, rows_up_to, written
+from tonearm.session import BROADCAST_CELLS, compute_partitions, written
 
 # feature and l2 are squared distances, cosine and ip (inner product) similarities; ranking is
 # always ascending on "cost", the distance or the negated similarity
 METRICS = ("feature", "l2", "cosine", "ip")
 _CHUNK_CELLS = 4_000_000
+# Ranges of the pruning feature; a crowded one is cut further by hash.
+_RANGES = 256
 
 
 def _matrix(column: pd.Series, width: int) -> np.ndarray:
     if not len(column):
         return np.zeros((0, width))
-    return np.array([np.asarray(v, dtype=np.float64) for v in column])
+    return np.concatenate(column.to_numpy()).astype(np.float64, copy=False).reshape(len(column), -1)
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -144,15 +146,16 @@ def nearest(
              f"iid {x.schema['iid'].dataType.simpleString()}, cost double"
 
     head = x.select(F.size("ivec").alias("w")).head()
-    width = head.w if head else 1
-    bound = max(1, broadcast_cells // max(1, width))
-    few_items = rows_up_to(x, bound) is not None
-    few_queries = not few_items and rows_up_to(q, bound) is not None
+    width = max(1, head.w) if head else 1
+    # an item is its vector and id; a query keeps k results in every task besides
+    items_here = _small(x, "iid", width, broadcast_cells)
+    few_items = items_here is not None
+    queries_here = None if few_items else _small(q, "qid", width + 2 * k, broadcast_cells)
 
     if few_items:
-        found = _items_to_all(spark, q, x, k, metric, schema, width)
-    elif few_queries:
-        found = _queries_to_all(spark, q, x, k, metric, schema, width)
+        found = _items_to_all(spark, q, items_here, k, metric, schema, width)
+    elif queries_here is not None:
+        found = _queries_to_all(spark, queries_here, x, k, metric, schema, width)
     else:
         found = _blocks(q, x, k, metric, schema, width, prune_on, block_rows)
 
@@ -163,8 +166,19 @@ def nearest(
                         score.alias("score"), F.col("rank").cast("int").alias("rank"))
 
 
-def _items_to_all(spark, q, x, k, metric, schema, width):
-    local = _sorted_items(x.toPandas())
+def _small(df, key, width, cells):
+    """The table itself if it has at most ``cells`` numbers of 8 bytes, ids included, else None.
+
+    One bounded job answers both whether it is small and what is in it.
+    """
+    bound = max(1, cells // width)
+    local = df.limit(bound + 1).toPandas()
+    texts = local[key].str.len().sum() / 8 if local[key].dtype == object else 0
+    return local if len(local) <= bound and len(local) * width + texts <= max(cells, width) else None
+
+
+def _items_to_all(spark, q, local, k, metric, schema, width):
+    local = _sorted_items(local)
     shared = spark.sparkContext.broadcast(
         (local["iid"].to_numpy(), _prepare(_matrix(local["ivec"], width), metric)))
 
@@ -183,8 +197,7 @@ def _items_to_all(spark, q, x, k, metric, schema, width):
         .mapInPandas(scan, schema + ", rank int")
 
 
-def _queries_to_all(spark, q, x, k, metric, schema, width):
-    local = q.toPandas()
+def _queries_to_all(spark, local, x, k, metric, schema, width):
     shared = spark.sparkContext.broadcast(
         (local["qid"].to_numpy(), _prepare(_matrix(local["qvec"], width), metric)))
 
@@ -249,8 +262,9 @@ def _merge(found, k):
 
 
 def _ranges(x, prune_on, block_rows):
-    """Number each item's range of one feature; only range edges come to the driver."""
-    n_blocks = max(1, -(-x.count() // block_rows))
+    """Number each item's range of one feature; only the edges of at most _RANGES ranges come to
+    the driver."""
+    n_blocks = min(_RANGES, max(1, -(-x.count() // block_rows)))
     at = F.get("ivec", prune_on)
     x = x.withColumn("at", F.when(F.isnan(at), F.lit(None)).otherwise(at))
     shares = [i / n_blocks for i in range(1, n_blocks)]

@@ -148,6 +148,8 @@ SELECT target_id, CAST(rank AS INTEGER) AS rank, id, name, album,
         AS feature_score FROM targets g CROSS JOIN tracks t) d) r
 WHERE rank <= 20"""
 
+ORACLE["audio_feature_search_pruned"] = ORACLE["audio_feature_search"]
+
 ORACLE["content_based"] = _with(RATINGS, TRACKS, PROFILES, CONTENT.format(n=10)) + """
 SELECT user_id, CAST(rank AS INTEGER) AS rank, id, name, artists[1] AS artist, album,
        CAST(CAST(feature_score AS FLOAT) AS DOUBLE) AS feature_score FROM content"""
@@ -156,6 +158,8 @@ ORACLE["top_neighbours"] = _with(RATINGS, NEIGHBOURS) + """
 SELECT u AS user_id, v AS neighbour_id, CAST(CAST(sim AS FLOAT) AS DOUBLE) AS similarity,
        CAST(rank AS INTEGER) AS rank FROM neighbours"""
 
+ORACLE["top_neighbours_hot"] = ORACLE["top_neighbours"]
+
 ORACLE["collaborative"] = _with(RATINGS, TRACKS, NEIGHBOURS, COLLAB.format(n=10)) + """
 SELECT user_id, CAST(rank AS INTEGER) AS rank, id, name, artists[1] AS artist, album,
        CAST(CAST(recommendation_score AS FLOAT) AS DOUBLE) AS recommendation_score FROM collab"""
@@ -693,6 +697,18 @@ _COSINE = _with(_V) + _TOPK.format(
     order="DESC", score="list_dot_product(q.e, x.e) / (q.n * x.n)", where="true")
 ORACLE["vector_topk_cosine"] = _COSINE
 ORACLE["index_search"] = _COSINE
+ORACLE["vector_topk_blocks"] = _COSINE
+ORACLE["vector_topk_few_queries"] = _with(_V, """means AS (
+SELECT label, list(x ORDER BY i) AS m FROM (
+  SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS x
+  FROM (SELECT label, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) e
+  GROUP BY label, i) z GROUP BY label)""") + """
+SELECT query_id, id, CAST(CAST(score AS FLOAT) AS DOUBLE) AS score, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank
+  FROM (SELECT q.label AS query_id, x.vec_id AS id, list_dot_product(q.m, x.e)
+               / ((sqrt(list_sum(list_transform(q.m, lambda a: a * a))) + 1e-10) * x.n) AS score
+        FROM means q CROSS JOIN v x) p) r
+WHERE rank <= 10"""
 ORACLE["ivf_search_all_cells"] = _COSINE
 ORACLE["vector_topk_l2_filtered"] = _with(_V) + _TOPK.format(
     order="", where="x.label IN (1, 3, 5, 7)",

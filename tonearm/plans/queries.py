@@ -102,6 +102,12 @@ def top_neighbours_query(spark, sf):
 QUERIES["top_neighbours"] = QUERIES.pop("top_neighbours_query")
 
 
+@query
+def top_neighbours_hot(spark, sf):
+    """The same users when half of all tracks count as hot."""
+    return _shown(top_neighbours(_ratings(spark, sf), hot_cutoff=30), "similarity")
+
+
 @query
 def collaborative(spark, sf):
     return _shown(R.collaborative(_ratings(spark, sf), tb.tracks(spark, sf), 10),
@@ -587,6 +593,32 @@ def vector_topk_cosine(spark, sf):
     return _ranked(nearest(v.withColumnRenamed("id", "query_id"), v, 10, "cosine"))
 
 
+@query
+def vector_topk_blocks(spark, sf):
+    """The same search when neither side is small: every block of items meets every query."""
+    v = _vectors(spark, sf)
+    return _ranked(nearest(v.withColumnRenamed("id", "query_id"), v, 10, "cosine",
+                           broadcast_cells=64, block_rows=150))
+
+
+@query
+def vector_topk_few_queries(spark, sf):
+    """Nearest vectors to each label's mean, sent to all vectors."""
+    v = _vectors(spark, sf)
+    means = PX.mean_vector(v, "label").withColumnRenamed("label", "query_id")
+    return _ranked(nearest(means, v, 10, "cosine", broadcast_cells=100 * 64))
+
+
+@query
+def audio_feature_search_pruned(spark, sf):
+    """Feature search by ranges of tempo, two passes."""
+    tracks = tb.tracks(spark, sf)
+    targets = tracks.groupBy(F.get("artists", F.lit(0)).alias("target_id")).agg(
+        *[F.avg(f).alias(f) for f in FEATURES])
+    return _shown(R.search_by_features(targets, tracks, 20, broadcast_cells=8, block_rows=300),
+                  "feature_score").drop("artist")
+
+
 @query
 def vector_topk_l2_filtered(spark, sf):
     v = _vectors(spark, sf)

@@ -49,12 +49,6 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return os.path.join(root, f"{purpose}-{uuid.uuid4().hex}")
 
 
-def rows_up_to(df: DataFrame, bound: int) -> int | None:
-    """Row count of ``df`` when it is at most ``bound``, else None; reads no more than needed."""
-    n = df.limit(bound + 1).count()
-    return n if n <= bound else None
-
-
 def written(df: DataFrame, purpose: str) -> DataFrame:
     """Cut the lineage of ``df`` by writing it to the shared folder and reading it back."""
     spark = df.sparkSession
