@@ -6,15 +6,16 @@
 3. Documents that share a band key are tied to the smallest id of that key: the packed signatures
    estimate their similarity, what may reach the threshold is confirmed on the full sets.
 4. Keys whose documents lie in one component need nothing more. In the others, documents of
-   different components are compared with each other in blocks of signatures, and the likely ones
-   confirmed as before. So every two documents that share a key and lie in different components
+   different components are compared with each other in blocks of longer signatures, and the likely
+   ones confirmed as before. So every two documents that share a key and lie in different components
    have been compared, while groups of copies are never expanded into pairs.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,11 +38,17 @@ SLACK = 5
 BLOCK = 512
 
 _HASHES = BANDS * ROWS
-_WORDS = -(-_HASHES * LOW_BITS // 64)
-_EMPTY = _WORDS * 64 // LOW_BITS - _HASHES  # places never filled
-_random = np.random.default_rng(91)
-_FACTORS = _random.integers(0, 2**31, _HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_OFFSETS = _random.integers(0, 2**32, _HASHES, dtype=np.uint32)
+_LONG = 640  # places of the longer signatures that settle doubtful pairs
+_EACH = 64 // LOW_BITS
+
+
+def _functions(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    random = np.random.default_rng(seed)
+    return (random.integers(0, 2**31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1),
+            random.integers(0, 2**32, n, dtype=np.uint32))
+
+
+_SHORT_FUNCTIONS, _LONG_FUNCTIONS = _functions(_HASHES, 91), _functions(_LONG, 92)
 _ONES = 0x1111111111111111
 _LETTERS = ~WHITE
 
@@ -67,14 +74,14 @@ def shingle_sets(part: pa.Array, size: int) -> list[np.ndarray]:
     return out
 
 
-def minima(sets: list[np.ndarray]) -> np.ndarray:
+def minima(sets: list[np.ndarray], functions=_SHORT_FUNCTIONS) -> np.ndarray:
     """Smallest value of every hash function over each set (none empty): documents x functions."""
     sizes = np.array([len(s) for s in sets])
     values = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
     first = np.cumsum(sizes) - sizes
-    out = np.empty((len(sets), _HASHES), np.uint32)
-    for k in range(_HASHES):
-        out[:, k] = np.minimum.reduceat(values * _FACTORS[k] + _OFFSETS[k], first)
+    out = np.empty((len(sets), len(functions[0])), np.uint32)
+    for k, (factor, offset) in enumerate(zip(*functions)):
+        out[:, k] = np.minimum.reduceat(values * factor + offset, first)
     return out
 
 
@@ -88,13 +95,13 @@ def band_keys(lowest: np.ndarray) -> np.ndarray:
 
 
 def packed(lowest: np.ndarray) -> np.ndarray:
-    """Low bits of the minima (each mixed first), side by side in 64-bit words."""
+    """Low bits of the minima (each mixed first), side by side in 64-bit words; the last may have
+    places left over, which are 0."""
     low = (mix(lowest.astype(np.uint64)) & np.uint64(2**LOW_BITS - 1))
-    low = np.pad(low, ((0, 0), (0, _EMPTY)))
-    each = 64 // LOW_BITS
-    shifts = np.arange(each, dtype=np.uint64) * np.uint64(LOW_BITS)
+    low = np.pad(low, ((0, 0), (0, -low.shape[1] % _EACH)))
+    shifts = np.arange(_EACH, dtype=np.uint64) * np.uint64(LOW_BITS)
     return np.bitwise_or.reduce(
-        low.reshape(len(low), _WORDS, each) << shifts, axis=2).view(np.int64)
+        low.reshape(len(low), -1, _EACH) << shifts, axis=2).view(np.int64)
 
 
 def signatures(docs: DataFrame, shingle: int) -> DataFrame:
@@ -118,8 +125,7 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
                 pa.array(keys, pa.list_(pa.int64())), pa.array(signs, pa.list_(pa.int64())),
             ], names=["doc_id", "n_shingles", "name1", "name2", "keys", "sign"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, n_shingles bigint, name1 bigint, name2 bigint, "
+    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, name1 bigint, name2 bigint, "
                                 "keys array<bigint>, sign array<bigint>")
 
 
@@ -132,15 +138,34 @@ def sets_of(docs: DataFrame, shingle: int) -> DataFrame:
                 pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
                 names=["doc_id", "shingles"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, shingles array<bigint>")
+    return docs.mapInArrow(run, "doc_id bigint, shingles array<bigint>")
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(len(column), -1).view(np.uint64)
 
 
-def _least_equal(similarity: int) -> int:
+def long_signatures(sets: DataFrame) -> DataFrame:
+    """``doc_id, sign, keys``: signatures with many more places, and the band keys, from full sets."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, len(batch), 500):
+                part = batch.slice(at, 500)
+                own = [s.values.to_numpy().view(np.uint64) for s in part.column("shingles")]
+                found = packed(minima(own, _LONG_FUNCTIONS)), band_keys(minima(own))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), *(pa.array(list(x), pa.list_(pa.int64())) for x in found)],
+                    names=["doc_id", "sign", "keys"])
+
+    return sets.mapInArrow(run, "doc_id bigint, sign array<bigint>, keys array<bigint>")
+
+
+def _least_equal(similarity: int, hashes: int) -> int:
     """Equal places in the signatures from which a pair is confirmed."""
     chance = 2.0 ** -LOW_BITS
     share = similarity / 100 + (1 - similarity / 100) * chance
-    return int(np.floor(_HASHES * share - SLACK * np.sqrt(_HASHES * share * (1 - share))))
+    return int(np.floor(hashes * share - SLACK * np.sqrt(hashes * share * (1 - share))))
 
 
 def estimate(equal, hashes: int = _HASHES):
@@ -150,9 +175,9 @@ def estimate(equal, hashes: int = _HASHES):
 
 
 def _equal_places(a: str, b: str) -> Column:
-    """Places where two packed signatures agree, by counting bits of the folded difference."""
-    total = F.lit(_WORDS * 64 // LOW_BITS - _EMPTY)
-    for k in range(_WORDS):
+    """Places where two short signatures agree, by counting bits of the folded difference."""
+    total = F.lit(_HASHES)
+    for k in range(-(-_HASHES // _EACH)):
         x = F.col(a)[k].bitwiseXOR(F.col(b)[k])
         x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
         x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
@@ -161,29 +186,47 @@ def _equal_places(a: str, b: str) -> Column:
 
 
 def _likely_pairs(least: int):
-    """Pairs of one block (or of two blocks) of a key that lie in different components."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        left, right = rows[rows["side"] != 1], rows[rows["side"] != 0]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        same = bool((rows["side"] == 2).all())
-        signs = np.stack(right["sign"].to_numpy()).view(np.uint64)
-        ids, groups = right["doc_id"].to_numpy(), right["component"].to_numpy()
-        a, b = [], []
-        for k, (own, group, sign) in enumerate(zip(
-                left["doc_id"], left["component"], left["sign"])):
-            x = signs ^ np.asarray(sign).view(np.uint64)
-            x |= x >> np.uint64(1)
-            x |= x >> np.uint64(2)
-            differ = np.bitwise_count(x & np.uint64(_ONES)).sum(axis=1)
-            hit = (_HASHES - differ >= least) & (groups != group)
-            if same:
-                hit[:k + 1] = False
-            found = ids[hit]
-            a.append(np.minimum(found, own))
-            b.append(np.maximum(found, own))
-        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
+    """Pairs of one block (or of two blocks) of a key that lie in different components and whose
+    signatures are alike, each from the first band whose key both have. Takes rows sorted by key,
+    blocks and side."""
+
+    def pairs(groups, ids, components, sides, signs, keys):
+        left, right = np.flatnonzero(sides != 1), np.flatnonzero(sides != 0)
+        same = len(left) == len(right) == len(ids)
+        for k, i in enumerate(left):
+            other = right[k + 1:] if same else right
+            other = other[components[other] != components[i]]
+            if len(other):
+                x = signs[other] ^ signs[i]
+                x |= x >> np.uint64(1)
+                x |= x >> np.uint64(2)
+                differ = np.bitwise_count(x & np.uint64(_ONES)).sum(axis=1, dtype=np.int64)
+                other = other[_LONG - differ >= least]
+                shared = keys[other] == keys[i]
+                first = keys[i][shared.argmax(axis=1)] == groups[0, 0].view(np.uint64)
+                found = ids[other[first & shared.any(axis=1)]]
+                if len(found):
+                    yield np.minimum(found, ids[i]), np.maximum(found, ids[i])
+
+    def run(batches):
+        held = None
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                groups = np.stack([batch.column(c).to_numpy() for c in ("key", "i", "j")], axis=1)
+                own = [groups, *(batch.column(c).to_numpy() for c in ("doc_id", "component", "side")),
+                       _matrix(batch.column("sign")), _matrix(batch.column("keys"))]
+                held = own if held is None else [np.concatenate(x) for x in zip(held, own)]
+            if held is None or not len(held[0]):
+                continue
+            edges = np.flatnonzero((held[0][1:] != held[0][:-1]).any(axis=1)) + 1
+            edges = [0, *edges.tolist()]
+            if batch is None:
+                edges.append(len(held[0]))
+            out = [p for a, b in zip(edges, edges[1:]) for p in pairs(*(x[a:b] for x in held))]
+            held = [x[edges[-1]:] for x in held]  # a group that goes on
+            if out:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(x)) for x in zip(*out)], names=["a", "b"])
 
     return run
 
@@ -209,7 +252,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = S
     Repeated rows are linked; rows that share an id are linked too, whatever their texts. Rows
     without an id take no part: their component is null and they are kept. Ids are integers.
     """
-    docs = plain_columns(docs, doc_id=doc_id, text=text)
+    docs = plain_columns(docs, doc_id=doc_id, text=text).withColumn(
+        "doc_id", F.col("doc_id").cast("bigint"))
     known = written(signatures(docs, shingle), "signatures")
     named = ["name1", "name2", "n_shingles"]
     full = known.where("doc_id is not null and n_shingles > 0")
@@ -239,14 +283,13 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = S
     sets = written(sets_of(docs.join(ids, "doc_id", "left_semi"), shingle)
                    .where(F.size("shingles") > 0), "sets")
     signs = written(heads.select("doc_id", "sign").join(ids, "doc_id", "left_semi"), "signs")
-    least = _least_equal(similarity)
 
     stars = members.where("doc_id <> hub").select(
         F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
     likely = (
         stars.join(signs.select(F.col("doc_id").alias("b"), F.col("sign").alias("sign_b")), "b")
         .join(signs.select(F.col("doc_id").alias("a"), F.col("sign").alias("sign_a")), "a")
-        .where(_equal_places("sign_a", "sign_b") >= least).select("a", "b").distinct())
+        .where(_equal_places("sign_a", "sign_b") >= _least_equal(similarity, _HASHES)).select("a", "b").distinct())
     links = written(_confirmed(likely, sets, similarity).unionByName(same_id), "links")
     first = written(components(links), "components")
 
@@ -258,17 +301,20 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = S
                                   F.count("*").alias("n"))
         .where("lo <> hi").select("key", F.ceil(F.col("n") / BLOCK).alias("blocks")), "open")
     # a key's documents are dealt to blocks; each two blocks meet once, so none grows with the key
+    open_members = placed.join(open_keys, "key")
+    long = written(long_signatures(sets.join(
+        open_members.select("doc_id").distinct(), "doc_id", "left_semi")), "long-signatures")
     blocks = (
-        placed.join(open_keys, "key").join(signs, "doc_id")
+        open_members.join(long, "doc_id")
         .withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-        .select("key", "doc_id", "component", "sign",
+        .select("key", "doc_id", "component", "sign", "keys",
                 F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
                 F.when(F.col("own") == F.col("other"), 2)
                 .when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side")))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    across = (blocks.groupBy("key", "i", "j")
-              .applyInPandas(_likely_pairs(least), f"a {kind}, b {kind}").distinct())
+    across = (blocks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
+              .mapInArrow(_likely_pairs(_least_equal(similarity, _LONG)), "a bigint, b bigint")
+              .distinct())
     more = written(_confirmed(across, sets, similarity), "more-links")
     # what the second pass adds are links between components of the first
     named_first = first.select("node", "component")
