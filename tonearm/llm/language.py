@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tonearm.llm.common import SLICE_BYTES, plain_columns, slices
+from tonearm.llm.common import plain_columns, slices
 
 UNKNOWN = "und"
 BUCKETS = 1 << 15
@@ -27,6 +27,8 @@ ORDERS = (1, 2, 3, 4)
 ROWS_PER_LANGUAGE = 600
 LEAST_ROWS = 10
 MOST_LANGUAGES = 200
+# Text handled at once, in bytes: every character gives four n-grams of several numbers each.
+TEXT_BYTES = 512 << 10
 # N-gram shares are small numbers; scaled so that the regularisation suits them.
 _SCALE = 8.0
 
@@ -217,13 +219,15 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     ranked = keyed.where(F.col("lang").isin(list(counts))).withColumn(
         "rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id")))
     chosen = ranked.where(F.col("rank") <= rows_per_language).select("lang", "doc_id").distinct()
-    sample = labelled.join(F.broadcast(chosen), ["lang", "doc_id"], "left_semi")
+    # one text for an id, however often its row repeats
+    sample = (labelled.join(F.broadcast(chosen), ["lang", "doc_id"], "left_semi")
+              .groupBy("lang", "doc_id").agg(F.min("text").alias("text")))
     machines = [("family", name, "") for name in names]
     machines += [("pair", a, b) for own in names.values() for a, b in combinations(own, 2)]
     places = {m: i for i, m in enumerate(machines)}
 
     def features(batches):
-        for part in slices(batches, "text", SLICE_BYTES):
+        for part in slices(batches, "text", TEXT_BYTES):
             texts, languages = part.column("text").to_pylist(), part.column("lang").to_pylist()
             found = grams(texts, buckets)
             every = [np.concatenate([b[np.searchsorted(o, i):np.searchsorted(o, i, "right")]
@@ -279,7 +283,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
     names = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
 
     def run(batches):
-        for part in slices(batches, text):
+        for part in slices(batches, text, TEXT_BYTES):
             language, score = known.value.predict(part.column(text).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [*(part.column(n) for n in names), pa.array(language, pa.string()),
