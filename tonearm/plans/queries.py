@@ -77,7 +77,10 @@ def user_profile(spark, sf):
 
 @query
 def store_stats(spark, sf):
-    return store.store_stats(tb.tracks(spark, sf), "part", "tracks")
+    """Size of a store that all parts were added to."""
+    path = shared_folder(spark, "items")
+    store.add_items(tb.tracks(spark, sf), path, E.hashing_encoder())
+    return store.store_stats(store.open_store(spark, path), "part", "tracks")
 
 
 @query

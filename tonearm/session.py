@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import functools
 import os
+import sys
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,6 +33,31 @@ def local_session(app: str, cores: str = "8", memory: str = "20g") -> SparkSessi
     )
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, once for an application.
+
+    Needed where it is not installed and the workers do not share the driver's import path.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="tonearm-"), "tonearm.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(package)))
+    context.addPyFile(archive)  # Spark serves the file to the executors
+    # the driver itself goes on with the files it has imported
+    sys.path[:] = [p for p in sys.path if not p.endswith("tonearm.zip")]
+    _SHIPPED.add(context.applicationId)
+
+
 @functools.cache
 def _local_root() -> str:
     return tempfile.mkdtemp(prefix="tonearm-")
