@@ -16,7 +16,7 @@ from tonearm.operators import proxy as PX
 from tonearm.operators import ranking as K
 from tonearm.operators import training
 from tonearm.operators.catalogue import search_catalogue, with_genres
-from tonearm.operators.index import build_index, encode_vectors, open_index, search_index
+from tonearm.operators.index import build_index, encode_vectors, search_index
 from tonearm.operators.nearest import nearest
 from tonearm.operators.neighbours import top_neighbours
 from tonearm.plans import metrics as M
