@@ -678,8 +678,13 @@ SELECT request_id, array_to_string(x.genre_queries[1:3], ' · ') AS genres, x.mo
        x.prefer_recent, x.keyword,
        CASE WHEN len(x.seed_genres) > 0 THEN array_to_string(x.seed_genres[1:5], ', ')
             ELSE '-' END AS seed_genres,
-       'MultiSignal_' || substr({_slug.replace("text", _name, 1)}, 1, 40) AS report_name
-FROM asks a JOIN context x ON x.need = a.need"""
+       'MultiSignal_' || substr({_slug.replace("text", _name, 1)}, 1, 40) AS report_name,
+       y.ids AS seed_artist_ids
+FROM asks a JOIN context x ON x.need = a.need JOIN (
+  SELECT need, array_to_string(list(artist ORDER BY first), '|') AS ids FROM (
+    SELECT s.need, 'id-' || c.artists[1] AS artist, min(s.rank) AS first
+    FROM seeds s JOIN catalogue c ON c.id = s.id GROUP BY s.need, c.artists[1]) z
+  GROUP BY need) y ON y.need = x.need"""
 
 # --- vectors -----------------------------------------------------------------------------------
 

@@ -576,7 +576,9 @@ def report_signals(spark, sf):
     signals = RP.report_signals(found["context"])
     named = found["requests"].select("request_id", "need", RP.report_name(
         F.col("text"), F.col("parsed.keyword"), P.DEFAULT_MODEL).alias("report_name"))
-    return named.join(signals, "need").drop("need")
+    artists = found["context"].select(
+        "need", F.array_join("seed_artist_ids", "|").alias("seed_artist_ids"))
+    return named.join(signals, "need").join(artists, "need").drop("need")
 
 
 # --- vectors -----------------------------------------------------------------------------------
