@@ -102,8 +102,8 @@ def test_longer_signatures_are_closer():
     pool = np.random.default_rng(5).integers(0, 2**63, 1000, dtype=np.uint64)
     signs = packed(minima([np.unique(pool), np.unique(pool[200:])], _LONG_FUNCTIONS)).view(np.uint8)
     nibbles = np.stack([signs & 15, signs >> 4], axis=2).reshape(2, -1)
-    assert nibbles.shape[1] == 640
-    assert abs(estimate((nibbles[0] == nibbles[1]).sum(), 640) - 0.8) < 0.08
+    assert nibbles.shape[1] == 1024
+    assert abs(estimate((nibbles[0] == nibbles[1]).sum(), 1024) - 0.8) < 0.07
 
 
 def test_shingle_sets_of_short_texts():

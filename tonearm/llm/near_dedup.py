@@ -38,7 +38,7 @@ SLACK = 5
 BLOCK = 512
 
 _HASHES = BANDS * ROWS
-_LONG = 640  # places of the longer signatures that settle doubtful pairs
+_LONG = 1024  # places of the longer signatures that settle doubtful pairs
 _EACH = 64 // LOW_BITS
 
 
