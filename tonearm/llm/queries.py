@@ -14,6 +14,7 @@ from tonearm.llm.common import table
 from tonearm.llm.imatch import fingerprint_documents
 from tonearm.llm.language import held_out, identify, learn
 from tonearm.llm.near_dedup import near_duplicates
+from tonearm.llm.oracle import ORACLE
 from tonearm.llm.pack import pack_documents
 from tonearm.llm.pieces import decode_documents, encode_documents
 from tonearm.llm.repeats import remove_repeats
@@ -76,6 +77,8 @@ def op8_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+__all__ = ["ORACLE", "QUERIES"]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -88,5 +91,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_substring_dedup": op10_substring_dedup,
 }
-
-ORACLE: dict[str, str] = {"op1_license_scan": licenses.oracle_sql()}
