@@ -1,7 +1,7 @@
 """I-Match fingerprints in DataFrame functions only.
 
 Terms whose share of documents lies in a band are the lexicon. A document's distinct terms of the
-lexicon are hashed as a set once for each of several random parts of the lexicon; two documents
+lexicon are sorted and hashed once for each of several random parts of the lexicon; two documents
 are alike by the share of parts in which their hashes agree. Parts are of different sizes: large
 ones agree for texts that are almost the same, small ones also where half the text has changed.
 
@@ -66,17 +66,17 @@ def with_ranges(docs: DataFrame, ranges: int) -> DataFrame:
     return found.withColumn("range", F.col("found").cast("int")).drop("key_place", "found")
 
 
-def _part(k: int) -> Column:
-    return F.col("mask").bitwiseAND(F.lit(1 << k)) != 0
-
-
 def _hashes(parts: int) -> Column:
-    """Hash of the distinct terms of each part; null if it has none, but the first part then has the
-    hash of the whole text."""
+    """Hash of the sorted distinct terms of each part; null if it has none, but the first part then
+    has the hash of the whole text."""
     each = []
+
+    def of_part(bit: Column):
+        return lambda t: t["mask"].bitwiseAND(bit) != 0
+
     for k in range(parts):
         some = F.col("present").bitwiseAND(F.lit(1 << k)) != 0
-        one = F.when(some, F.xxhash64(F.lit(k), F.col(f"part{k}")))
+        one = F.when(some, F.xxhash64(F.filter("found", of_part(F.lit(1 << k)))))
         each.append(one if k else one.otherwise(F.xxhash64(F.lit("text"), F.col("whole"))))
     return F.array(*each)
 
@@ -136,28 +136,25 @@ def fingerprint_documents(docs: DataFrame, band: tuple[float, float] = BAND,
                  F.left(F.coalesce("after", "first_text"), half)).alias("edited"),
         F.when(F.col("after").isNull(), F.col("next_range")).otherwise(F.col("range")).alias("to_range"),
         F.when(F.col("after").isNull(), 1).otherwise(F.col("row") + 1).alias("to_row"))
-    both = edited.select(
-        "range", "row", "doc_id", "n_chars", "to_range", "to_row",
-        F.unhex(F.sha2("edited", 256)).alias("sha"),
-        F.explode(F.array(*[
-            F.struct(F.lit(k).alias("which"), F.xxhash64(c).alias("whole"),
-                     F.concat(F.array(F.lit("")), terms(F.col(c))).alias("words"))
-            for k, c in enumerate(("text", "edited"))])).alias("v"))
-    row = ["range", "row", "doc_id", "n_chars", "to_range", "to_row", "sha"]
+    # read twice from one shuffle: what a row is, and its terms in narrow rows
+    about = edited.select("range", "row", "doc_id", "n_chars", "to_range", "to_row",
+                          F.unhex(F.sha2("edited", 256)).alias("sha"))
+    both = edited.select("range", "row", "doc_id", F.explode(F.array(*[
+        F.struct(F.lit(k).alias("which"), F.xxhash64(c).alias("whole"),
+                 F.concat(F.array(F.lit("")), terms(F.col(c))).alias("words"))
+        for k, c in enumerate(("text", "edited"))])).alias("v"))
     looked_up = (
-        both.select(*row, "v.which", "v.whole", F.explode("v.words").alias("word"))
+        both.select("range", "row", "doc_id", "v.which", "v.whole", F.explode("v.words").alias("word"))
         .withColumn("term", F.xxhash64("word")).drop("word").join(known, "term"))
-    # terms are distinct, so exclusive-or of their hashes is a hash of the set in any order; it adds
-    # up term by term, and a text's terms need not be gathered and sorted
     hashed = (
-        looked_up.groupBy(*row, "which", "whole")
+        looked_up.groupBy("range", "row", "doc_id", "which", "whole")
         .agg(F.bit_or("mask").alias("present"),
-             *[F.bit_xor(F.when(_part(k), F.col("term")).otherwise(F.lit(0).cast("bigint")))
-               .alias(f"part{k}") for k in range(len(parts))])
-        .select(*row, "which", _hashes(len(parts)).alias("hashes")))
+             F.array_sort(F.collect_list(F.struct("term", "mask"))).alias("found"))
+        .select("range", "row", "which", _hashes(len(parts)).alias("hashes")))
     of = {k: F.max(F.when(F.col("which") == k, F.col("hashes"))) for k in (0, 1)}
     prints = written(
-        hashed.groupBy(*row).agg(of[0].alias("own"), of[1].alias("other")), "fingerprints")
+        hashed.groupBy("range", "row").agg(of[0].alias("own"), of[1].alias("other"))
+        .join(about, ["range", "row"]), "fingerprints")
     following = prints.select(F.col("range").alias("to_range"), F.col("row").alias("to_row"),
                               F.col("own").alias("next"))
     return prints.join(following, ["to_range", "to_row"]).select(
