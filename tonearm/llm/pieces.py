@@ -4,17 +4,21 @@ An Aho-Corasick automaton over all pieces reads a text once; at each position it
 the pieces that end there, longest first, and each relaxes the best score of that position. Characters
 that no piece covers are spelled in byte pieces, so every text can be decoded exactly.
 
-No piece of the usual models has a blank mark after another character, so best segmentations of the
-stretches between such places make up the best one of the text; they are remembered for words that
-return. Models with other pieces are run over whole texts.
+No piece of the usual models has a blank mark after another character or mixes letters with others,
+so best segmentations of the stretches between such places make up the best one of the text; they are
+remembered for words that return. Models with other pieces are run over whole texts.
 """
 
 from __future__ import annotations
 
+import functools
 import re
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from tonearm.llm.common import plain_columns, slices
@@ -22,9 +26,58 @@ from tonearm.llm.common import plain_columns, slices
 MARK = "▁"
 # Added to the smallest score of a piece for a character that must be spelled in bytes.
 PENALTY = -10.0
-# Stretches remembered by a task.
-REMEMBERED = 200_000
-_STRETCH = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+_NEVER = float("-inf")
+# Stretches remembered by a worker, about twice, and ids decoded at once.
+REMEMBERED = 250_000
+DECODED_IDS = 500_000
+_LETTER, _OTHER = r"[^\W\d_%s]", r"(?:(?!{0})[\W\d_%s])".format(MARK)
+
+
+def _stretches(pieces: list[str]) -> re.Pattern | None:
+    """A pattern whose matches, in a row, are a text cut only where no piece reaches across.
+
+    No piece may have a blank mark after another character (else None). If hardly any mixes letters
+    with other characters, texts are cut there as well; the letters of such pieces count as others.
+    """
+    if any(re.search(f"[^{MARK}]{MARK}", p) for p in pieces):
+        return None
+    odd: set[str] = set()
+    while len(odd) <= 20:
+        escaped = "".join(map(re.escape, sorted(odd)))
+        letter, other = _LETTER % escaped, _OTHER % escaped
+        mixed = re.compile(f"{letter}{other}|{other}{letter}")
+        found = {c for p in pieces for pair in mixed.findall(p) for c in pair if c.isalpha() or c.isalnum()}
+        if not found:
+            return re.compile(f"{MARK}*(?:{letter}+|{other}+)|{MARK}+")
+        odd |= found
+    return re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+
+
+class _Memory(dict):
+    """Ids by stretch, as bytes: those of the last ``REMEMBERED`` or so new ones, and as many before."""
+
+    def __init__(self, compute):
+        super().__init__()
+        self.compute, self.before = compute, {}
+
+    def __missing__(self, stretch: str) -> bytes:
+        found = self.before.get(stretch)
+        if found is None:
+            found = array("i", self.compute(stretch)[0]).tobytes()
+        self[stretch] = found
+        return found
+
+    def forget(self) -> None:
+        """Between texts: when there are too many, only the newest stay."""
+        if len(self) >= REMEMBERED:
+            self.before = dict(self)
+            self.clear()
+
+
+@functools.lru_cache(1)
+def load_pieces(path: str) -> Pieces:
+    """The model, once for a worker: what it remembers serves its later tasks too."""
+    return Pieces(path)
 
 
 class Pieces:
@@ -47,21 +100,39 @@ class Pieces:
         self.score = {i: float(model.get_score(i)) for i in own}
         self.single = {self.piece[i] for i in own if len(self.piece[i]) == 1}
         self.spelled = min(self.score.values()) + PENALTY
-        self.splits = not any(re.search(f"[^{MARK}]{MARK}", self.piece[i]) for i in own)
-        self.automaton = ahocorasick.Automaton()
+        self.stretches = _stretches([self.piece[i] for i in own])
+        self.size = [len(p) for p in self.piece]
+        # what an id adds to a score; a spelled character counts once, with its first byte
+        self.worth = np.zeros(len(self.piece))
         for i in own:
-            self.automaton.add_word(self.piece[i], (i, len(self.piece[i]), self.score[i]))
+            self.worth[i] = self.score[i]
+        for b, i in self.byte.items():
+            self.worth[i] = 0.0 if 0x80 <= b < 0xC0 else self.spelled
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for i in own:
+            self.automaton.add_word(self.piece[i], i)
         self.automaton.make_automaton()
-        self.known: dict[str, tuple[list[int], float]] = {}
+        self.known = _Memory(self._best)
 
     def _best(self, text: str, literal: frozenset[int] = frozenset()) -> tuple[list[int], float]:
         """Ids of the best segmentation and its score; of equal ones that with the longer last piece.
 
         ``literal``: places of blank marks that stand in the original text and are spelled.
         """
-        n = len(text)
-        best = [0.0] + [-np.inf] * n
-        back: list[tuple[int, int]] = [(0, 0)] * (n + 1)
+        n, size, score = len(text), self.size, self.score
+        best, back = [_NEVER] * (n + 1), [-1] * (n + 1)
+        best[0] = 0.0
+        if not literal and self.single.issuperset(text):  # nothing to spell
+            for last, piece in self.automaton.iter(text):
+                worth = best[last + 1 - size[piece]] + score[piece]
+                if worth > best[last + 1]:
+                    best[last + 1] = worth
+                    back[last + 1] = piece
+            ids, at = [], n
+            while at:
+                ids.append(back[at])
+                at -= size[back[at]]
+            return ids[::-1], best[n]
         done = 0  # positions whose spelled character has been tried
 
         def spell(to: int) -> None:
@@ -69,47 +140,42 @@ class Pieces:
                 if text[at] not in self.single or at in literal:
                     worth = best[at] + self.spelled
                     if worth > best[at + 1]:
-                        best[at + 1], back[at + 1] = worth, (-1, 1)
+                        best[at + 1], back[at + 1] = worth, -1
 
-        for last, (piece, size, score) in self.automaton.iter(text):
+        for last, piece in self.automaton.iter(text):
             # all pieces that end before are in; the best score there is final but for spelling
             spell(last)
             done = max(done, last)
-            begin = last + 1 - size
+            begin = last + 1 - size[piece]
             if literal and not literal.isdisjoint(range(begin, last + 1)):
                 continue
-            worth = best[begin] + score
+            worth = best[begin] + score[piece]
             if worth > best[last + 1]:
-                best[last + 1], back[last + 1] = worth, (piece, size)
+                best[last + 1], back[last + 1] = worth, piece
         spell(n)
-        ids: list[int] = []
-        at = n
+        ids, at = [], n
         while at:
-            piece, size = back[at]
-            if piece >= 0:
-                ids.append(piece)
+            if back[at] >= 0:
+                ids.append(back[at])
+                at -= size[back[at]]
             else:
                 ids += [self.byte[b] for b in reversed(text[at - 1].encode())]
-            at -= size
+                at -= 1
         return ids[::-1], best[n]
 
-    def encode(self, text: str) -> tuple[list[int], float]:
+    def encode(self, text: str) -> tuple[np.ndarray, float]:
         """Ids and score of a text, with one blank put before it. An empty text has none."""
         if not text:
-            return [], 0.0
-        if not self.splits or MARK in text:
+            return np.zeros(0, np.int32), 0.0
+        if self.stretches is None or MARK in text:
             marked = MARK + text.replace(" ", MARK)
-            return self._best(marked, frozenset(i + 1 for i, c in enumerate(text) if c == MARK))
-        ids, score, known = [], 0.0, self.known
-        for stretch in _STRETCH.findall(MARK + text.replace(" ", MARK)):
-            found = known.get(stretch)
-            if found is None:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                found = known[stretch] = self._best(stretch)
-            ids += found[0]
-            score += found[1]
-        return ids, score
+            ids, score = self._best(
+                marked, frozenset(i + 1 for i, c in enumerate(text) if c == MARK))
+            return np.array(ids, np.int32), score
+        stretches = self.stretches.findall(MARK + text.replace(" ", MARK))
+        ids = np.frombuffer(b"".join(map(self.known.__getitem__, stretches)), np.int32)
+        self.known.forget()
+        return ids, float(self.worth[ids].sum())
 
     def decode(self, ids) -> str:
         """The text of encoded ids, without the blank put before it."""
@@ -122,29 +188,50 @@ def encode_documents(docs: DataFrame, model: str, doc_id: str = "doc_id",
     """``doc_id, ids, score`` of every row; null and empty texts have no ids and score 0."""
 
     def run(batches):
-        pieces = Pieces(model)
+        pieces = load_pieces(model)
         for part in slices(batches, "text"):
-            found = [pieces.encode(t or "") for t in part.column("text").to_pylist()]
-            sizes = np.cumsum([0, *(len(ids) for ids, _ in found)])
-            flat = np.concatenate([np.array(ids, np.int32) for ids, _ in found])
+            every, scores = [], []
+            for text in part.column("text"):
+                ids, score = pieces.encode(text.as_py() or "")
+                every.append(ids)
+                scores.append(score)
+            sizes = np.cumsum([0, *map(len, every)])
             yield pa.RecordBatch.from_arrays([
-                part.column("doc_id"), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), flat),
-                pa.array([s for _, s in found], pa.float64())], names=["doc_id", "ids", "score"])
+                part.column("doc_id"),
+                pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), np.concatenate(every)),
+                pa.array(scores, pa.float64())], names=["doc_id", "ids", "score"])
 
     rows = plain_columns(docs, doc_id=doc_id, text=text)
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"doc_id {kind}, ids array<int>, score double")
 
 
+def _rows_with(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose lists have at most ``most`` values together, or one row."""
+    sizes = pc.fill_null(pc.list_value_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    ends, at = np.cumsum(sizes.astype(np.int64)), 0
+    while at < len(ends):
+        done = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, done + most, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def decode_documents(encoded: DataFrame, model: str) -> DataFrame:
     """The rows of ``encode_documents`` with the ``text`` their ids stand for; null ids are empty."""
 
     def run(batches):
-        pieces = Pieces(model)
+        pieces = load_pieces(model)
         for batch in batches:
-            texts = [pieces.decode(ids or ()) for ids in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "text"])
+            for part in _rows_with(batch, "ids", DECODED_IDS):
+                column = part.column("ids")
+                flat = column.flatten().to_numpy()
+                ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(
+                    zero_copy_only=False))
+                # ids become Python numbers one text at a time
+                texts = [pieces.decode(flat[a:b].tolist()) for a, b in zip(np.r_[0, ends[:-1]], ends)]
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, "text"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
     rows = encoded.select("doc_id", "ids", "score")

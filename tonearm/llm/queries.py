@@ -64,7 +64,7 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
     found = decode_documents(encode_documents(table(spark, sf_dir, "documents"), model), model)
     return found.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"),
-                        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), "score",
+                        F.xxhash64("ids").alias("ids_xxhash64"), "score",
                         F.sha2("text", 256).alias("decoded_sha256"))
 
 
