@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 # Text handled at once by a task, in bytes; a longer text is a slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 # Bytes hashed with one table of powers.
 _SEGMENT = 1 << 20
 
@@ -57,6 +57,9 @@ def slices(batches: Iterator[pa.RecordBatch], column: str,
             to = max(at + 1, int(np.searchsorted(ends, done + limit, "right")))
             yield batch.slice(at, to - at)
             at = to
+        # a worker lives on between tasks: what the batch took goes back to the system
+        del batch, sizes, ends
+        pa.default_memory_pool().release_unused()
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
