@@ -79,3 +79,19 @@ def test_query(spark, sf):
     found = df.collect()
     check(rows, found)
     assert sum(r.near_edited for r in found) > sum(r.near_next for r in found)
+
+
+def test_a_third_of_rows_are_near_copies(spark):
+    import random
+    rnd = random.Random(3)
+    words = [f"w{i}" for i in range(3000)]
+    base = rnd.sample(words, 60)
+    rows = [(i, " ".join(rnd.sample(words, 60))) for i in range(200)]
+    for i in range(100):  # one word each is another one
+        at = rnd.randrange(60)
+        rows.append((200 + i, " ".join([*base[:at], f"own{i}", *base[at + 1:]])))
+    found = {r.doc_id: r for r in fingerprint_documents(
+        spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    copies = [found[200 + i].near_next for i in range(99)]
+    assert min(copies) > 0 and sum(copies) / 99 > 0.5
+    assert max(found[i].near_next for i in range(200)) < 0.5

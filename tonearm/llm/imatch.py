@@ -1,6 +1,7 @@
 """I-Match fingerprints in DataFrame functions only.
 
-Terms whose share of documents lies in a band are the lexicon. A document's distinct terms of the
+Terms whose share of documents lies in a band are the lexicon; a large group of near copies counts
+there as about one document, or its own terms would leave the lexicon for being in every copy. A document's distinct terms of the
 lexicon are sorted and hashed once for each of several random parts of the lexicon; two documents
 are alike by the share of parts in which their hashes agree. Parts are of different sizes: large
 ones agree for texts that are almost the same, small ones also where half the text has changed.
@@ -19,8 +20,16 @@ from pyspark.sql import functions as F
 from tonearm.llm.common import plain_columns, shuffle_partitions
 from tonearm.session import written
 
-# A term counts if it is in at least and at most this share of documents, and in two at least.
+# A term counts if it is in at least this share of the rows, and in two at least, and in at most this
+# share of the documents that remain when large groups of near copies are one each.
 BAND = (0.0005, 0.1)
+# Near copies share a sketch: the smallest hashes, so many, of a quarter of their terms. A quarter of
+# fewer than the least gives none; sketches of all terms find the copies of short documents.
+SKETCH_TERMS, LEAST_SKETCH_TERMS, QUARTERS = 8, 4, 4
+# Share of the rows that makes a group of one sketch large: there are at most (QUARTERS + 1) / 0.0005.
+LARGE_GROUP = 0.0005
+# What a document outside large groups weighs; one of a group of m weighs the m-th part.
+_WEIGHT = 1 << 24
 # Shares of the lexicon in its random parts.
 PARTS = (2 / 3,) * 2 + (1 / 4,) * 2 + (1 / 16,) * 4 + (1 / 64,) * 4 + (1 / 256,) * 4
 # Lexicon terms sent to every task at most: mean distinct terms of a document / BAND[0] bounds
@@ -35,17 +44,54 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), 1))
 
 
+def sketches(words: str) -> list[Column]:
+    """For each quarter of the sorted hashes of the terms, and for all of them, a hash that near
+    copies share; null for a quarter of few terms. A changed word alters two quarters at most."""
+    def of_quarter(k: int):
+        return lambda h: F.shiftrightunsigned(h, 62) == k
+
+    least = [F.slice(F.filter(words, of_quarter(k)), 1, SKETCH_TERMS) for k in range(QUARTERS)]
+    return [*(F.when(F.size(h) >= LEAST_SKETCH_TERMS, F.xxhash64(F.lit(k), h))
+              for k, h in enumerate(least)), F.xxhash64(F.lit(QUARTERS), F.col(words))]
+
+
+def weighed(docs: DataFrame, n: int) -> DataFrame:
+    """``words`` (the distinct terms) and ``weight`` of each of the ``n`` rows."""
+    sketched = (
+        docs.select(terms(F.col("text")).alias("words"))
+        .withColumn("hashes", F.sort_array(F.transform("words", lambda w: F.xxhash64(w))))
+        .select("words", *[c.alias(f"sketch{k}") for k, c in enumerate(sketches("hashes"))]))
+    each = [f"sketch{k}" for k in range(QUARTERS + 1)]
+    large = written(
+        sketched.select(F.explode(F.array(*each)).alias("sketch")).where("sketch is not null")
+        .groupBy("sketch").agg(F.count("*").alias("m")).where(F.col("m") >= max(2, LARGE_GROUP * n)),
+        "large-groups")
+    for k, name in enumerate(each):
+        sketched = sketched.join(F.broadcast(
+            large.select(F.col("sketch").alias(name), F.col("m").alias(f"m{k}"))), name, "left")
+    most = F.greatest(F.lit(1), *[F.coalesce(f"m{k}", F.lit(1)) for k in range(len(each))])
+    return sketched.select("words", F.ceil(F.lit(_WEIGHT) / most).cast("bigint").alias("weight"))
+
+
 def lexicon(docs: DataFrame, band: tuple[float, float] = BAND,
             parts: tuple[float, ...] = PARTS) -> DataFrame:
     """``term`` (its hash) and ``mask`` (the parts it is in) of all terms inside the band, stored.
 
-    The empty word is always there and in no part: it stands for documents without terms.
+    Terms in rows that weigh less than two documents together belong to one group of near copies
+    and are in, however few documents remain. The empty word is always there and in no part: it
+    stands for documents without terms.
     """
     n = docs.count()
-    counted = (
-        docs.select(F.explode(terms(F.col("text"))).alias("word"))
-        .groupBy(F.xxhash64("word").alias("term")).agg(F.count("*").alias("n"))
-        .where((F.col("n") >= max(2, band[0] * n)) & (F.col("n") <= band[1] * n)))
+    # the empty word counts the documents that remain
+    often = written(
+        weighed(docs, n).select("weight", F.explode(F.concat(F.array(F.lit("")), "words")).alias("word"))
+        .groupBy(F.xxhash64("word").alias("term"))
+        .agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
+        .where(F.col("n") >= max(2, band[0] * n)), "often")
+    every = F.col("term") == F.xxhash64(F.lit(""))
+    remain = sum(r["weight"] for r in often.where(every).collect())
+    counted = often.where(~every & (
+        (F.col("weight") < 2 * _WEIGHT) | (F.col("weight") <= band[1] * remain)))
     mask = F.lit(0)
     for k, share in enumerate(parts):
         draw = F.pmod(F.xxhash64("term", F.lit(k)), F.lit(_DRAWS))
