@@ -136,3 +136,20 @@ def test_query_round_trip(spark, sf):
     rows = QUERIES["op6_sentencepiece"](spark, sf).collect()
     assert {r.doc_id: r.decoded_sha256 for r in rows} == {
         d: hashlib.sha256((t or "").encode()).hexdigest() for d, t in texts.items()}
+
+
+def test_ids_are_the_library_s(spark, sf, model):
+    library = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    assert model.by_merges
+    rows = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
+    texts = [t for t in TEXTS if MARK not in t] + ["This is the theory"] + [t for t in rows if t and MARK not in t]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r.doc_id: r.ids for r in encode_documents(docs, PATH).collect()}
+    assert [found[i] for i in range(len(texts))] == [library.encode(t) for t in texts]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.one_of(st.text(max_size=25), st.text(alphabet=f"thear {MARK}\n.é", max_size=30)))
+def test_merges_of_any_text(model, text):
+    ids, _ = model.encode(text, by_merges=True)
+    assert model.decode(ids) == text

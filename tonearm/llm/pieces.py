@@ -1,11 +1,12 @@
-"""SentencePiece encoding and decoding: best segmentation by the scores of a model's pieces.
+"""SentencePiece encoding and decoding, by the method that a model was trained for.
 
-An Aho-Corasick automaton over all pieces reads a text once; at each position its output links give
+BPE models: of all neighbours that make up a piece together, those of the best score are merged, until
+there are none. Unigram models: the segmentation of the best sum of scores. An Aho-Corasick automaton over all pieces reads a text once; at each position its output links give
 the pieces that end there, longest first, and each relaxes the best score of that position. Characters
 that no piece covers are spelled in byte pieces, so every text can be decoded exactly.
 
 No piece of the usual models has a blank mark after another character or mixes letters with others,
-so best segmentations of the stretches between such places make up the best one of the text; they are
+so the segmentations of the stretches between such places make up that of the text; they are
 remembered for words that return. Models with other pieces are run over whole texts.
 """
 
@@ -15,6 +16,7 @@ import functools
 import re
 from array import array
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -86,8 +88,12 @@ class Pieces:
     def __init__(self, path: str):
         import ahocorasick
         import sentencepiece
+        from sentencepiece import sentencepiece_model_pb2
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
+        proto = sentencepiece_model_pb2.ModelProto()
+        proto.ParseFromString(model.serialized_model_proto())
+        self.by_merges = proto.trainer_spec.model_type == proto.trainer_spec.BPE
         self.piece = [model.id_to_piece(i) for i in range(model.get_piece_size())]
         self.byte = {int(p[3:5], 16): i for i, p in enumerate(self.piece) if model.is_byte(i)}
         self.value = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else
@@ -112,7 +118,8 @@ class Pieces:
         for i in own:
             self.automaton.add_word(self.piece[i], i)
         self.automaton.make_automaton()
-        self.known = _Memory(self._best)
+        self.own = {self.piece[i]: i for i in own}
+        self.known, self.merged = _Memory(self._best), _Memory(self._merge)
 
     def _best(self, text: str, literal: frozenset[int] = frozenset()) -> tuple[list[int], float]:
         """Ids of the best segmentation and its score; of equal ones that with the longer last piece.
@@ -163,18 +170,55 @@ class Pieces:
                 at -= 1
         return ids[::-1], best[n]
 
-    def encode(self, text: str) -> tuple[np.ndarray, float]:
-        """Ids and score of a text, with one blank put before it. An empty text has none."""
+    def _merge(self, text: str, literal: frozenset[int] = frozenset()) -> tuple[list[int], float]:
+        """Ids by merges in the order of their scores, of equal ones the first; and their score."""
+        n, own, score = len(text), self.own, self.score
+        # symbols by their first place: where each ends (0: merged into another), and the one before
+        stop, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        waiting: list[tuple[float, int, int, int]] = []
+
+        def offer(left: int) -> None:
+            right = stop[left]
+            if right < n and left not in literal and right not in literal:
+                piece = own.get(text[left:stop[right]])
+                if piece is not None:
+                    heappush(waiting, (-score[piece], left, right, stop[right]))
+
+        for at in range(n - 1):
+            offer(at)
+        while waiting:
+            _, left, right, end = heappop(waiting)
+            if stop[left] != right or stop[right] != end:
+                continue  # one of the two has been merged since
+            stop[left], stop[right] = end, 0
+            if end < n:
+                before[end] = left
+                offer(left)
+            if before[left] >= 0:
+                offer(before[left])
+        ids, at = [], 0
+        while at < n:
+            piece = None if at in literal else own.get(text[at:stop[at]])
+            ids += [self.byte[b] for b in text[at].encode()] if piece is None else [piece]
+            at = stop[at]
+        return ids, float(self.worth[ids].sum())
+
+    def encode(self, text: str, by_merges: bool = False) -> tuple[np.ndarray, float]:
+        """Ids and score of a text, with one blank put before it. An empty text has none.
+
+        The best score, or what the merges of a BPE model give.
+        """
         if not text:
             return np.zeros(0, np.int32), 0.0
+        known = self.merged if by_merges else self.known
         if self.stretches is None or MARK in text:
             marked = MARK + text.replace(" ", MARK)
-            ids, score = self._best(
+            ids, score = known.compute(
                 marked, frozenset(i + 1 for i, c in enumerate(text) if c == MARK))
             return np.array(ids, np.int32), score
         stretches = self.stretches.findall(MARK + text.replace(" ", MARK))
-        ids = np.frombuffer(b"".join(map(self.known.__getitem__, stretches)), np.int32)
-        self.known.forget()
+        ids = np.frombuffer(b"".join(map(known.__getitem__, stretches)), np.int32)
+        known.forget()
         return ids, float(self.worth[ids].sum())
 
     def decode(self, ids) -> str:
@@ -185,14 +229,18 @@ class Pieces:
 
 def encode_documents(docs: DataFrame, model: str, doc_id: str = "doc_id",
                      text: str = "text") -> DataFrame:
-    """``doc_id, ids, score`` of every row; null and empty texts have no ids and score 0."""
+    """``doc_id, ids, score`` of every row; null and empty texts have no ids and score 0.
+
+    Ids are those of the library for texts without a blank mark of their own (it takes that for a
+    blank; here it is spelled). ``score`` is the sum of the scores of the ids.
+    """
 
     def run(batches):
         pieces = load_pieces(model)
         for part in slices(batches, "text"):
             every, scores = [], []
             for text in part.column("text"):
-                ids, score = pieces.encode(text.as_py() or "")
+                ids, score = pieces.encode(text.as_py() or "", pieces.by_merges)
                 every.append(ids)
                 scores.append(score)
             sizes = np.cumsum([0, *map(len, every)])
