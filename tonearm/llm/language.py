@@ -29,6 +29,9 @@ LEAST_ROWS = 10
 MOST_LANGUAGES = 200
 # Text handled at once, in bytes: every character gives four n-grams of several numbers each.
 TEXT_BYTES = 512 << 10
+# A letter belongs to a language if it makes at least this share of its letters, counted in the first
+# characters, so many, of the rows learned from.
+LETTER_SHARE, LETTERS_OF_ROW = 1e-5, 10_000
 # N-gram shares are small numbers; scaled so that the regularisation suits them.
 _SCALE = 8.0
 
@@ -194,6 +197,22 @@ def held_out(doc_id: str) -> F.Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+def _labelled(docs: DataFrame, doc_id: str, text: str, lang: str) -> DataFrame:
+    return plain_columns(docs, doc_id=doc_id, text=text, lang=lang).where(
+        F.col("lang").isNotNull() & ~held_out("doc_id") & F.col("text").rlike(r"\p{L}"))
+
+
+def _sample(labelled: DataFrame, languages: list[str], rows_per_language: int) -> DataFrame:
+    # ids of the sample: at most rows_per_language for each of MOST_LANGUAGES languages
+    ranked = labelled.where(F.col("lang").isin(languages)).select(
+        "lang", "doc_id", F.xxhash64("doc_id").alias("h")).withColumn(
+        "rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id")))
+    chosen = ranked.where(F.col("rank") <= rows_per_language).select("lang", "doc_id").distinct()
+    # one text for an id, however often its row repeats
+    return (labelled.join(F.broadcast(chosen), ["lang", "doc_id"], "left_semi")
+            .groupBy("lang", "doc_id").agg(F.min("text").alias("text")))
+
+
 def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
           rows_per_language: int = ROWS_PER_LANGUAGE, buckets: int = BUCKETS,
           families: dict[str, list[str]] = FAMILIES) -> LanguageModel:
@@ -202,10 +221,8 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
 
     Without any labelled rows the model knows no language and answers ``und``.
     """
-    spark = docs.sparkSession
-    labelled = plain_columns(docs, doc_id=doc_id, text=text, lang=lang).where(
-        F.col("lang").isNotNull() & ~held_out("doc_id") & F.col("text").rlike(r"\p{L}"))
-    keyed = labelled.select("lang", "doc_id", F.xxhash64("doc_id").alias("h"))
+    labelled = _labelled(docs, doc_id, text, lang)
+    keyed = labelled.select("lang", "doc_id")
     counts = {r["lang"]: r["n"] for r in
               keyed.groupBy("lang").agg(F.count("*").alias("n"))
               .where(F.col("n") >= LEAST_ROWS)
@@ -215,13 +232,7 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
         names.setdefault(family_of(language, families), []).append(language)
     if not names:
         return LanguageModel({}, np.zeros((buckets, 0), np.float32), np.zeros(0), {}, {}, buckets)
-    # ids of the sample: at most rows_per_language for each of MOST_LANGUAGES languages
-    ranked = keyed.where(F.col("lang").isin(list(counts))).withColumn(
-        "rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id")))
-    chosen = ranked.where(F.col("rank") <= rows_per_language).select("lang", "doc_id").distinct()
-    # one text for an id, however often its row repeats
-    sample = (labelled.join(F.broadcast(chosen), ["lang", "doc_id"], "left_semi")
-              .groupBy("lang", "doc_id").agg(F.min("text").alias("text")))
+    sample = _sample(labelled, list(counts), rows_per_language)
     machines = [("family", name, "") for name in names]
     machines += [("pair", a, b) for own in names.values() for a, b in combinations(own, 2)]
     places = {m: i for i, m in enumerate(machines)}
@@ -291,3 +302,27 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
 
     schema = docs.select(*names).schema.add("lang_pred", "string").add("score", "double")
     return docs.select(*names).mapInArrow(run, schema)
+
+
+def letters_of(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text: str = "text",
+               lang: str = "lang", rows_per_language: int = ROWS_PER_LANGUAGE) -> str:
+    """The lower-cased letters and marks of the languages learned, from rows like those of ``learn``."""
+    languages = [own for family in model.families.values() for own in family]
+    if not languages:
+        return ""
+    sample = _sample(_labelled(docs, doc_id, text, lang), languages, rows_per_language)
+    begun = F.lower(F.left("text", F.lit(LETTERS_OF_ROW)))
+    counted = (sample.select("lang", F.explode(F.regexp_extract_all(
+        begun, F.lit(r"([\p{L}\p{M}])"), 1)).alias("letter"))
+        .groupBy("lang", "letter").agg(F.count("*").alias("n")))
+    every = F.sum("n").over(Window.partitionBy("lang"))
+    often = counted.withColumn("every", every).where(F.col("n") >= LETTER_SHARE * F.col("every"))
+    return "".join(sorted(r["letter"] for r in often.select("letter").distinct().collect()))
+
+
+def letter_share(text: str, letters: str) -> F.Column:
+    """Share of the characters of a text, without blanks, that are among ``letters``."""
+    if not letters:
+        return F.lit(0.0)
+    own = F.char_length(F.regexp_replace(F.lower(text), f"[^{letters}]+", ""))
+    return own / F.nullif(F.char_length(F.regexp_replace(text, r"[\s\p{Z}]+", "")), F.lit(0))
