@@ -82,3 +82,12 @@ def test_query_recall(spark):
     want = exact(rows, queries, 10)
     hits = sum(r.vec_id in {i for _, i in want[r.query_id]} for r in found)
     assert hits >= 0.9 * len(found)
+
+
+def test_query_row_repeated_often(spark):
+    rnd = np.random.default_rng(9)
+    far = [(100 + i, (10 + rnd.normal(size=16) / 100).tolist()) for i in range(40)]
+    docs = spark.createDataFrame([(1, [-10.0] * 16)] * 30 + far, SCHEMA)
+    found = search(docs, docs.where("vec_id = 1"), k=5).collect()
+    assert sorted(r.rank for r in found) == [1, 2, 3, 4, 5]
+    assert all(r.vec_id >= 100 for r in found)

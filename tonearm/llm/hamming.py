@@ -185,9 +185,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "v
             index = Index(known.encode(points))
             asking = _matrix(own["embedding"])
             for query, point, code in zip(own["vec_id"].to_pylist(), asking, known.encode(asking)):
-                # one more: the query itself may be among them
-                near = index.nearest(code, known.radius, k + 1)
-                near = near[ids[near] != query]
+                # more by the rows of the query's own id, which may be among them
+                same = ids == query
+                near = index.nearest(code, known.radius, k + int(same.sum()))
+                near = near[~same[near]]
                 away = distances(points[near], point)
                 if len(near) > k:  # ties at the k-th place stay
                     kept = away <= np.partition(away, k - 1)[k - 1]
