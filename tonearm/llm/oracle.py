@@ -71,10 +71,61 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed,
     sha256(coalesce(text, '')) AS kept_sha256
 FROM words x LEFT JOIN kept k ON k.rid = x.rid"""
 
+OP11 = r"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id,
+    string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+lines AS MATERIALIZED (SELECT rid, doc_id, l[j] AS line, j, translate(trim(l[j],
+    ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS own
+    FROM (SELECT rid, doc_id, l, unnest(range(1, len(l) + 1)) AS j FROM docs) x),
+shared AS (SELECT own, max(doc_id) AS stays FROM lines WHERE length(own) >= 20
+    GROUP BY own HAVING count(DISTINCT doc_id) >= 3),
+marked AS (SELECT rid, line, j, coalesce(doc_id < stays, false) AS gone
+    FROM lines x LEFT JOIN shared s ON s.own = x.own),
+kept AS (SELECT rid, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+    string_agg(CASE WHEN NOT gone THEN line END, chr(10) ORDER BY j) AS text FROM marked GROUP BY rid)
+SELECT doc_id, n_lines, n_dropped, sha256(coalesce(text, '')) AS kept_sha256
+FROM docs d JOIN kept k ON k.rid = d.rid"""
+
+
+def vector_codes_sql(rounds: int = 4) -> str:
+    """Codebooks refined in ``rounds``, by comparing every part with every entry."""
+    near = """near{k} AS MATERIALIZED (SELECT rid, p, min({{'d': d, 'e': e}}) AS m FROM (
+    SELECT t.rid, t.p, b.e, list_sum(list_transform(list_zip(t.v, b.v),
+        lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+    FROM parts t JOIN book{k} b ON b.p = t.p) x GROUP BY rid, p)"""
+    book = """book{n} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.v, b.v) AS v FROM book{k} b LEFT JOIN (
+    SELECT p, e, list(mean ORDER BY i) AS v FROM (
+        SELECT t.p, n.m.e AS e, i, floor(sum(t.v[i]) / count(*))::BIGINT AS mean
+        FROM (SELECT *, unnest(range(1, len(v) + 1)) AS i FROM parts) t
+        JOIN near{k} n ON n.rid = t.rid AND n.p = t.p GROUP BY t.p, n.m.e, i) y GROUP BY p, e) m
+    ON m.p = b.p AND m.e = b.e)"""
+    steps = [near.format(k=0)]
+    for k in range(rounds):
+        steps += [book.format(n=k + 1, k=k), near.format(k=k + 1)]
+    return f"""
+WITH ints AS (SELECT row_number() OVER () AS rid, vec_id, label,
+    list_transform(embedding, lambda v: floor(1024 * v::DOUBLE)::BIGINT) AS x FROM embeddings
+    WHERE len(embedding) > 0
+    AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+parts AS MATERIALIZED (SELECT rid, vec_id, label, p, x[p * len(x) // 4 + 1:(p + 1) * len(x) // 4] AS v
+    FROM (SELECT *, unnest(range(0, 4)) AS p FROM ints) y),
+book0 AS MATERIALIZED (SELECT p, e, v FROM (SELECT p, v,
+    row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e FROM parts) y WHERE e < 256),
+{", ".join(steps)},
+codes AS (SELECT rid, string_agg(lower(printf('%02x', m.e)), '' ORDER BY p) AS code,
+    sum(m.d)::BIGINT AS error FROM near{rounds} GROUP BY rid),
+digest AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) AS own FROM book{rounds})
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+    own AS codebooks_sha256 FROM ints JOIN codes USING (rid), digest"""
+
+
 ORACLE: dict[str, str] = {
     "op1_license_scan": licenses.oracle_sql(),
     "op4_warc": OP4,
     "op5_chat_formatting": OP5,
     "op9_minhash_near_dedup": OP9,
     "op10_substring_dedup": OP10,
+    "op11_line_dedup": OP11,
+    "op13_vector_codes": vector_codes_sql(),
 }
