@@ -5,6 +5,10 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from tonearm.operators import index as IX
+from tonearm.operators import nearest as NN
 from tonearm.operators.index import build_index, open_index, search_index
 from tonearm.operators.nearest import nearest
 
@@ -94,3 +98,112 @@ def test_given_cells(spark, tmp_path):
     build_index(x, path, ivf=True, centres=[[1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]])
     cells = {r.item_id: r.cell for r in open_index(spark, path).collect()}
     assert all(cells[i] == max(range(3), key=lambda k: v[k]) for i, v in enumerate(xs))
+
+
+def clusters(n, groups, width, seed, spread=0.01):
+    rng = random.Random(seed)
+    centres = [[rng.uniform(-1, 1) for _ in range(width)] for _ in range(groups)]
+    return [[x + rng.gauss(0, spread) for x in centres[i % groups]] for i in range(n)]
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_cells_are_skipped(spark, metric, monkeypatch):
+    """On clustered vectors most pairs of a query and a cell are never visited."""
+    qs, xs = clusters(60, 12, 6, 3), clusters(600, 12, 6, 3)
+    made = []
+    visits = NN.visits
+
+    def counted(q, cells, odd, k, width, first=None):
+        out = visits(q, cells, odd, k, width, first).persist()
+        made.append((out.count(), len(cells.pivots)))
+        return out
+
+    monkeypatch.setattr(NN, "visits", counted)
+    got = run(spark, qs, xs, 5, metric, broadcast_cells=8, block_rows=60)
+    assert got == brute(qs, xs, 5, metric)
+    assert len(made) == 2 and made[0][1] >= 30
+    assert sum(n for n, _ in made) <= 60 * made[0][1] / 4
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+@pytest.mark.parametrize("seed", range(2))
+def test_cells_on_odd_vectors(spark, metric, seed):
+    """Repeated, zero and tiny vectors, fewer items than k in most cells, random directions."""
+    qs, xs = vectors(15, 5, seed), vectors(90, 5, seed + 50, same=30)
+    xs = [[x - 0.5 for x in v] for v in xs]
+    if metric == "l2":
+        xs[40], xs[41], qs[3] = [0.0] * 5, [0.0] * 5, [0.0] * 5
+    else:
+        xs[40], xs[41] = [1e-7 * x for x in xs[50]], [1e3 * x for x in xs[51]]
+    got = run(spark, qs, xs, 7, metric, broadcast_cells=8, block_rows=10)
+    want = brute(qs, xs, 7, metric)
+    if metric == "cosine":  # a tiny vector's length is not quite divided out: compare the others
+        got, want = ({i: [j for j in v if j != 40][:6] for i, v in d.items()} for d in (got, want))
+    assert got == want
+
+
+def test_index_takes_additions_and_removals(spark, tmp_path):
+    path = str(tmp_path / "index")
+    rows = dict(enumerate(clusters(200, 5, 4, 9, 0.2)))
+
+    def table(some):
+        return spark.createDataFrame([(i, v) for i, v in some.items()], "id bigint, vec array<double>")
+
+    def check(cells=None):
+        qs = clusters(12, 5, 4, 10, 0.3)
+        q = spark.createDataFrame(list(enumerate(qs)), "query_id bigint, vec array<double>")
+        out = {}
+        for r in search_index(q, spark, path, 6, nprobe=1000).orderBy("query_id", "rank").collect():
+            out.setdefault(r.query_id, []).append(r.id)
+        ids = sorted(rows)
+        want = brute(qs, [rows[i] for i in ids], 6, "cosine")
+        assert out == {k: [ids[j] for j in v] for k, v in want.items()}
+        live = open_index(spark, path)
+        assert sorted(r.item_id for r in live.select("item_id").collect()) == ids
+        sizes = {r.cell: r.size for r in IX._sizes(spark, path, IX.index_version(spark, path)).collect()}
+        assert {r.cell: r["count"] for r in live.groupBy("cell").count().collect()} == {
+            c: n for c, n in sizes.items() if n}
+        return sizes
+
+    build_index(table(rows), path, ivf=True, cells=5, vec="vec")
+    check()
+    gone = {i: rows.pop(i) for i in range(0, 200, 7)}
+    assert IX.remove_from_index(table({**gone, 999: [0.0] * 4}), path) == 1
+    check()
+    new = {i: v for i, v in enumerate(clusters(80, 5, 4, 11, 0.2), 1000)}
+    changed = {i: [x + 0.1 for x in rows[i]] for i in (1, 2, 3)}
+    back = {7: gone[7]}
+    rows |= new | changed | back
+    assert IX.add_to_index(table(new | changed | back), path, vec="vec") == 2
+    before = check()
+    files = {r.f for r in spark.read.parquet(f"{path}/vectors").select(F.input_file_name().alias("f")).collect()}
+    assert IX.split_cells(spark, path, 60) == 3
+    after = check()
+    full = {c for c, n in before.items() if n > 60}
+    assert full and not full & set(after) and max(after.values()) <= 60
+    assert {c: n for c, n in after.items() if c in before} == {c: n for c, n in before.items() if c not in full}
+    # nothing that was stored has been written again
+    now = {r.f for r in spark.read.parquet(f"{path}/vectors").select(F.input_file_name().alias("f")).collect()}
+    assert files <= now and IX.split_cells(spark, path, 60) is None
+    gone = [i for i in rows if i % 3 == 0]
+    for i in gone:
+        del rows[i]
+    IX.remove_from_index(spark.createDataFrame([(i,) for i in gone], "id bigint"), path)
+    check()
+    # a version that was not written to its end does not count
+    open_index(spark, path).limit(3).write.partitionBy("cell").parquet(f"{path}/vectors/version=5")
+    check()
+
+
+def test_flat_index_takes_changes(spark, tmp_path):
+    path = str(tmp_path / "flat")
+    v = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(6)], "id bigint, embedding array<double>")
+    with pytest.raises(ValueError):
+        IX.add_to_index(v, path)
+    build_index(v.where("id < 4"), path)
+    IX.add_to_index(v.where("id >= 3"), path)
+    IX.remove_from_index(v.where("id = 0"), path)
+    assert sorted(r.item_id for r in open_index(spark, path).collect()) == [1, 2, 3, 4, 5]
+    assert IX.split_cells(spark, path, 2) is None
+    build_index(v.where("id = 2"), path)
+    assert [r.item_id for r in open_index(spark, path).collect()] == [2]

@@ -48,6 +48,58 @@ def test_collect(spark, tmp_path):
     assert landing.collect_tracks([], spark=spark).count() == 0
 
 
+def test_broken_answers_are_quarantined(spark, tmp_path):
+    def answers(n):
+        return json.dumps({"tracks": {"items": [raw(n)]}})
+
+    lines = [answers(1), "", answers(2)[:150], answers(3), '["no object"]', '{"error": "limit"}', "plain text",
+             '{"tracks": {"items": []}}', json.dumps({"tracks": {"items": [raw(4), {**raw(5), "explicit": "x"}]}})]
+    (tmp_path / "s").mkdir()
+    (tmp_path / "s" / "1.json").write_text("\n".join(lines), encoding="utf-8")
+    (tmp_path / "s" / "2.json").write_text("\n".join([answers(6)[:40], answers(7)]), encoding="utf-8")
+    good, bad = landing.search_results(spark, str(tmp_path / "s"))
+    assert {"mock_track_1", "mock_track_3", "mock_track_4", "mock_track_7"} <= {r.id for r in good.collect()}
+    refused = sorted((r.file.rsplit("/", 1)[1], r.line, r.record, *r.errors)
+                     for r in bad.where("record IS NOT NULL").collect())
+    assert refused == sorted([
+        ("1.json", 3, lines[2], "answer unreadable"), ("1.json", 5, lines[4], "answer unreadable"),
+        ("1.json", 6, lines[5], "answer without tracks"), ("1.json", 7, lines[6], "answer unreadable"),
+        ("1.json", 9, lines[8], "answer readable in part"), ("2.json", 1, answers(6)[:40], "answer unreadable")])
+    with pytest.raises(Exception, match="unreadable answer"):
+        landing.search_results(spark, str(tmp_path / "s"), strict=True)[0].collect()
+
+
+def test_lines_are_counted_across_blocks(spark, tmp_path):
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    path = tmp_path / "f.json"
+    lines = [json.dumps({"id": f"track_{i:08d}", "energy": 0.5}) for i in range(3000)]
+    for at in (0, 777, 2999):
+        lines[at] = lines[at][:15]
+    path.write_text("\n".join(lines), encoding="utf-8")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+        good, bad = landing.track_features(spark, str(path))
+        assert good.count() == 2997
+        assert sorted(r.line for r in bad.collect()) == [1, 778, 3000]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+def test_whole_files_and_analysis_lines(spark, tmp_path):
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "good.json").write_text(json.dumps({"tracks": [raw(1)]}, indent=2), encoding="utf-8")
+    (tmp_path / "w" / "cut.json").write_text(json.dumps({"tracks": [raw(2)]}, indent=2)[:60], encoding="utf-8")
+    good, bad = landing.artist_top_tracks(spark, str(tmp_path / "w"), whole_file=True)
+    assert [r.id for r in good.collect()] == ["mock_track_1"]
+    assert [(r.file.rsplit("/", 1)[1], r.line) for r in bad.collect()] == [("cut.json", 1)]
+    (tmp_path / "a.json").write_text('{"id": "x", "analysis": {"k": 1}}\n{"id": "y", "ana', encoding="utf-8")
+    found, bad = landing.track_analysis(spark, spark.createDataFrame([("x",), ("y",)], "id string"),
+                                        str(tmp_path / "a.json"))
+    assert sorted((r.id, r.a) for r in found.selectExpr("id", "to_json(analysis) AS a").collect()) == [
+        ("x", '{"k":1}'), ("y", "{}")]
+    assert [(r.line, r.record) for r in bad.collect()] == [(2, '{"id": "y", "ana')]
+
+
 def items(spark, *ids):
     return spark.createDataFrame(
         [(i, f"Song {i}", ["A", "B"], "L", "2023", None, 1000, 0.5, None) for i in ids],
@@ -163,15 +215,42 @@ def test_rating_log(spark, tmp_path):
         df.withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.mode("append").parquet(src)
         stream = spark.readStream.schema(schema).parquet(src)
         jobs.rating_stream(stream, log, check).awaitTermination()
-        return {(r.user_id, r.track_id): r.rating for r in jobs.current_ratings(spark, log).collect()}
+        return {(r.user_id, r.track_id): r.rating for r in jobs.current_ratings(spark, check).collect()}
 
     assert arrive(("u", "a", 1.0, "2024-01-01", 1), ("u", "a", 2.0, "2024-01-02", 2)) == {
         ("u", "a"): 2.0}
-    # a late event does not win, a newer one does
+    # a late event does not win, a newer one does; each run starts the stream anew
     assert arrive(("u", "a", 9.0, "2023-01-01", 3), ("u", "b", 4.0, "2024-01-01", 4)) == {
         ("u", "a"): 2.0, ("u", "b"): 4.0}
-    jobs.compact_ratings(spark, log, str(tmp_path / "small"))
-    assert jobs.current_ratings(spark, str(tmp_path / "small")).count() == 2
+    # an event that comes again changes nothing, nor does an older one of the same time
+    assert arrive(("u", "a", 2.0, "2024-01-02", 2), ("u", "a", 5.0, "2024-01-02", 1),
+                  ("u", "b", 1.0, "2024-01-01", 5)) == {("u", "a"): 2.0, ("u", "b"): 1.0}
+    changes = sorted((r.batch, r.user_id, r.track_id, r.rating) for r in spark.read.parquet(log).collect())
+    assert changes == [(0, "u", "a", 2.0), (1, "u", "b", 4.0), (2, "u", "b", 1.0)]
+    assert [tuple(r)[:3] for r in jobs.changed_ratings(spark, log, 2).collect()] == [("u", "b", 1.0)]
+
+
+def test_rating_state_equals_upsert_in_any_order(spark, tmp_path):
+    import random
+
+    from tonearm.sources.preferences import latest_ratings
+
+    rnd = random.Random(8)
+    rows = [(f"u{rnd.randint(0, 9)}", f"t{rnd.randint(0, 9)}", float(rnd.randint(1, 5)),
+             f"2024-01-{rnd.randint(1, 28):02d}", i) for i in range(600)]
+    rnd.shuffle(rows)
+    events = spark.createDataFrame(rows, "user_id string, track_id string, rating double, ts string, seq bigint") \
+        .withColumn("ts", F.to_timestamp("ts"))
+    src, log, check = (str(tmp_path / d) for d in ("in", "log", "check"))
+    for k in range(3):  # three runs, each a restart
+        events.where(F.col("seq") % 3 == k).repartition(2).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(src)
+        jobs.rating_stream(stream, log, check).awaitTermination()
+    want = sorted(tuple(r) for r in latest_ratings(events).collect())
+    found = jobs.current_ratings(spark, check).select("user_id", "track_id", "rating", "ts", "seq")
+    assert sorted(tuple(r) for r in found.collect()) == want
+    assert sorted(tuple(r)[:5] for r in jobs.changed_ratings(spark, log).select(
+        "user_id", "track_id", "rating", "ts", "seq").collect()) == want
 
 
 def test_ingest_stream(spark, tmp_path):
@@ -217,6 +296,110 @@ def test_ingest_stream_takes_late_items(spark, tmp_path):
     assert jobs.open_stream_store(spark, str(tmp_path / "small")).count() == 3
 
 
+def test_ingest_opens_only_files_that_may_hold_an_id(spark, tmp_path):
+    src, path, check = (str(tmp_path / d) for d in ("in", "items", "check"))
+
+    def arrive(*ids):
+        df = items(spark, *ids).withColumn("ts", F.to_timestamp(F.lit("2024-01-01")))
+        df.coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(df.schema).parquet(src)
+        jobs.ingest_stream(stream, path, check, hashing_encoder()).awaitTermination()
+
+    arrive(*(f"a{i}" for i in range(400)))
+    arrive(*(f"b{i}" for i in range(400)))
+    stored = jobs.open_stream_store(spark, path)
+    every = stored.select(F.input_file_name()).distinct().count()
+    assert stored.count() == 800 and every > 100
+    # no id is missed, and unknown ids open hardly anything
+    of = {r.id: r.file for r in stored.select("id", F.col("_metadata.file_path").alias("file")).collect()}
+    some = [f"a{i}" for i in range(0, 400, 40)] + ["b7"]
+    files = jobs.files_with(spark, path, spark.createDataFrame([(i,) for i in some], "id string"))
+    assert {of[i] for i in some} <= set(files) and len(files) <= len(some) + 5
+    new = spark.createDataFrame([(f"c{i}",) for i in range(30)], "id string")
+    assert len(jobs.files_with(spark, path, new)) <= 8
+    arrive("a3", "late", "b399", "late")
+    assert sorted(r.id for r in jobs.open_stream_store(spark, path).where("batch = 2").collect()) == ["late"]
+    jobs.compact_items(spark, path, str(tmp_path / "small"))
+    assert jobs.open_stream_store(spark, str(tmp_path / "small")).count() == 801
+    assert len(jobs.files_with(spark, str(tmp_path / "small"), spark.createDataFrame(
+        [("late",)], "id string"))) == 1
+
+
+def test_final_windows_and_corrections(spark, tmp_path):
+    src, out, check = (str(tmp_path / d) for d in ("in", "out", "check"))
+    shape = "ts timestamp, event_type string, value double"
+    every = []
+
+    def arrive(*rows):
+        every.extend(rows)
+        df = spark.createDataFrame(rows, "ts string, event_type string, value double")
+        df.withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.mode("append").parquet(src)
+        jobs.final_usage_stream(spark.readStream.schema(shape).parquet(src), out, check,
+                                delay="2 hours").awaitTermination()
+
+    def rows(part):
+        return sorted((str(r.window_start)[11:16], r.name, r.calls, r.total)
+                      for r in jobs.usage_windows(spark, out, part).collect())
+
+    arrive(("2024-01-01 10:10:00", "view", 1.0), ("2024-01-01 12:30:00", "view", 2.0))
+    assert rows("final") == [] and len(rows("open")) == 2  # 11:00 is not two hours before 12:30
+    arrive(("2024-01-01 10:50:00", "view", 3.0), ("2024-01-01 13:05:00", "buy", 1.0))
+    assert rows("final") == [("10:00", "view", 2, 4.0)] and rows("corrections") == []
+    # late for a final window: a correction, also for a name that it had not; in time for an open one
+    arrive(("2024-01-01 10:55:00", "view", 5.0), ("2024-01-01 10:56:00", "buy", None),
+           ("2024-01-01 12:40:00", "view", 7.0))
+    assert rows("final") == [("10:00", "view", 2, 4.0)]
+    assert rows("corrections") == [("10:00", "buy", 1, None), ("10:00", "view", 1, 5.0)]
+    # hours later: what is kept does not grow with the windows that have gone by
+    for h in range(16, 24):
+        arrive((f"2024-01-01 {h}:00:00", "view", 1.0))
+        assert len(rows("open")) <= 4
+    import os
+    assert all(len([d for d in os.listdir(f"{out}/{part}") if d.startswith("batch=")]) <= 2
+               for part in ("open", "seen"))
+    finals = [r[:2] for r in rows("final")]
+    assert len(finals) == len(set(finals))
+    got = {(str(r.window_start)[11:13], r.name): (r.calls, r.mean_value)
+           for r in jobs.corrected_usage(spark, out).collect()}
+    want = {}
+    for ts, name, value in every:
+        want.setdefault((ts[11:13], name), []).append(value)
+    assert got == {k: (len(v), sum(x for x in v if x is not None) / len([x for x in v if x is not None])
+                       if any(x is not None for x in v) else None) for k, v in want.items()}
+
+
+def test_search_sketches(spark):
+    import random
+
+    from tonearm.plans.metrics import merged_sketch, popular_in_sketch, search_sketch
+
+    rnd = random.Random(4)
+    rows = [(f"q{int(rnd.random() ** 3 * 60)}", f"2024-01-01 {rnd.randint(0, 5):02d}:{rnd.randint(0, 59):02d}:00")
+            for _ in range(4000)] + [(None, "2024-01-01 00:00:00"), ("q1", None)]
+    asked = spark.createDataFrame(rows, "q string, at string").withColumn("at", F.to_timestamp("at"))
+    true = {}
+    for q, at in rows:
+        if q and at:
+            true[q] = true.get(q, 0) + 1
+    sketch = search_sketch(asked, "q", "at", kept=12).persist()
+    assert max(r["count"] for r in sketch.groupBy("hour").count().collect()) == 12
+    found = popular_in_sketch(sketch, 100).collect()
+    assert all(r.n <= true[r.query] <= r.n + r.bound for r in found)
+    most_missed = merged_sketch(sketch).where("query IS NULL").first().missed
+    listed = {r.query: r.n for r in found}
+    assert all(q in listed for q, n in true.items() if n > most_missed)
+    assert all(listed[r.query] == true[r.query] for r in found if r.bound == 0)
+    assert {r.query for r in found if r.bound == 0}
+    # in any order and grouping
+    hours = [sketch.where(F.hour("hour") == h) for h in range(6)]
+    merged = merged_sketch(hours[5])
+    for h in (1, 4, 0, 2, 3):
+        merged = merged_sketch(merged.unionByName(merged_sketch(hours[h])))
+    assert popular_in_sketch(merged, 100).collect() == found
+    whole = popular_in_sketch(search_sketch(asked, "q", "at"), 100).collect()
+    assert {r.query: (r.n, r.bound) for r in whole} == {q: (n, 0) for q, n in true.items()}
+
+
 def test_usage_stream_has_open_windows_and_late_events(spark, tmp_path):
     src, log, check = (str(tmp_path / d) for d in ("in", "log", "check"))
     shape = "ts timestamp, event_type string, value double"
@@ -237,7 +420,7 @@ def test_usage_stream_has_open_windows_and_late_events(spark, tmp_path):
     assert jobs.current_usage(spark, str(tmp_path / "small")).count() == 3
 
 
-def test_rating_log_without_batches(spark, tmp_path):
+def test_ratings_without_batches(spark, tmp_path):
     assert jobs.current_ratings(spark, str(tmp_path / "none")).count() == 0
 
 

@@ -93,6 +93,11 @@ def source_id_errors(source_id: str) -> Column:
     return _errors(_broken(c.rlike(r"\A[\p{L}\p{N}]{22}\z"), f"{source_id} malformed"))
 
 
+def n_results_errors(n: str = "n") -> Column:
+    """What ``check_n_results`` refuses, for a column of whole numbers."""
+    return _errors(_broken(F.col(n).between(1, MAX_RESULTS), "number of results out of range"))
+
+
 def split_valid(df: DataFrame, errors: Column, strict: bool = False) -> tuple[DataFrame, DataFrame]:
     """(valid rows, rows with a non-empty ``errors`` array)."""
     checked = df.withColumn("errors", errors)

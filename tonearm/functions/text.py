@@ -41,6 +41,11 @@ def squeeze(c: Column) -> Column:
     return strip(F.regexp_replace(c, f"[{BLANK}]{{2,}}|[{BLANK}&&[^ ]]", " "))
 
 
+def words(c: Column) -> Column:
+    """Distinct words in lower case."""
+    return F.array_distinct(F.filter(F.split(F.lower(squeeze(c)), " "), lambda w: w != ""))
+
+
 def clean_query(c: Column) -> Column:
     """Search text without the unsafe sequences and with single spaces; NULL gives ''."""
     out = strip(c)
@@ -83,8 +88,8 @@ def _lookup(words: dict[str, str | list[str]]) -> Column:
     return F.create_map(*pairs)
 
 
-def _words(words) -> Column:
-    return F.array(*[F.lit(w) for w in words])
+def _words(listed) -> Column:
+    return F.array(*[F.lit(w) for w in listed])
 
 
 def parse_request(

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonearm.functions.text import squeeze
-from tonearm.operators.ranking import top_per
+from tonearm.operators.inverted import CatalogueIndex, build_catalogue_index, search_index
 
 SEED_LIMIT = 20
 CANDIDATE_LIMIT = 30
@@ -23,45 +22,12 @@ def with_genres(tracks: DataFrame, artists: DataFrame) -> DataFrame:
         .drop("_artist", "_genres")
 
 
-def words(text: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(F.lower(squeeze(text)), " "), lambda w: w != ""))
-
-
-def search_catalogue(searches: DataFrame, catalogue: DataFrame, limit: int) -> DataFrame:
+def search_catalogue(searches: DataFrame, catalogue: DataFrame | CatalogueIndex,
+                     limit: int) -> DataFrame:
     """(kind, text, rank, id) of the best ``limit`` items for each distinct search.
 
-    ``genre`` searches want the text among an item's genres; ``text`` searches want every word
-    in its name, artists or album. Most popular first, then by id. Each distinct search is
-    answered once, however many requests ask it.
+    ``catalogue`` is a stored index, or the items themselves, which are then indexed first; whoever
+    searches them more than once builds the index once. See ``inverted.search_index``.
     """
-    everything = F.concat_ws(" ", "name", F.array_join("artists", " "), "album")
-    asked = searches.select("kind", "text").distinct().withColumn(
-        "need", F.when(F.col("kind") == "genre", F.array("text")).otherwise(words(F.col("text"))))
-    # genres and words are terms of two kinds; one list of terms per item and kind
-    items = catalogue.select("id", "popularity", F.explode(F.array(
-        F.struct(F.lit("genre").alias("kind"), F.array_distinct("genres").alias("have")),
-        F.struct(F.lit("text").alias("kind"), words(everything).alias("have")))).alias("t")) \
-        .select("id", "popularity", "t.kind", "t.have")
-    terms = asked.select("kind", "text", "need", F.explode("need").alias("term"))
-    wanted = terms.select("kind", "term").distinct()
-    postings = items.select("id", "popularity", "kind", F.explode("have").alias("term")) \
-        .join(wanted, ["kind", "term"], "left_semi")
-    order = [F.col("popularity").desc(), F.col("id")]
-
-    # searches of one term: each term's best items first, then its searches
-    single = terms.filter(F.size("need") == 1).select("kind", "text", "term")
-    best = top_per(postings.join(single.select("kind", "term"), ["kind", "term"], "left_semi"),
-                   ["kind", "term"], order, limit)
-    answered = single.join(best, ["kind", "term"]).select("kind", "text", "rank", "id")
-
-    # searches of several terms are looked up by the rarest; the others are checked by item
-    several = terms.filter(F.size("need") > 1)
-    rarity = postings.groupBy("kind", "term").agg(F.count(F.lit(1)).alias("n"))
-    rarest = several.join(rarity, ["kind", "term"]).groupBy("kind", "text", "need").agg(
-        F.min_by("term", F.struct("n", "term")).alias("term"))
-    hits = postings.join(rarest, ["kind", "term"]).select("kind", "text", "need", "id")
-    whole = hits.join(items, ["kind", "id"]).filter(
-        F.size(F.array_except("need", "have")) == 0)
-    found = top_per(whole.select("kind", "text", "id", "popularity"), ["kind", "text"], order,
-                    limit).select("kind", "text", "rank", "id")
-    return answered.unionByName(found).withColumn("rank", F.col("rank").cast("int"))
+    index = catalogue if isinstance(catalogue, CatalogueIndex) else build_catalogue_index(catalogue)
+    return search_index(searches, index, limit)

@@ -21,7 +21,7 @@ WIDTH = 384
 Encoder = Callable[[DataFrame], DataFrame]
 
 
-def _words(document: str):
+def document_words(document: str):
     return F.filter(F.split(F.lower(squeeze(F.col(document))), " "), lambda w: w != "")
 
 
@@ -32,7 +32,7 @@ def hashing_encoder(width: int = WIDTH, idf: IDFModel | None = None, document: s
     unit = Normalizer(inputCol="_idf" if idf else "_tf", outputCol="_unit")
 
     def encode(df: DataFrame) -> DataFrame:
-        out = tf.transform(df.withColumn("_words", _words(document)))
+        out = tf.transform(df.withColumn("_words", document_words(document)))
         if idf:
             out = idf.setInputCol("_tf").setOutputCol("_idf").transform(out)
         out = unit.transform(out).withColumn(embedding, vector_to_array("_unit", "float32"))
@@ -45,7 +45,7 @@ def counting_encoder(vocabulary: list[str], document: str = "document",
                      embedding: str = "embedding") -> Encoder:
     """How often each word of a given list occurs, scaled to length 1; zeros where none does."""
     def encode(df: DataFrame) -> DataFrame:
-        words = _words(document)
+        words = document_words(document)
         counts = F.array(*[F.size(F.filter(words, F.lit(w).eqNullSafe)).cast("double")
                            for w in vocabulary])
         return l2_normalise(df.withColumn(embedding, counts), embedding).withColumn(
@@ -58,7 +58,7 @@ def fit_idf(documents: DataFrame, width: int = WIDTH, document: str = "document"
     """Word weights of a corpus; one pass, ``width`` numbers come back."""
     tf = HashingTF(numFeatures=width, inputCol="_words", outputCol="_tf")
     return IDF(inputCol="_tf", outputCol="_idf").fit(
-        tf.transform(documents.withColumn("_words", _words(document))))
+        tf.transform(documents.withColumn("_words", document_words(document))))
 
 
 def model_encoder(load: Callable[[], Callable[[list[str]], np.ndarray]],

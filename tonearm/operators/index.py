@@ -1,4 +1,10 @@
-"""Vector index: unit vectors in Parquet, cut into cells by k-means for approximate search."""
+"""Vector index: unit vectors in Parquet, cut into cells by k-means for approximate search.
+
+An index is a row of versions. Building writes version 0; adding, removing and splitting write one
+version each and change no file of another. A version has vectors by cell, ids that it removes from earlier
+versions, centres of new or given-up cells, and by how much cells grew or shrank. It counts once its entry in
+``log`` is written, so readers never see half of one, and a failed attempt is simply made again.
+"""
 
 from __future__ import annotations
 
@@ -44,41 +50,194 @@ def build_index(vectors: DataFrame, path: str, *, ivf: bool = False, cells: int
     """Store (item_id, embedding) as unit vectors, by cell when ``ivf``.
 
     Cells are trained before any vector is assigned, or given by their ``centres``. Centres and
-    sizes, one row per cell, are stored beside the vectors.
+    sizes, one row per cell, are stored beside the vectors. What ``path`` held is replaced.
     """
-    unit = l2_normalise(vectors.select(F.col(item_id).alias("item_id"),
-                                       F.col(vec).alias("embedding")), "embedding")
+    spark = vectors.sparkSession
+    for part in ("log", "vectors", "removed", "centres", "sizes"):
+        _drop(spark, f"{path}/{part}")
+    unit = _unit_rows(vectors, item_id, vec)
     if not ivf:
-        unit.withColumn("cell", F.lit(0)).write.mode("overwrite").partitionBy("cell") \
-            .parquet(f"{path}/vectors")
+        unit.withColumn("cell", F.lit(0)).write.partitionBy("cell").parquet(f"{path}/vectors/version=0")
+        _commit(spark, path, 0)
         return
     if centres is None:
-        points = unit.withColumn("features", array_to_vector("embedding"))
-        centres = [c.tolist() for c in KMeans(k=cells, seed=seed).fit(points).clusterCenters()]
-    spark = vectors.sparkSession
-    near = spark.createDataFrame(list(enumerate(centres)), "cell int, centre array<double>")
-    found = nearest(unit, near, 1, "l2", query_id="item_id", item_id="cell",
-                    query_vec="embedding", item_vec="centre")
-    placed = written(unit.join(found.select("item_id", "cell"), "item_id"), "placed")
-    # a file per cell and ROWS_PER_FILE rows: no task gets the whole of a crowded cell
-    sizes = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("size"))
-    files = sizes.select("cell", F.ceil(F.col("size") / F.lit(ROWS_PER_FILE)).cast("int").alias("files"))
+        centres = _train(unit, cells, seed)
+    near = spark.createDataFrame(list(enumerate(centres)), _CENTRE)
+    near.withColumn("live", F.lit(True)).write.parquet(f"{path}/centres/version=0")
+    _store(_placed(unit, near), path, 0)
+    _commit(spark, path, 0)
+
+
+_CENTRE = "cell int, centre array<double>"
+
+
+def _unit_rows(vectors: DataFrame, item_id: str, vec: str) -> DataFrame:
+    return l2_normalise(vectors.select(F.col(item_id).alias("item_id"),
+                                       F.col(vec).alias("embedding")), "embedding")
+
+
+def _train(unit: DataFrame, cells: int, seed: int) -> list[list[float]]:
+    points = unit.withColumn("features", array_to_vector("embedding"))
+    return [c.tolist() for c in KMeans(k=cells, seed=seed).fit(points).clusterCenters()]
+
+
+def _placed(unit: DataFrame, centres: DataFrame) -> DataFrame:
+    """(item_id, embedding, cell): each vector with the cell of its nearest centre."""
+    unit = written(unit, "unit")
+    found = nearest(unit.select("item_id", "embedding").dropDuplicates(["item_id"]), centres, 1, "l2",
+                    query_id="item_id", item_id="cell", query_vec="embedding", item_vec="centre")
+    return written(unit.join(found.select("item_id", "cell"), "item_id"), "placed")
+
+
+def _store(placed: DataFrame, path: str, version: int) -> None:
+    """A version's vectors, in a file per cell and ROWS_PER_FILE rows: no task gets the whole of a
+    crowded cell; and its growth of each cell."""
+    sizes = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("more"))
+    files = sizes.select("cell", F.ceil(F.col("more") / F.lit(ROWS_PER_FILE)).cast("int").alias("files"))
     part = F.pmod(F.xxhash64("item_id"), F.col("files")).alias("part")
     placed.join(files, "cell").select("item_id", "embedding", "cell", part) \
         .repartition("cell", "part").drop("part") \
-        .write.mode("overwrite").partitionBy("cell").parquet(f"{path}/vectors")
-    near.join(sizes, "cell", "left").select(
-        "cell", "centre", F.coalesce("size", F.lit(0)).alias("size")) \
-        .write.mode("overwrite").parquet(f"{path}/centres")
+        .write.mode("overwrite").partitionBy("cell").parquet(f"{path}/vectors/version={version}")
+    sizes.write.mode("overwrite").parquet(f"{path}/sizes/version={version}")
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _commit(spark: SparkSession, path: str, version: int) -> None:
+    spark.range(1).select(F.lit(version).alias("version")).coalesce(1) \
+        .write.mode("overwrite").parquet(f"{path}/log/v={version}")
+
+
+def index_version(spark: SparkSession, path: str) -> int | None:
+    """The last complete version, or None when the index is not there."""
+    if not path_exists(spark, f"{path}/log"):
+        return None
+    return spark.read.schema("version int").parquet(f"{path}/log").agg(F.max("version")).first()[0]
+
+
+def _versions(spark: SparkSession, path: str, part: str, schema: str, upto: int) -> DataFrame:
+    """A part of the index up to a version; empty if no version has it."""
+    if not path_exists(spark, f"{path}/{part}"):
+        return spark.createDataFrame([], f"{schema}, version int")
+    return spark.read.schema(f"{schema}, version int").parquet(f"{path}/{part}").where(
+        F.col("version") <= upto)
+
+
+def _item_type(spark: SparkSession, path: str) -> str:
+    return spark.read.parquet(f"{path}/vectors/version=0").schema["item_id"].dataType.simpleString()
+
+
+def live_centres(spark: SparkSession, path: str, version: int) -> DataFrame:
+    """(cell, centre) of the cells that are in use."""
+    every = _versions(spark, path, "centres", f"{_CENTRE}, live boolean", version)
+    return every.groupBy("cell").agg(F.max_by(F.struct("centre", "live"), "version").alias("x")) \
+        .where("x.live").select("cell", "x.centre")
+
+
+def _live(spark: SparkSession, path: str, version: int) -> DataFrame:
+    """(item_id, embedding, version, cell): vectors that no later version removed, in live cells."""
+    item = _item_type(spark, path)
+    rows = spark.read.schema(f"item_id {item}, embedding array<double>, version int, cell int") \
+        .parquet(f"{path}/vectors").where(F.col("version") <= version)
+    if path_exists(spark, f"{path}/removed"):
+        gone = _versions(spark, path, "removed", f"item_id {item}", version).select(
+            F.col("item_id").alias("_gone"), F.col("version").alias("_at"))
+        rows = rows.join(gone, (F.col("item_id") == F.col("_gone"))
+                         & (F.col("version") < F.col("_at")), "left_anti")
+    given_up = _versions(spark, path, "centres", f"{_CENTRE}, live boolean", version).where("NOT live")
+    given_up = [r.cell for r in given_up.select("cell").distinct().collect()]  # CELLS and splits at most
+    return rows.where(~F.col("cell").isin(given_up)) if given_up else rows
 
 
 def open_index(spark: SparkSession, path: str) -> DataFrame | None:
-    """(item_id, embedding, cell), or None when the index is not there."""
-    if not path_exists(spark, f"{path}/vectors"):
+    """(item_id, embedding, cell) of the last complete version, or None when the index is not there."""
+    version = index_version(spark, path)
+    return None if version is None else _live(spark, path, version).drop("version")
+
+
+def _next(spark: SparkSession, path: str) -> int:
+    version = index_version(spark, path)
+    if version is None:
+        raise ValueError("the index is not built")
+    return version + 1
+
+
+def _shrunk(spark: SparkSession, path: str, ids: DataFrame, version: int) -> DataFrame:
+    """By how much cells shrink when the ids go."""
+    return _live(spark, path, version - 1).join(ids, "item_id", "left_semi").groupBy("cell").agg(
+        (-F.count(F.lit(1))).alias("more"))
+
+
+def remove_from_index(ids: DataFrame, path: str, item_id: str = "id") -> int:
+    """Takes vectors out of the index; unknown ids change nothing. Returns the new version."""
+    spark = ids.sparkSession
+    version = _next(spark, path)
+    gone = ids.select(F.col(item_id).alias("item_id")).where("item_id IS NOT NULL").distinct()
+    gone.write.mode("overwrite").parquet(f"{path}/removed/version={version}")
+    gone = spark.read.schema(gone.schema).parquet(f"{path}/removed/version={version}")
+    _shrunk(spark, path, gone, version).write.mode("overwrite").parquet(f"{path}/sizes/version={version}")
+    _commit(spark, path, version)
+    return version
+
+
+def add_to_index(vectors: DataFrame, path: str, item_id: str = "id", vec: str = "embedding") -> int:
+    """Adds vectors, each to the cell of the nearest stored centre; an id that is there already gets
+    the new vector instead. Returns the new version. Nothing that is stored moves."""
+    spark = vectors.sparkSession
+    version = _next(spark, path)
+    unit = _unit_rows(vectors, item_id, vec)
+    centres = live_centres(spark, path, version - 1)
+    cut = not centres.isEmpty()
+    placed = _placed(unit, written(centres, "centres")) if cut else \
+        written(unit.withColumn("cell", F.lit(0)), "placed")
+    again = placed.select("item_id").distinct()
+    again.write.mode("overwrite").parquet(f"{path}/removed/version={version}")
+    shrunk = written(_shrunk(spark, path, again, version), "shrunk")
+    _store(placed, path, version)
+    shrunk.write.mode("append").parquet(f"{path}/sizes/version={version}")
+    _commit(spark, path, version)
+    return version
+
+
+def split_cells(spark: SparkSession, path: str, most: int, seed: int = 0) -> int | None:
+    """Splits every cell of more than ``most`` vectors, each by itself, into cells of about half that;
+    other cells stay as they are. Returns the new version, or None if no cell is overfull."""
+    version = _next(spark, path)
+    rows = _live(spark, path, version - 1)
+    full = [(r.cell, r.n) for r in rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+            .where(F.col("n") > most).orderBy("cell").collect()]
+    centres = live_centres(spark, path, version - 1)
+    if not full or centres.isEmpty():
         return None
-    item = spark.read.parquet(f"{path}/vectors").schema["item_id"].dataType.simpleString()
-    return spark.read.schema(f"item_id {item}, embedding array<double>, cell int") \
-        .parquet(f"{path}/vectors")
+    free = _versions(spark, path, "centres", f"{_CENTRE}, live boolean", version).agg(
+        F.max("cell")).first()[0] + 1
+    moved, new = [], []
+    for cell, n in full:
+        own = rows.where(F.col("cell") == cell).select("item_id", "embedding")
+        trained = _train(own, max(2, -(-2 * n // most)), seed)
+        near = [(free + i, c) for i, c in enumerate(trained)]
+        free += len(near)
+        new += [(c, centre, True) for c, centre in near] + [(cell, None, False)]
+        moved.append(_placed(own, spark.createDataFrame(near, _CENTRE)))
+    spark.createDataFrame(new, f"{_CENTRE}, live boolean").write.mode("overwrite").parquet(
+        f"{path}/centres/version={version}")
+    every = moved[0]
+    for more in moved[1:]:
+        every = every.unionByName(more)
+    _store(every, path, version)
+    _commit(spark, path, version)
+    return version
+
+
+def _sizes(spark: SparkSession, path: str, version: int) -> DataFrame:
+    """(cell, centre, size) of the live cells."""
+    grown = _versions(spark, path, "sizes", "cell int, more bigint", version).groupBy("cell").agg(
+        F.sum("more").alias("size"))
+    return live_centres(spark, path, version).join(grown, "cell", "left").select(
+        "cell", "centre", F.coalesce("size", F.lit(0)).alias("size"))
 
 
 def _probes(queries, query_id, vec, cells, k, nprobe):
@@ -119,8 +278,7 @@ def search_index(queries: DataFrame, spark: SparkSession, path: str, k: int, *,
         return nearest(queries, index, k, "cosine", query_id=query_id, item_id="item_id",
                        query_vec=vec, item_vec="embedding") \
             .withColumnRenamed("item_id", "id")
-    cells = spark.read.schema("cell int, centre array<double>, size bigint") \
-        .parquet(f"{path}/centres").orderBy("cell").collect()  # CELLS rows
+    cells = _sizes(spark, path, index_version(spark, path)).orderBy("cell").collect()  # a row a cell
     probes = written(_probes(queries, query_id, vec, cells, k, nprobe), "probes")
     q = probes.join(queries, query_id).select(
         F.col(query_id).alias("qid"), F.col(vec).cast("array<double>").alias("qvec"),

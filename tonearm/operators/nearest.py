@@ -7,9 +7,10 @@ tasks and only each block's best ``k`` per query leave it. Three plans, picked b
 * few queries: every task gets the query matrix, items stream past it, k rows per query and
   task are shuffled;
 * neither: items are cut into blocks of bounded size, queries are sent to blocks in chunks of
-  bounded size. For the feature metric, blocks are ranges of one feature; a first pass over each
-  query's own block bounds its k-th distance, and the second pass visits only the blocks that
-  can still hold something nearer.
+  bounded size. A first pass over each query's own blocks bounds its k-th distance, and the second
+  pass visits only the blocks that can still hold something nearer. For the feature metric, blocks
+  are ranges of one feature; for l2 and cosine they are cells around pivots, which the triangle
+  inequality skips. For the inner product nothing can be skipped.
 """
 
 from __future__ import annotations
@@ -30,6 +31,11 @@ METRICS = ("feature", "l2", "cosine", "ip")
 _CHUNK_CELLS = 4_000_000
 # Ranges of the pruning feature; a crowded one is cut further by hash.
 _RANGES = 256
+# Pivots for each block that the items would fill, and at most.
+_PIVOTS_PER_BLOCK = 4
+_PIVOTS = 1024
+# Shorter vectors have no direction that the triangle inequality could use.
+_SHORT = 1e-3
 
 
 def _matrix(column: pd.Series, width: int) -> np.ndarray:
@@ -220,6 +226,8 @@ def _queries_to_all(spark, local, x, k, metric, schema, width):
 
 
 def _blocks(q, x, k, metric, schema, width, prune_on, block_rows):
+    if metric in ("l2", "cosine"):
+        return _cells(q, x, k, metric, schema, width, block_rows)
     if metric != "feature" or prune_on is None:
         # nothing can be skipped: every query meets every block
         n_blocks = max(1, -(-x.count() // block_rows))
@@ -256,6 +264,132 @@ def _blocks(q, x, k, metric, schema, width, prune_on, block_rows):
     return first.unionByName(second)
 
 
+class Cells:
+    """Pivots, and how near and far the items of each one's cell are from it.
+
+    An item lies in the cell of its nearest pivot. Items without a direction or a finite length lie in
+    a cell of their own, number -1, that is never skipped.
+    """
+
+    def __init__(self, pivots: np.ndarray, metric: str):
+        self.pivots, self.metric = pivots, metric
+        self.apart = np.sqrt(self._squares(pivots))
+
+    def _squares(self, m: np.ndarray) -> np.ndarray:
+        p = self.pivots
+        return np.maximum((m * m).sum(1)[:, None] - 2 * m @ p.T + (p * p).sum(1), 0.0)
+
+    def plain(self, m: np.ndarray) -> np.ndarray:
+        """Which rows the triangle inequality holds for."""
+        size = np.sqrt(np.einsum("ij,ij->i", m, m))
+        return np.isfinite(size) & ((size >= _SHORT) if self.metric == "cosine" else True)
+
+    def place(self, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cell of each row and its distance to the pivot."""
+        ok = self.plain(m)
+        away = self._squares(_prepare(np.where(ok[:, None], m, 0.0), self.metric))
+        cell = away.argmin(axis=1)
+        return np.where(ok, cell, -1), np.sqrt(away[np.arange(len(m)), cell])
+
+    def measured(self, near: np.ndarray, far: np.ndarray, count: np.ndarray) -> Cells:
+        self.near, self.far, self.count = near, far, count
+        return self
+
+    def homes(self, m: np.ndarray, k: int) -> np.ndarray:
+        """For each row, whether a cell is among the nearest ones that hold ``k`` items together."""
+        order = np.argsort(self._squares(_prepare(m, self.metric)), axis=1, kind="stable")
+        have = np.cumsum(self.count[order], axis=1)
+        out = np.zeros(order.shape, bool)
+        np.put_along_axis(out, order, have - self.count[order] < k, axis=1)
+        return out & (self.count > 0)
+
+    def reached(self, m: np.ndarray, kth: np.ndarray) -> np.ndarray:
+        """For each row, which cells may hold an item at least as near as the cost ``kth``."""
+        ok = self.plain(m)
+        away = np.sqrt(self._squares(_prepare(np.where(ok[:, None], m, 0.0), self.metric)))
+        # cosine is the distance of unit vectors: |a - b|^2 = 2 - 2 a.b
+        square = kth if self.metric == "l2" else 2 + 2 * kth
+        limit = np.sqrt(np.maximum(square, 0.0))
+        # inside the shell around the pivot, and beyond the plane halfway to the query's own pivot
+        least = np.maximum(away - self.far, self.near - away)
+        own = away.argmin(axis=1)
+        between = self.apart[own]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            plane = (away**2 - (away[np.arange(len(m)), own] ** 2)[:, None]) / (2 * between)
+        least = np.maximum(least, np.where(between > 0, plane, 0.0))
+        room = 1e-6 * (1 + away + self.far)
+        return (~ok[:, None] | ~np.isfinite(kth)[:, None] | (least <= limit[:, None] + room)) \
+            & (self.count > 0)
+
+
+def _measure(x, metric, width, block_rows):
+    """Items with their cell (column ``block``), and the cells; pivots and one row a cell come back."""
+    size = x.count()
+    most = max(1, min(_PIVOTS, BROADCAST_CELLS // width, _PIVOTS_PER_BLOCK * -(-size // block_rows)))
+    picked = x.orderBy(F.xxhash64("iid"), "iid").limit(most).toPandas()
+    m = _matrix(picked["ivec"], width)
+    m = m[np.isfinite(m).all(axis=1)] if len(m) else np.zeros((0, width))
+    cells = Cells(np.unique(_prepare(m, metric), axis=0) if len(m) else np.zeros((1, width)), metric)
+    shared = x.sparkSession.sparkContext.broadcast(cells)
+    kind = x.schema["iid"].dataType.simpleString()
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                cell, away = shared.value.place(_matrix(b["ivec"], width))
+                yield b.assign(block=cell.astype("int32"), away=away)
+
+    placed = written(x.mapInPandas(
+        place, f"iid {kind}, ivec array<double>, block int, away double"), "cells")
+    stats = {r.block: r for r in placed.groupBy("block").agg(
+        F.min("away").alias("near"), F.max("away").alias("far"),
+        F.count(F.lit(1)).alias("n")).collect()}
+    rows = [stats.get(c) for c in range(len(cells.pivots))]
+    cells.measured(np.array([r.near if r else 0.0 for r in rows]),
+                   np.array([r.far if r else 0.0 for r in rows]),
+                   np.array([r.n if r else 0 for r in rows]))
+    return placed.select("iid", "ivec", "block"), cells, -1 in stats
+
+
+def visits(q, cells, odd, k, width, first=None):
+    """(qid, qvec, block): the cells a query visits first, or, given what those held, the others that
+    may hold something as near. ``odd``: whether there are items that no pivot stands for."""
+    shared = q.sparkSession.sparkContext.broadcast(cells)
+    again = first is not None
+    kind = q.schema["qid"].dataType.simpleString()
+    if again:
+        kth = _merge(first, k).groupBy("qid").agg(
+            F.when(F.count(F.lit(1)) >= k, F.max("cost")).alias("kth"))
+        q = q.join(kth, "qid", "left").withColumn("kth", F.coalesce("kth", F.lit(float("inf"))))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cells = shared.value
+        for b in batches:
+            for at in range(0, len(b), 1000):
+                part = b.iloc[at:at + 1000]
+                m = _matrix(part["qvec"], width)
+                home = cells.homes(m, k)
+                seen = cells.reached(m, part["kth"].to_numpy(np.float64)) & ~home if again else home
+                rows, blocks = np.nonzero(seen)
+                if odd and not again:
+                    rows = np.r_[rows, np.arange(len(part))]
+                    blocks = np.r_[blocks, np.full(len(part), -1)]
+                yield pd.DataFrame({"qid": part["qid"].to_numpy()[rows],
+                                    "qvec": part["qvec"].to_numpy()[rows],
+                                    "block": blocks.astype("int32")})
+
+    return q.mapInPandas(run, f"qid {kind}, qvec array<double>, block int")
+
+
+def _cells(q, x, k, metric, schema, width, block_rows):
+    x, cells, odd = _measure(x, metric, width, block_rows)
+    first = written(best_in_shared_blocks(
+        visits(q, cells, odd, k, width), x, k, metric, schema, width, block_rows), "nearest")
+    second = best_in_shared_blocks(
+        visits(q, cells, odd, k, width, first), x, k, metric, schema, width, block_rows)
+    return first.unionByName(second)
+
+
 def _merge(found, k):
     w = Window.partitionBy("qid").orderBy("cost", "iid")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

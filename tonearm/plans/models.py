@@ -55,7 +55,7 @@ def index_items(items: DataFrame, towers: Weights, path: str) -> None:
 def load(spark: SparkSession, path: str) -> Models | None:
     """The stored models, or None when nothing was saved there."""
     towers, ranker = (load_weights(spark, f"{path}/{n}") for n in ("towers", "ranker"))
-    if towers is None or ranker is None or not path_exists(spark, f"{path}/index/vectors"):
+    if towers is None or ranker is None or not path_exists(spark, f"{path}/index/log"):
         return None
     history = spark.read.schema(_HISTORY).parquet(f"{path}/history")
     return Models(towers, ranker, f"{path}/index", history)

@@ -14,6 +14,7 @@ from tonearm.functions.scoring import (
 from tonearm.functions.text import DOCUMENT_FEATURES
 from tonearm.plans.given import GIVEN_CENTRES, GIVEN_RANKER, GIVEN_TOWERS, GIVEN_WORDS
 from tonearm.schemas import FEATURES
+from tonearm.sources.testbed import CUT
 
 F8 = ", ".join(FEATURES)
 
@@ -174,7 +175,7 @@ SELECT user_id, CAST(rank AS INTEGER) AS rank, id, name, artists[1] AS artist, a
 _REASONS = ", ".join(
     f"CASE WHEN round(abs(p.{f} - t.{f}), 9) < 0.2 THEN {_text(label)} END"
     for f, label in REASON_LABELS.items())
-ORACLE["explain"] = _with(*[
+ORACLE["pick_reasons"] = _with(*[
     # these are read more than once
     _once(part) for part in (RATINGS, TRACKS, PROFILES, NEIGHBOURS, COLLAB.format(n=10))], """
 liked AS MATERIALIZED (SELECT DISTINCT user_id, unnest(artists) AS artist
@@ -336,13 +337,22 @@ ORACLE["text_document"] = _with(TRACKS) + f"SELECT id, {_DOCUMENT} AS document F
 _FLAT = """SELECT 'track_' || lpad(CAST(p_partkey AS VARCHAR), 8, '0') AS id, {name} AS name,
        p_brand AS artists, p_type AS album, '2023-01-01' AS release_date,
        CAST({popularity} AS BIGINT) AS popularity, p_partkey * 1000 AS duration_ms,
-       'https://tracks.example.org/' || CAST(p_partkey AS VARCHAR) AS external_urls
-FROM part WHERE {where}"""
-ORACLE["flatten_search"] = _FLAT.format(name="p_name", popularity="p_size", where="true")
+       'https://tracks.example.org/' || CAST(p_partkey AS VARCHAR) AS external_urls,
+       NULL AS refused
+FROM part UNION ALL {cut}"""
+
+
+def _cut(feed: str, nulls: int, more: str = "") -> str:
+    """The lines of a feed that were cut short, behind so many columns of nothing."""
+    return f"""SELECT {'NULL, ' * nulls}{more}{_text(CUT[feed])} || CAST(page AS VARCHAR)
+FROM (SELECT DISTINCT CAST(floor(p_partkey / 50) AS BIGINT) AS page FROM part) x WHERE page % 7 = 0"""
+
+
+ORACLE["flatten_search"] = _FLAT.format(name="p_name", popularity="p_size", cut=_cut("search", 8))
 ORACLE["flatten_playlist"] = _FLAT.format(
-    name="p_name", popularity="p_size + 1", where="true")
+    name="p_name", popularity="p_size + 1", cut=_cut("playlist", 8))
 ORACLE["flatten_artist_top"] = _FLAT.format(
-    name="'Best of ' || p_name", popularity="p_size", where="true")
+    name="'Best of ' || p_name", popularity="p_size", cut=_cut("artist", 8))
 ORACLE["normalise_raw"] = """
 SELECT 'track_' || lpad(CAST(p_partkey AS VARCHAR), 8, '0') AS id, 'Best of ' || p_name AS name,
        'id-' || p_brand AS artist_ids, p_type AS album, CAST(p_size AS BIGINT) AS popularity,
@@ -352,10 +362,13 @@ SELECT 'track_' || lpad(CAST(p_partkey AS VARCHAR), 8, '0') AS id, 'Best of ' ||
 FROM part"""
 _OK = " AND ".join(f"{f} BETWEEN {lo} AND {hi}" for f, (lo, hi) in RANGES.items())
 ORACLE["read_features"] = _with(RAW_FEATURES, CLEAN_FEATURES) + f"""
-SELECT id, danceability, energy, valence, tempo, time_signature, {_OK} AS ok FROM features"""
+SELECT id, danceability, energy, valence, tempo, time_signature, {_OK} AS ok, NULL AS refused
+FROM features UNION ALL {_cut("features", 6, "false, ")}"""
 ORACLE["track_analysis"] = """
 SELECT CAST(event_id AS VARCHAR) AS id, CASE WHEN event_type <> 'error'
-       THEN CAST(json_extract(props, '$.k') AS INT) END AS k FROM events"""
+       THEN CAST(json_extract(props, '$.k') AS INT) END AS k, NULL AS refused FROM events
+UNION ALL SELECT NULL, NULL, """ + _text(CUT["analysis"]) + """ || CAST(event_id AS VARCHAR)
+FROM events WHERE event_type = 'signup'"""
 ORACLE["collect_tracks"] = _with(RAW_FEATURES, CLEAN_FEATURES) + f"""
 SELECT p.id, p.name, p.popularity, 0 AS first_source, f.danceability, f.tempo
 FROM (SELECT 'track_' || lpad(CAST(p_partkey AS VARCHAR), 8, '0') AS id,
@@ -703,6 +716,10 @@ _COSINE = _with(_V) + _TOPK.format(
 ORACLE["vector_topk_cosine"] = _COSINE
 ORACLE["index_search"] = _COSINE
 ORACLE["vector_topk_blocks"] = _COSINE
+ORACLE["vector_topk_cells"] = _with(_V) + _TOPK.format(
+    order="", where="true",
+    score="list_sum(list_transform(range(1, len(q.e) + 1), "
+          "lambda i: (q.e[i] - x.e[i]) * (q.e[i] - x.e[i])))")
 ORACLE["vector_topk_few_queries"] = _with(_V, """means AS (
 SELECT label, list(x ORDER BY i) AS m FROM (
   SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS x
@@ -715,6 +732,9 @@ SELECT query_id, id, CAST(CAST(score AS FLOAT) AS DOUBLE) AS score, CAST(rank AS
         FROM means q CROSS JOIN v x) p) r
 WHERE rank <= 10"""
 ORACLE["ivf_search_all_cells"] = _COSINE
+ORACLE["index_after_changes"] = _with(_V) + _TOPK.format(
+    order="DESC", score="list_dot_product(q.e, x.e) / (q.n * x.n)",
+    where="x.vec_id % 5 <> 0 OR x.vec_id % 10 = 0")
 ORACLE["vector_topk_l2_filtered"] = _with(_V) + _TOPK.format(
     order="", where="x.label IN (1, 3, 5, 7)",
     score="list_sum(list_transform(range(1, len(q.e) + 1), "
@@ -835,6 +855,72 @@ FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9)
       FROM scored) s JOIN tracks t ON t.id = s.id
 WHERE rank <= 10"""
 
+
+
+def _wide_deep_steps(rate: float, steps: int) -> str:
+    """Weights and losses after Adam steps over all rated pairs at once, from the given ranker."""
+    flat = [(f"{n}[{i}]", x) for n in sorted(GIVEN_RANKER) for i, x in enumerate(GIVEN_RANKER[n].ravel())]
+    at = {name: f"p{i}" for i, (name, _) in enumerate(flat)}
+    width, middle, narrow = (GIVEN_RANKER[f"deep.w{i}"].shape[0] for i in range(3))
+
+    def w(layer, row, column, columns):
+        return at[f"{layer}[{row * columns + column}]"]
+
+    xs = [f"x{i}" for i in range(width)]
+    both = [f"coalesce({t}.{f}, 0)" for t in ("p", "t") for f in FEATURES]
+    parts = ["inputs AS (SELECT CAST(CAST(least(rating / 5, 1) AS FLOAT) AS DOUBLE) AS y, " + ", ".join(
+        f"CAST(CAST({b} AS FLOAT) AS DOUBLE) AS {x}" for b, x in zip(both, xs))
+        + " FROM ratings r JOIN tracks t ON t.id = r.track_id JOIN profiles p ON p.user_id = r.user_id)",
+        "net0 AS (SELECT " + ", ".join(f"{_double(x)} AS p{i}, CAST(0 AS DOUBLE) AS m{i}, "
+                                       f"CAST(0 AS DOUBLE) AS s{i}" for i, (_, x) in enumerate(flat)) + ")"]
+    for k in range(steps):
+        first = [" + ".join(f"{x} * {w('deep.w0', j, i, middle)}" for j, x in enumerate(xs))
+                 + f" + {at[f'deep.b0[{i}]']} AS a{i}" for i in range(middle)]
+        second = [" + ".join(f"greatest(a{j}, 0) * {w('deep.w1', j, i, narrow)}" for j in range(middle))
+                  + f" + {at[f'deep.b1[{i}]']} AS b{i}" for i in range(narrow)]
+        deep = " + ".join(f"greatest(b{j}, 0) * {w('deep.w2', j, 0, 1)}" for j in range(narrow)) \
+            + f" + {at['deep.b2[0]']}"
+        wide = " + ".join(f"{x} * {w('wide.w0', j, 0, 1)}" for j, x in enumerate(xs)) + f" + {at['wide.b0[0]']}"
+        grad = {"wide.b0[0]": "d", "deep.b2[0]": "e"}
+        grad |= {f"wide.w0[{j}]": f"{x} * d" for j, x in enumerate(xs)}
+        grad |= {f"deep.w2[{j}]": f"greatest(b{j}, 0) * e" for j in range(narrow)}
+        grad |= {f"deep.b1[{i}]": f"f{i}" for i in range(narrow)}
+        grad |= {f"deep.w1[{j * narrow + i}]": f"greatest(a{j}, 0) * f{i}"
+                 for j in range(middle) for i in range(narrow)}
+        grad |= {f"deep.b0[{i}]": f"g{i}" for i in range(middle)}
+        grad |= {f"deep.w0[{j * middle + i}]": f"{x} * g{i}" for j, x in enumerate(xs) for i in range(middle)}
+        t = k + 1
+        parts += [
+            f"one{k} AS (SELECT *, {', '.join(first)} FROM inputs CROSS JOIN net{k})",
+            f"two{k} AS (SELECT *, {', '.join(second)} FROM one{k})",
+            f"three{k} AS (SELECT *, 1 / (1 + exp(-({deep}))) AS h, {wide} AS o FROM two{k})",
+            f"four{k} AS (SELECT *, 1 / (1 + exp(-(o + h))) AS q FROM three{k})",
+            f"five{k} AS (SELECT *, q - y AS d, (q - y) * h * (1 - h) AS e FROM four{k})",
+            f"six{k} AS (SELECT *, " + ", ".join(
+                f"CASE WHEN b{i} > 0 THEN e * {w('deep.w2', i, 0, 1)} ELSE 0 END AS f{i}"
+                for i in range(narrow)) + f" FROM five{k})",
+            f"seven{k} AS (SELECT *, " + ", ".join(
+                f"CASE WHEN a{j} > 0 THEN " + " + ".join(
+                    f"f{i} * {w('deep.w1', j, i, narrow)}" for i in range(narrow))
+                + f" ELSE 0 END AS g{j}" for j in range(middle)) + f" FROM six{k})",
+            f"grad{k} AS MATERIALIZED (SELECT avg(-(y * ln(q) + (1 - y) * ln(1 - q))) AS loss, " + ", ".join(
+                f"avg({grad[name]}) AS g{i}" for i, (name, _) in enumerate(flat)) + f" FROM seven{k})",
+            f"moved{k} AS (SELECT " + ", ".join(
+                f"p{i}, 0.9 * m{i} + 0.1 * g{i} AS m{i}, 0.999 * s{i} + 0.001 * g{i} * g{i} AS s{i}"
+                for i in range(len(flat))) + f" FROM net{k} CROSS JOIN grad{k})",
+            f"net{t} AS MATERIALIZED (SELECT " + ", ".join(
+                f"p{i} - {rate} * (m{i} / {1 - 0.9**t!r}) / (sqrt(s{i} / {1 - 0.999**t!r}) + 1e-8) AS p{i}, "
+                f"m{i}, s{i}" for i in range(len(flat))) + f" FROM moved{k})"]
+    names = _list([name for name, _ in flat] + [f"loss {k}" for k in range(steps)])
+    values = ", ".join([f"p{i}" for i in range(len(flat))] + [f"grad{k}.loss" for k in range(steps)])
+    return _with(RATINGS, TRACKS, PROFILES, *parts) + f"""
+SELECT weight, CAST(CAST(value AS FLOAT) AS DOUBLE) AS value FROM (
+  SELECT unnest({names}) AS weight, unnest([{values}]) AS value
+  FROM net{steps} CROSS JOIN {' CROSS JOIN '.join(f'grad{k}' for k in range(steps))}) x"""
+
+
+ORACLE["wide_deep_steps_given"] = _wide_deep_steps(0.01, 2)
+
 _SEED_TOWER = [
     f"proxies AS ({_PROXIES})",
     *_tower("proxy_towers", "proxies", "id", FEATURES, "item"),
@@ -946,7 +1032,7 @@ FROM tracks JOIN ratings ON track_id = id
 UNION ALL SELECT 'nameless', 'missing columns: [''name'']'
 UNION ALL SELECT 'none', CASE WHEN count(*) = 0 THEN 'the table is empty' END FROM tracks WHERE id < 0"""
 ORACLE["validate_n_results"] = """
-SELECT DISTINCT CAST(p_size * 40 - 40 AS BIGINT) AS n, p_size * 40 - 40 BETWEEN 1 AND 1000 AS accepted
+SELECT p_partkey, CAST(p_size * 40 - 40 AS BIGINT) AS n, p_size * 40 - 40 BETWEEN 1 AND 1000 AS accepted
 FROM part"""
 
 # --- metrics and streams -----------------------------------------------------------------------
@@ -972,3 +1058,8 @@ ORACLE["usage_stream"] = """
 SELECT window_start, event_type, count(*) AS calls, CAST(CAST(avg(value) AS FLOAT) AS DOUBLE) AS mean_value
 FROM (SELECT date_trunc('hour', ts) AS window_start, event_type, value FROM events) e
 GROUP BY window_start, event_type"""
+ORACLE["final_usage_stream"] = ORACLE["usage_stream"]
+ORACLE["popular_searches_sketch"] = """
+SELECT query, count(*) AS n, CAST(0 AS BIGINT) AS bound
+FROM (SELECT event_type || ' ' || json_extract_string(props, '$.k') AS query FROM events WHERE ts IS NOT NULL) e
+WHERE query IS NOT NULL GROUP BY query ORDER BY n DESC, query LIMIT 20"""

@@ -12,11 +12,16 @@ from tonearm.functions import text as TX
 from tonearm.functions.predicates import where
 from tonearm.functions.scoring import array_jaccard
 from tonearm.operators import encoder as E
+from tonearm.operators import networks as N
 from tonearm.operators import proxy as PX
 from tonearm.operators import ranking as K
 from tonearm.operators import training
 from tonearm.operators.catalogue import search_catalogue, with_genres
-from tonearm.operators.index import build_index, encode_vectors, search_index
+from tonearm.operators.index import (
+    add_to_index, build_index, encode_vectors, remove_from_index, search_index, split_cells,
+)
+from tonearm.operators.inverted import build_catalogue_index, open_catalogue_index
+from tonearm.operators.meaning import fit_word_vectors, meaning_encoder
 from tonearm.operators.nearest import nearest
 from tonearm.operators.neighbours import top_neighbours
 from tonearm.plans import metrics as M
@@ -123,7 +128,8 @@ def hybrid(spark, sf):
 
 
 @query
-def explain(spark, sf):
+def pick_reasons(spark, sf):
+    """Why each collaborative pick was made."""
     ratings, tracks = _ratings(spark, sf), tb.tracks(spark, sf)
     picks = written(R.collaborative(ratings, tracks, 10).select("user_id", "id"), "picks")
     return R.explain(picks, ratings, tracks)
@@ -235,8 +241,12 @@ def _landing(spark, sf):
 
 
 def _flat(pair):
-    return pair[0].select("id", "name", F.array_join("artists", "|").alias("artists"), "album",
-                          "release_date", "popularity", "duration_ms", "external_urls")
+    """The tracks, and the text of each answer that was refused."""
+    cols = ["id", "name", "artists", "album", "release_date", "popularity", "duration_ms",
+            "external_urls"]
+    tracks = pair[0].withColumn("artists", F.array_join("artists", "|")).select(*cols)
+    refused = pair[1].where("record IS NOT NULL").select(F.col("record").alias("refused"))
+    return tracks.unionByName(refused, allowMissingColumns=True)
 
 
 @query
@@ -257,7 +267,7 @@ def flatten_artist_top(spark, sf):
 @query
 def normalise_raw(spark, sf):
     raw = landing.read_landing(spark, _landing(spark, sf)["artist"], RAW_ARTIST_TOP)
-    out = raw.select(F.explode("tracks").alias("t")).select(*landing.report_track())
+    out = raw.where("NOT broken").select(F.explode("tracks").alias("t")).select(*landing.report_track())
     return out.select("id", "name", F.array_join("artist_ids", "|").alias("artist_ids"), "album",
                       "popularity", "duration_ms", "explicit", "external_urls",
                       F.size("genres").alias("n_genres"))
@@ -267,19 +277,22 @@ def normalise_raw(spark, sf):
 def read_features(spark, sf):
     valid, bad = landing.track_features(spark, _landing(spark, sf)["features"])
     cols = ["id", "danceability", "energy", "valence", "tempo", "time_signature"]
-    return valid.select(*cols, F.lit(True).alias("ok")) \
-        .unionByName(bad.select(*cols, F.lit(False).alias("ok")))
+    return valid.select(*cols, F.lit(True).alias("ok"), F.lit(None).cast("string").alias("refused")) \
+        .unionByName(bad.select(*cols, F.lit(False).alias("ok"), F.col("record").alias("refused")))
 
 
 @query
 def track_analysis(spark, sf):
-    """The opaque JSON of each event, kept as VARIANT; errors have none."""
+    """The opaque JSON of each event, kept as VARIANT; errors have none, signups also a cut line."""
     path = shared_folder(spark, "analysis")
     events = tb.table(spark, sf, "events").withColumn("id", F.col("event_id").cast("string"))
     events.filter(F.col("event_type") != "error").select(F.to_json(F.struct(
         "id", F.from_json("props", "k int").alias("analysis"))).alias("value")).write.text(path)
-    found = landing.track_analysis(spark, events, path)
-    return found.select("id", F.try_variant_get("analysis", "$.k", "int").alias("k"))
+    events.filter(F.col("event_type") == "signup").select(F.concat(
+        F.lit(tb.CUT["analysis"]), "id").alias("value")).write.mode("append").text(path)
+    found, bad = landing.track_analysis(spark, events, path)
+    return found.select("id", F.try_variant_get("analysis", "$.k", "int").alias("k")).unionByName(
+        bad.select(F.col("record").alias("refused")), allowMissingColumns=True)
 
 
 @query
@@ -393,10 +406,9 @@ def validate_table(spark, sf):
 @query
 def validate_n_results(spark, sf):
     """Which numbers of results may be asked for, the parts' sizes taken as numbers."""
-    asked = tb.table(spark, sf, "part").select(F.col("p_size") * 40 - 40).distinct().collect()
-    return spark.createDataFrame(
-        [(int(n), _refusal(lambda n=int(n): Q.check_n_results(n)) is None) for n, in asked],
-        "n bigint, accepted boolean")
+    asked = tb.table(spark, sf, "part").select(
+        "p_partkey", (F.col("p_size") * 40 - 40).cast("bigint").alias("n"))
+    return asked.withColumn("accepted", F.size(Q.n_results_errors("n")) == 0)
 
 
 def _refusal(check):
@@ -445,11 +457,25 @@ def _catalogue(spark, sf):
     return with_genres(tb.tracks(spark, sf), tb.artists(spark, sf))
 
 
+_CATALOGUES: dict[tuple[str, str], tuple[str, str]] = {}
+
+
+def _indexed(spark, sf):
+    """This application's stored catalogue of a folder of tables, and its index; built at first use."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _CATALOGUES:
+        items, index = shared_folder(spark, "catalogue"), shared_folder(spark, "catalogue-index")
+        _catalogue(spark, sf).write.parquet(items)
+        build_catalogue_index(spark.read.parquet(items), index)
+        _CATALOGUES[key] = items, index
+    items, index = _CATALOGUES[key]
+    return spark.read.parquet(items), open_catalogue_index(spark, index)
+
+
 def _found(spark, sf, **options):
-    # the catalogue is read by every search; a stored one is what a real run has
-    catalogue = written(_catalogue(spark, sf), "catalogue")
+    catalogue, index = _indexed(spark, sf)
     return P.find_recommendations(tb.requests(spark, sf), catalogue, tb.artists(spark, sf),
-                                  **options)
+                                  index=index, **options)
 
 
 @query
@@ -481,7 +507,7 @@ def catalogue_search(spark, sf):
     searches = parts.unionByName(makers.select(
         F.lit("genre").alias("kind"), F.explode("genres").alias("text"))) \
         .unionByName(makers.select(F.lit("text").alias("kind"), F.col("name").alias("text")))
-    return search_catalogue(searches, _catalogue(spark, sf), 30)
+    return search_catalogue(searches, _indexed(spark, sf)[1], 30)
 
 
 @query
@@ -606,6 +632,14 @@ def vector_topk_blocks(spark, sf):
                            broadcast_cells=64, block_rows=150))
 
 
+@query
+def vector_topk_cells(spark, sf):
+    """Nearest vectors by distance when neither side is small: cells around pivots, far ones skipped."""
+    v = _vectors(spark, sf)
+    return _ranked(nearest(v.withColumnRenamed("id", "query_id"), v, 10, "l2", broadcast_cells=64,
+                           block_rows=150))
+
+
 @query
 def vector_topk_few_queries(spark, sf):
     """Nearest vectors to each label's mean, sent to all vectors."""
@@ -650,6 +684,19 @@ def ivf_search_all_cells(spark, sf):
     return _ranked(search_index(q, spark, _index(spark, sf, ivf=True, cells=16), 10, nprobe=16))
 
 
+@query
+def index_after_changes(spark, sf):
+    """An index from which vectors were removed, to which some were added again, and whose large cells
+    were split: with every cell probed it agrees with the exact search over what is left."""
+    v = _vectors(spark, sf)
+    path = _index(spark, sf, ivf=True, cells=8)
+    remove_from_index(v.where("id % 5 = 0"), path)
+    add_to_index(v.where("id % 10 = 0"), path, vec="vec")
+    split_cells(spark, path, 60)
+    q = v.withColumnRenamed("id", "query_id")
+    return _ranked(search_index(q, spark, path, 10, nprobe=1 << 20))
+
+
 @query
 def ivf_search_given_cells(spark, sf):
     """Cells around given centres, the two nearest probed and more only where they lack vectors."""
@@ -689,6 +736,20 @@ def text_search(spark, sf):
                         _single("similarity_score").alias("similarity_score"))
 
 
+@query
+def text_search_related(spark, sf):
+    """Text search that knows related words, by vectors fitted on the items' own texts."""
+    docs = tb.tracks(spark, sf)
+    docs = docs.withColumn("document", TX.text_document(docs.columns))
+    encode = meaning_encoder(written(fit_word_vectors(docs, 64), "word-vectors"))
+    queries = tb.table(spark, sf, "part").select("p_name").distinct().select(
+        F.col("p_name").alias("query_id"), F.col("p_name").alias("query"))
+    found, _ = search_text(queries, written(encode(docs), "encoded"), encode, 10,
+                           {"popularity": {"$gte": 20}})
+    return found.select("query_id", "rank", "id", "name",
+                        _single("similarity_score").alias("similarity_score"))
+
+
 @query
 def proxy_features(spark, sf):
     found = PX.proxy_features(_catalogue(spark, sf))
@@ -782,6 +843,20 @@ def wide_deep_given(spark, sf):
                                      _given(spark, GIVEN_RANKER)), "score")
 
 
+@query
+def wide_deep_steps_given(spark, sf):
+    """Weights and losses of two training steps over all rated pairs, from given weights."""
+    pairs = training.training_pairs(_ratings(spark, sf), tb.tracks(spark, sf))
+    done = training.train(
+        pairs.withColumn("y", F.col("target")), GIVEN_RANKER,
+        lambda w, x, y, _: N.wide_deep_step(w, x, y, None), N.wide_deep_score, epochs=2,
+        batch_rows=1 << 40, learning_rate=0.01, validation_share=0.0)
+    rows = [(f"{name}[{i}]", float(v)) for name in sorted(done.weights)
+            for i, v in enumerate(done.weights[name].ravel())]
+    rows += [(f"loss {i}", v) for i, v in enumerate(done.losses)]
+    return spark.createDataFrame(rows, "weight string, value double").withColumn("value", _single("value"))
+
+
 @query
 def two_stage_given(spark, sf):
     return _shown(R.recommend(
@@ -817,16 +892,28 @@ def popular_searches(spark, sf):
     return M.popular_searches(tb.table(spark, sf, "part"), "p_name", 10)
 
 
+@query
+def popular_searches_sketch(spark, sf):
+    """The most frequent kinds of events, found in sketches of single hours merged in two steps."""
+    events = tb.table(spark, sf, "events").withColumn(
+        "search", F.concat_ws(" ", "event_type", F.get_json_object("props", "$.k")))
+    path = shared_folder(spark, "sketch")
+    M.search_sketch(events, "search", "ts").write.parquet(path)
+    hours = spark.read.parquet(path)
+    days = [M.merged_sketch(hours.where(F.dayofmonth("hour") % 2 == d)) for d in (0, 1)]
+    return M.popular_in_sketch(M.merged_sketch(days[0].unionByName(days[1])), 20)
+
+
 @query
 def rating_stream(spark, sf):
-    """The rating log in two batches' worth of files, merged on reading."""
+    """The ratings in two batches' worth of files, read from the state they leave."""
     at = shared_folder(spark, "rating-stream")
     events = tb.rating_events(spark, sf)
     events.repartition(4).write.parquet(f"{at}/in")
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2) \
         .parquet(f"{at}/in")
     jobs.rating_stream(stream, f"{at}/log", f"{at}/checkpoint").awaitTermination()
-    return jobs.current_ratings(spark, f"{at}/log", events.schema) \
+    return jobs.current_ratings(spark, f"{at}/checkpoint", events.schema) \
         .select("user_id", "track_id", "rating")
 
 
@@ -855,3 +942,18 @@ def usage_stream(spark, sf):
     return jobs.current_usage(spark, f"{at}/out").select(
         F.col("window_start").cast("timestamp_ntz").alias("window_start"),
         F.col("name").alias("event_type"), "calls", _single("mean_value").alias("mean_value"))
+
+
+@query
+def final_usage_stream(spark, sf):
+    """Windows that become final, with the corrections of what came later and the open ones."""
+    at = shared_folder(spark, "final-usage-stream")
+    events = tb.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    # files are not in the order of time, so most events come late
+    events.repartition(4).write.parquet(f"{at}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2) \
+        .parquet(f"{at}/in")
+    jobs.final_usage_stream(stream, f"{at}/out", f"{at}/checkpoint").awaitTermination()
+    return jobs.corrected_usage(spark, f"{at}/out").select(
+        F.col("window_start").cast("timestamp_ntz").alias("window_start"),
+        F.col("name").alias("event_type"), "calls", _single("mean_value").alias("mean_value"))

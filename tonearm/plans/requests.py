@@ -14,6 +14,7 @@ from tonearm.functions.text import (
     candidate_searches, normalise_title, parse_request, seed_searches,
 )
 from tonearm.operators.catalogue import CANDIDATE_LIMIT, SEED_LIMIT, search_catalogue
+from tonearm.operators.inverted import CatalogueIndex, build_catalogue_index
 from tonearm.operators.ranking import (
     artist_cap, dedup_first, diverse_first, first_non_empty, top_per,
 )
@@ -40,7 +41,8 @@ def distinct_needs(parsed: DataFrame) -> DataFrame:
     return parsed.groupBy("need").agg(F.first("parsed").alias("parsed"))
 
 
-def find_seeds(needs: DataFrame, catalogue: DataFrame, n_seeds: int = N_SEEDS):
+def find_seeds(needs: DataFrame, catalogue: DataFrame, n_seeds: int = N_SEEDS,
+               index: CatalogueIndex | None = None):
     """(seeds, failed): up to n seeds per need, and needs without any with the reason.
 
     Seeds come from the first search that finds something. Copies of a title by one artist
@@ -49,7 +51,7 @@ def find_seeds(needs: DataFrame, catalogue: DataFrame, n_seeds: int = N_SEEDS):
     listed = needs.withColumn("searches", seed_searches())
     asked = listed.select("need", F.posexplode("searches").alias("priority", "q")) \
         .select("need", "priority", "q.kind", "q.text")
-    found = search_catalogue(asked, catalogue, SEED_LIMIT)
+    found = search_catalogue(asked, index or catalogue, SEED_LIMIT)
     tracks = found.join(catalogue.select(*TRACK_COLUMNS), "id")
     artist = F.lower(F.coalesce(F.get("artists", F.lit(0)), F.lit("")))
     titled = tracks.withColumn("artist", artist).withColumn("title", normalise_title(F.col("name")))
@@ -84,7 +86,8 @@ def seed_context(needs: DataFrame, seeds: DataFrame, artists: DataFrame) -> Data
     return needs.join(per_need, "need")
 
 
-def find_candidates(context: DataFrame, catalogue: DataFrame) -> DataFrame:
+def find_candidates(context: DataFrame, catalogue: DataFrame,
+                    index: CatalogueIndex | None = None) -> DataFrame:
     """(need, id, seq, what scoring needs of the track and the context), without the seeds.
 
     ``seq`` is the place at which a track was first found. Track columns are joined to the few
@@ -93,7 +96,7 @@ def find_candidates(context: DataFrame, catalogue: DataFrame) -> DataFrame:
     """
     asked = context.select("need", F.posexplode(candidate_searches()).alias("priority", "q")) \
         .select("need", "priority", "q.kind", "q.text")
-    found = search_catalogue(asked, catalogue, CANDIDATE_LIMIT) \
+    found = search_catalogue(asked, index or catalogue, CANDIDATE_LIMIT) \
         .join(catalogue.select("id", *_SCORED), "id")
     hits = asked.join(found, ["kind", "text"]).select(
         "need", "id", (F.col("priority") * 1000 + F.col("rank")).alias("seq"), *_SCORED)
@@ -139,35 +142,38 @@ def rank_genre_jaccard(candidates: DataFrame, n: int = 20) -> DataFrame:
 def find_recommendations(
     requests: DataFrame, catalogue: DataFrame, artists: DataFrame, *, n: int = 20,
     n_seeds: int = N_SEEDS, model_key: str = DEFAULT_MODEL, two_tower=None,
-    models_path: str | None = None,
+    models_path: str | None = None, index: CatalogueIndex | None = None,
 ) -> dict[str, DataFrame]:
     """Seeds and ranked tracks for every request.
 
     Returns ``requests`` (parsed), ``context`` (per need), ``seeds`` and ``picks`` (per need,
     with ``rank``), and ``failed`` (per need). An unknown model means the default one.
-    ``two_tower`` is the ``(towers, index)`` pair for that model, or ``models_path`` names stored
-    models; with neither, or nothing stored there, the default ranker answers.
+    ``two_tower`` is the pair of towers and item embeddings (a table, or the path of a stored cell
+    index) for that model, or ``models_path`` names stored models; with neither, or nothing stored
+    there, the default ranker answers. ``index`` is the catalogue's stored index; without one it is
+    built for this call.
     """
+    index = index or build_catalogue_index(catalogue)
     if model_key == "two-tower" and two_tower is None and models_path is not None:
-        from tonearm.plans.models import item_index, load
+        from tonearm.plans.models import load
 
         models = load(requests.sparkSession, models_path)
         if models is not None:
-            two_tower = (models.towers, item_index(requests.sparkSession, models))
+            two_tower = (models.towers, models.index_path)
     parsed = written(parse(requests), "requests")
     # what follows reads these tables several times; writing them keeps each step one job
     needs = written(distinct_needs(parsed), "needs")
-    seeds, failed = find_seeds(needs, catalogue, n_seeds)
+    seeds, failed = find_seeds(needs, catalogue, n_seeds, index)
     seeds = written(seeds, "seeds")
     context = written(seed_context(needs, seeds, artists), "context")
     if model_key == "genre-jaccard":
-        picks = rank_genre_jaccard(find_candidates(context, catalogue), n)
+        picks = rank_genre_jaccard(find_candidates(context, catalogue, index), n)
     elif model_key == "two-tower" and two_tower is not None:
         from tonearm.plans.two_tower_rank import rank_two_tower
 
-        picks = rank_two_tower(seeds, context, catalogue, *two_tower, n=n)
+        picks = rank_two_tower(seeds, context, catalogue, *two_tower, n=n, index=index)
     else:
-        picks = rank_multi_signal(find_candidates(context, catalogue), n)
+        picks = rank_multi_signal(find_candidates(context, catalogue, index), n)
     picks = picks.join(catalogue.select(*TRACK_COLUMNS), "id")
     return {"requests": parsed, "context": context, "seeds": seeds, "picks": picks,
             "failed": failed}

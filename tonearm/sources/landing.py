@@ -1,15 +1,18 @@
 """Delivered JSON files as flat, checked track and feature tables.
 
 The remote catalogue calls themselves are not made here: their answers are read as files. Each
-reader returns ``(valid, quarantined)``.
+reader returns ``(valid, quarantined)``. Nothing delivered vanishes: an answer that is no JSON, is cut
+short or has no list is quarantined as a whole, with its text, file and line; one that is readable in
+part gives the tracks that could be read and is quarantined besides.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tonearm.functions import quality as Q
 from tonearm.operators.ranking import dedup_last
@@ -20,9 +23,50 @@ from tonearm.schemas import (
 Pair = tuple[DataFrame, DataFrame]
 
 
-def read_landing(spark: SparkSession, path: str, schema, whole_file: bool = False) -> DataFrame:
-    """One answer per line, or one per file with ``whole_file``."""
-    return spark.read.schema(schema).option("multiLine", whole_file).json(path)
+_BROKEN = "_broken"
+
+
+def read_landing(spark: SparkSession, path: str, schema: T.StructType,
+                 whole_file: bool = False) -> DataFrame:
+    """One answer per line, or one per file with ``whole_file``: the columns of ``schema``, ``file``,
+    ``block`` and ``answer`` (where it came from), ``broken`` and ``record`` (its text).
+
+    Blank lines are no answers.
+    """
+    lines = spark.read.text(path, wholetext=whole_file).select(
+        "value", F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("answer"))
+    read = T.StructType([*schema.fields, T.StructField(_BROKEN, T.StringType())])
+    parsed = lines.withColumn("parsed", F.from_json(
+        "value", read, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BROKEN}))
+    return parsed.select(*[f"parsed.{c}" for c in schema.names], "file", "block", "answer",
+                         F.col(f"parsed.{_BROKEN}").isNotNull().alias("broken"),
+                         F.col("value").alias("record")).where(F.trim("record") != "")
+
+
+def _refused(answers: DataFrame, missing: Column, what: str) -> DataFrame:
+    """(seq, errors, file, line, record) of answers that cannot be read, or only in part."""
+    # lines are numbered in each block a file is read in; the blocks before it add theirs
+    sizes = answers.groupBy("file", "block").agg(
+        F.min("answer").alias("first"), F.max("answer").alias("last"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("file", "block", "first", F.coalesce(
+        F.sum(F.col("last") - F.col("first") + 1).over(before), F.lit(0)).alias("earlier"))
+    error = F.when(F.col("broken") & missing, "answer unreadable") \
+        .when(F.col("broken"), "answer readable in part").when(missing, what)
+    bad = answers.select("file", "block", "answer", "record", error.alias("error")).where("error IS NOT NULL")
+    return bad.join(starts, ["file", "block"]).select(
+        F.struct(F.struct("file", "answer").alias("source"), F.lit(None).cast("int").alias("pos")).alias("seq"),
+        F.array("error").alias("errors"), "file",
+        (F.col("earlier") + F.col("answer") - F.col("first") + 1).alias("line"), "record")
+
+
+def _all_read(answers: DataFrame, missing: Column) -> DataFrame:
+    """The answers, failing at the first one that cannot be read as a whole."""
+    whole = F.when(F.col("broken") | missing, F.raise_error(
+        F.concat(F.lit("unreadable answer in "), "file", F.lit(": "), F.substring("record", 1, 200))))
+    return answers.where(whole.otherwise(F.lit(True)).cast("boolean"))
 
 
 def flat_track(raw: str = "t") -> list[Column]:
@@ -76,14 +120,15 @@ def _flattened(answers: DataFrame, nested: str, strict: bool, inner: str = "t")
 
     ``seq`` (file, answer, place) keeps the delivered order whatever happens to the rows later.
     """
-    raw = answers.select(
-        F.struct(F.col("_metadata.file_path").alias("file"),
-                 F.monotonically_increasing_id().alias("answer")).alias("source"),
-        nested.split(".")[0],
-    ).select("source", F.posexplode(nested).alias("pos", "t"))
+    if strict:
+        answers = _all_read(answers, F.col(nested).isNull())
+    raw = answers.select(F.struct("file", "answer").alias("source"), F.posexplode(nested).alias("pos", "t"))
     raw = raw.select(F.struct("source", "pos").alias("seq"), F.col(inner).alias("t")) \
         .filter(F.col("t").isNotNull())
-    return _checked(raw.select("seq", *flat_track()), strict)
+    valid, bad = _checked(raw.select("seq", *flat_track()), strict)
+    refused = _refused(answers, F.col(nested).isNull(), "answer without tracks")
+    return valid, bad.withColumn("file", F.col("seq.source.file")).unionByName(
+        refused, allowMissingColumns=True)
 
 
 def search_results(spark: SparkSession, path: str, strict: bool = False,
@@ -105,21 +150,33 @@ def artist_top_tracks(spark: SparkSession, path: str, strict: bool = False,
 def track_features(spark: SparkSession, path: str, wanted: DataFrame | None = None,
                    strict: bool = False) -> Pair:
     """Feature rows for the wanted ids: sanitize first, then validate."""
-    raw = spark.read.schema(RAW_FEATURES).json(path).filter(F.col("id").isNotNull())
+    answers = read_landing(spark, path, RAW_FEATURES).where(F.trim("record") != "null")
+    missing = F.col("id").isNull()
+    if strict:
+        answers = _all_read(answers, missing)
+    raw = answers.where(~missing).select(*RAW_FEATURES.names)
     if wanted is not None:
         raw = raw.join(wanted.select("id"), "id", "left_semi")
     clean = Q.sanitize_features(raw)
-    return Q.split_valid(clean, Q.feature_errors(clean.columns), strict)
+    valid, bad = Q.split_valid(clean, Q.feature_errors(clean.columns), strict)
+    refused = _refused(answers, missing, "features without id")
+    return valid, bad.unionByName(refused.drop("seq"), allowMissingColumns=True)
+
+
+_ANALYSIS = T.StructType([T.StructField("id", T.StringType()), T.StructField("analysis", T.StringType())])
 
 
-def track_analysis(spark: SparkSession, ids: DataFrame, path: str) -> DataFrame:
-    """(id, analysis): the opaque analysis as VARIANT, an empty object where there is none.
+def track_analysis(spark: SparkSession, ids: DataFrame, path: str) -> Pair:
+    """(id, analysis): the opaque analysis as VARIANT, an empty object where there is none; and the
+    lines that cannot be read.
 
     Files hold one ``{"id": ..., "analysis": {...}}`` per line.
     """
-    lines = spark.read.schema("id string, analysis string").json(path)
-    return ids.select("id").distinct().join(lines, "id", "left").select(
+    answers = read_landing(spark, path, _ANALYSIS)
+    found = ids.select("id").distinct().join(
+        answers.where(F.col("id").isNotNull()).select("id", "analysis"), "id", "left").select(
         "id", F.parse_json(F.coalesce("analysis", F.lit("{}"))).alias("analysis"))
+    return found, _refused(answers, F.col("id").isNull(), "analysis without id").drop("seq")
 
 
 def attach_features(tracks: DataFrame, features: DataFrame) -> DataFrame:

@@ -176,11 +176,17 @@ def _nested(popularity: Column, title: Column) -> Column:
     )
 
 
+# How the cut lines of each feed begin; the number of the page follows.
+CUT = {"search": '{"tracks":{"items":[{"id":"page ', "playlist": '{"items":[{"track":{"id":"page ',
+       "artist": '{"tracks":[{"id":"page ', "features": '{"id":"page ', "analysis": '{"id":"event '}
+
+
 def write_landing(spark: SparkSession, sf_dir: str, root: str) -> dict[str, str]:
     """Parts as delivered JSON answers, 50 tracks each: searches, playlists and artist pages.
 
     Every feed has every part. Playlists have one more point of popularity and a null entry in
-    each answer, artist pages another title.
+    each answer, artist pages another title. For every seventh page a feed also has a line that was
+    cut short.
     """
     part = table(spark, sf_dir, "part")
     page = F.floor(F.col("p_partkey") / 50).alias("page")
@@ -191,19 +197,25 @@ def write_landing(spark: SparkSession, sf_dir: str, root: str) -> dict[str, str]
             F.array_sort(F.collect_list(F.struct("p_partkey", track.alias("t")))),
             lambda s: s["t"]).alias("ts"))
 
+    def with_cut(whole, start):
+        cut = part.select(page).distinct().where(F.col("page") % 7 == 0).select(
+            F.concat(F.lit(start), F.col("page").cast("string")).alias("value"))
+        return whole.unionByName(cut)
+
     size, name = F.col("p_size"), F.col("p_name")
     out = {k: f"{root}/{k}" for k in ("search", "playlist", "artist", "features")}
-    answers(part, _nested(size, name)).select(
-        F.to_json(F.struct(F.struct(F.col("ts").alias("items")).alias("tracks"))).alias("value")
-    ).write.text(out["search"])
+    with_cut(answers(part, _nested(size, name)).select(
+        F.to_json(F.struct(F.struct(F.col("ts").alias("items")).alias("tracks"))).alias("value")),
+        CUT["search"]).write.text(out["search"])
     lists = answers(part, _nested(size + 1, name)).select(
         F.concat(F.lit('{"items":[{"track":null},'),
                  F.array_join(F.transform("ts", lambda t: F.concat(
                      F.lit('{"track":'), F.to_json(t), F.lit("}"))), ","),
                  F.lit("]}")).alias("value"))
-    lists.write.text(out["playlist"])
-    answers(part, _nested(size, F.concat(F.lit("Best of "), name))).select(
-        F.to_json(F.struct(F.col("ts").alias("tracks"))).alias("value")).write.text(out["artist"])
-    raw_features(spark, sf_dir).select(F.to_json(F.struct("*")).alias("value")) \
-        .write.text(out["features"])
+    with_cut(lists, CUT["playlist"]).write.text(out["playlist"])
+    with_cut(answers(part, _nested(size, F.concat(F.lit("Best of "), name))).select(
+        F.to_json(F.struct(F.col("ts").alias("tracks"))).alias("value")), CUT["artist"]) \
+        .write.text(out["artist"])
+    with_cut(raw_features(spark, sf_dir).select(F.to_json(F.struct("*")).alias("value")),
+             CUT["features"]).write.text(out["features"])
     return out
