@@ -153,3 +153,39 @@ def test_ids_are_the_library_s(spark, sf, model):
 def test_merges_of_any_text(model, text):
     ids, _ = model.encode(text, by_merges=True)
     assert model.decode(ids) == text
+    marked = MARK + text.replace(" ", MARK)
+    literal = frozenset(i + 1 for i, c in enumerate(text) if c == MARK)
+    assert model._last_pieces(marked, literal) == model._merge(marked, literal)
+
+
+def test_single_pass_without_merging(spark, sf, model, monkeypatch):
+    """The query's ids come from the automaton: neither merging nor remembered words are needed."""
+    def never(*_):
+        raise AssertionError("texts must not be merged")
+
+    assert model.in_order
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").limit(40).collect()]
+    texts = [t[:4000] for t in texts if t]
+    want = [model._merge(MARK + t.replace(" ", MARK)) for t in texts]
+    monkeypatch.setattr(model, "_merge", never)
+    monkeypatch.setattr(model, "stretches", None)
+    assert [model._last_pieces(MARK + t.replace(" ", MARK)) for t in texts] == want
+    for text, (ids, _) in zip(texts, want):
+        assert model.encode(text, by_merges=True)[0].tolist() == ids
+
+
+def test_neighbours_kept_apart(model):
+    """Against merging the two, for neighbours of all kinds."""
+    import random
+
+    rnd = random.Random(2)
+    whole = [p for p in model.own if len(p) == 1 or p in model.split]
+    for _ in range(20_000):
+        a, b = rnd.choice(whole), rnd.choice(whole)
+        if len(a) > 1 and rnd.random() < 0.5:  # neighbours that often make up a piece
+            a, b = a[:len(a) // 2], a[len(a) // 2:]
+            if not all(len(x) == 1 or x in model.split for x in (a, b)):
+                continue
+        ids = [model.own.get(a), model.own.get(b)]
+        if None not in ids:
+            assert model._apart(a, b) == (model._merge(a + b)[0] == ids)

@@ -84,3 +84,12 @@ def test_junk_goes_at_any_number_of_languages(spark, sf):
         wanted = [(d, t) for d, t in planted[len(junk):] if t.isascii() or "es" in languages]
         assert {d for d, _ in wanted} <= kept
         assert not kept & {d for d, _ in planted[:len(junk)]}
+
+
+def test_a_language_of_few_rows_stays(spark, sf):
+    known = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").collect()
+    few = [(20_000 + i, f"Это обычный русский текст номер {i}, и он останется здесь", "ru") for i in range(9)]
+    docs = spark.createDataFrame([*((r.doc_id, r.text, r.lang) for r in known), *few],
+                                 "doc_id bigint, text string, lang string")
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, docs, sf).collect()}
+    assert {d for d, _, _ in few} <= kept

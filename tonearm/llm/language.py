@@ -22,16 +22,17 @@ from tonearm.llm.common import plain_columns, slices
 UNKNOWN = "und"
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3, 4)
-# Labelled rows a language is learned from, at most; rows it needs; languages learned, at most
-# (the most frequent).
+# Labelled rows a language is learned from, about, and all languages together; every language with a
+# usable row is learned.
 ROWS_PER_LANGUAGE = 600
-LEAST_ROWS = 10
-MOST_LANGUAGES = 200
+ROWS_LEARNED = 120_000
+# Weights of all machines together, about: with more machines they share fewer buckets, but not below
+# the least, so that a model takes 32 MB or 1 KB for each machine.
+WEIGHTS, LEAST_BUCKETS = 1 << 23, 256
 # Text handled at once, in bytes: every character gives four n-grams of several numbers each.
 TEXT_BYTES = 512 << 10
-# A letter belongs to a language if it makes at least this share of its letters, counted in the first
-# characters, so many, of the rows learned from.
-LETTER_SHARE, LETTERS_OF_ROW = 1e-5, 10_000
+# A letter belongs to a language if it makes at least this share of its letters in the rows learned from.
+LETTER_SHARE = 1e-5
 # N-gram shares are small numbers; scaled so that the regularisation suits them.
 _SCALE = 8.0
 
@@ -202,40 +203,58 @@ def _labelled(docs: DataFrame, doc_id: str, text: str, lang: str) -> DataFrame:
         F.col("lang").isNotNull() & ~held_out("doc_id") & F.col("text").rlike(r"\p{L}"))
 
 
-def _sample(labelled: DataFrame, languages: list[str], rows_per_language: int) -> DataFrame:
-    # ids of the sample: at most rows_per_language for each of MOST_LANGUAGES languages
-    ranked = labelled.where(F.col("lang").isin(languages)).select(
-        "lang", "doc_id", F.xxhash64("doc_id").alias("h")).withColumn(
-        "rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id")))
-    chosen = ranked.where(F.col("rank") <= rows_per_language).select("lang", "doc_id").distinct()
-    # one text for an id, however often its row repeats
-    return (labelled.join(F.broadcast(chosen), ["lang", "doc_id"], "left_semi")
+def _counts(labelled: DataFrame) -> dict[str, int]:
+    """Labelled ids of each language."""
+    ids = labelled.groupBy("lang", "doc_id").agg(F.lit(1).alias("one"))
+    return {r["lang"]: r["n"] for r in ids.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+
+
+def _sample(labelled: DataFrame, counts: dict[str, int], rows_per_language: int) -> DataFrame:
+    """Ids of small hash: of each language the share that makes about ``rows_per_language``, or as many
+    as all may have together; all of a language that has fewer."""
+    most = max(1, min(rows_per_language, ROWS_LEARNED // max(1, len(counts))))
+    draws = 1 << 40
+    limits = labelled.sparkSession.createDataFrame(
+        [(lang, draws * most // max(most, n)) for lang, n in sorted(counts.items())],
+        "lang string, upto bigint")
+    ids = labelled.select("lang", "doc_id", _draw(draws))
+    # the least id by hash is in, so that no language goes without
+    least = ids.groupBy("lang").agg(F.min("draw").alias("least"))
+    chosen = ids.join(limits.join(least, "lang"), "lang").where(
+        (F.col("draw") < F.col("upto")) | (F.col("draw") == F.col("least")))
+    # about ROWS_LEARNED ids, and one for each language; one text for an id, however often it repeats
+    return (labelled.join(F.broadcast(chosen.select("lang", "doc_id").distinct()), ["lang", "doc_id"],
+                          "left_semi")
             .groupBy("lang", "doc_id").agg(F.min("text").alias("text")))
 
 
+def _draw(draws: int) -> F.Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(draws)).alias("draw")
+
+
 def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
           rows_per_language: int = ROWS_PER_LANGUAGE, buckets: int = BUCKETS,
           families: dict[str, list[str]] = FAMILIES) -> LanguageModel:
-    """Train on at most ``rows_per_language`` labelled rows of each language outside the held-out
-    part, those of smallest hash; whole texts count, and texts without letters don't.
+    """Train on about ``rows_per_language`` labelled rows of each language outside the held-out
+    part, those of smallest hash (all, if there are fewer); whole texts count, and texts without letters
+    don't. Every language that has such a row is learned. Rows of one id count once, with the least
+    of their texts.
 
     Without any labelled rows the model knows no language and answers ``und``.
     """
     labelled = _labelled(docs, doc_id, text, lang)
-    keyed = labelled.select("lang", "doc_id")
-    counts = {r["lang"]: r["n"] for r in
-              keyed.groupBy("lang").agg(F.count("*").alias("n"))
-              .where(F.col("n") >= LEAST_ROWS)
-              .orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
+    counts = _counts(labelled)
     names: dict[str, list[str]] = {}
     for language in sorted(counts):
         names.setdefault(family_of(language, families), []).append(language)
     if not names:
         return LanguageModel({}, np.zeros((buckets, 0), np.float32), np.zeros(0), {}, {}, buckets)
-    sample = _sample(labelled, list(counts), rows_per_language)
+    sample = _sample(labelled, counts, rows_per_language)
     machines = [("family", name, "") for name in names]
     machines += [("pair", a, b) for own in names.values() for a, b in combinations(own, 2)]
     places = {m: i for i, m in enumerate(machines)}
+    while len(machines) * buckets > WEIGHTS and buckets > LEAST_BUCKETS:
+        buckets //= 2
 
     def features(batches):
         for part in slices(batches, "text", TEXT_BYTES):
@@ -290,7 +309,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
     equal texts get equal answers. An empty table gives an empty table.
     """
     spark = docs.sparkSession
-    known = spark.sparkContext.broadcast(model)  # bounded by languages learned and buckets
+    known = spark.sparkContext.broadcast(model)  # bounded by WEIGHTS, and LEAST_BUCKETS a machine
     names = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
 
     def run(batches):
@@ -307,13 +326,12 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
 def letters_of(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text: str = "text",
                lang: str = "lang", rows_per_language: int = ROWS_PER_LANGUAGE) -> str:
     """The lower-cased letters and marks of the languages learned, from rows like those of ``learn``."""
-    languages = [own for family in model.families.values() for own in family]
-    if not languages:
+    if not model.families:
         return ""
-    sample = _sample(_labelled(docs, doc_id, text, lang), languages, rows_per_language)
-    begun = F.lower(F.left("text", F.lit(LETTERS_OF_ROW)))
+    labelled = _labelled(docs, doc_id, text, lang)
+    sample = _sample(labelled, _counts(labelled), rows_per_language)
     counted = (sample.select("lang", F.explode(F.regexp_extract_all(
-        begun, F.lit(r"([\p{L}\p{M}])"), 1)).alias("letter"))
+        F.lower("text"), F.lit(r"([\p{L}\p{M}])"), 1)).alias("letter"))
         .groupBy("lang", "letter").agg(F.count("*").alias("n")))
     every = F.sum("n").over(Window.partitionBy("lang"))
     often = counted.withColumn("every", every).where(F.col("n") >= LETTER_SHARE * F.col("every"))

@@ -1,9 +1,12 @@
-"""SentencePiece encoding and decoding, by the method that a model was trained for.
+"""SentencePiece encoding and decoding in one pass of an automaton, for both kinds of models.
 
-BPE models: of all neighbours that make up a piece together, those of the best score are merged, until
-there are none. Unigram models: the segmentation of the best sum of scores. An Aho-Corasick automaton over all pieces reads a text once; at each position its output links give
-the pieces that end there, longest first, and each relaxes the best score of that position. Characters
-that no piece covers are spelled in byte pieces, so every text can be decoded exactly.
+An Aho-Corasick automaton over all pieces reads a text once; at each position its output links give
+the pieces that end there, longest first. For a unigram model each of them relaxes the best score of that
+position. A BPE model merges neighbours in the order of scores; the ids of a text's beginning end in
+exactly one piece, the only one of those given that merging would keep apart from the last piece of
+the beginning before it. So there each piece is tried against one neighbour, and what is relaxed is the last
+piece of each beginning. Characters that no piece covers are spelled in byte pieces, so every text can
+be decoded exactly.
 
 No piece of the usual models has a blank mark after another character or mixes letters with others,
 so the segmentations of the stretches between such places make up that of the text; they are
@@ -17,6 +20,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from heapq import heappop, heappush
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +35,8 @@ PENALTY = -10.0
 _NEVER = float("-inf")
 # Stretches remembered by a worker, about twice, and ids decoded at once.
 REMEMBERED = 250_000
+# Neighbours remembered, whether merging keeps them apart.
+PAIRS = 500_000
 DECODED_IDS = 500_000
 _LETTER, _OTHER = r"[^\W\d_%s]", r"(?:(?!{0})[\W\d_%s])".format(MARK)
 
@@ -119,7 +125,15 @@ class Pieces:
             self.automaton.add_word(self.piece[i], i)
         self.automaton.make_automaton()
         self.own = {self.piece[i]: i for i in own}
-        self.known, self.merged = _Memory(self._best), _Memory(self._merge)
+        self.known, self.joined = _Memory(self._best), _Memory(self._last_pieces)
+        self.text_score = {self.piece[i]: self.score[i] for i in own}
+        if self.by_merges:
+            self.split = {p: parts for p in self.own if (parts := self._last_merge(p))}
+            # merges of a trained model come in the order of their scores: parts before the whole (equal
+            # scores, as pieces of blanks have, from left to right)
+            self.in_order = all(self.text_score.get(x, 0.0) >= self.text_score[p] for p, parts in
+                                self.split.items() for x in parts if len(x) > 1)
+            self.apart = functools.lru_cache(PAIRS)(self._apart)
 
     def _best(self, text: str, literal: frozenset[int] = frozenset()) -> tuple[list[int], float]:
         """Ids of the best segmentation and its score; of equal ones that with the longer last piece.
@@ -170,8 +184,83 @@ class Pieces:
                 at -= 1
         return ids[::-1], best[n]
 
+    def _last_merge(self, piece: str) -> tuple[str, str] | None:
+        """The two parts whose merge makes up a piece, if merging its characters gives the piece."""
+        parts, last = list(piece), None
+        while len(parts) > 1:
+            worth = [self.text_score.get(a + b, _NEVER) for a, b in pairwise(parts)]
+            best = max(worth)
+            if best == _NEVER:
+                return None
+            at = worth.index(best)
+            last = parts[at], parts[at + 1]
+            parts[at:at + 2] = ["".join(last)]
+        return last
+
+    def _apart(self, left: str, right: str) -> bool:
+        """Whether merging the characters of two neighbours gives just these two again.
+
+        Merges are undone from the last to the first, on either side of the border between them. Whatever
+        then meets there must not be worth more than the merge that was undone, else it would have come
+        first; of equal ones the merge farther to the left comes first.
+        """
+        score = self.text_score
+        if left + right in score:
+            return False
+        while len(left) > 1 or len(right) > 1:
+            if len(left) == 1 or (len(right) > 1 and score[right] <= score[left]):
+                undone, right = score[right], self.split[right][0]
+                if score.get(left + right, _NEVER) >= undone:
+                    return False
+            else:
+                undone, left = score[left], self.split[left][1]
+                if score.get(left + right, _NEVER) > undone:
+                    return False
+        return True
+
+    def _last_pieces(self, text: str, literal: frozenset[int] = frozenset()) -> tuple[list[int], float]:
+        """Ids of a BPE model: the last piece of each beginning of the text, in one pass."""
+        if literal:
+            ids, at = [], 0
+            for to in [*sorted(literal), len(text)]:
+                ids += self._last_pieces(text[at:to])[0] if at < to else []
+                ids += [self.byte[b] for b in text[to:to + 1].encode()]
+                at = to + 1
+            return ids, float(self.worth[ids].sum())
+        if not self.in_order:  # no model of the usual training
+            return self._merge(text)
+        n, size, split, apart = len(text), self.size, self.split, self.apart
+        begin, done = [-1] * (n + 1), 0  # where the last piece of each beginning begins
+        begin[0] = 0
+
+        def alone(to: int) -> None:
+            """Beginnings that end in a character by itself, up to ``to``."""
+            for end in range(done + 1, to + 1):
+                if begin[end] < 0:
+                    begin[end] = end - 1
+
+        for last, piece in self.automaton.iter(text):
+            if begin[last + 1] >= 0:
+                continue
+            alone(last)
+            done = last
+            at = last + 1 - size[piece]
+            own = text[at:last + 1]
+            if (size[piece] == 1 or own in split) and (not at or apart(text[begin[at]:at], own)):
+                begin[last + 1] = at
+        alone(n)
+        ids, at = [], n
+        while at:
+            own = self.own.get(text[begin[at]:at])
+            ids += [self.byte[b] for b in reversed(text[at - 1].encode())] if own is None else [own]
+            at = begin[at]
+        return ids[::-1], float(self.worth[ids].sum())
+
     def _merge(self, text: str, literal: frozenset[int] = frozenset()) -> tuple[list[int], float]:
-        """Ids by merges in the order of their scores, of equal ones the first; and their score."""
+        """Ids by merges in the order of their scores, of equal ones the first; and their score.
+
+        For models whose pieces may be worth more than their parts; and to test the single pass.
+        """
         n, own, score = len(text), self.own, self.score
         # symbols by their first place: where each ends (0: merged into another), and the one before
         stop, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -210,7 +299,7 @@ class Pieces:
         """
         if not text:
             return np.zeros(0, np.int32), 0.0
-        known = self.merged if by_merges else self.known
+        known = self.joined if by_merges else self.known
         if self.stretches is None or MARK in text:
             marked = MARK + text.replace(" ", MARK)
             ids, score = known.compute(

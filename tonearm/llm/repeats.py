@@ -10,7 +10,8 @@ Texts stay where they are. They are written once as chunks (a few hundred docume
 bucketed table, so that later joins by chunk move none of them). A chunk sends its distinct window
 hashes, sorted and packed by hash range, and gets back one bit for each. A hash is sent once by a
 chunk however often it occurs there, so a passage found in a third of all documents is a row for
-each chunk and not one for each document.
+each chunk and not one for each document. There are as many ranges as keep about ``RANGE_BYTES`` of text
+in each, whatever the size of the corpus. Windows count as equal by 128 bits of two hashes.
 """
 
 from __future__ import annotations
@@ -29,11 +30,14 @@ from tonearm.llm.common import (
     WHITE, find_words, hash_windows, hash_words, shuffle_partitions, slices, text_bytes,
     window_starts,
 )
-from tonearm.session import written
+from tonearm.session import shared_folder, written
 
 WINDOW = 13
-# Bits of a block's hash that are compared; a chance match only costs a comparison in full.
-_ANCHOR_BITS = 40
+# Text whose hashes one range holds, about: a word and its blank have some six bytes, a hash has eight.
+RANGE_BYTES = 16 << 20
+# Bits of a block's hash that are compared, at least, and beyond those that number all words: a chance
+# match, one in so many thousand, only costs a comparison in full.
+_ANCHOR_BITS, _SPARE_BITS = 40, 12
 _LETTERS = ~WHITE
 _SENT = "p int, chunk bigint, n int, hashes binary, extra binary"
 _MARKS = "chunk bigint, p int, bits binary"
@@ -64,10 +68,12 @@ _MARK_KINDS = {"chunk": pa.int64(), "p": pa.int32(), "bits": pa.binary()}
 class _Chunk:
     """The documents of a chunk by ascending id, their words and the distinct hashes they send."""
 
-    def __init__(self, blob: bytes, doc_id: str, text: str, window: int, parts: int):
+    def __init__(self, blob: bytes, doc_id: str, text: str, window: int, parts: int,
+                 anchor_bits: int):
         with pa.ipc.open_stream(blob) as stream:
             self.rows = stream.read_next_batch()
         self.window, self.block, self.parts = window, (window + 1) // 2, parts
+        self.anchor_bits = anchor_bits
         ids = self.rows.column(doc_id)
         self.ids = ids.fill_null(0).to_numpy(zero_copy_only=False)
         raw, at = text_bytes(self.rows.column(text))
@@ -91,14 +97,14 @@ class _Chunk:
 
     def anchors(self) -> None:
         self.places = self._starts(self.block)
-        hashes = hash_windows(self.words, self.block)[self.places] >> np.uint64(64 - _ANCHOR_BITS)
+        hashes = hash_windows(self.words, self.block)[self.places] >> np.uint64(64 - self.anchor_bits)
         self.anchor, first, self.anchor_of = np.unique(
             hashes, return_index=True, return_inverse=True)
         owner = self.owners(self.places)
         self.is_block, self.shared = np.zeros((2, len(self.anchor)), bool)
         self.is_block[self.anchor_of[(self.places - self.first[owner]) % self.block == 0]] = True
         self.shared[self.anchor_of[owner != owner[first][self.anchor_of]]] = True
-        self.anchor_edges = self._split(self.anchor, _ANCHOR_BITS)
+        self.anchor_edges = self._split(self.anchor, self.anchor_bits)
 
     def candidates(self, marks: list | None) -> None:
         """Full windows around a hit, from the bits that came back for the anchors."""
@@ -108,8 +114,15 @@ class _Chunk:
         before = np.r_[0, np.cumsum(at)]
         starts = self._starts(self.window)
         self.starts = starts[before[starts + self.window - self.block + 1] > before[starts]]
-        hashes = hash_windows(self.words, self.window, seed=1)[self.starts]
-        self.full, first, self.full_of = np.unique(hashes, return_index=True, return_inverse=True)
+        both = [hash_windows(self.words, self.window, seed)[self.starts] for seed in (1, 2)]
+        order = np.lexsort(both[::-1])
+        new = np.ones(len(order), bool)
+        new[1:] = (both[0][order][1:] != both[0][order][:-1]) | (both[1][order][1:] != both[1][order][:-1])
+        self.full_of = np.empty(len(order), np.int64)
+        self.full_of[order] = np.cumsum(new) - 1
+        # starts go up with the ids, and the order is stable: the first of a group has its least id
+        first = order[new]
+        self.full, self.more = both[0][first], both[1][first]
         self.least = self.ids[self.owners(self.starts)][first]
         self.full_edges = self._split(self.full, 64)
 
@@ -131,24 +144,33 @@ class _Chunk:
         return out
 
 
+def ranges_for(size: int) -> int:
+    """How many ranges the hashes of so many bytes of text are dealt to."""
+    return max(8, -(-size // RANGE_BYTES))
+
+
 def _chunks(docs: DataFrame, doc_id: str, text: str, parts: int) -> DataFrame:
-    """The rows of ``docs`` in chunks, written to a bucketed table of the session's catalogue."""
+    """The rows of ``docs`` in chunks, stored in the shared folder in buckets by chunk."""
 
     def run(batches):
         options = pa.ipc.IpcWriteOptions(compression="zstd")
         for part in slices(batches, text):
             part = part.take(pc.array_sort_indices(part.column(doc_id)))
+            size = len(text_bytes(part.column(text))[0])
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, part.schema, options=options) as stream:
                 stream.write_batch(part)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["blob"])
+                [pa.array([size], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())],
+                names=["size", "blob"])
 
     spark = docs.sparkSession
     name = f"tonearm_chunks_{uuid.uuid4().hex}"
-    (docs.mapInArrow(run, "blob binary").withColumn("chunk", F.monotonically_increasing_id())
-     .write.bucketBy(parts, "chunk").saveAsTable(name))
-    return spark.table(name)
+    (docs.mapInArrow(run, "size bigint, blob binary").withColumn("chunk", F.monotonically_increasing_id())
+     .write.bucketBy(parts, "chunk").option("path", shared_folder(spark, "chunks")).saveAsTable(name))
+    chunks = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay, and what has been read of them knows their buckets
+    return chunks
 
 
 def _sent(p: int, chunk: int, hashes: np.ndarray, extra: bytes) -> tuple:
@@ -171,8 +193,8 @@ def _answer(decide):
         order = np.argsort(hashes, kind="stable")
         ordered = hashes[order]
         starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-        del hashes, ordered
-        mark = decide(rows["extra"].to_pylist(), sizes, order, starts)
+        del hashes
+        mark = decide(rows["extra"].to_pylist(), sizes, order, starts, ordered)
         out = [(c, p, np.packbits(mark[e - n:e]).tobytes()) for c, p, n, e in zip(
             rows["chunk"].to_pylist(), rows["p"].to_pylist(), sizes, ends) if mark[e - n:e].any()]
         columns = list(zip(*out)) or [[], [], []]
@@ -182,7 +204,7 @@ def _answer(decide):
 
 
 def _anchored(extra: list[bytes], sizes: np.ndarray, order: np.ndarray,
-              starts: np.ndarray) -> np.ndarray:
+              starts: np.ndarray, _) -> np.ndarray:
     """Hashes that are a block of one document and occur in another."""
     flags = np.concatenate([np.unpackbits(np.frombuffer(e, np.uint8), count=2 * int(n)).reshape(2, -1)
                             for e, n in zip(extra, sizes)], axis=1).astype(bool)[:, order]
@@ -194,10 +216,24 @@ def _anchored(extra: list[bytes], sizes: np.ndarray, order: np.ndarray,
     return mark
 
 
+def _both(more: np.ndarray, least: np.ndarray) -> bytes:
+    """Second hashes and smallest ids of a chunk's windows."""
+    packed = _pack(least.astype(np.int64))
+    return len(packed).to_bytes(4, "little") + packed + more.tobytes()
+
+
 def _earlier(extra: list[bytes], sizes: np.ndarray, order: np.ndarray,
-             starts: np.ndarray) -> np.ndarray:
-    """Hashes that another chunk has in a document of smaller id."""
-    ids = np.concatenate([_unpack(e, int(n), np.int64) for e, n in zip(extra, sizes)])
+             starts: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Windows that another chunk has in a document of smaller id."""
+    cuts = [4 + int.from_bytes(e[:4], "little") for e in extra]
+    ids = np.concatenate([_unpack(e[4:c], int(n), np.int64) for e, c, n in zip(extra, cuts, sizes)])
+    more = np.concatenate([np.frombuffer(e, np.uint64, offset=c) for e, c in zip(extra, cuts)])
+    if (np.diff(np.r_[starts, len(order)]) > 1).any():
+        # by the second hash within equal first ones
+        again = np.lexsort((more[order], ordered))
+        order = order[again]
+        starts = np.flatnonzero(np.r_[True, (ordered[1:] != ordered[:-1])
+                                      | (more[order][1:] != more[order][:-1])])
     least = np.minimum.reduceat(ids[order], starts)
     mark = np.zeros(len(order), bool)
     mark[order] = np.repeat(least, np.diff(np.r_[starts, len(order)])) < ids[order]
@@ -219,18 +255,18 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id"
     words and an empty kept text; texts of fewer than ``window`` words keep all. Rows with the same
     id don't take words from each other, and rows without an id are left whole and take none.
     Columns of ``docs`` named like the three new ones give way to them. Ids are integers; a text
-    may have up to 2 GB. The chunks stay in the session's catalogue as a table named
-    ``tonearm_chunks_...``: the result reads it.
+    may have up to 2 GB. The chunks lie in the shared folder; the result reads them.
     """
     spark = docs.sparkSession
     new = ("n_words", "n_removed", "kept_text")
     docs = docs.select(*[c for c in docs.columns if c.lower() not in new])
     names = docs.columns
-    parts = shuffle_partitions(spark)
-    chunks = _chunks(docs, doc_id, text, parts)
+    chunks = _chunks(docs, doc_id, text, shuffle_partitions(spark))
+    size = chunks.agg(F.sum("size")).first()[0] or 0
+    parts, anchor_bits = ranges_for(size), min(64, max(_ANCHOR_BITS, (size // 6).bit_length() + _SPARE_BITS))
 
     def load(blob: bytes) -> _Chunk:
-        return _Chunk(blob, doc_id, text, window, parts)
+        return _Chunk(blob, doc_id, text, window, parts, anchor_bits)
 
     def probe(batches):
         for batch in batches:
@@ -259,7 +295,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id"
                 chunk.candidates(marks)
                 edges = chunk.full_edges
                 yield from _send([
-                    _sent(p, key, chunk.full[a:b], _pack(chunk.least[a:b].astype(np.int64)))
+                    _sent(p, key, chunk.full[a:b], _both(chunk.more[a:b], chunk.least[a:b]))
                     for p, (a, b) in enumerate(zip(edges, edges[1:])) if b > a])
 
     earlier = written(

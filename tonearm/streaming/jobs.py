@@ -118,7 +118,7 @@ def _filters(spark: SparkSession, here: str) -> DataFrame:
         size = max(64, BITS * len(rows))
         bits = np.zeros(size, bool)
         bits[_bits_of(rows["h"].to_numpy(), rows["step"].to_numpy(), size).ravel()] = True
-        return pd.DataFrame({"bucket": [int(rows["bucket"].iloc[0])], "file": [rows["file"].iloc[0]],
+        return pd.DataFrame({"bucket": [int(rows["bucket"].iloc[0])], "file": pd.Series([rows["file"].iloc[0]], dtype=object),
                              "bits": [size.to_bytes(8, "little") + np.packbits(bits).tobytes()]})
 
     stored = spark.read.schema("id string, bucket int").parquet(here)
@@ -145,7 +145,7 @@ def files_with(spark: SparkSession, path: str, ids: DataFrame, but: int | None =
             bits = np.unpackbits(np.frombuffer(packed, np.uint8, offset=8), count=size).astype(bool)
             if len(h) and bits[_bits_of(h, step, size)].all(axis=1).any():
                 found.append(file)
-        return pd.DataFrame({"file": found})
+        return pd.DataFrame({"file": pd.Series(found, dtype=object)})
 
     # a bucket's filters are dealt to parts, and the ids it is asked for go to each of them
     parts = F.explode(F.sequence(F.lit(0), F.lit(_PARTS - 1)))
