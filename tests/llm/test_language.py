@@ -146,9 +146,9 @@ def test_every_language_is_learned(spark):
     model = learn(docs)
     own = [x for family in model.families.values() for x in family]
     assert set(own) == {"en", "de"} | {lang for d, _, lang in rows if zlib.crc32(str(d).encode()) % 5}
-    many = [(i, chr(0x4E00 + 40 * i) * 3 + " " + chr(0x4E01 + 40 * i), f"x{i}") for i in range(300)]
+    many = [(i, chr(0x4E00 + 40 * i) * 3 + " " + chr(0x4E01 + 40 * i), f"x{i}") for i in range(400)]
     model = learn(spark.createDataFrame(many, "doc_id bigint, text string, lang string"))
-    learned = {f"x{i}" for i in range(300) if zlib.crc32(str(i).encode()) % 5}
+    learned = {f"x{i}" for i in range(400) if zlib.crc32(str(i).encode()) % 5}
     assert {x for family in model.families.values() for x in family} == learned
     assert model.buckets < 1 << 15 and model.family_weights.size <= WEIGHTS
 

@@ -57,3 +57,39 @@ def test_query_equals_brute_force(spark, sf):
     got = [tuple(r) for r in QUERIES["op10_substring_dedup"](spark, sf).collect()]
     want = [(d, n, m, hashlib.sha256(k.encode()).hexdigest()) for d, n, m, k in brute(rows)]
     assert order(got) == order(want)
+
+
+def test_many_small_ranges(spark, edge, monkeypatch):
+    """Ranges follow the text, not the setting of the session; passages are found across all of them."""
+    from tonearm.llm import repeats
+
+    assert repeats.ranges_for(0) == 8 and repeats.ranges_for(1 << 30) == (1 << 30) // repeats.RANGE_BYTES
+    monkeypatch.setattr(repeats, "RANGE_BYTES", 4000)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+        got = [(r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in remove_repeats(edge).collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert order(got) == order(brute(edge_rows()))
+
+
+def test_no_table_stays_behind(spark, edge):
+    from tonearm.llm.repeats import remove_repeats as remove
+    before = {t.name for t in spark.catalog.listTables()}
+    remove(edge).count()
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_windows_are_compared_by_both_hashes():
+    """Equal first hashes alone make no match."""
+    import numpy as np
+    from tonearm.llm.repeats import _both, _earlier
+
+    hashes = np.array([5, 9, 5, 9], np.uint64)
+    extra = [_both(np.array([1, 2], np.uint64), np.array([10, 10])),
+             _both(np.array([1, 3], np.uint64), np.array([20, 20]))]
+    order_ = np.argsort(hashes, kind="stable")
+    ordered = hashes[order_]
+    mark = _earlier(extra, np.array([2, 2]), order_, np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]), ordered)
+    assert mark.tolist() == [False, False, True, False]
