@@ -1,4 +1,5 @@
 import hashlib
+from collections import Counter
 
 from conftest_llm import edge_rows
 from tonearm.llm import imatch
@@ -95,3 +96,62 @@ def test_a_third_of_rows_are_near_copies(spark):
     copies = [found[200 + i].near_next for i in range(99)]
     assert min(copies) > 0 and sum(copies) / 99 > 0.5
     assert max(found[i].near_next for i in range(200)) < 0.5
+
+
+def by_hand(rows, band):
+    """Fingerprints of texts that are not alike: document counts, masks and hashes with plain loops."""
+    import regex
+    import xxhash
+
+    def long(value, seed):
+        return xxhash.xxh64_intdigest(value.to_bytes(8, "little", signed=value < 0), seed)
+
+    def signed(h):
+        return h - (1 << 64) if h >> 63 else h
+
+    def of_text(value, seed=42):
+        return xxhash.xxh64_intdigest(value.encode(), seed)
+
+    def terms(text):
+        return set(regex.findall(r"[\p{L}\p{N}]+", text.lower()))
+
+    count = Counter(t for _, text in rows for t in terms(text))
+    lexicon = {}
+    for term, n in count.items():
+        if n >= max(2, band[0] * len(rows)) and n <= band[1] * len(rows):
+            h, mask = signed(of_text(term)), 0
+            for k, share in enumerate(imatch.PARTS):
+                # a column of two values: the second is hashed with the hash of the first as its seed
+                draw = signed(xxhash.xxh64_intdigest(k.to_bytes(4, "little"), long(h, 42)))
+                mask |= (draw % imatch._DRAWS < int(share * imatch._DRAWS)) << k
+            lexicon[term] = (h, mask)
+
+    def fingerprint(text):
+        own = sorted(lexicon[t] for t in terms(text) if t in lexicon)
+        out = []
+        for k in range(len(imatch.PARTS)):
+            h, some = 42, False
+            for term, mask in own:
+                if mask >> k & 1:
+                    h = xxhash.xxh64_intdigest(mask.to_bytes(4, "little"), long(term, h))
+                    some = True
+            if not some and k == 0:
+                h, some = long(signed(of_text(text)), of_text("text")), True
+            out.append(f"{h:016x}" if some else "-")
+        return ":".join(out)
+
+    return [(d, fingerprint(t), fingerprint(e)) for d, t, e in chain(rows)]
+
+
+def test_fingerprints_by_hand(spark):
+    import random
+    rnd = random.Random(11)
+    words = [f"w{i}" for i in range(700)] + ["Äther", "naïve", "ß", "42"]
+    weights = [1 / (i + 3) for i in range(len(words))]
+    rows = [(i * 3, " ".join(rnd.choices(words, weights, k=rnd.randint(25, 60))) + f", own{i}!") for i in range(90)]
+    rows.append((1000, "!! ..."))  # no term at all
+    band = (0.03, 0.4)
+    found = fingerprint_documents(spark.createDataFrame(rows, "doc_id bigint, text string"), band=band)
+    got = sorted((r.doc_id, r.fingerprint, r.edited_fingerprint) for r in found.collect())
+    assert got == sorted(by_hand(rows, band))
+    assert sum(f.count("-") < 8 for _, f, _ in got) > 30
