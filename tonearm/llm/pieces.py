@@ -71,7 +71,7 @@ class _Memory(dict):
     def __missing__(self, stretch: str) -> bytes:
         found = self.before.get(stretch)
         if found is None:
-            found = array("i", self.compute(stretch)[0]).tobytes()
+            found = array("i", self.compute(stretch)).tobytes()
         self[stretch] = found
         return found
 
@@ -125,7 +125,7 @@ class Pieces:
             self.automaton.add_word(self.piece[i], i)
         self.automaton.make_automaton()
         self.own = {self.piece[i]: i for i in own}
-        self.known, self.joined = _Memory(self._best), _Memory(self._last_pieces)
+        self.known, self.joined = _Memory(lambda x: self._best(x)[0]), _Memory(self._ids)
         self.text_score = {self.piece[i]: self.score[i] for i in own}
         if self.by_merges:
             self.split = {p: parts for p in self.own if (parts := self._last_merge(p))}
@@ -133,7 +133,8 @@ class Pieces:
             # scores, as pieces of blanks have, from left to right)
             self.in_order = all(self.text_score.get(x, 0.0) >= self.text_score[p] for p, parts in
                                 self.split.items() for x in parts if len(x) > 1)
-            self.apart = functools.lru_cache(PAIRS)(self._apart)
+            self.whole = bytearray(p in self.split or len(p) == 1 for p in self.piece)
+            self.pairs: dict[int, bool] = {}
 
     def _best(self, text: str, literal: frozenset[int] = frozenset()) -> tuple[list[int], float]:
         """Ids of the best segmentation and its score; of equal ones that with the longer last piece.
@@ -227,34 +228,45 @@ class Pieces:
                 ids += [self.byte[b] for b in text[to:to + 1].encode()]
                 at = to + 1
             return ids, float(self.worth[ids].sum())
-        if not self.in_order:  # no model of the usual training
-            return self._merge(text)
-        n, size, split, apart = len(text), self.size, self.split, self.apart
-        begin, done = [-1] * (n + 1), 0  # where the last piece of each beginning begins
-        begin[0] = 0
-
-        def alone(to: int) -> None:
-            """Beginnings that end in a character by itself, up to ``to``."""
-            for end in range(done + 1, to + 1):
-                if begin[end] < 0:
-                    begin[end] = end - 1
+        ids = self._ids(text)
+        return ids, float(self.worth[ids].sum())
 
-        for last, piece in self.automaton.iter(text):
-            if begin[last + 1] >= 0:
+    def _ids(self, text: str) -> list[int]:
+        """The same for a text without blank marks of its own, ids only."""
+        if not self.in_order:  # no model of the usual training
+            return self._merge(text)[0]
+        size, whole, pairs, every = self.size, self.whole, self.pairs, len(self.piece)
+        last = [-1] * (len(text) + 1)  # the last piece of each beginning; none: a character to spell
+        if len(pairs) > PAIRS:
+            pairs.clear()
+        for end, piece in self.automaton.iter(text):
+            end += 1
+            if last[end] >= 0 or not whole[piece]:
                 continue
-            alone(last)
-            done = last
-            at = last + 1 - size[piece]
-            own = text[at:last + 1]
-            if (size[piece] == 1 or own in split) and (not at or apart(text[begin[at]:at], own)):
-                begin[last + 1] = at
-        alone(n)
-        ids, at = [], n
+            at = end - size[piece]
+            if at:
+                left = last[at]
+                if left < 0:
+                    if not self._apart(text[at - 1], self.piece[piece]):
+                        continue
+                else:
+                    apart = pairs.get(left * every + piece)
+                    if apart is None:
+                        apart = pairs[left * every + piece] = self._apart(self.piece[left], self.piece[piece])
+                    if not apart:
+                        continue
+            last[end] = piece
+        ids, at = [], len(text)
         while at:
-            own = self.own.get(text[begin[at]:at])
-            ids += [self.byte[b] for b in reversed(text[at - 1].encode())] if own is None else [own]
-            at = begin[at]
-        return ids[::-1], float(self.worth[ids].sum())
+            piece = last[at]
+            if piece >= 0:
+                ids.append(piece)
+                at -= size[piece]
+            else:
+                at -= 1
+                ids += [self.byte[b] for b in reversed(text[at].encode())]
+        ids.reverse()
+        return ids
 
     def _merge(self, text: str, literal: frozenset[int] = frozenset()) -> tuple[list[int], float]:
         """Ids by merges in the order of their scores, of equal ones the first; and their score.
@@ -302,8 +314,8 @@ class Pieces:
         known = self.joined if by_merges else self.known
         if self.stretches is None or MARK in text:
             marked = MARK + text.replace(" ", MARK)
-            ids, score = known.compute(
-                marked, frozenset(i + 1 for i, c in enumerate(text) if c == MARK))
+            compute = self._last_pieces if by_merges else self._best
+            ids, score = compute(marked, frozenset(i + 1 for i, c in enumerate(text) if c == MARK))
             return np.array(ids, np.int32), score
         stretches = self.stretches.findall(MARK + text.replace(" ", MARK))
         ids = np.frombuffer(b"".join(map(known.__getitem__, stretches)), np.int32)
