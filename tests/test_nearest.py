@@ -207,3 +207,84 @@ def test_flat_index_takes_changes(spark, tmp_path):
     assert IX.split_cells(spark, path, 2) is None
     build_index(v.where("id = 2"), path)
     assert [r.item_id for r in open_index(spark, path).collect()] == [2]
+
+
+@pytest.mark.parametrize("metric", ["feature", "l2", "cosine", "ip"])
+def test_many_groups_and_chunks(spark, metric, monkeypatch):
+    """Groups of a few cells, cells larger than a group, several chunks of queries; equal vectors."""
+    monkeypatch.setattr(NN, "GROUP_CELLS", 4 * 15)
+    monkeypatch.setattr(NN, "_LEAST_QUERIES", 4)
+    qs, xs = vectors(40, 4, 21), vectors(160, 4, 22, same=40)
+    got = run(spark, qs, xs, 6, metric, broadcast_cells=4, block_rows=50, prune_on=1)
+    assert got == brute(qs, xs, 6, metric)
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_a_query_is_sent_once_to_a_group_of_cells(spark, metric, monkeypatch):
+    """Random directions, of which no cell can be skipped: not a row for each cell."""
+    qs, xs = [[v - 0.5 for v in row] for row in vectors(30, 12, 31)], \
+        [[v - 0.5 for v in row] for row in vectors(400, 12, 32)]
+    made = []
+    visits = NN.visits
+
+    def counted(q, cells, odd, k, width, first=None):
+        out = visits(q, cells, odd, k, width, first).persist()
+        made.append((out.count(), len(cells.pivots), len(cells.groups)))
+        return out
+
+    monkeypatch.setattr(NN, "visits", counted)
+    assert run(spark, qs, xs, 5, metric, broadcast_cells=12, block_rows=10) == brute(qs, xs, 5, metric)
+    assert made[0][1] > 100 and made[0][2] == 1 and all(n <= 30 for n, _, _ in made)
+
+
+def test_large_sides_do_not_come_to_the_driver(spark, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    collected = []
+    whole = DataFrame.toPandas
+
+    def counted(self):
+        out = whole(self)
+        collected.append(len(out))
+        return out
+
+    monkeypatch.setattr(DataFrame, "toPandas", counted)
+    qs, xs = vectors(60, 4, 1), vectors(900, 4, 2)
+    assert run(spark, qs, xs, 3, "feature", broadcast_cells=400, prune_on=0) == brute(qs, xs, 3, "feature")
+    assert not collected
+
+
+def test_few_items_are_not_compared_whole_where_blocks_can_be_skipped(spark, monkeypatch):
+    monkeypatch.setattr(NN, "_items_to_all", None)
+    qs, xs = vectors(10, 3, 1), vectors(300, 3, 2)
+    assert run(spark, qs, xs, 3, "l2", block_rows=100, broadcast_cells=2000) == brute(qs, xs, 3, "l2")
+
+
+def test_exact_costs_of_equal_items_are_computed_in_bounded_steps(monkeypatch):
+    import numpy as np
+
+    sizes, cost_of = [], NN._pair_cost
+    monkeypatch.setattr(NN, "_EXACT_CELLS", 100)
+    monkeypatch.setattr(NN, "_pair_cost", lambda q, x, m: sizes.append(q.size) or cost_of(q, x, m))
+    rows, cols, _ = NN.best_in_block(np.ones((3, 5)), np.ones((200, 5)), 4, "cosine")
+    assert max(sizes) <= 100 and list(cols) == [0, 1, 2, 3] * 3
+
+
+def test_all_cells_of_an_index_are_probed_by_one_row_a_query(spark, tmp_path, monkeypatch):
+    xs = vectors(200, 5, 3)
+    x = spark.createDataFrame(list(enumerate(xs)), "id bigint, embedding array<double>")
+    path = str(tmp_path / "index")
+    build_index(x, path, ivf=True, cells=20)
+    made, written = [], IX.written
+
+    def counted(df, purpose):
+        out = written(df, purpose)
+        made.append((purpose, out.count()))
+        return out
+
+    monkeypatch.setattr(IX, "written", counted)
+    q = x.selectExpr("id AS query_id", "embedding AS vec")
+    got = {}
+    for r in search_index(q, spark, path, 4, nprobe=1000).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.id)
+    assert got == brute(xs, xs, 4, "cosine") and made == [("probes", 200)]
