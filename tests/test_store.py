@@ -437,3 +437,18 @@ def test_add_items_evaluates_its_input_once(spark, tmp_path):
     assert seen.value == 2
     store.compact_store(spark, str(tmp_path / "i"), str(tmp_path / "j"), 1)
     assert store.open_store(spark, str(tmp_path / "j")).count() == 2
+
+
+def test_arrivals_of_a_stream_lie_in_files_of_bounded_size(spark, sf, tmp_path, monkeypatch):
+    from tonearm.plans import queries as QU
+    from tonearm.sources import testbed as tb
+
+    monkeypatch.setattr(QU, "ARRIVALS", 500)
+    monkeypatch.setattr(QU, "shared_folder", lambda s, purpose: str(tmp_path / purpose))
+    got = QU.QUERIES["rating_stream"](spark, sf).collect()
+    assert sorted(got) == sorted(tb.ratings(spark, sf).collect())
+    sizes = [r["count"] for r in spark.read.parquet(str(tmp_path / "rating-stream/in")).groupBy(
+        F.input_file_name()).count().collect()]
+    assert len(sizes) >= 12 and max(sizes) <= 550
+    log = spark.read.parquet(str(tmp_path / "rating-stream/log"))
+    assert sorted(r.batch for r in log.select("batch").distinct().collect()) == [0, 1]

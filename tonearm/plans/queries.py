@@ -873,6 +873,17 @@ def two_tower_rank_given(spark, sf):
 
 # --- metrics and streams -----------------------------------------------------------------------
 
+# Rows in one file of a stream's input.
+ARRIVALS = 500_000
+
+
+def _two_batches(rows: DataFrame, n: int, path: str) -> DataFrame:
+    """About ``n`` rows stored in files of bounded size, as a stream that reads them in two batches."""
+    half = max(2, -(-n // (2 * ARRIVALS)))
+    rows.repartition(2 * half).write.parquet(path)
+    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", half).parquet(path)
+
+
 @query
 def usage_metrics(spark, sf):
     events = tb.table(spark, sf, "events")
@@ -909,9 +920,7 @@ def rating_stream(spark, sf):
     """The ratings in two batches' worth of files, read from the state they leave."""
     at = shared_folder(spark, "rating-stream")
     events = tb.rating_events(spark, sf)
-    events.repartition(4).write.parquet(f"{at}/in")
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2) \
-        .parquet(f"{at}/in")
+    stream = _two_batches(events, tb.table(spark, sf, "lineitem").count(), f"{at}/in")
     jobs.rating_stream(stream, f"{at}/log", f"{at}/checkpoint").awaitTermination()
     return jobs.current_ratings(spark, f"{at}/checkpoint", events.schema) \
         .select("user_id", "track_id", "rating")
@@ -923,9 +932,7 @@ def ingest_stream(spark, sf):
     at = shared_folder(spark, "ingest-stream")
     seen = tb.rating_events(spark, sf).select(F.col("track_id").alias("id"), "ts")
     arrivals = seen.join(tb.tracks(spark, sf), "id").withColumn("ts", F.col("ts").cast("timestamp"))
-    arrivals.repartition(4).write.parquet(f"{at}/in")
-    stream = spark.readStream.schema(arrivals.schema).option("maxFilesPerTrigger", 2) \
-        .parquet(f"{at}/in")
+    stream = _two_batches(arrivals, tb.table(spark, sf, "lineitem").count(), f"{at}/in")
     jobs.ingest_stream(stream, f"{at}/items", f"{at}/checkpoint", E.hashing_encoder()) \
         .awaitTermination()
     return jobs.open_stream_store(spark, f"{at}/items").select("id", "name", "popularity")
@@ -935,9 +942,7 @@ def ingest_stream(spark, sf):
 def usage_stream(spark, sf):
     at = shared_folder(spark, "usage-stream")
     events = tb.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    events.repartition(4).write.parquet(f"{at}/in")
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2) \
-        .parquet(f"{at}/in")
+    stream = _two_batches(events, events.count(), f"{at}/in")
     jobs.usage_stream(stream, f"{at}/out", f"{at}/checkpoint").awaitTermination()
     return jobs.current_usage(spark, f"{at}/out").select(
         F.col("window_start").cast("timestamp_ntz").alias("window_start"),
@@ -950,9 +955,7 @@ def final_usage_stream(spark, sf):
     at = shared_folder(spark, "final-usage-stream")
     events = tb.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     # files are not in the order of time, so most events come late
-    events.repartition(4).write.parquet(f"{at}/in")
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2) \
-        .parquet(f"{at}/in")
+    stream = _two_batches(events, events.count(), f"{at}/in")
     jobs.final_usage_stream(stream, f"{at}/out", f"{at}/checkpoint").awaitTermination()
     return jobs.corrected_usage(spark, f"{at}/out").select(
         F.col("window_start").cast("timestamp_ntz").alias("window_start"),
