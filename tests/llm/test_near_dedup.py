@@ -5,10 +5,12 @@ import numpy as np
 import pyarrow as pa
 
 from conftest_llm import edge_rows
+from tonearm.llm import components as graph
 from tonearm.llm.components import components
 from tonearm.llm.near_dedup import (
     _LONG_FUNCTIONS, band_keys, estimate, minima, near_duplicates, packed, shingle_sets,
 )
+from tonearm.session import written
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -119,3 +121,12 @@ def test_components(spark):
     got = {r.node: r.component for r in components(edges).collect()}
     assert got == {1: 1, 3: 1, 4: 1, 5: 1, 8: 8, 9: 8, 100: 8, **{i: 200 for i in range(200, 261)}}
     assert components(edges.limit(0)).count() == 0
+
+
+def test_stars_need_no_round(spark, monkeypatch):
+    steps = []
+    monkeypatch.setattr(graph, "written", lambda df, purpose: steps.append(purpose) or written(df, purpose))
+    edges = spark.createDataFrame([(2, 1), (1, 3), (9, 4), (4, 9)], "a bigint, b bigint")
+    got = {r.node: r.component for r in components(edges).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 9: 4}
+    assert steps == ["edges", "least"]

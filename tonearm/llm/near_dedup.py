@@ -260,9 +260,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = S
     # classes of equal sets; only the smallest id of a class goes on
     classes = written(full.groupBy(named).agg(F.min("doc_id").alias("head"), F.count("*").alias("n"))
                       .where("n > 1").drop("n"), "classes")
+    own = F.coalesce("head", "doc_id")
     headed = written(
-        known.select("doc_id", *named).join(classes, named, "left")
-        .select("doc_id", "n_shingles", F.coalesce("head", "doc_id").alias("head")), "heads")
+        known.join(classes, named, "left").select(
+            "doc_id", "n_shingles", own.alias("head"),
+            *[F.when((own == F.col("doc_id")) & (F.col("n_shingles") > 0), F.col(c)).alias(c)
+              for c in ("keys", "sign")]), "heads")
     repeated = headed.where("n_shingles > 0 and head <> doc_id").select("doc_id", "head").distinct()
     # an id with several texts: its classes belong together
     own_class = headed.where("head = doc_id").select("doc_id").distinct()
@@ -272,9 +275,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = S
         .unionByName(repeated.join(own_class, "doc_id", "left_semi"))
         .select(F.col("doc_id").alias("a"), F.col("head").alias("b")))
 
-    heads = written(
-        full.join(classes, named, "left").where("head is null or head = doc_id")
-        .select("doc_id", "keys", "sign"), "class-heads")
+    heads = headed.where("head = doc_id and n_shingles > 0").select("doc_id", "keys", "sign")
     keyed = heads.select("doc_id", F.explode("keys").alias("key"))
     hubs = written(keyed.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("other"))
                    .where("hub <> other").drop("other"), "hubs")
@@ -282,7 +283,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = S
     ids = members.select("doc_id").distinct()
     sets = written(sets_of(docs.join(ids, "doc_id", "left_semi"), shingle)
                    .where(F.size("shingles") > 0), "sets")
-    signs = written(heads.select("doc_id", "sign").join(ids, "doc_id", "left_semi"), "signs")
+    signs = heads.select("doc_id", "sign")
 
     stars = members.where("doc_id <> hub").select(
         F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
@@ -291,7 +292,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = S
         .join(signs.select(F.col("doc_id").alias("a"), F.col("sign").alias("sign_a")), "a")
         .where(_equal_places("sign_a", "sign_b") >= _least_equal(similarity, _HASHES)).select("a", "b").distinct())
     links = written(_confirmed(likely, sets, similarity).unionByName(same_id), "links")
-    first = written(components(links), "components")
+    first = components(links)
 
     placed = written(
         members.join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left")
@@ -323,12 +324,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = S
         .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
     second = components(lifted).toDF("component", "top")
     # every id met in either pass, with its last component
-    nodes = first.unionByName(
-        lifted.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        .join(first.select("node"), "node", "left_anti")
-        .select("node", F.col("node").alias("component")))
-    final = written(nodes.join(second, "component", "left").select(
-        F.col("node").alias("head"), F.coalesce("top", "component").alias("top")), "final")
+    final = written(
+        first.join(second, "component", "left").select(
+            F.col("node").alias("head"), F.coalesce("top", "component").alias("top"))
+        .unionByName(second.join(first.select(F.col("node").alias("component")), "component", "left_anti")
+                     .select(F.col("component").alias("head"), "top")), "final")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("top", "head"))
     return headed.join(final, "head", "left").select(
         "doc_id", "n_shingles", component.alias("component_id"),
