@@ -93,3 +93,21 @@ def test_windows_are_compared_by_both_hashes():
     ordered = hashes[order_]
     mark = _earlier(extra, np.array([2, 2]), order_, np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]), ordered)
     assert mark.tolist() == [False, False, True, False]
+
+
+def test_chunks_are_a_file_a_bucket_however_many_tasks_write_them(spark):
+    from tonearm.llm.repeats import _chunks
+    rows = [(i, "".join(chr(97 + (i * 7 + j) % 26) for j in range(40_000)) + " end") for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(12)
+    chunks = _chunks(docs, "doc_id", "text", 3)
+    assert chunks.count() >= 12
+    assert len(chunks.inputFiles()) <= 3
+    # a join by chunk moves no chunk
+    other = spark.range(5).withColumnRenamed("id", "chunk")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = chunks.join(other, "chunk", "left")._jdf.queryExecution().sparkPlan().toString()
+        full = chunks.join(other, "chunk", "left")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan and full.count("Exchange") == 1

@@ -150,7 +150,11 @@ def ranges_for(size: int) -> int:
 
 
 def _chunks(docs: DataFrame, doc_id: str, text: str, parts: int) -> DataFrame:
-    """The rows of ``docs`` in chunks, stored in the shared folder in buckets by chunk."""
+    """The rows of ``docs`` in chunks, stored in the shared folder in buckets by chunk.
+
+    Each bucket is one file. Were every task to write its own part of each bucket, files would grow
+    with the square of the text, and each costs an executor a process that sets its permissions.
+    """
 
     def run(batches):
         options = pa.ipc.IpcWriteOptions(compression="zstd")
@@ -167,7 +171,7 @@ def _chunks(docs: DataFrame, doc_id: str, text: str, parts: int) -> DataFrame:
     spark = docs.sparkSession
     name = f"tonearm_chunks_{uuid.uuid4().hex}"
     (docs.mapInArrow(run, "size bigint, blob binary").withColumn("chunk", F.monotonically_increasing_id())
-     .write.bucketBy(parts, "chunk").option("path", shared_folder(spark, "chunks")).saveAsTable(name))
+     .repartition(parts, "chunk").write.bucketBy(parts, "chunk").option("path", shared_folder(spark, "chunks")).saveAsTable(name))
     chunks = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # the files stay, and what has been read of them knows their buckets
     return chunks
