@@ -73,3 +73,26 @@ def test_candidate_searches(spark):
         "genre:k-pop", "genre:k-rap", "text:IU"]
     assert searches(spark, c, [], "", "sad") == ["text:sad"]
     assert searches(spark, c, [], "", "sad", ["pop"]) == ["genre:pop"]
+
+
+def test_counting_encoder_splits_a_text_once(spark):
+    from tonearm.operators.encoder import counting_encoder
+
+    docs = spark.range(3).selectExpr("id", "concat('Red  bolt red ', id) AS document")
+    out = counting_encoder(["red", "bolt", "1", "none"])(docs)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and out.columns == ["id", "document", "embedding"]
+    rows = {r.id: [round(x, 4) for x in r.embedding] for r in out.collect()}
+    assert rows == {0: [0.8944, 0.4472, 0.0, 0.0], 1: [0.8165, 0.4082, 0.4082, 0.0],
+                    2: [0.8944, 0.4472, 0.0, 0.0]}
+
+
+def test_documents_of_text_searches_are_dealt_to_all_cores(spark, tmp_path):
+    from tonearm.plans.queries import _documents
+    from tonearm.session import compute_partitions
+
+    spark.range(200).selectExpr(
+        "id AS p_partkey", "'red bolt' AS p_name", "'Brand#1' AS p_brand", "'SMALL' AS p_type",
+        "CAST(id % 50 AS int) AS p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    parts = _documents(spark, str(tmp_path)).select("id", "document").rdd.glom().map(len).collect()
+    assert len(parts) == compute_partitions(spark) > 1 and sum(parts) == 200 and max(parts) < 150

@@ -45,10 +45,11 @@ def counting_encoder(vocabulary: list[str], document: str = "document",
                      embedding: str = "embedding") -> Encoder:
     """How often each word of a given list occurs, scaled to length 1; zeros where none does."""
     def encode(df: DataFrame) -> DataFrame:
-        words = document_words(document)
-        counts = F.array(*[F.size(F.filter(words, F.lit(w).eqNullSafe)).cast("double")
+        # a column of its own: the text is split once, not once for each word of the list
+        split = df.withColumn("_words", document_words(document))
+        counts = F.array(*[F.size(F.filter("_words", F.lit(w).eqNullSafe)).cast("double")
                            for w in vocabulary])
-        return l2_normalise(df.withColumn(embedding, counts), embedding).withColumn(
+        return l2_normalise(split.withColumn(embedding, counts).drop("_words"), embedding).withColumn(
             embedding, F.col(embedding).cast("array<float>"))
 
     return encode

@@ -34,7 +34,7 @@ from tonearm.plans.given import GIVEN_CENTRES, GIVEN_RANKER, GIVEN_TOWERS, GIVEN
 from tonearm.plans.profiles import user_profiles
 from tonearm.plans.search import search_text
 from tonearm.schemas import FEATURES, RAW_ARTIST_TOP
-from tonearm.session import shared_folder, written
+from tonearm.session import compute_partitions, shared_folder, written
 from tonearm.sources import landing, store
 from tonearm.sources import testbed as tb
 from tonearm.sources.models import load_weights, save_weights
@@ -711,12 +711,17 @@ def ivf_search(spark, sf):
     return _ranked(search_index(q, spark, _index(spark, sf, ivf=True, cells=16), 10, nprobe=4))
 
 
+def _documents(spark, sf):
+    """Tracks with their text, dealt to all cores: encoding is bound by CPU, and the table is a few files."""
+    docs = tb.tracks(spark, sf).repartition(compute_partitions(spark), "id")
+    return docs.withColumn("document", TX.text_document(docs.columns))
+
+
 @query
 def text_search_counted(spark, sf):
     """Text search with an encoder that counts given words."""
     encode = E.counting_encoder(GIVEN_WORDS)
-    docs = tb.tracks(spark, sf)
-    docs = encode(docs.withColumn("document", TX.text_document(docs.columns)))
+    docs = encode(_documents(spark, sf))
     queries = tb.table(spark, sf, "part").select("p_name").distinct().select(
         F.col("p_name").alias("query_id"), F.col("p_name").alias("query"))
     found, _ = search_text(queries, docs, encode, 10, {"popularity": {"$gte": 20}})
@@ -726,8 +731,7 @@ def text_search_counted(spark, sf):
 
 @query
 def text_search(spark, sf):
-    docs = tb.tracks(spark, sf)
-    docs = docs.withColumn("document", TX.text_document(docs.columns))
+    docs = _documents(spark, sf)
     encode = E.hashing_encoder(idf=E.fit_idf(docs))
     queries = tb.table(spark, sf, "part").select("p_name").distinct().select(
         F.col("p_name").alias("query_id"), F.col("p_name").alias("query"))
@@ -739,8 +743,7 @@ def text_search(spark, sf):
 @query
 def text_search_related(spark, sf):
     """Text search that knows related words, by vectors fitted on the items' own texts."""
-    docs = tb.tracks(spark, sf)
-    docs = docs.withColumn("document", TX.text_document(docs.columns))
+    docs = _documents(spark, sf)
     encode = meaning_encoder(written(fit_word_vectors(docs, 64), "word-vectors"))
     queries = tb.table(spark, sf, "part").select("p_name").distinct().select(
         F.col("p_name").alias("query_id"), F.col("p_name").alias("query"))
