@@ -288,3 +288,39 @@ def test_all_cells_of_an_index_are_probed_by_one_row_a_query(spark, tmp_path, mo
     for r in search_index(q, spark, path, 4, nprobe=1000).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r.id)
     assert got == brute(xs, xs, 4, "cosine") and made == [("probes", 200)]
+
+
+def test_memory_of_a_task_is_bounded(monkeypatch):
+    """Costs, and factors of queries, are made for as many queries as are met at once."""
+    import tracemalloc
+
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    q, x = r.normal(size=(8000, 64)), r.normal(size=(8000, 64))
+    for metric in ("l2", "cosine"):
+        factors = NN.item_factors(x, metric)
+        tracemalloc.start()
+        rows, cols, cost = NN.best_in_block(q, x, 3, metric, factors=factors)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert len(rows) == 24000 and most < 32e6, (metric, most)
+        near = NN._pair_cost(q[[5] * 8000], x, metric).argsort(kind="stable")[:3]
+        assert list(cols[rows == 5]) == list(near)
+
+
+def test_blocks_keep_ids_of_text_and_refuse_null_vectors(spark, monkeypatch):
+    """Groups come as Arrow tables: ids keep their type, and a null vector is no other row's."""
+    xs = [(f"i{n:03d}", [float(n % 7), float(n % 11)]) for n in range(60)]
+    x = spark.createDataFrame(xs[::-1], "id string, vec array<double>")
+    q = x.selectExpr("id AS query_id", "vec")
+    for metric in ("l2", "ip"):
+        got = {}
+        for r in NN.nearest(q, x, 3, metric, broadcast_cells=4, block_rows=20).orderBy(
+                "query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(int(r.id[1:]))
+        want = brute([v for _, v in xs], [v for _, v in xs], 3, metric)
+        assert got == {f"i{n:03d}": ids for n, ids in want.items()}
+    gone = x.selectExpr("id", "IF(id = 'i007', null, vec) AS vec")
+    with pytest.raises(Exception, match="null"):
+        NN.nearest(q, gone, 3, "ip", broadcast_cells=4, block_rows=20).collect()

@@ -21,6 +21,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,7 +32,10 @@ from tonearm.session import BROADCAST_CELLS, compute_partitions, written
 # feature and l2 are squared distances, cosine and ip (inner product) similarities; ranking is
 # always ascending on "cost", the distance or the negated similarity
 METRICS = ("feature", "l2", "cosine", "ip")
-_CHUNK_CELLS = 4_000_000
+# Costs of queries and items that are held at once.
+_CHUNK_CELLS = 1_000_000
+# Distances of queries or items and pivots that are held at once.
+_PLACED_CELLS = 256_000
 # Numbers on either side of pairs whose exact cost is computed at once.
 _EXACT_CELLS = 500_000
 # Numbers that a task holds of either side; what is more is cut by hash.
@@ -52,6 +57,16 @@ def _matrix(column: pd.Series, width: int) -> np.ndarray:
     return np.concatenate(column.to_numpy()).astype(np.float64, copy=False).reshape(len(column), -1)
 
 
+def _rows(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    """The same of an Arrow column, without an object for each vector."""
+    if column.null_count:
+        raise ValueError("a vector is null")
+    parts = [c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks]
+    if not len(column):
+        return np.zeros((0, width))
+    return np.concatenate(parts, dtype=np.float64).reshape(len(column), -1)
+
+
 def _unit(m: np.ndarray) -> np.ndarray:
     return m / (np.sqrt(np.einsum("ij,ij->i", m, m)) + 1e-10)[:, None]
 
@@ -101,7 +116,7 @@ def item_factors(x: np.ndarray, metric: str) -> tuple[np.ndarray, float]:
     """Factors of a block of items and their greatest squared length, for ``best_in_block``."""
     # similarities of long vectors need few digits to find the k-th place; distances cancel
     fx = _factors(x, metric, "item").astype(np.float32 if metric in ("cosine", "ip") else np.float64)
-    return fx, (fx * fx).sum(1).max() if len(fx) else 0.0
+    return fx, np.einsum("ij,ij->i", fx, fx).max() if len(fx) else 0.0
 
 
 def best_in_block(q: np.ndarray, x: np.ndarray, k: int, metric: str, *, factors=None,
@@ -118,8 +133,6 @@ def best_in_block(q: np.ndarray, x: np.ndarray, k: int, metric: str, *, factors=
         return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
     fx, longest = item_factors(x, metric) if factors is None else factors
     slack = 1e-5 if metric in ("cosine", "ip") else 1e-11
-    fq = _factors(q, metric, "query").astype(fx.dtype)
-    reach = slack * (1.0 + np.sqrt((fq * fq).sum(1) * longest))
     step = max(1, _CHUNK_CELLS // n_x)
     # queries that visit the same cells meet them together
     alike = np.arange(n_q) if visited is None else np.lexsort(np.packbits(visited, axis=1).T)
@@ -135,7 +148,9 @@ def best_in_block(q: np.ndarray, x: np.ndarray, k: int, metric: str, *, factors=
                 continue
             allowed = None if seen[:, used].all() else seen[:, cell[here]]
             here = None if len(here) == n_x else here
-        cost = fq[own] @ (fx if here is None else fx[here]).T
+        fq = _factors(q[own], metric, "query").astype(fx.dtype)
+        reach = slack * (1.0 + np.sqrt((fq * fq).sum(1) * longest))
+        cost = fq @ (fx if here is None else fx[here]).T
         if cost.shape[1] > k:
             if allowed is not None:
                 cost[~allowed] = np.inf
@@ -143,12 +158,12 @@ def best_in_block(q: np.ndarray, x: np.ndarray, k: int, metric: str, *, factors=
                 bound = np.partition(cost, k - 1, axis=1)[:, k - 1].astype(np.float64)
             else:
                 bound = limit[own].astype(np.float64)
-                many = np.flatnonzero((cost <= (bound + reach[own])[:, None]).sum(axis=1) > 4 * k)
+                many = np.flatnonzero((cost <= (bound + reach)[:, None]).sum(axis=1) > 4 * k)
                 if len(many):
                     bound[many] = np.minimum(
                         bound[many], np.partition(cost[many], k - 1, axis=1)[:, k - 1])
             # keep everything that rounding could have pushed past the k-th place
-            near = cost <= (bound + reach[own])[:, None]
+            near = cost <= (bound + reach)[:, None]
             rows, cols = np.nonzero(near if allowed is None else near & allowed)
         elif allowed is not None:
             rows, cols = np.nonzero(allowed)
@@ -448,8 +463,9 @@ def _measure(x, metric, width, block_rows):
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for at in range(0, len(b), 1000):
-                part = b.iloc[at:at + 1000]
+            step = max(1, _PLACED_CELLS // len(shared.value.pivots))
+            for at in range(0, len(b), step):
+                part = b.iloc[at:at + step]
                 cell, away = shared.value.place(_matrix(part["ivec"], width))
                 yield part.assign(cell=cell.astype("int32"), away=away)
 
@@ -484,8 +500,9 @@ def visits(q, cells, odd, k, width, first=None):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cells = shared.value
         for b in batches:
-            for at in range(0, len(b), 1000):
-                part = b.iloc[at:at + 1000]
+            step = max(1, _PLACED_CELLS // len(cells.pivots))
+            for at in range(0, len(b), step):
+                part = b.iloc[at:at + step]
                 m = _matrix(part["qvec"], width)
                 home = cells.homes(m, k)
                 seen = cells.reached(m, part["kth"].to_numpy(np.float64)) & ~home if again else home
@@ -558,24 +575,30 @@ def best_in_shared_blocks(q, x, k, metric, schema, width, rows=None):
     x = x.join(cuts, "block").withColumn("part", own("iid", "parts")) \
         .withColumn("chunk", every("chunks"))
 
-    def score(qs: pd.DataFrame, xs: pd.DataFrame) -> pd.DataFrame:
+    def found(qs, xs, rows, cols, cost):
+        return pa.table({"qid": qs["qid"].take(pa.array(rows)), "iid": xs["iid"].take(pa.array(cols)),
+                         "cost": pa.array(cost)})
+
+    def score(qs: pa.Table, xs: pa.Table) -> pa.Table:
         if not len(qs) or not len(xs):
-            return _frame([], [], [])
-        xs = _sorted_items(xs)
+            return found(qs.slice(0, 0), xs.slice(0, 0), *np.zeros((2, 0), int), np.zeros(0))
+        # by id, so that the row order is the id order; only numbers are copied, and once
+        order = pc.sort_indices(xs, sort_keys=[("iid", "ascending")]).to_numpy()
         chosen = {}
-        if "kth" in qs:
-            chosen["limit"] = qs["kth"].fillna(np.inf).to_numpy(np.float64)
-        if "bits" in qs:
-            bits = np.frombuffer(b"".join(qs["bits"]), np.uint8).reshape(len(qs), -1)
+        if "kth" in qs.column_names:
+            chosen["limit"] = np.nan_to_num(qs["kth"].to_numpy().astype(np.float64), nan=np.inf,
+                                            posinf=np.inf, neginf=-np.inf)
+        if "bits" in qs.column_names:
+            bits = np.frombuffer(b"".join(qs["bits"].to_pylist()), np.uint8).reshape(len(qs), -1)
             chosen |= {"visited": np.unpackbits(bits, axis=1).astype(bool),
-                       "cell": xs["place"].to_numpy(np.int64)}
+                       "cell": xs["place"].to_numpy()[order].astype(np.int64)}
+        x = _prepare(_rows(xs["ivec"], width)[order], metric)
         rows, cols, cost = best_in_block(
-            _prepare(_matrix(qs["qvec"], width), metric),
-            _prepare(_matrix(xs["ivec"], width), metric), k, metric, **chosen)
-        return _frame(qs["qid"].to_numpy()[rows], xs["iid"].to_numpy()[cols], cost)
+            _prepare(_rows(qs["qvec"], width), metric), x, k, metric, **chosen)
+        return found(qs, xs, rows, order[cols], cost)
 
     keys = ["block", "part", "chunk"]
     theirs = [c for c in ("kth", "bits") if c in q.columns]
     place = [c for c in ("place",) if c in x.columns]
     return q.select(*keys, "qid", "qvec", *theirs).groupBy(*keys).cogroup(
-        x.select(*keys, "iid", "ivec", *place).groupBy(*keys)).applyInPandas(score, schema)
+        x.select(*keys, "iid", "ivec", *place).groupBy(*keys)).applyInArrow(score, schema)
