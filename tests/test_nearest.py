@@ -324,3 +324,38 @@ def test_blocks_keep_ids_of_text_and_refuse_null_vectors(spark, monkeypatch):
     gone = x.selectExpr("id", "IF(id = 'i007', null, vec) AS vec")
     with pytest.raises(Exception, match="null"):
         NN.nearest(q, gone, 3, "ip", broadcast_cells=4, block_rows=20).collect()
+
+
+def test_groups_of_short_vectors_are_bounded_by_rows(spark, monkeypatch):
+    """A query is compared with few rows of a group, and neither queries nor items are sent to every task."""
+    import numpy as np
+
+    groups = NN.gathered(np.arange(300), np.full(300, 1000), 3)
+    assert max(len(g) for g in groups) * 1000 <= 50_000 and sum(map(len, groups)) == 300
+    plans, applied = [], NN.F.broadcast
+    monkeypatch.setattr(NN.F, "broadcast", lambda df: plans.append(df.columns) or applied(df))
+    xs = vectors(120, 3, 4)
+    x = spark.createDataFrame(list(enumerate(xs)), "id bigint, vec array<double>")
+    monkeypatch.setattr(NN, "GROUP_ROWS", 30)
+    got = run(spark, xs, xs, 5, "cosine", broadcast_cells=3, block_rows=20)
+    assert got == brute(xs, xs, 5, "cosine") and x.count() == 120
+    assert ["block", "parts", "chunks"] in plans and ["cell", "block", "place"] in plans
+
+
+def test_queries_that_visit_the_same_cells_meet_them_at_once(monkeypatch):
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    q, x = r.normal(size=(600, 4)), r.normal(size=(1000, 4))
+    cell = np.arange(1000) % 100
+    visited = np.zeros((600, 100), bool)
+    visited[np.arange(600), np.arange(600) % 2] = True
+    monkeypatch.setattr(NN, "_CHUNK_CELLS", 10_000)
+    made, factors = [], NN._factors
+    monkeypatch.setattr(NN, "_factors", lambda m, metric, side: made.append(side) or factors(m, metric, side))
+    rows, cols, cost = NN.best_in_block(q, x, 3, "l2", cell=cell, visited=visited)
+    assert made.count("query") <= 4  # 60 of ten queries each, if every step were bounded by all items
+    for i in (0, 1, 599):
+        own = np.flatnonzero(cell == i % 2)
+        want = own[((x[own] - q[i]) ** 2).sum(1).argsort(kind="stable")[:3]]
+        assert list(cols[rows == i]) == list(want)

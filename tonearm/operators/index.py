@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tonearm.functions.vectors import l2_normalise
 from tonearm.operators.nearest import (
-    best_in_shared_blocks, gathered, grouped, near_order, nearest, sent,
+    best_in_shared_blocks, gathered, grouped, near_order, nearest, sent, vector_rows,
 )
 from tonearm.operators.networks import Weights, encode
 from tonearm.session import written
@@ -28,6 +29,8 @@ from tonearm.sources.preferences import path_exists
 # fixed value: number of cells
 CELLS = 1024
 ROWS_PER_FILE = 500_000
+# Rows whose layers are computed at once.
+_AT_ONCE = 2048
 
 
 def encode_vectors(df: DataFrame, weights: Weights, tower: str, keys: str | list[str],
@@ -37,13 +40,17 @@ def encode_vectors(df: DataFrame, weights: Weights, tower: str, keys: str | list
     shared = df.sparkSession.sparkContext.broadcast(weights)
     shape = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if len(b):
-                x = np.stack(b[vec].to_numpy()).astype(np.float64)
-                yield b[keys].assign(embedding=list(encode(shared.value, tower, x)))
-
-    return df.select(*keys, vec).mapInPandas(run, shape + ", embedding array<double>")
+            for at in range(0, b.num_rows, _AT_ONCE):
+                part = b.slice(at, _AT_ONCE)
+                e = encode(shared.value, tower, vector_rows(pa.chunked_array([part[vec]]), 0))
+                ends = np.arange(len(e) + 1, dtype=np.int32) * e.shape[1]
+                yield pa.RecordBatch.from_arrays(
+                    [*(part[c] for c in keys), pa.ListArray.from_arrays(ends, e.ravel())],
+                    names=[*keys, "embedding"])
+
+    return df.select(*keys, vec).mapInArrow(run, shape + ", embedding array<double>")
 
 
 def build_index(vectors: DataFrame, path: str, *, ivf: bool = False, cells: int = CELLS,

@@ -32,7 +32,7 @@ from tonearm.session import BROADCAST_CELLS, compute_partitions, written
 # feature and l2 are squared distances, cosine and ip (inner product) similarities; ranking is
 # always ascending on "cost", the distance or the negated similarity
 METRICS = ("feature", "l2", "cosine", "ip")
-# Costs of queries and items that are held at once.
+# Costs of queries and items that are held at once, twice as many in single precision.
 _CHUNK_CELLS = 1_000_000
 # Distances of queries or items and pivots that are held at once.
 _PLACED_CELLS = 256_000
@@ -40,6 +40,10 @@ _PLACED_CELLS = 256_000
 _EXACT_CELLS = 500_000
 # Numbers that a task holds of either side; what is more is cut by hash.
 GROUP_CELLS = 2_000_000
+# Items in a group of cells, however short their vectors: a query meets few of a large group's cells.
+GROUP_ROWS = 50_000
+# Similarities of shorter vectors are so dense that single precision hardly tells them apart.
+_WIDE = 16
 # Fewer queries than this are not spread over more tasks.
 _LEAST_QUERIES = 1000
 # Ranges of the pruning feature; a crowded one is cut further by hash.
@@ -57,7 +61,7 @@ def _matrix(column: pd.Series, width: int) -> np.ndarray:
     return np.concatenate(column.to_numpy()).astype(np.float64, copy=False).reshape(len(column), -1)
 
 
-def _rows(column: pa.ChunkedArray, width: int) -> np.ndarray:
+def vector_rows(column: pa.ChunkedArray, width: int) -> np.ndarray:
     """The same of an Arrow column, without an object for each vector."""
     if column.null_count:
         raise ValueError("a vector is null")
@@ -115,7 +119,8 @@ def _exact_cost(q: np.ndarray, x: np.ndarray, rows: np.ndarray, cols: np.ndarray
 def item_factors(x: np.ndarray, metric: str) -> tuple[np.ndarray, float]:
     """Factors of a block of items and their greatest squared length, for ``best_in_block``."""
     # similarities of long vectors need few digits to find the k-th place; distances cancel
-    fx = _factors(x, metric, "item").astype(np.float32 if metric in ("cosine", "ip") else np.float64)
+    few = metric in ("cosine", "ip") and x.shape[1] >= _WIDE
+    fx = _factors(x, metric, "item").astype(np.float32 if few else np.float64)
     return fx, np.einsum("ij,ij->i", fx, fx).max() if len(fx) else 0.0
 
 
@@ -132,20 +137,32 @@ def best_in_block(q: np.ndarray, x: np.ndarray, k: int, metric: str, *, factors=
     if not n_q or not n_x or k <= 0:
         return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
     fx, longest = item_factors(x, metric) if factors is None else factors
-    slack = 1e-5 if metric in ("cosine", "ip") else 1e-11
-    step = max(1, _CHUNK_CELLS // n_x)
+    slack = 1e-5 if fx.dtype == np.float32 else 1e-11
+    held = _CHUNK_CELLS * 8 // fx.itemsize
+    step = max(1, held // n_x)
     # queries that visit the same cells meet them together
-    alike = np.arange(n_q) if visited is None else np.lexsort(np.packbits(visited, axis=1).T)
-    out = []
-    for at in range(0, n_q, step):
-        own = alike[at:at + step]
+    alike, ends = np.arange(n_q), None
+    if visited is not None and visited.all():
+        visited = None
+    if visited is not None:
+        bits = np.packbits(visited, axis=1)
+        alike = np.lexsort(bits.T)
+        ends = np.flatnonzero(np.r_[(bits[alike[1:]] != bits[alike[:-1]]).any(axis=1), True]) + 1
+    out, at = [], 0
+    while at < n_q:
+        stop = min(n_q, at + step)
         here, allowed = None, None
         if visited is not None:
-            seen = visited[own]
-            used = seen.any(axis=0)
+            stop = max(stop, int(ends[np.searchsorted(ends, at, "right")]))
+            used = visited[alike[at:stop]].any(axis=0)
             here = np.flatnonzero(used[cell])
+            stop = min(stop, at + max(step, held // max(1, len(here))))
+        own = alike[at:stop]
+        at = stop
+        if visited is not None:
             if not len(here):
                 continue
+            seen = visited[own]
             allowed = None if seen[:, used].all() else seen[:, cell[here]]
             here = None if len(here) == n_x else here
         fq = _factors(q[own], metric, "query").astype(fx.dtype)
@@ -158,13 +175,17 @@ def best_in_block(q: np.ndarray, x: np.ndarray, k: int, metric: str, *, factors=
                 bound = np.partition(cost, k - 1, axis=1)[:, k - 1].astype(np.float64)
             else:
                 bound = limit[own].astype(np.float64)
-                many = np.flatnonzero((cost <= (bound + reach)[:, None]).sum(axis=1) > 4 * k)
+            # keep everything that rounding could have pushed past the k-th place
+            near = cost <= _above(bound + reach, cost.dtype)
+            if limit is not None:
+                many = np.flatnonzero(np.count_nonzero(near, axis=1) > 4 * k)
                 if len(many):
                     bound[many] = np.minimum(
                         bound[many], np.partition(cost[many], k - 1, axis=1)[:, k - 1])
-            # keep everything that rounding could have pushed past the k-th place
-            near = cost <= (bound + reach)[:, None]
-            rows, cols = np.nonzero(near if allowed is None else near & allowed)
+                    near[many] = cost[many] <= _above((bound + reach)[many], cost.dtype)
+            if allowed is not None:
+                near &= allowed
+            rows, cols = np.divmod(np.flatnonzero(near.ravel()), near.shape[1])
         elif allowed is not None:
             rows, cols = np.nonzero(allowed)
         else:
@@ -181,6 +202,12 @@ def best_in_block(q: np.ndarray, x: np.ndarray, k: int, metric: str, *, factors=
     return tuple(np.concatenate(a) for a in zip(*out))
 
 
+def _above(bound: np.ndarray, dtype) -> np.ndarray:
+    """A column of numbers of that precision that are no less."""
+    out = bound.astype(dtype)
+    return np.where(out < bound, np.nextafter(out, dtype.type(np.inf)), out)[:, None]
+
+
 def _sorted_items(frame: pd.DataFrame) -> pd.DataFrame:
     return frame.sort_values("iid", kind="stable").reset_index(drop=True)
 
@@ -419,7 +446,7 @@ def near_order(p: np.ndarray) -> np.ndarray:
 
 def gathered(order: np.ndarray, sizes: np.ndarray, width: int) -> list[np.ndarray]:
     """Cells with items, in groups that fill a task; those that ``order`` does not name come last."""
-    rows, groups, have = max(1, GROUP_CELLS // width), [], 0
+    rows, groups, have = max(1, min(GROUP_ROWS, GROUP_CELLS // width)), [], 0
     rest = np.setdiff1d(np.arange(len(sizes)), order)
     for c in np.r_[order, rest]:
         if not sizes[c]:
@@ -436,8 +463,8 @@ def grouped(x: DataFrame, groups: list[np.ndarray], numbers: list[int]) -> DataF
     """Items with the group of their cell (``block``) and the cell's ``place`` in it; ``numbers`` are
     the cells that ``groups`` count by place."""
     at = [(numbers[c], g, i) for g, cells in enumerate(groups) for i, c in enumerate(cells)]
-    where = x.sparkSession.createDataFrame(at, "cell int, block int, place int")  # a row a cell
-    return x.join(where, "cell").drop("cell")
+    where = x.sparkSession.createDataFrame(at, "cell int, block int, place int")
+    return x.join(F.broadcast(where), "cell").drop("cell")  # a row a cell
 
 
 def sent(part: pd.DataFrame, seen: np.ndarray, groups: list[np.ndarray]) -> Iterator[pd.DataFrame]:
@@ -516,9 +543,9 @@ def _cells(q, x, k, metric, schema, width, block_rows):
     x, cells, odd = _measure(x, metric, width, block_rows)
     x = written(x, "groups")
     first = written(best_in_shared_blocks(
-        visits(q, cells, odd, k, width), x, k, metric, schema, width), "nearest")
+        visits(q, cells, odd, k, width), x, k, metric, schema, width, GROUP_ROWS), "nearest")
     second = best_in_shared_blocks(
-        visits(q, cells, odd, k, width, first), x, k, metric, schema, width)
+        visits(q, cells, odd, k, width, first), x, k, metric, schema, width, GROUP_ROWS)
     return first.unionByName(second)
 
 
@@ -558,16 +585,19 @@ def best_in_shared_blocks(q, x, k, metric, schema, width, rows=None):
     asked for; with ``bits``, it meets only items whose ``place`` they name. Neither side of a block is
     bounded, so a block with many items is cut into parts by hash and one with many queries into
     chunks; every part meets every chunk and no task holds more than about ``GROUP_CELLS`` numbers,
-    or ``rows`` rows, of either.
+    or ``rows`` rows, of either, or of the results.
     """
     spark = q.sparkSession
     rows = min(rows or GROUP_CELLS, max(1, GROUP_CELLS // width))
     n_x, n_q = ({r.block: r.n for r in df.groupBy("block").agg(F.count(F.lit(1)).alias("n")).collect()}
                 for df in (x, q))  # a row a block
     share = max(_LEAST_QUERIES, -(-sum(n_q.values()) // (4 * compute_partitions(spark))))
+    share = min(share, rows, max(1, GROUP_CELLS // max(1, k)))
     cuts = spark.createDataFrame(
-        [(b, -(-n_x[b] // rows), -(-n // min(rows, share))) for b, n in n_q.items() if b in n_x],
+        [(b, -(-n_x[b] // rows), -(-n // share)) for b, n in n_q.items() if b in n_x],
         "block int, parts int, chunks int")
+    # a row a block; else Spark, to which their size is unknown, may send out all queries or items instead
+    cuts = F.broadcast(cuts)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
     q = q.join(cuts, "block").withColumn("part", every("parts")) \
@@ -592,9 +622,9 @@ def best_in_shared_blocks(q, x, k, metric, schema, width, rows=None):
             bits = np.frombuffer(b"".join(qs["bits"].to_pylist()), np.uint8).reshape(len(qs), -1)
             chosen |= {"visited": np.unpackbits(bits, axis=1).astype(bool),
                        "cell": xs["place"].to_numpy()[order].astype(np.int64)}
-        x = _prepare(_rows(xs["ivec"], width)[order], metric)
+        x = _prepare(vector_rows(xs["ivec"], width)[order], metric)
         rows, cols, cost = best_in_block(
-            _prepare(_rows(qs["qvec"], width), metric), x, k, metric, **chosen)
+            _prepare(vector_rows(qs["qvec"], width), metric), x, k, metric, **chosen)
         return found(qs, xs, rows, order[cols], cost)
 
     keys = ["block", "part", "chunk"]
