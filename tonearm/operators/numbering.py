@@ -20,5 +20,6 @@ def number_rows(df: DataFrame, order: list, name: str) -> DataFrame:
     sizes = stored.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     starts = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_first"))
-    return stored.withColumn("_part", part).join(starts, "_part").withColumn(
+    # a row for each part of the shuffle: the rows themselves need not move for it
+    return stored.withColumn("_part", part).join(F.broadcast(starts), "_part").withColumn(
         name, F.col("_first") + row).drop("_part", "_first")
