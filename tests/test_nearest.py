@@ -359,3 +359,14 @@ def test_queries_that_visit_the_same_cells_meet_them_at_once(monkeypatch):
         own = np.flatnonzero(cell == i % 2)
         want = own[((x[own] - q[i]) ** 2).sum(1).argsort(kind="stable")[:3]]
         assert list(cols[rows == i]) == list(want)
+
+
+def test_cells_are_not_ranked_when_all_are_probed(monkeypatch):
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    q, centre, size = r.normal(size=(4, 3)), r.normal(size=(6, 3)), np.array([1, 0, 2, 5, 5, 5])
+    few = IX._seen(q, centre, size, 3, 2)
+    assert (few.sum(1) >= 2).all() and not few.all()
+    monkeypatch.setattr(IX.np, "argsort", None)
+    assert IX._seen(q, centre, size, 3, 6).all()
